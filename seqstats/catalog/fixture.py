@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from seqstats.operators import counts, probabilities
 from seqstats.operators.filters import filter_has_country, filter_min_games
 from seqstats.operators.matching import match_prefixes
-from seqstats.operators.shaping import METRICS
+from seqstats.session import written
+from seqstats.sources.records import ordered_sequence
 
 
 class Inputs:
-    """Inputs and intermediate tables of the pipeline over one data folder, all lazy."""
+    """Inputs and intermediate tables of the pipeline over one data folder, lazy unless noted."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._players: DataFrame | None = None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -89,6 +91,12 @@ class Inputs:
         return counts.player_openings(self.matches(), ("month",))
 
     def players(self) -> DataFrame:
+        """Player probabilities; a query reads them several times, so they are written first."""
+        if self._players is None:
+            self._players = written(self.players_plan(), "players")
+        return self._players
+
+    def players_plan(self) -> DataFrame:
         return probabilities.player_probabilities(self.counts(), self.profiles())
 
     def counted(self) -> DataFrame:
@@ -111,8 +119,6 @@ class Inputs:
 
     def sequences(self) -> DataFrame:
         """Events by user and day as sequences of up to ten event types."""
-        from seqstats.sources.records import ordered_sequence
-
         events = self.table("events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
         return ordered_sequence(events, ["user_id", "day"], ["ts", "event_id"], "event_type")
 
@@ -122,5 +128,3 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     doubles = {f.name for f in df.schema if f.dataType.simpleString() == "double"}
     return df.select(*[F.round(c, places).alias(c) if c in doubles else F.col(c) for c in df.columns])
 
-
-__all__ = ["Inputs", "METRICS", "rounded"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqstats.operators.shaping import union_all
@@ -57,7 +57,18 @@ def player_totals(counts: DataFrame) -> DataFrame:
 
 
 def join_totals(counts: DataFrame) -> DataFrame:
-    return counts.join(player_totals(counts), "id")
+    """Counts with the player's totals beside them.
+
+    A player has at most one row per opening here, so a window over the player stays
+    within the dictionary's size and needs no second pass over the counts.
+    """
+    player = Window.partitionBy("id")
+    return counts.where(F.col("id").isNotNull()).withColumns(
+        {
+            "total_count_w": F.sum("real_game_w").over(player),
+            "total_count_b": F.sum("real_game_b").over(player),
+        }
+    )
 
 
 def outer_fill(dfs: list[DataFrame], keys: list[str]) -> DataFrame:

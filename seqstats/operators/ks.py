@@ -11,9 +11,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from seqstats.operators.distributions import metric_values
-from seqstats.operators.filters import check_choice, filter_has_country
+from seqstats.operators.filters import check_choice
 from seqstats.operators.shaping import METRICS
 
 # A running sum is taken within value ranges of one group and the ranges' totals are added.
@@ -22,18 +23,22 @@ RANGES = 64
 EXACT_LIMIT = 10_000
 
 
-def running_counts(
-    counts: DataFrame, keys: list[str], cols: list[str], low: float = 0.0, high: float = 1.0, ranges: int = RANGES
-) -> DataFrame:
-    """Add running sums ``{c}_cum`` by ``value`` and totals ``{c}_total`` to counts per value.
+def _range(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
+    """Number of the value range, ascending with the value.
 
-    Each group is cut into value ranges, so no task sorts a hot group alone. Values outside
-    ``low..high`` go to the outermost ranges; the result is the same for any cut.
+    Ranges are narrow at the low end, where shares are most dense. Values outside
+    ``low..high`` go to the outermost ranges; results are the same for any cut.
     """
-    cut = F.floor((F.col("value") - low) / (high - low) * ranges)
-    cut = F.coalesce(F.least(F.greatest(cut, F.lit(0)), F.lit(ranges - 1)), F.lit(0))
-    counts = counts.withColumn("_range", cut)
+    place = F.least(F.greatest((value - low) / (high - low), F.lit(0.0)), F.lit(1.0))
+    return F.coalesce(F.least(F.floor(F.sqrt(F.sqrt(place)) * RANGES), F.lit(RANGES - 1)), F.lit(0)).cast("int")
+
+
+def running_counts(counts: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """Add running sums ``{c}_cum`` by ``value`` and totals ``{c}_total`` to counts per value.
 
+    Each group is cut into value ranges, so no task sorts a hot group alone.
+    """
+    counts = counts.withColumn("_range", _range(F.col("value")))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     group = Window.partitionBy(*keys)
     per_range = counts.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_{c}") for c in cols])
@@ -84,19 +89,45 @@ def ks_two_sample(a: DataFrame, b: DataFrame, keys: list[str], value: str = "val
     return _statistic(running, keys, difference, -difference, "a_total", "b_total")
 
 
-def ks_subset(sub: DataFrame, full: DataFrame, keys: list[str], groups: list[str], value: str = "value") -> DataFrame:
+def ks_subset(df: DataFrame, keys: list[str], group: str, value: str = "value") -> DataFrame:
     """Each group's sample against the whole it is part of, per key.
 
-    The whole's distribution function is built once per key and looked up at the group's
-    own values: the largest difference lies at one of them or just before it.
+    Rows without a group count for the whole only. The largest difference lies at one of
+    the group's own values or just before it, so the two running counts are compared there:
+    both are taken within value ranges of a key, and the counts of the ranges below are added.
     """
-    whole = full.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("value")).agg(F.count("*").alias("f"))
-    parts = sub.groupBy(*keys, *groups, F.col(value).alias("value")).agg(F.count(value).alias("s"))
-    parts = running_counts(parts, [*keys, *groups], ["s"])
-    joined = parts.join(running_counts(whole, keys, ["f"]), [*keys, "value"], "left")
-    above = F.col("s_cum") * F.col("f_total") - F.col("f_cum") * F.col("s_total")
-    below = (F.col("f_cum") - F.col("f")) * F.col("s_total") - (F.col("s_cum") - F.col("s")) * F.col("f_total")
-    return _statistic(joined, [*keys, *groups], above, below, "s_total", "f_total")
+    counts = df.groupBy(*keys, group, F.col(value).alias("value")).agg(F.count(value).alias("s"))
+    counts = counts.withColumn("_range", _range(F.col("value")))
+
+    cells = counts.groupBy(*keys, group, "_range").agg(F.sum("s").alias("_cell"))
+    whole = Window.partitionBy(*keys)
+    part = Window.partitionBy(*keys, group)
+    ranges_below = (Window.unboundedPreceding, -1)
+    below = cells.select(
+        *keys,
+        F.col(group).alias("_group"),
+        "_range",
+        F.coalesce(F.sum("_cell").over(whole.orderBy("_range").rangeBetween(*ranges_below)), F.lit(0)).alias("_f_below"),
+        F.coalesce(F.sum("_cell").over(part.orderBy("_range").rangeBetween(*ranges_below)), F.lit(0)).alias("_s_below"),
+        F.sum("_cell").over(whole).alias("m"),
+        F.sum("_cell").over(part).alias("n"),
+    )
+
+    in_range = Window.partitionBy(*keys, "_range")
+    counts = counts.withColumns(
+        {
+            "_f_within": F.sum("s").over(in_range.orderBy("value").rangeBetween(Window.unboundedPreceding, 0)),
+            "_f_at": F.sum("s").over(Window.partitionBy(*keys, "_range", "value")),
+            "_s_within": F.sum("s").over(
+                Window.partitionBy(*keys, "_range", group).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+            ),
+        }
+    ).where(F.col(group).isNotNull())
+    at = counts.withColumn("_group", F.col(group)).join(below, [*keys, "_group", "_range"])
+    f, s = F.col("_f_below") + F.col("_f_within"), F.col("_s_below") + F.col("_s_within")
+    above = s * F.col("m") - f * F.col("n")
+    under = (f - F.col("_f_at")) * F.col("n") - (s - F.col("s")) * F.col("m")
+    return _statistic(at, [*keys, group], above, under, "n", "m")
 
 
 def ks_pvalue(d: Column, n: Column, m: Column, method: str = "auto") -> Column:
@@ -168,38 +199,50 @@ def _finite_tail(d: Column, size: Column) -> Column:
     ) + root / (108 * z6) * whole(lambda q: 3 * z2 * q - q * q)
     body = 1.0 - (k0 + k1 / F.sqrt(size) + k2 / size + k3 / (size * F.sqrt(size)))
     far = 2.0 * F.exp(-F.pow(6 * size * d + 1, F.lit(2.0)) / (18 * size))
-    tail = F.when(z < 0.2, F.lit(1.0)).when(z2 > 4.0, far).otherwise(body)
+    tail = F.when(z < 0.2, F.lit(1.0)).when(z2 > 9.0, far).otherwise(body)
     return F.least(F.greatest(tail, F.lit(0.0)), F.lit(1.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _exact_tail(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-    return pd.Series([lattice_tail(*row) for row in zip(d, n, m)], dtype="float64")
-
-
-def lattice_tail(d: float, n: float, m: float) -> float | None:
+    tails = pd.Series(np.nan, index=d.index, dtype="float64")
+    given = pd.DataFrame({"d": d, "n": n, "m": m}).dropna()
+    given = given[(given["n"] > 0) & (given["m"] > 0)]
+    # Rows of similar size go together, as many as keep the work area small.
+    given = given.assign(size=given["n"] + given["m"]).sort_values("size")
+    done = 0
+    while done < len(given):
+        width = int(given[["n", "m"]].min(axis=1).iloc[done:].head(512).max()) + 1
+        rows = given.iloc[done : done + max(1, min(512, 1_000_000 // width))]
+        tails.loc[rows.index] = lattice_tails(*(rows[c].to_numpy() for c in ("d", "n", "m")))
+        done += len(rows)
+    return tails.astype(object).where(tails.notna(), None)
+
+
+def lattice_tails(d: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Share of the orderings of ``n`` and ``m`` values whose statistic is at least ``d``.
 
     An ordering is a lattice path from (0, 0) to (n, m). ``hit`` holds, for the points of one
     diagonal, the share of paths to a point that already reached the distance ``d``: it is
-    1 there and elsewhere the mean over the point's two predecessors, weighted by how many
-    paths come through each.
+    1 where the point itself is that far out and elsewhere the mean over the point's two
+    predecessors, weighted by how many paths come through each. One row per test.
     """
-    if pd.isna(d) or pd.isna(n) or pd.isna(m) or n < 1 or m < 1:
-        return None
-    n, m = int(min(n, m)), int(max(n, m))
-    reach = round(d * n * m)
-    i = np.arange(n + 1)
-    hit = np.zeros(n + 1)
-    hit[0] = float(reach <= 0)
-    for step in range(1, n + m + 1):
-        moved = hit * (step - i) / step
-        moved[1:] += hit[:-1] * i[1:] / step
-        j = step - i
-        moved[np.abs(i * m - j * n) >= reach] = 1.0
-        moved[(j < 0) | (j > m)] = 0.0
+    few, many = (f(n, m).astype(np.int64)[:, None] for f in (np.minimum, np.maximum))
+    reach = np.rint(np.asarray(d, dtype=float)[:, None] * few * many)
+    i = np.arange(few.max() + 1)[None, :]
+    ahead = i * (few + many)
+    hit = np.zeros(ahead.shape)
+    hit[:, :1] = reach <= 0
+    last = (few + many)[:, 0]
+    tails = np.empty(len(last))
+    for step in range(1, last.max() + 1):
+        moved = hit * ((step - i) / step)
+        moved[:, 1:] += hit[:, :-1] * (i[:, 1:] / step)
+        moved[np.abs(ahead - step * few) >= reach] = 1.0
         hit = moved
-    return float(min(hit[n], 1.0))
+        ended = np.nonzero(last == step)[0]
+        tails[ended] = hit[ended, few[ended, 0]]
+    return np.minimum(tails, 1.0)
 
 
 def ks_test(df: DataFrame, method: str = "auto") -> DataFrame:
@@ -207,9 +250,7 @@ def ks_test(df: DataFrame, method: str = "auto") -> DataFrame:
 
     One row per opening and country with ``{metric}_stat``, ``_p_value`` and ``_sign``.
     """
-    full = metric_values(df, ["matched_id"])
-    sub = metric_values(filter_has_country(df), ["matched_id", "country"])
-    tested = ks_subset(sub, full, ["matched_id", "metric"], ["country"])
+    tested = ks_subset(metric_values(df, ["matched_id", "country"]), ["matched_id", "metric"], "country")
     tested = tested.withColumn("p_value", ks_pvalue(F.col("stat"), F.col("n"), F.col("m"), method))
     wide = []
     for metric in METRICS:

@@ -36,6 +36,14 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The frame written to the shared folder and read back: cuts its lineage for reuse."""
+    spark = df.sparkSession
+    path = fresh_dir(spark, label)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
