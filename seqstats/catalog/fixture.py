@@ -8,10 +8,26 @@ from pyspark.sql import functions as F
 from seqstats.operators import counts, probabilities
 from seqstats.operators.filters import filter_has_country, filter_min_games
 from seqstats.operators.matching import match_prefixes
-from seqstats.session import written
+from seqstats.session import spread, written
 from seqstats.sources.records import ordered_sequence
 
 
+# Columns of the given tables, so that no scan has to look them up first.
+SCHEMAS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+    "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+    "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, "
+    "l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+}
+
+
 class Inputs:
     """Inputs and intermediate tables of the pipeline over one data folder, lazy unless noted."""
 
@@ -20,12 +36,13 @@ class Inputs:
         self._players: DataFrame | None = None
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
 
     def games(self) -> DataFrame:
         """Order lines as games of a customer against another one, the part as the moves."""
         customers = self.table("customer").agg(F.count("*"))
-        lines = self.table("lineitem").join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        columns = ["l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"]
+        lines = spread(self.table("lineitem").select(*columns)).join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         lines = lines.join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
         base = F.when(F.col("l_linestatus") == "O", F.concat("p_type", F.lit(": "), "p_name")).otherwise(
             F.concat("p_brand", F.lit(": "), "p_type")

@@ -33,16 +33,26 @@ def move_tokens(text: Column, n: int | None = 10) -> Column:
     Comments, variations at any depth, annotations, move numbers, results and check or
     quality marks are left out. Also accepts bare move text such as an opening's.
     """
-    body = F.regexp_replace(text, TAG_LINE, "")
-    body = F.regexp_replace(body, r"\{[^}]*\}?|;[^\n]*", " ")
-    body = F.substring_index(F.regexp_replace(body, r"^\s+", ""), "\n\n", 1)
-    body = F.regexp_replace(body, r"\$\d+", " ")
-    body = F.regexp_replace(body, r"([()])", " $1 ")
-    body = F.regexp_replace(body, r"(?<!\S)\d+\.+", " ")
-    words = F.transform(F.split(body, r"\s+"), lambda w: F.regexp_replace(w, r"[+#!?]+$", ""))
-    words = F.filter(words, lambda w: (w != "") & ~w.isin(RESULTS))
-    moves = F.when(F.contains(body, F.lit("(")), _main_line(words)).otherwise(words)
-    return moves if n is None else F.slice(moves, 1, n)
+
+    def cleaned(body: Column) -> Column:
+        marked = F.contains(body, F.lit("{")) | F.contains(body, F.lit(";"))
+        return F.when(marked, F.regexp_replace(body, r"\{[^}]*\}?|;[^\n]*", " ")).otherwise(body)
+
+    def numbered(body: Column) -> Column:
+        body = F.substring_index(F.ltrim(body, F.lit(" \n\t")), "\n\n", 1)
+        body = F.when(F.contains(body, F.lit("$")), F.regexp_replace(body, r"\$\d+", " ")).otherwise(body)
+        body = F.when(F.contains(body, F.lit("(")), F.regexp_replace(body, r"([()])", " $1 ")).otherwise(body)
+        return F.regexp_replace(body, r"(?<!\S)\d+\.+", " ")
+
+    def words(body: Column) -> Column:
+        parts = F.transform(F.split(F.translate(body, "\n\t", "  "), " "), lambda w: F.rtrim(w, F.lit("+#!?")))
+        return F.filter(parts, lambda w: (w != "") & ~w.isin(RESULTS))
+
+    def first(found: Column) -> Column:
+        moves = F.when(F.array_contains(found, "("), _main_line(found)).otherwise(found)
+        return moves if n is None else F.slice(moves, 1, n)
+
+    return _let(_let(_let(_let(_movetext(text), cleaned), numbered), words), first)
 
 
 def _main_line(words: Column) -> Column:
@@ -62,6 +72,22 @@ def _main_line(words: Column) -> Column:
     return F.aggregate(words, start, step, lambda state: state["kept"])
 
 
+def _movetext(record: Column) -> Column:
+    """A record without its tag lines."""
+    blank = F.instr(record, "\n\n")
+    tagged = F.startswith(record, F.lit("["))
+    return (
+        F.when(tagged & (blank > 0), F.substr(record, blank + 2))
+        .when(tagged, F.regexp_replace(record, TAG_LINE, ""))
+        .otherwise(record)
+    )
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def sequence_key(tokens: Column) -> Column:
     return F.array_join(tokens, " ")
 

@@ -18,16 +18,10 @@ def read_game_records(spark: SparkSession, path: str) -> DataFrame:
     file's first marker is no record and is left out.
     """
     chunks = spark.read.option("lineSep", "\n" + MARKER).text(path)
-    text = F.regexp_replace("value", r"\r\n?", "\n")
-    return (
-        chunks.select(text.alias("value"))
-        .select(
-            F.when(F.startswith("value", F.lit(MARKER)), F.col("value"))
-            .when(F.startswith("value", F.lit('"')), F.concat(F.lit(MARKER), "value"))
-            .alias("record")
-        )
-        .where(F.col("record").isNotNull())
-    )
+    whole, cut = F.startswith("value", F.lit(MARKER)), F.startswith("value", F.lit('"'))
+    restored = F.when(whole, F.col("value")).otherwise(F.concat(F.lit(MARKER), "value"))
+    unified = F.when(F.contains("value", F.lit("\r")), F.regexp_replace(restored, r"\r\n?", "\n")).otherwise(restored)
+    return chunks.where(whole | cut).select(unified.alias("record"))
 
 
 def header_columns(records: DataFrame, record: str = "record") -> DataFrame:
