@@ -66,7 +66,7 @@ def _statistic(df: DataFrame, keys: list[str], above: Column, below: Column, n:
         *keys,
         "n",
         "m",
-        F.when(tested, larger / (F.col("n") * F.col("m"))).alias("stat"),
+        F.when(tested, larger / (F.col("n").cast("double") * F.col("m"))).alias("stat"),
         F.when(tested, F.when(F.col("_below") > F.col("_above"), -1).otherwise(1)).alias("sign"),
     )
 
@@ -137,6 +137,7 @@ def ks_pvalue(d: Column, n: Column, m: Column, method: str = "auto") -> Column:
     ``asymp`` is the limit for large samples.
     """
     check_choice("method", method, ("auto", "exact", "finite", "asymp"))
+    n, m = n.cast("double"), m.cast("double")
     pooled = n * m / (n + m)
     if method == "asymp":
         return _limit_tail(d * F.sqrt(pooled))
