@@ -32,7 +32,7 @@ def main() -> None:
     if args.job == "games":
         jobs.run_games(spark, args.root, args.name, args.pgn, read_openings(spark, openings))
     elif args.job == "players":
-        jobs.run_player_openings(spark, args.root, args.name)
+        jobs.run_player_openings(spark, args.root, args.name, read_openings(spark, openings))
     elif args.job == "merge":
         jobs.run_merge_months(spark, args.root, args.start, args.end)
     elif args.job == "probabilities":

@@ -16,8 +16,8 @@ MOMENTS = [f"{k}_{m}" for m in METRICS for k in ("mean", "std")]
 
 
 def r6(expression: str, name: str | None = None) -> str:
-    """Six places, without a negative zero."""
-    value = f"round(CAST({expression} AS DOUBLE), 6)"
+    """Six places, halves of the last one up, without a negative zero."""
+    value = f"round(CAST({expression} AS DOUBLE) + 1e-9, 6)"
     return f"CASE WHEN {value} = 0 THEN 0::DOUBLE ELSE {value} END AS {name or expression}"
 
 
@@ -367,6 +367,7 @@ SQL = {
         LEFT JOIN (SELECT * FROM moments WHERE mean_p_w > 0.01) m ON c.matched_id = m.matched_id""",
     # aggregates
     "player_openings": "SELECT * FROM counts",
+    "player_openings_along_paths": "SELECT * FROM counts",
     "merge_counts": "SELECT * FROM counts",
     "player_totals": "SELECT * FROM totals",
     "country_player_counts": "SELECT * FROM player_counts",

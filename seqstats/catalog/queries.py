@@ -24,7 +24,7 @@ from seqstats.operators import (
 )
 from seqstats.operators.shaping import METRICS, SUFFIXES
 from seqstats.plans import jobs
-from seqstats.session import fresh_dir
+from seqstats.session import fresh_dir, written
 from seqstats.sources import features, openings, records, stages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -502,6 +502,12 @@ def player_openings(i: Inputs) -> DataFrame:
     return i.counts()
 
 
+@query
+def player_openings_along_paths(i: Inputs) -> DataFrame:
+    deepest = matching.deepest_match(i.games(), i.openings()).withColumn("real_game", F.lit(1))
+    return jobs.counts_along_paths(deepest, i.openings())
+
+
 @query
 def merge_counts(i: Inputs) -> DataFrame:
     monthly = i.monthly()
@@ -823,7 +829,8 @@ def write_features(i: Inputs) -> DataFrame:
 
 @query
 def feature_enrichment(i: Inputs) -> DataFrame:
-    enriched = geo.feature_enrichment(i.standardized(), i.player_counts(), i.iso(), plain_features(i))
+    country = written(i.standardized(), "countries")
+    enriched = geo.feature_enrichment(country, i.player_counts(), i.iso(), plain_features(i))
     return feature_values(enriched).where("key <> 'ADMIN' AND key <> 'ISO_A3'").withColumn("value", F.col("value").cast("double"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqstats.functions.moves import token_count
+from seqstats.operators.counts import COUNTS
 from seqstats.operators.matching import chain_by_shuffle
 from seqstats.session import broadcast_if_small
 
@@ -50,6 +51,20 @@ def _played_paths(counts: DataFrame, closure: DataFrame) -> DataFrame:
     return above.join(played, ["id", "ancestor_id"], "left").withColumn("_top", top)
 
 
+def count_along_paths(counts: DataFrame, closure: DataFrame) -> DataFrame:
+    """Counts of deepest matches as counts of all matches.
+
+    The same rows as counting every match of every game, but games are added up per
+    deepest opening first and only those sums are spread to the openings above.
+    """
+    up = closure.select(F.col("id").alias("matched_id"), "ancestor_id", "depth")
+    own = [F.sum(c).alias(c) for c in SIX_COUNTS]
+    real = [F.sum(F.when(F.col("depth") == 0, F.col(c)).otherwise(0)).alias(c) for c in ("real_game_w", "real_game_b")]
+    keys = [c for c in counts.columns if c not in (*COUNTS, "matched_id")]
+    above = counts.join(broadcast_if_small(up), "matched_id")
+    return above.groupBy(*keys, F.col("ancestor_id").alias("matched_id")).agg(*own, *real)
+
+
 def base_nodes(counts: DataFrame, closure: DataFrame) -> DataFrame:
     """Per player the played openings without a played opening above them."""
     played = counts.select("id", "matched_id").distinct()

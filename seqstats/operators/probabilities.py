@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqstats.operators.counts import join_totals
@@ -64,12 +64,21 @@ def standardize(country: DataFrame, moments: DataFrame, eps: float = EPS) -> Dat
     return join_moments(country, moments).select("country", "matched_id", *METRICS, *scores)
 
 
-def unstandardize(df: DataFrame, side: str) -> DataFrame:
-    """Add the probabilities behind ``dev_played`` and ``dev_won`` for one side."""
-    check_choice("side", side, ("w", "b"))
+def unstandardize(df: DataFrame, side: str | None = None) -> DataFrame:
+    """Add the probabilities behind ``dev_played`` and ``dev_won``.
+
+    The moments are those of ``side``, or of each row's ``color`` if no side is given.
+    """
+    if side is not None:
+        check_choice("side", side, ("w", "b"))
+    chosen = F.col("color") if side is None else F.lit(side)
+
+    def moment(name: str) -> Column:
+        return F.when(chosen == "w", F.col(f"{name}_w")).otherwise(F.col(f"{name}_b"))
+
     return df.withColumns(
         {
-            "prob_played": F.col("dev_played") * F.col(f"std_p_{side}") + F.col(f"mean_p_{side}"),
-            "prob_won": F.col("dev_won") * F.col(f"std_p_won_{side}") + F.col(f"mean_p_won_{side}"),
+            "prob_played": F.col("dev_played") * moment("std_p") + moment("mean_p"),
+            "prob_won": F.col("dev_won") * moment("std_p_won") + moment("mean_p_won"),
         }
     )

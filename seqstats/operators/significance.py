@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqstats.functions.moves import last_mover
-from seqstats.operators.filters import check_choice, filter_iso2, filter_outliers, filter_side, filter_significant
+from seqstats.operators.filters import filter_iso2, filter_outliers, filter_side, filter_significant
 from seqstats.operators.probabilities import unstandardize
-from seqstats.operators.shaping import sort_by_deviation, union_sides
+from seqstats.operators.shaping import sort_by_deviation
 from seqstats.session import broadcast_if_small
 
 COLUMNS = [
@@ -45,33 +45,42 @@ def deviations(
     return join_opening_names(filter_iso2(joined), openings)
 
 
+def by_color(column: str, end: str = "") -> Column:
+    """A column's value for the color that made the opening's last move."""
+    return F.when(F.col("color") == "w", F.col(f"{column}_w{end}")).otherwise(F.col(f"{column}_b{end}"))
+
+
+def colored_deviations(
+    ks: DataFrame, country: DataFrame, counts: DataFrame, moments: DataFrame, openings: DataFrame
+) -> DataFrame:
+    """Test results, scores and probabilities of every opening in its own color."""
+    rows = deviations(ks, country, counts, moments, openings).withColumns(
+        {
+            "p_val_played": by_color("p", "_p_value"),
+            "dev_played": by_color("stand_p"),
+            "p_val_won": by_color("p_won", "_p_value"),
+            "dev_won": by_color("stand_p_won"),
+        }
+    )
+    return unstandardize(rows).select(*COLUMNS)
+
+
 def significant_deviations(
     ks: DataFrame, country: DataFrame, counts: DataFrame, moments: DataFrame, openings: DataFrame,
     mode: str = "played", color: str = "w", alpha: float = 0.01, min_dev: float = 0.5, min_players: int = 2000,
 ) -> DataFrame:
     """Deviations of one color's openings that pass the tests in ``mode``."""
-    check_choice("color", color, ("w", "b"))
-    side = filter_side(deviations(ks, country, counts, moments, openings), color).withColumns(
-        {
-            "p_val_played": F.col(f"p_{color}_p_value"),
-            "dev_played": F.col(f"stand_p_{color}"),
-            "p_val_won": F.col(f"p_won_{color}_p_value"),
-            "dev_won": F.col(f"stand_p_won_{color}"),
-        }
-    )
-    return unstandardize(filter_significant(side, mode, alpha, min_dev, min_players), color).select(*COLUMNS)
+    rows = filter_side(colored_deviations(ks, country, counts, moments, openings), color)
+    return filter_significant(rows, mode, alpha, min_dev, min_players)
 
 
 def all_significant(
     ks: DataFrame, country: DataFrame, counts: DataFrame, moments: DataFrame, openings: DataFrame,
     mode: str = "played", alpha: float = 0.01, min_dev: float = 0.5, min_players: int = 2000,
 ) -> DataFrame:
-    """Significant deviations of both colors, the largest first."""
-    white, black = (
-        significant_deviations(ks, country, counts, moments, openings, mode, c, alpha, min_dev, min_players)
-        for c in ("w", "b")
-    )
-    return sort_by_deviation(union_sides(white, black), mode)
+    """Significant deviations of both colors, found in one pass, the largest first."""
+    rows = colored_deviations(ks, country, counts, moments, openings)
+    return sort_by_deviation(filter_significant(rows, mode, alpha, min_dev, min_players), mode)
 
 
 def opening_profile(country: DataFrame, moments: DataFrame, openings: DataFrame, opening: str) -> DataFrame:
@@ -83,19 +92,11 @@ def opening_profile(country: DataFrame, moments: DataFrame, openings: DataFrame,
     chosen = openings.where(F.col("id") == opening).select(F.col("id").alias("matched_id"), "name", color)
     points = country.where(F.col("matched_id") == opening).join(moments, "matched_id").join(chosen, "matched_id")
 
-    def by_color(column: str):
-        return F.when(F.col("color") == "w", F.col(f"{column}_w")).otherwise(F.col(f"{column}_b")).alias
-
     points = points.select(
         "country",
         "name",
         "color",
-        by_color("p")("p"),
-        by_color("p_won")("p_won"),
-        by_color("mean_p")("mean_p"),
-        by_color("std_p")("std_p"),
-        by_color("mean_p_won")("mean_p_won"),
-        by_color("std_p_won")("std_p_won"),
+        *[by_color(c).alias(c) for c in ("p", "p_won", "mean_p", "std_p", "mean_p_won", "std_p_won")],
     )
     far = filter_outliers(points).select("country").withColumn("outlier", F.lit(True))
     return points.join(far, "country", "left").fillna(False, ["outlier"])

@@ -10,6 +10,7 @@ from seqstats.operators import geo
 from seqstats.operators.counts import player_openings, sum_counts
 from seqstats.operators.distributions import distributions
 from seqstats.operators.filters import filter_has_country, filter_min_games
+from seqstats.operators.hierarchy import count_along_paths, prefix_closure
 from seqstats.operators.ks import ks_test
 from seqstats.operators.matching import match_prefixes
 from seqstats.operators.probabilities import (
@@ -59,8 +60,23 @@ def run_games(spark: SparkSession, root: str, name: str, pgn: str, openings: Dat
     write_stage(games_from_records(read_game_records(spark, pgn), openings), root, "games", name)
 
 
-def run_player_openings(spark: SparkSession, root: str, name: str) -> None:
-    write_stage(player_openings(read_stage(spark, root, "games", name)), root, "players", name)
+def run_player_openings(spark: SparkSession, root: str, name: str, openings: DataFrame | None = None) -> None:
+    """Count the matches of a games stage.
+
+    With the dictionary given, only deepest matches are read and shuffled, and their sums
+    are spread to the openings above; the result is the same.
+    """
+    games = read_stage(spark, root, "games", name)
+    if openings is None:
+        counted = player_openings(games)
+    else:
+        counted = counts_along_paths(games.where("real_game = 1"), openings)
+    write_stage(counted, root, "players", name)
+
+
+def counts_along_paths(deepest: DataFrame, openings: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Player counts of all matches from the rows of the deepest ones."""
+    return count_along_paths(player_openings(deepest, keys), prefix_closure(openings))
 
 
 def run_merge_months(spark: SparkSession, root: str, start: str, end: str | None = None) -> None:

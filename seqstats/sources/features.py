@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqstats.session import written
+
 # A feature keeps its properties by name, each of its own type.
 FEATURE = "type STRING, properties MAP<STRING, VARIANT>, geometry VARIANT"
 MOMENTS = [f"{m}_{p}" for p in ("p_w", "p_b", "p_won_w", "p_won_b") for m in ("mean", "std")]
@@ -13,8 +15,8 @@ METADATA = (
     "name: STRING, pgn: STRING, " + ", ".join(f"{m}: DOUBLE" for m in MOMENTS) + ">>"
 )
 
-# One document is one row; beyond this many parts the line form is the one to use.
-DOCUMENT_PARTS = 50_000
+# A document is put together in one row; beyond this size the line form is the one to use.
+DOCUMENT_BYTES = 512 * 1024 * 1024
 
 
 def read_features(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
@@ -27,13 +29,15 @@ def read_features(spark: SparkSession, path: str, lines: bool = False) -> DataFr
 
 def write_features(df: DataFrame, path: str, document: bool = False) -> None:
     """One feature per line, or all of them in one FeatureCollection document."""
+    line = df.select(F.to_json(F.struct("type", "properties", "geometry")).alias("value"))
     if not document:
-        df.select(F.to_json(F.struct("type", "properties", "geometry"))).write.mode("overwrite").text(path)
+        line.write.mode("overwrite").text(path)
         return
-    _check_parts(df, "features")
-    collection = df.agg(F.collect_list(F.struct("type", "properties", "geometry")).alias("features"))
-    text = F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features"))
-    collection.select(text).write.mode("overwrite").text(path)
+    line = written(line, "features")
+    _check_size(line.agg(F.sum(F.octet_length("value"))), "features")
+    together = F.array_join(F.collect_list("value"), ",")
+    opening, closing = F.lit('{"type":"FeatureCollection","features":['), F.lit("]}")
+    line.agg(F.concat(opening, together, closing)).write.mode("overwrite").text(path)
 
 
 def property_text(df: DataFrame, name: str) -> Column:
@@ -49,7 +53,9 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 def write_metadata(openings: DataFrame, num_countries: DataFrame, positions: tuple[int, int], path: str) -> None:
     """Metadata document: scale steps, number of countries and the openings by id."""
-    _check_parts(openings, "openings")
+    openings = written(openings, "metadata")
+    width = F.octet_length(F.to_json(F.struct("*")))
+    _check_size(openings.agg(F.sum(width)), "openings")
     entry = F.struct("name", "pgn", *MOMENTS)
     parts = openings.agg(F.map_from_entries(F.collect_list(F.struct("matched_id", entry))).alias("openings"))
     document = parts.select(
@@ -61,6 +67,6 @@ def write_metadata(openings: DataFrame, num_countries: DataFrame, positions: tup
     document.select(F.to_json(F.struct("*"))).write.mode("overwrite").text(path)
 
 
-def _check_parts(df: DataFrame, what: str) -> None:
-    if df.limit(DOCUMENT_PARTS + 1).count() > DOCUMENT_PARTS:
-        raise ValueError(f"more than {DOCUMENT_PARTS} {what} for one document; write one per line instead")
+def _check_size(size: DataFrame, what: str) -> None:
+    if (size.first()[0] or 0) > DOCUMENT_BYTES:
+        raise ValueError(f"the {what} are too large for one document; write one per line instead")
