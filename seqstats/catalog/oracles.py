@@ -156,7 +156,7 @@ TABLES = {
     "tested_values": """
         SELECT *, stat * sqrt(n * m / (n + m)) AS z FROM tests""",
     "limits": """
-        SELECT * EXCLUDE (z), CASE WHEN z < 0.2 THEN 1::DOUBLE ELSE least(greatest(
+        SELECT * EXCLUDE (z), CASE WHEN z IS NULL THEN NULL WHEN z < 0.2 THEN 1::DOUBLE ELSE least(greatest(
             list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 2 ELSE -2 END)
                                                              * exp(-2.0::DOUBLE * k * k * z * z))), 0), 1) END AS p_value
         FROM tested_values""",

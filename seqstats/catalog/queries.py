@@ -630,8 +630,8 @@ def ks_pvalue(i: Inputs) -> DataFrame:
 @query
 def ks_pvalue_auto(i: Inputs) -> DataFrame:
     """Exact p-values for small samples, the finite-sample expansion beside them."""
-    columns = {m: ks.ks_pvalue(F.col("stat"), F.col("n"), F.col("m"), m) for m in ("auto", "finite")}
-    return subset_tests(i).withColumns({f"p_{m}": c for m, c in columns.items()})
+    finite = ks.ks_pvalue(F.col("stat"), F.col("n"), F.col("m"), "finite")
+    return ks.with_pvalue(subset_tests(i), "auto").withColumn("p_finite", finite)
 
 
 def significant_tables(i: Inputs) -> tuple[DataFrame, ...]:

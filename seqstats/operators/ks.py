@@ -7,8 +7,11 @@ therefore do not depend on rounding or on the order of summation.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -17,6 +20,9 @@ from seqstats.operators.distributions import metric_values
 from seqstats.operators.filters import check_choice
 from seqstats.operators.shaping import METRICS
 
+# Tasks get the p-value function itself, so executors need no copy of this package.
+register_pickle_by_value(sys.modules[__name__])
+
 # A running sum is taken within value ranges of one group and the ranges' totals are added.
 RANGES = 64
 # Fixed value: samples up to this size get the exact p-value.
@@ -133,21 +139,22 @@ def ks_subset(df: DataFrame, keys: list[str], group: str, value: str = "value")
 def ks_pvalue(d: Column, n: Column, m: Column, method: str = "auto") -> Column:
     """Two-sided p-value of statistic ``d`` for samples of ``n`` and ``m`` values.
 
-    ``auto`` is ``exact`` for samples up to the exact limit and ``finite`` beyond it;
+    ``auto`` is ``exact`` for samples up to the exact limit (if it has a value) and
+    ``finite`` beyond it;
     ``asymp`` is the limit for large samples.
     """
     check_choice("method", method, ("auto", "exact", "finite", "asymp"))
     n, m = n.cast("double"), m.cast("double")
     pooled = n * m / (n + m)
     if method == "asymp":
-        return _limit_tail(d * F.sqrt(pooled))
+        return F.when(d.isNotNull(), _limit_tail(d * F.sqrt(pooled)))
     if method == "exact":
         return _exact_tail(d, n, m)
-    finite = _finite_tail(d, F.rint(pooled))
+    finite = F.when(d.isNotNull(), _finite_tail(d, F.rint(pooled)))
     if method == "finite":
         return finite
     small = F.greatest(n, m) <= EXACT_LIMIT
-    return F.when(small, _exact_tail(F.when(small, d), n, m)).otherwise(finite)
+    return F.coalesce(_exact_tail(F.when(small, d), n, m), finite)
 
 
 def _series(first: int, last: int, term) -> Column:
@@ -206,44 +213,57 @@ def _finite_tail(d: Column, size: Column) -> Column:
 
 @F.pandas_udf(DoubleType())
 def _exact_tail(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-    tails = pd.Series(np.nan, index=d.index, dtype="float64")
-    given = pd.DataFrame({"d": d, "n": n, "m": m}).dropna()
-    given = given[(given["n"] > 0) & (given["m"] > 0)]
-    # Rows of similar size go together, as many as keep the work area small.
-    given = given.assign(size=given["n"] + given["m"]).sort_values("size")
-    done = 0
-    while done < len(given):
-        width = int(given[["n", "m"]].min(axis=1).iloc[done:].head(512).max()) + 1
-        rows = given.iloc[done : done + max(1, min(512, 1_000_000 // width))]
-        tails.loc[rows.index] = lattice_tails(*(rows[c].to_numpy() for c in ("d", "n", "m")))
-        done += len(rows)
-    return tails.astype(object).where(tails.notna(), None)
-
-
-def lattice_tails(d: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    tests = pd.DataFrame({"d": d, "n": n, "m": m}).dropna()
+    tests = tests[(tests["n"] > 0) & (tests["m"] > 0)]
+    longest = int((tests["n"] + tests["m"]).max()) if len(tests) else 0
+    log_factorial = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, longest + 1)))])
+    tails = pd.Series([None] * len(d), index=d.index, dtype=object)
+    for place, *test in tests.itertuples():
+        tails[place] = lattice_tail(*test, log_factorial)
+    return tails
+
+
+def lattice_tail(d: float, n: float, m: float, log_factorial: np.ndarray) -> float | None:
     """Share of the orderings of ``n`` and ``m`` values whose statistic is at least ``d``.
 
-    An ordering is a lattice path from (0, 0) to (n, m). ``hit`` holds, for the points of one
-    diagonal, the share of paths to a point that already reached the distance ``d``: it is
-    1 where the point itself is that far out and elsewhere the mean over the point's two
-    predecessors, weighted by how many paths come through each. One row per test.
+    An ordering is a lattice path from (0, 0) to (n, m), and its statistic reaches ``d`` if
+    it touches a point that is far enough off the diagonal. ``hit`` counts, for one ``i``
+    and the points (i, low..high) between those limits, the paths that already did: the
+    ones coming from the left and from below, where a neighbour beyond the limits passes
+    on all its paths. Counts are relative to the number of paths to (i, high).
+    None where the counts of one row span more than a double can.
+    """
+    n, m = int(min(n, m)), int(max(n, m))
+    reach = round(d * n * m)
+    if reach <= 0:
+        return 1.0
+
+    def log_paths(i, j):
+        return log_factorial[i + j] - log_factorial[i] - log_factorial[j]
+
+    high = min(m, -(-reach // n) - 1)
+    low, scale, hit = 0, 0.0, np.zeros(high + 1)
+    for i in range(1, n + 1):
+        last_low, last_high, last_scale = low, high, scale
+        low, high = max(0, (i * m - reach) // n + 1), min(m, -(-(i * m + reach) // n) - 1)
+        scale = log_paths(i, high)
+        if scale - log_paths(i, low) > 600:
+            return None
+        from_below = hit[low - last_low :] * np.exp(last_scale - scale)
+        beyond = np.exp(log_paths(i - 1, np.arange(max(low, last_high + 1), high + 1)) - scale)
+        from_left = np.exp(log_paths(i, low - 1) - scale) if low else 0.0
+        hit = from_left + np.cumsum(np.concatenate([from_below, beyond]))
+    return float(min(hit[-1], 1.0))
+
+
+def with_pvalue(tested: DataFrame, method: str = "auto") -> DataFrame:
+    """Tests with their ``p_value``.
+
+    Exact p-values are little data and much work, so the tests are dealt over all cores.
     """
-    few, many = (f(n, m).astype(np.int64)[:, None] for f in (np.minimum, np.maximum))
-    reach = np.rint(np.asarray(d, dtype=float)[:, None] * few * many)
-    i = np.arange(few.max() + 1)[None, :]
-    ahead = i * (few + many)
-    hit = np.zeros(ahead.shape)
-    hit[:, :1] = reach <= 0
-    last = (few + many)[:, 0]
-    tails = np.empty(len(last))
-    for step in range(1, last.max() + 1):
-        moved = hit * ((step - i) / step)
-        moved[:, 1:] += hit[:, :-1] * (i[:, 1:] / step)
-        moved[np.abs(ahead - step * few) >= reach] = 1.0
-        hit = moved
-        ended = np.nonzero(last == step)[0]
-        tails[ended] = hit[ended, few[ended, 0]]
-    return np.minimum(tails, 1.0)
+    if method in ("auto", "exact"):
+        tested = tested.repartition(2 * tested.sparkSession.sparkContext.defaultParallelism)
+    return tested.withColumn("p_value", ks_pvalue(F.col("stat"), F.col("n"), F.col("m"), method))
 
 
 def ks_test(df: DataFrame, method: str = "auto") -> DataFrame:
@@ -252,7 +272,7 @@ def ks_test(df: DataFrame, method: str = "auto") -> DataFrame:
     One row per opening and country with ``{metric}_stat``, ``_p_value`` and ``_sign``.
     """
     tested = ks_subset(metric_values(df, ["matched_id", "country"]), ["matched_id", "metric"], "country")
-    tested = tested.withColumn("p_value", ks_pvalue(F.col("stat"), F.col("n"), F.col("m"), method))
+    tested = with_pvalue(tested, method)
     wide = []
     for metric in METRICS:
         for part in ("stat", "p_value", "sign"):

@@ -11,7 +11,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from seqstats.operators.distributions import distributions
-from seqstats.operators.ks import ks_pvalue, ks_subset, ks_test, ks_two_sample, lattice_tails
+from seqstats.operators.ks import ks_pvalue, ks_subset, ks_test, ks_two_sample
 
 
 def brute(a, b):
@@ -85,6 +85,27 @@ def test_exact_pvalue_counts_orderings(spark):
     assert found[-1] is None
 
 
+def diagonal_tail(n, m, reach):
+    """The same share by recursion over the diagonals, each point a mean of its predecessors."""
+    i = np.arange(n + 1)
+    hit = np.zeros(n + 1)
+    for step in range(1, n + m + 1):
+        moved = hit * (step - i) / step
+        moved[1:] += hit[:-1] * i[1:] / step
+        moved[np.abs(i * m - (step - i) * n) >= reach] = 1.0
+        hit = moved
+    return hit[n]
+
+
+def test_exact_pvalue_of_larger_samples(spark):
+    rng = random.Random(1)
+    cases = [(n, m, rng.uniform(0.3, 2.5) * math.sqrt((n + m) / (n * m))) for n, m in ((40, 1500), (300, 300), (77, 901)) for _ in range(9)]
+    df = spark.createDataFrame([(d, n, m) for n, m, d in cases], "d DOUBLE, n BIGINT, m BIGINT")
+    found = [r[0] for r in df.select(ks_pvalue(F.col("d"), F.col("n"), F.col("m"), "exact")).collect()]
+    for (n, m, d), p in zip(cases, found):
+        assert p == pytest.approx(diagonal_tail(n, m, round(d * n * m)), rel=1e-8)
+
+
 def matrix_tail(size, d):
     """Exact one-sample tail by the matrix power of Marsaglia, Tsang and Wang."""
     k = int(size * d) + 1
@@ -124,6 +145,12 @@ def test_large_sample_limit(spark):
     assert [r[0] for r in df.select(tail).collect()] == pytest.approx([0.05, 0.01, 1.0, 0.0], abs=1e-5)
 
 
+@pytest.mark.parametrize("method", ["auto", "exact", "finite", "asymp"])
+def test_no_statistic_no_pvalue(spark, method):
+    df = spark.createDataFrame([(None, 0, 7), (None, None, 7)], "d DOUBLE, n BIGINT, m BIGINT")
+    assert [r[0] for r in df.select(ks_pvalue(F.col("d"), F.col("n"), F.col("m"), method)).collect()] == [None, None]
+
+
 def test_unknown_method():
     with pytest.raises(ValueError):
         ks_pvalue(None, None, None, "best")
