@@ -15,8 +15,16 @@ COUNTS = ["count_w", "won_w", "lost_w", "count_b", "won_b", "lost_b", "real_game
 def player_openings(games: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Games, wins, losses and deepest matches per player and opening, for each color.
 
+    Names are grouped as written and only then lower-cased.
+    """
+    return lower_names(count_names(games, keys))
+
+
+def count_names(games: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The eight counts per ``username`` and opening.
+
     Each game row counts once for either player; one aggregate with map-side partial sums
-    does all eight counts. Names are grouped as written and only then lower-cased.
+    does them all.
     """
     sides = F.array(
         F.struct(F.col("white").alias("username"), F.lit(True).alias("w")),
@@ -27,7 +35,7 @@ def player_openings(games: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     )
     white, black = F.col("w"), ~F.col("w")
     first, second = F.col("result") == "1-0", F.col("result") == "0-1"
-    counted = rows.groupBy(*keys, "username", "matched_id").agg(
+    return rows.groupBy(*keys, "username", "matched_id").agg(
         F.count_if(white).alias("count_w"),
         F.count_if(white & first).alias("won_w"),
         F.count_if(white & second).alias("lost_w"),
@@ -37,7 +45,11 @@ def player_openings(games: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
         F.sum(F.when(white, F.col("real_game")).otherwise(0)).alias("real_game_w"),
         F.sum(F.when(black, F.col("real_game")).otherwise(0)).alias("real_game_b"),
     )
-    return counted.select(*keys, F.lower("username").alias("id"), "matched_id", *COUNTS)
+
+
+def lower_names(counts: DataFrame) -> DataFrame:
+    keys = [c for c in counts.columns if c not in (*COUNTS, "username", "matched_id")]
+    return counts.select(*keys, F.lower("username").alias("id"), "matched_id", *COUNTS)
 
 
 def merge_counts(dfs: list[DataFrame]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqstats.functions.numbers import bin_counts
 from seqstats.operators import geo
-from seqstats.operators.counts import player_openings, sum_counts
+from seqstats.operators.counts import count_names, lower_names, player_openings, sum_counts
 from seqstats.operators.distributions import distributions
 from seqstats.operators.filters import filter_has_country, filter_min_games
 from seqstats.operators.hierarchy import count_along_paths, prefix_closure
@@ -76,7 +76,7 @@ def run_player_openings(spark: SparkSession, root: str, name: str, openings: Dat
 
 def counts_along_paths(deepest: DataFrame, openings: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Player counts of all matches from the rows of the deepest ones."""
-    return count_along_paths(player_openings(deepest, keys), prefix_closure(openings))
+    return lower_names(count_along_paths(count_names(deepest, keys), prefix_closure(openings)))
 
 
 def run_merge_months(spark: SparkSession, root: str, start: str, end: str | None = None) -> None:

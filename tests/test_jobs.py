@@ -6,6 +6,7 @@ import random
 from conftest import rows
 from pyspark.sql import functions as F
 
+from seqstats.operators.counts import player_openings
 from seqstats.plans import jobs
 from seqstats.sources.openings import read_openings
 from seqstats.sources.stages import read_stage, stage_path, write_stage
@@ -19,7 +20,7 @@ def games_text(rng, n):
         white, black = rng.sample(range(24), 2)
         result = rng.choice(["1-0", "0-1", "1/2-1/2"])
         yield (
-            f'[Event "Rated"]\n[White "P{white}"]\n[Black "P{black}"]\n[Result "{result}"]\n\n{rng.choice(starts)} {result}\n'
+            f'[Event "Rated"]\n[White "{rng.choice("Pp")}{white}"]\n[Black "P{black}"]\n[Result "{result}"]\n\n{rng.choice(starts)} {result}\n'
         )
 
 
@@ -35,7 +36,10 @@ def test_pipeline(spark, tmp_path):
     for month in ("2022-01", "2022-02"):
         (tmp_path / f"{month}.pgn").write_text("\n".join(games_text(rng, 600)))
         jobs.run_games(spark, root, month, str(tmp_path / f"{month}.pgn"), openings)
-        jobs.run_player_openings(spark, root, month)
+        jobs.run_player_openings(spark, root, month, openings)
+        by_path = read_stage(spark, root, "players", month)
+        plain = player_openings(read_stage(spark, root, "games", month))
+        assert rows(by_path.select(*plain.columns)) == rows(plain)
     jobs.run_merge_months(spark, root, "2022-01", "2022-02")
     name = "2022-01_2022-02"
     merged = read_stage(spark, root, "players", name)
