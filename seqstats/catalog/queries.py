@@ -360,7 +360,9 @@ def prefix_closure(i: Inputs) -> DataFrame:
 
 
 def deepest_counts(i: Inputs) -> DataFrame:
-    return counts.player_openings(matching.deepest_match(i.games(), i.openings()).withColumn("real_game", F.lit(1)))
+    """Counts of deepest matches, written since the hierarchy operators read them twice."""
+    deepest = matching.deepest_match(i.games(), i.openings()).withColumn("real_game", F.lit(1))
+    return written(counts.player_openings(deepest), "counts")
 
 
 @query
