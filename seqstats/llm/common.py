@@ -41,19 +41,21 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, column: str, rows: int, parts: int = 1, left_out: int = -1):
+def labelled_sample(
+    documents: DataFrame, labels: DataFrame, column: str, rows: int, parts: int = 1, left_out: int = -1, value: int | None = None
+):
     """Texts and labels of at most ``rows`` labelled documents, the first in the order of a hash of the id.
 
     ``rows`` is the bound that makes the sample fit a broadcast and the driver; it does not depend on the input's size.
     Documents whose crc32(id as text) mod ``parts`` equals ``left_out`` are never taken, neither are null ids, null labels or
-    ids with contradicting labels. Of several documents with one id, all count.
+    ids with contradicting labels. Of several documents with one id, all count. ``value``: only documents of this label.
     """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & (fold != left_out))
         .groupBy("doc_id")
         .agg(F.min(column).alias("_label"), F.max(column).alias("_most"))
-        .where("_label = _most")
+        .where("_label = _most" if value is None else f"_label = _most and _label = {value}")
         .select("doc_id", F.col("_label").cast("int").alias("_label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)

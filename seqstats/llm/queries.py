@@ -7,19 +7,42 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seqstats.llm import bpe
+from seqstats.llm import bpe, decontamination, factorisation, quality_rules, simhash, toxicity
 from seqstats.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
     return bpe.encoded_digests(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return factorisation.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op9_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.report(table(spark, folder, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_byte_bpe,)
+    f.__name__: f
+    for f in (
+        op2_quality_rules, op4_byte_bpe, op7_quality_classifier, op8_decontamination, op9_simhash_near_dedup, op10_toxicity,
+    )
 }
 
 ORACLES: dict[str, str] = {}
