@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seqstats.llm import bpe, decontamination, factorisation, quality_rules, simhash, toxicity
+from seqstats.llm import bpe, decontamination, factorisation, quality_rules, secrets_scan, simhash, toxicity, url_filters
 from seqstats.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -17,11 +17,20 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op3_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filters.report(table(spark, folder, "pages"))
+
+
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
     return bpe.encoded_digests(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op5_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return secrets_scan.findings(documents, secrets_scan.train(documents))
+
+
 def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return factorisation.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -41,8 +50,9 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op2_quality_rules, op4_byte_bpe, op7_quality_classifier, op8_decontamination, op9_simhash_near_dedup, op10_toxicity,
+        op2_quality_rules, op3_url_filters, op4_byte_bpe, op5_secret_scans, op7_quality_classifier, op8_decontamination,
+        op9_simhash_near_dedup, op10_toxicity,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_url_filters": url_filters.SQL}
