@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seqstats.llm import bpe, decontamination, factorisation, quality_rules, secrets_scan, simhash, toxicity, url_filters
+from seqstats.llm import bpe, decontamination, factorisation, lm_scoring, quality_rules, secrets_scan, simhash, toxicity, url_filters
 from seqstats.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -31,6 +31,10 @@ def op5_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     return secrets_scan.findings(documents, secrets_scan.train(documents))
 
 
+def op6_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scoring.report(table(spark, folder, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return factorisation.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -50,8 +54,8 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op2_quality_rules, op3_url_filters, op4_byte_bpe, op5_secret_scans, op7_quality_classifier, op8_decontamination,
-        op9_simhash_near_dedup, op10_toxicity,
+        op2_quality_rules, op3_url_filters, op4_byte_bpe, op5_secret_scans, op6_lm_scoring, op7_quality_classifier,
+        op8_decontamination, op9_simhash_near_dedup, op10_toxicity,
     )
 }
 
