@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seqstats.llm import bpe, decontamination, factorisation, lm_scoring, quality_rules, secrets_scan, simhash, toxicity, url_filters
+from seqstats.llm import bpe, decontamination, factorisation, lm_scoring, quality_rules, secrets_scan, simhash, suffix_dedup, toxicity, url_filters
 from seqstats.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
+def op1_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, folder, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -54,8 +58,8 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op2_quality_rules, op3_url_filters, op4_byte_bpe, op5_secret_scans, op6_lm_scoring, op7_quality_classifier,
-        op8_decontamination, op9_simhash_near_dedup, op10_toxicity,
+        op1_suffix_array_dedup, op2_quality_rules, op3_url_filters, op4_byte_bpe, op5_secret_scans, op6_lm_scoring,
+        op7_quality_classifier, op8_decontamination, op9_simhash_near_dedup, op10_toxicity,
     )
 }
 
