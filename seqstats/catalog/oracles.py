@@ -165,13 +165,46 @@ TABLES = {
             "max(stat) FILTER (metric = '@') AS @_stat, max(p_value) FILTER (metric = '@') AS @_p_value, "
             "max(sign) FILTER (metric = '@') AS @_sign", METRICS)}
         FROM limits GROUP BY matched_id, country""",
-    "ks2": "SELECT * FROM ks WHERE length(country) = 2",
+    # Every country's players and those of the next country by code: shares of games as white.
+    "shares": """
+        SELECT DISTINCT id, country, total_count_w / (total_count_w + total_count_b) AS v FROM located""",
+    "share_pairs": """
+        SELECT country, lead(country) OVER (ORDER BY country) AS other FROM (SELECT DISTINCT country FROM located)""",
+    "share_tests": """
+        SELECT country, n, m, max(abs(a * m - b * n)) AS reach,
+               CASE WHEN n > 0 AND m > 0 THEN max(abs(a * m - b * n)) / (n * m) END AS stat,
+               CASE WHEN n > 0 AND m > 0 THEN CASE WHEN max(b * n - a * m) > max(a * m - b * n) THEN -1 ELSE 1 END END AS sign
+        FROM (SELECT country, CAST(sum(a) OVER (PARTITION BY country ORDER BY v) AS BIGINT) AS a,
+                     CAST(sum(b) OVER (PARTITION BY country ORDER BY v) AS BIGINT) AS b,
+                     CAST(sum(a) OVER (PARTITION BY country) AS BIGINT) AS n,
+                     CAST(sum(b) OVER (PARTITION BY country) AS BIGINT) AS m
+              FROM (SELECT country, v, sum(a) AS a, sum(b) AS b
+                    FROM (SELECT country, v, 1 AS a, 0 AS b FROM shares
+                          UNION ALL SELECT p.country, v, 0, 1 FROM shares s JOIN share_pairs p ON s.country = p.other)
+                    GROUP BY country, v))
+        GROUP BY country, n, m""",
+    # Lattice paths to (i, d - i) that touched a point out of reach, and all paths, both over 2^d, by diagonals.
+    "lattice": """
+        WITH RECURSIVE walk AS (
+            SELECT n, m, reach, 0 AS d, list_transform(range(0, n + 1), lambda i: 0::DOUBLE) AS hits,
+                   list_transform(range(0, n + 1), lambda i: CASE WHEN i = 0 THEN 1::DOUBLE ELSE 0::DOUBLE END) AS paths
+            FROM (SELECT DISTINCT least(n, m) AS n, greatest(n, m) AS m, reach FROM share_tests WHERE n > 0 AND m > 0)
+            UNION ALL
+            SELECT n, m, reach, d + 1,
+                   list_transform(range(0, n + 1), lambda i:
+                       CASE WHEN abs(i * m - (d + 1 - i) * n) >= reach
+                            THEN (paths[i + 1] + CASE WHEN i > 0 THEN paths[i] ELSE 0 END) / 2
+                            ELSE (hits[i + 1] + CASE WHEN i > 0 THEN hits[i] ELSE 0 END) / 2 END),
+                   list_transform(range(0, n + 1), lambda i: (paths[i + 1] + CASE WHEN i > 0 THEN paths[i] ELSE 0 END) / 2)
+            FROM walk WHERE d < n + m)
+        SELECT n, m, reach, CASE WHEN reach = 0 THEN 1::DOUBLE ELSE hits[n + 1] / paths[n + 1] END AS p
+        FROM walk WHERE d = n + m""",
     "deviations": f"""
         SELECT coalesce(j.country, n.country) AS country, j.matched_id, num_players, o.name, o.pgn, {mover("o.pgn")} AS color,
                {each("@_p_value, stand_@", METRICS)}, {each("@", MOMENTS)}
         FROM (SELECT coalesce(k.country, c.country) AS country, coalesce(k.matched_id, c.matched_id) AS matched_id,
                      {each("@_p_value, stand_@", METRICS)}
-              FROM ks2 k FULL JOIN standardized c ON k.country = c.country AND k.matched_id = c.matched_id) j
+              FROM ks k FULL JOIN standardized c ON k.country = c.country AND k.matched_id = c.matched_id) j
         FULL JOIN player_counts n ON j.country = n.country
         LEFT JOIN moments m ON j.matched_id = m.matched_id
         JOIN openings o ON j.matched_id = o.id
@@ -190,6 +223,40 @@ TABLES = {
 }
 
 GAME = "white, black, moves, result"
+PI2 = "(pi() * pi())"
+
+
+def finite_tail(stat: str, pooled: str, source: str, columns: str) -> str:
+    """Tail of the one-sample statistic for a rounded pooled size: the expansion to the order size^(-3/2), and far out the
+    one-sided asymptotic tail doubled. ``g`` is the square of pi*(k - 1/2), ``w`` that of pi*k."""
+
+    def half(term: str) -> str:
+        return f"list_sum(list_transform(range(1, 13), lambda k: 2 * ({term.replace('g', f'((k - 0.5::DOUBLE) ** 2 * {PI2})')}) * exp(-((k - 0.5::DOUBLE) ** 2 * {PI2}) / (2 * z * z))))"
+
+    def whole(term: str) -> str:
+        return f"list_sum(list_transform(range(1, 13), lambda k: 2 * ({term.replace('w', f'(k * k * {PI2})')}) * exp(-(k * k * {PI2}) / (2 * z * z))))"
+
+    root = "sqrt(pi() / 2)"
+    k0 = f"2 * {root} / z * {half('0.5::DOUBLE')}"
+    k1 = f"{root} / (6 * z ** 4) * {half('g - z ** 2')}"
+    k2 = (
+        f"{root} / (72 * z ** 7) * {half('6 * z ** 6 + 2 * z ** 4 + (2 * z ** 4 - 5 * z ** 2) * g + (1 - 2 * z ** 2) * g * g')}"
+        f" - {root} / (36 * z ** 3) * {whole('w')}"
+    )
+    k3 = (
+        f"{root} / (6480 * z ** 10) * {half('(5 - 30 * z ** 2) * g * g * g + (212 * z ** 4 - 60 * z ** 2) * g * g + (135 * z ** 4 - 96 * z ** 6) * g - 30 * z ** 6 - 90 * z ** 8')}"
+        f" + {root} / (108 * z ** 6) * {whole('3 * z ** 2 * w - w * w')}"
+    )
+    return f"""
+        SELECT {columns}, CASE WHEN d IS NULL THEN NULL WHEN z < 0.2 THEN 1::DOUBLE
+            WHEN z * z > 9 THEN least(greatest(2 * exp(-(6 * size * d + 1) ** 2 / (18 * size)), 0), 1)
+            ELSE least(greatest(1 - ({k0} + ({k1}) / sqrt(size) + ({k2}) / size + ({k3}) / (size * sqrt(size))), 0), 1) END AS p
+        FROM (SELECT *, {stat} AS d, CAST({pooled} AS DOUBLE) AS size, {stat} * sqrt({pooled}) AS z FROM {source})"""
+
+
+POOLED = "round_even(n * m / (n + m), 0)"
+TABLES["finite"] = finite_tail("stat", POOLED, "tests", "matched_id, country, metric, n, m, stat, sign")
+TABLES["share_finite"] = finite_tail("stat", POOLED, "share_tests", "country, n, m, reach, stat, sign")
 MOVES_TEXT = """CASE WHEN len(t) > 0 THEN array_to_string(
     list_transform(t, lambda x, i: CASE WHEN i % 2 = 1 THEN CAST((i + 1) // 2 AS VARCHAR) || '. ' || x ELSE x END), ' ') END"""
 ELO = "CAST(CAST(@ AS INTEGER) + 1000 AS VARCHAR)"
@@ -198,6 +265,10 @@ SIGNIFICANT = f"""
            color, num_players, name, pgn
     FROM by_color WHERE p_val_# < 0.05 AND abs(dev_#) > 0.3 AND num_players >= 40"""
 DISTRIBUTION = "SELECT matched_id, # metric, " + r6("v", "value") + " FROM & WHERE v IS NOT NULL"
+COUNTED_VALUES = """
+    SELECT matched_id, # metric, @, players
+    FROM (SELECT matched_id, # metric, v, count(*) AS players FROM & WHERE v IS NOT NULL GROUP BY ALL)""".replace("@", r6("v", "value"))
+P_DIGITS = "CASE WHEN @ IS NOT NULL THEN printf('%.5e', @) END AS p_value"
 
 SQL = {
     # game records
@@ -262,7 +333,7 @@ SQL = {
     "filter_iso2": "SELECT * FROM profiles WHERE length(country) = 2",
     "filter_significant": f"""
         SELECT j.matched_id, j.country, {r6("p_w_p_value", "p_val_played")}, {r6("stand_p_w", "dev_played")}, num_players
-        FROM (SELECT c.*, p_w_p_value FROM standardized c JOIN ks2 k
+        FROM (SELECT c.*, p_w_p_value FROM standardized c JOIN ks k
                 ON k.country = c.country AND k.matched_id = c.matched_id) j
         JOIN player_counts n ON j.country = n.country
         WHERE p_w_p_value < 0.05 AND abs(stand_p_w) > 0.3 AND num_players >= 40""",
@@ -299,9 +370,12 @@ SQL = {
         FROM openings o LEFT JOIN openings a ON starts_with(o.moves, a.moves || ' ') GROUP BY o.id""",
     "prefix_closure": "SELECT id, ancestor_id, CAST(depth AS INTEGER) AS depth FROM closure",
     "base_nodes": """
-        SELECT id, matched_id FROM deepest_counts d WHERE NOT EXISTS (
-            SELECT 1 FROM deepest_counts p JOIN closure c ON c.ancestor_id = p.matched_id
-            WHERE p.id = d.id AND c.id = d.matched_id AND c.depth > 0)""",
+        SELECT d.id, d.matched_id FROM deepest_counts d LEFT JOIN (
+            SELECT DISTINCT d.id, d.matched_id
+            FROM deepest_counts d JOIN closure c ON c.id = d.matched_id AND c.depth > 0
+            JOIN deepest_counts p ON p.id = d.id AND p.matched_id = c.ancestor_id) below
+          ON d.id = below.id AND d.matched_id = below.matched_id
+        WHERE below.id IS NULL""",
     "rollup_counts": f"""
         SELECT * FROM (SELECT d.id, c.ancestor_id AS matched_id, {SUM_SIX}
                        FROM deepest_counts d JOIN closure c ON c.id = d.matched_id GROUP BY d.id, c.ancestor_id) u
@@ -328,9 +402,11 @@ SQL = {
         SELECT c.matched_id, country, {r6_all(METRICS)}, {r6_all(MOMENTS)}
         FROM means c JOIN moments m ON c.matched_id = m.matched_id""",
     "join_ks_country": f"""
-        SELECT c.country, c.matched_id, {", ".join(f"{r6(m + '_stat')}, {r6(m + '_p_value')}, {m}_sign" for m in METRICS)},
+        SELECT coalesce(c.country, k.country) AS country, coalesce(c.matched_id, k.matched_id) AS matched_id,
+               {", ".join(f"{r6(m + '_stat')}, {r6(m + '_p_value')}, {m}_sign" for m in METRICS)},
                {r6_all(METRICS)}, {r6_all([f"stand_{m}" for m in METRICS])}
-        FROM ks2 k RIGHT JOIN standardized c ON k.country = c.country AND k.matched_id = c.matched_id""",
+        FROM ks k FULL JOIN (SELECT * FROM standardized WHERE length(country) = 2) c
+          ON k.country = c.country AND k.matched_id = c.matched_id""",
     "join_player_counts": f"""
         SELECT n.country, matched_id, {r6_all(METRICS)}, num_players
         FROM (SELECT * FROM means WHERE length(country) = 2) c RIGHT JOIN player_counts n ON c.country = n.country""",
@@ -373,8 +449,9 @@ SQL = {
     "country_player_counts": "SELECT * FROM player_counts",
     "country_means": f"SELECT country, matched_id, {r6_all(METRICS)} FROM means",
     "global_moments": f"SELECT matched_id, {r6_all(MOMENTS)} FROM moments",
-    "distributions_global": DISTRIBUTION.replace("#", "0 AS part,").replace("&", "counted_values"),
-    "distributions_country": DISTRIBUTION.replace("#", "country, 0 AS part,").replace("&", "located_values"),
+    "distributions_global": COUNTED_VALUES.replace("#", "").replace("&", "counted_values"),
+    "distributions_country": COUNTED_VALUES.replace("#", "country,").replace("&", "located_values"),
+    "distribution_arrays": DISTRIBUTION.replace("#", "country,").replace("&", "located_values"),
     "distributions_in_parts": DISTRIBUTION.replace("#", "").replace("&", "counted_values"),
     "distinct_keys": "SELECT DISTINCT matched_id FROM matches",
     "dedupe_known": f"""
@@ -404,6 +481,14 @@ SQL = {
         WHERE v IS NOT NULL OR (n = 0 AND m = 0) GROUP BY matched_id, metric, n, m""",
     "ks_subset": "SELECT matched_id, country, metric, n, m, " + r6("stat") + ", sign FROM tests",
     "ks_pvalue": f"SELECT matched_id, country, metric, n, m, {r6('stat')}, sign, {r6('p_value')} FROM limits",
+    "ks_pvalue_finite": f"SELECT matched_id, country, metric, n, m, {r6('stat')}, sign, {P_DIGITS.replace('@', 'p')} FROM finite",
+    "ks_pvalue_exact": f"""
+        SELECT country, t.n, t.m, {r6("stat")}, sign, {P_DIGITS.replace("@", "p")}
+        FROM share_tests t LEFT JOIN lattice l ON least(t.n, t.m) = l.n AND greatest(t.n, t.m) = l.m AND t.reach = l.reach""",
+    "ks_pvalue_auto": f"""
+        SELECT country, t.n, t.m, {r6("stat")}, sign,
+               {P_DIGITS.replace("@", "CASE WHEN greatest(t.n, t.m) <= 60 THEN l.p ELSE t.p END")}
+        FROM share_finite t LEFT JOIN lattice l ON least(t.n, t.m) = l.n AND greatest(t.n, t.m) = l.m AND t.reach = l.reach""",
     "significant_deviations": SIGNIFICANT.replace("#", "won") + " AND color = 'b'",
     "all_significant_played": SIGNIFICANT.replace("#", "played"),
     "all_significant_won": SIGNIFICANT.replace("#", "won"),
@@ -424,9 +509,10 @@ SQL = {
         JOIN openings o ON c.matched_id = o.id WHERE c.matched_id = 'MEDIUM Brand#2'""",
     # batches, sorts, unions
     "request_batches": """
-        SELECT batch_no, batch_no // 26 AS slot, batch_no // 26 * 600 AS start_offset_s, string_agg(id, ',' ORDER BY id) AS ids
-        FROM (SELECT c_name AS id, (row_number() OVER (ORDER BY c_name) - 1) // 300 AS batch_no FROM customer)
-        GROUP BY batch_no""",
+        SELECT run, batch_no, batch_no // 26 AS slot, batch_no // 26 * 600 AS start_offset_s, string_agg(id, ',' ORDER BY id) AS ids
+        FROM (SELECT id, rank // 700 AS run, rank % 700 // 300 AS batch_no
+              FROM (SELECT c_name AS id, row_number() OVER (ORDER BY c_name) - 1 AS rank FROM customer))
+        GROUP BY run, batch_no""",
     "sort_by_sequence": "SELECT * FROM openings",
     "sort_by_deviation": "SELECT matched_id, country, " + r6("stand_p_w", "dev_played") + " FROM standardized",
     "sort_by_player": "SELECT * FROM counts",
@@ -498,10 +584,11 @@ SQL = {
                'Rated game ' || month AS event, matched_id, matched_moves, real_game FROM matches""",
     "merge_months": "SELECT * FROM counts",
     "new_player_batches": """
-        SELECT batch_no, batch_no // 3 AS slot, batch_no // 3 * 600 AS start_offset_s, string_agg(id, ',' ORDER BY id) AS ids
-        FROM (SELECT id, (row_number() OVER (ORDER BY id) - 1) // 20 AS batch_no
-              FROM (SELECT DISTINCT id FROM counts WHERE id NOT IN (SELECT id FROM profiles WHERE country IS NOT NULL)))
-        GROUP BY batch_no""",
+        SELECT run, batch_no, batch_no // 3 AS slot, batch_no // 3 * 600 AS start_offset_s, string_agg(id, ',' ORDER BY id) AS ids
+        FROM (SELECT id, rank // 120000 AS run, rank % 120000 // 20 AS batch_no
+              FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS rank
+                    FROM (SELECT DISTINCT id FROM counts WHERE id NOT IN (SELECT id FROM profiles WHERE country IS NOT NULL))))
+        GROUP BY run, batch_no""",
     "merge_profiles": """
         SELECT id, country, NULL AS source FROM profiles WHERE country IS NOT NULL
         UNION ALL SELECT 'p' || id, country, 'new' FROM profiles WHERE country IS NULL""",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqstats.catalog.fixture import Inputs, rounded
@@ -278,9 +278,8 @@ def white_tests(i: Inputs) -> DataFrame:
 
 
 def tested(i: Inputs) -> DataFrame:
-    """Test results of two-letter countries, with the large-sample p-value."""
-    players = i.counted().withColumn("country", F.when(F.length("country") == 2, F.col("country")))
-    return ks.ks_test(players, "asymp")
+    """All countries' test results, with the large-sample p-value."""
+    return ks.ks_test(i.counted(), "asymp")
 
 
 @query
@@ -423,7 +422,8 @@ def join_moments(i: Inputs) -> DataFrame:
 
 @query
 def join_ks_country(i: Inputs) -> DataFrame:
-    return significance.join_ks_country(tested(i), i.standardized())
+    """Scores of two-letter countries only, so that tests of other codes have no country row."""
+    return significance.join_ks_country(tested(i), filters.filter_iso2(i.standardized()))
 
 
 @query
@@ -537,29 +537,33 @@ def global_moments(i: Inputs) -> DataFrame:
     return i.moments()
 
 
-def array_values(df: DataFrame, keys: list[str], suffix: str) -> DataFrame:
-    """Arrays as one row per value, so that two engines can be compared."""
-    arrays = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"{m}_{suffix}").alias("v")) for m in METRICS])
-    return df.select(*keys, "part", F.inline(arrays)).select(*keys, "part", "metric", F.explode("v").alias("value"))
-
-
 @query
 def distributions_global(i: Inputs) -> DataFrame:
-    found = distributions.distributions(i.counted(), ["matched_id"], "dist_global")
-    return array_values(found, ["matched_id"], "dist_global")
+    return distributions.distributions(i.counted(), ["matched_id"])
 
 
 @query
 def distributions_country(i: Inputs) -> DataFrame:
+    return distributions.distributions(i.located(), ["matched_id", "country"])
+
+
+def array_values(df: DataFrame, keys: list[str], suffix: str) -> DataFrame:
+    """Arrays as one row per value, so that two engines can be compared."""
+    arrays = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"{m}_{suffix}").alias("v")) for m in METRICS])
+    return df.select(*keys, F.inline(arrays)).select(*keys, "metric", F.explode("v").alias("value"))
+
+
+@query
+def distribution_arrays(i: Inputs) -> DataFrame:
     keys = ["matched_id", "country"]
-    return array_values(distributions.distributions(i.located(), keys), keys, "dist")
+    return array_values(distributions.distribution_arrays(i.located(), keys), keys, "dist")
 
 
 @query
 def distributions_in_parts(i: Inputs) -> DataFrame:
-    """Groups split over several rows still hold every value."""
-    found = distributions.distributions(i.counted(), ["matched_id"], "dist_global", part_values=100)
-    return array_values(found, ["matched_id"], "dist_global").drop("part")
+    """Groups dealt over several rows still hold every value."""
+    found = distributions.distribution_arrays(i.counted(), ["matched_id"], "dist_global", parts=4)
+    return array_values(found, ["matched_id"], "dist_global")
 
 
 @query
@@ -629,11 +633,42 @@ def ks_pvalue(i: Inputs) -> DataFrame:
     return subset_tests(i).withColumn("p_value", p_value)
 
 
+def digits(p_value: F.Column) -> F.Column:
+    """Six significant digits, so that small p-values are compared too."""
+    return F.when(p_value.isNotNull(), F.format_string("%.5e", p_value))
+
+
+@query
+def ks_pvalue_finite(i: Inputs) -> DataFrame:
+    p_value = ks.ks_pvalue(F.col("stat"), F.col("n"), F.col("m"), "finite")
+    return subset_tests(i).withColumn("p_value", digits(p_value))
+
+
+def share_tests(i: Inputs) -> DataFrame:
+    """Every country's players against those of the next country by code: their shares of games as white."""
+    share = F.col("total_count_w") / (F.col("total_count_w") + F.col("total_count_b"))
+    values = i.located().select("id", "country", share.alias("value")).distinct()
+    previous = F.lag("country").over(Window.orderBy("country"))
+    pairs = values.select("country").distinct().select(F.col("country").alias("_next"), previous.alias("_country")).dropna()
+    others = values.join(pairs, F.col("country") == F.col("_next")).select(F.col("_country").alias("country"), "value")
+    return ks.ks_two_sample(values, others, ["country"])
+
+
+@query
+def ks_pvalue_exact(i: Inputs) -> DataFrame:
+    return ks.with_pvalue(share_tests(i), "exact").withColumn("p_value", digits(F.col("p_value")))
+
+
 @query
 def ks_pvalue_auto(i: Inputs) -> DataFrame:
-    """Exact p-values for small samples, the finite-sample expansion beside them."""
-    finite = ks.ks_pvalue(F.col("stat"), F.col("n"), F.col("m"), "finite")
-    return ks.with_pvalue(subset_tests(i), "auto").withColumn("p_finite", finite)
+    """Exact up to samples of 60 players, the finite-sample expansion for the larger ones."""
+    return ks.with_pvalue(share_tests(i), "auto", exact_limit=60).withColumn("p_value", digits(F.col("p_value")))
+
+
+@query
+def ks_test_auto(i: Inputs) -> DataFrame:
+    """The tests with the p-values that the job takes."""
+    return ks.ks_test(i.counted())
 
 
 def significant_tables(i: Inputs) -> tuple[DataFrame, ...]:
@@ -679,7 +714,8 @@ def opening_profile(i: Inputs) -> DataFrame:
 
 @query
 def request_batches(i: Inputs) -> DataFrame:
-    return profiles.request_batches(i.table("customer").select(F.col("c_name").alias("id")))
+    """With a quota of 700 ids a run, so that there are several runs."""
+    return profiles.request_batches(i.table("customer").select(F.col("c_name").alias("id")), max_ids=700)
 
 
 @query

@@ -1,4 +1,4 @@
-"""Distributions of player probabilities, as arrays and as value counts."""
+"""Distributions of player probabilities, as value counts and as arrays."""
 
 from __future__ import annotations
 
@@ -7,20 +7,24 @@ from pyspark.sql import functions as F
 
 from seqstats.operators.shaping import METRICS
 
-# An array holds about this many values; larger groups are spread over several parts.
-PART_VALUES = 1_000_000
 
+def distributions(df: DataFrame, keys: list[str]) -> DataFrame:
+    """How many players of each group have which probability: one row per key, metric and value, NULLs left out.
 
-def distributions(df: DataFrame, keys: list[str], suffix: str = "dist", part_values: int = PART_VALUES) -> DataFrame:
-    """The four probabilities of each group as sorted arrays, NULLs left out.
+    The form is the same for a group of any size, and equal values are counted before the shuffle.
+    """
+    values = metric_values(df, keys).where("value IS NOT NULL")
+    return values.groupBy(*keys, "metric", "value").agg(F.count("*").alias("players"))
+
+
+def distribution_arrays(df: DataFrame, keys: list[str], suffix: str = "dist", parts: int = 1) -> DataFrame:
+    """The four probabilities of each group as sorted arrays, NULLs left out; for groups that fit a row.
 
-    A group of more than ``part_values`` players is split by player over the rows
-    ``part`` = 0, 1, ...; together they hold every value. Smaller groups have part 0 only.
+    With ``parts`` over 1 every group's players are dealt over so many rows, numbered by ``part``.
     """
-    size = df.groupBy(*keys).agg(F.ceil(F.count("*") / part_values).alias("_parts"))
-    spread = df.join(size, keys).withColumn("part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))
+    dealt = df.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
     arrays = [F.array_sort(F.collect_list(m)).alias(f"{m}_{suffix}") for m in METRICS]
-    return spread.groupBy(*keys, "part").agg(*arrays)
+    return dealt.groupBy(*keys, "part").agg(*arrays)
 
 
 def metric_values(df: DataFrame, keys: list[str]) -> DataFrame:

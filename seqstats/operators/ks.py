@@ -25,18 +25,23 @@ register_pickle_by_value(sys.modules[__name__])
 
 # A running sum is taken within value ranges of one group and the ranges' totals are added.
 RANGES = 64
-# Fixed value: samples up to this size get the exact p-value.
+# Fixed value, the default of a parameter: samples up to this size get the exact p-value under ``auto``.
 EXACT_LIMIT = 10_000
+# Numbers of lattice points that are advanced together.
+LATTICE_POINTS = 16_384
 
 
-def _range(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    """Number of the value range, ascending with the value.
+def ranged(counts: DataFrame) -> DataFrame:
+    """The rows with the number of their value range, ascending with the value; NULL goes to the first.
 
-    Ranges are narrow at the low end, where shares are most dense. Values outside
-    ``low..high`` go to the outermost ranges; results are the same for any cut.
+    The bounds are approximate quantiles of all values, so a hot group, which makes up most of them, is cut into many
+    ranges whatever its scale. Results are the same for any cut.
     """
-    place = F.least(F.greatest((value - low) / (high - low), F.lit(0.0)), F.lit(1.0))
-    return F.coalesce(F.least(F.floor(F.sqrt(F.sqrt(place)) * RANGES), F.lit(RANGES - 1)), F.lit(0)).cast("int")
+    shares = [k / RANGES for k in range(1, RANGES)]
+    bounds = counts.agg(F.percentile_approx("value", shares, 1_000).alias("bounds")).scalar()
+    below = F.size(F.filter("_bounds", lambda b: b < F.col("value")))
+    number = F.when(F.col("value").isNull() | F.col("_bounds").isNull(), 0).otherwise(below)
+    return counts.withColumn("_bounds", bounds).withColumn("_range", number).drop("_bounds")
 
 
 def running_counts(counts: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
@@ -44,7 +49,7 @@ def running_counts(counts: DataFrame, keys: list[str], cols: list[str]) -> DataF
 
     Each group is cut into value ranges, so no task sorts a hot group alone.
     """
-    counts = counts.withColumn("_range", _range(F.col("value")))
+    counts = ranged(counts)
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     group = Window.partitionBy(*keys)
     per_range = counts.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_{c}") for c in cols])
@@ -103,7 +108,7 @@ def ks_subset(df: DataFrame, keys: list[str], group: str, value: str = "value")
     both are taken within value ranges of a key, and the counts of the ranges below are added.
     """
     counts = df.groupBy(*keys, group, F.col(value).alias("value")).agg(F.count(value).alias("s"))
-    counts = counts.withColumn("_range", _range(F.col("value")))
+    counts = ranged(counts)
 
     cells = counts.groupBy(*keys, group, "_range").agg(F.sum("s").alias("_cell"))
     whole = Window.partitionBy(*keys)
@@ -136,12 +141,11 @@ def ks_subset(df: DataFrame, keys: list[str], group: str, value: str = "value")
     return _statistic(at, [*keys, group], above, under, "n", "m")
 
 
-def ks_pvalue(d: Column, n: Column, m: Column, method: str = "auto") -> Column:
+def ks_pvalue(d: Column, n: Column, m: Column, method: str = "auto", exact_limit: int = EXACT_LIMIT) -> Column:
     """Two-sided p-value of statistic ``d`` for samples of ``n`` and ``m`` values.
 
-    ``auto`` is ``exact`` for samples up to the exact limit (if it has a value) and
-    ``finite`` beyond it;
-    ``asymp`` is the limit for large samples.
+    ``auto`` is ``exact`` for samples of up to ``exact_limit`` values and ``finite`` beyond it, ``asymp`` is the limit
+    for large samples. Every test with a statistic and two samples has a p-value by every method.
     """
     check_choice("method", method, ("auto", "exact", "finite", "asymp"))
     n, m = n.cast("double"), m.cast("double")
@@ -153,8 +157,8 @@ def ks_pvalue(d: Column, n: Column, m: Column, method: str = "auto") -> Column:
     finite = F.when(d.isNotNull(), _finite_tail(d, F.rint(pooled)))
     if method == "finite":
         return finite
-    small = F.greatest(n, m) <= EXACT_LIMIT
-    return F.coalesce(_exact_tail(F.when(small, d), n, m), finite)
+    small = F.greatest(n, m) <= exact_limit
+    return F.when(small, _exact_tail(F.when(small, d), n, m)).otherwise(finite)
 
 
 def _series(first: int, last: int, term) -> Column:
@@ -218,64 +222,82 @@ def _finite_tail(d: Column, size: Column) -> Column:
 def _exact_tail(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
     tests = pd.DataFrame({"d": d, "n": n, "m": m}).dropna()
     tests = tests[(tests["n"] > 0) & (tests["m"] > 0)]
-    longest = int((tests["n"] + tests["m"]).max()) if len(tests) else 0
-    log_factorial = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, longest + 1)))])
-    tails = pd.Series([None] * len(d), index=d.index, dtype=object)
-    for place, *test in tests.itertuples():
-        tails[place] = lattice_tail(*test, log_factorial)
+    tails = pd.Series(np.nan, index=d.index).astype(object)
+    tails[:] = None
+    if len(tests):
+        tails[tests.index] = lattice_tails(*(tests[c].to_numpy(float) for c in "dnm"))
     return tails
 
 
-def lattice_tail(d: float, n: float, m: float, log_factorial: np.ndarray) -> float | None:
-    """Share of the orderings of ``n`` and ``m`` values whose statistic is at least ``d``.
+def lattice_tails(d: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Shares of the orderings of ``n`` and ``m`` values whose statistic is at least ``d``, many tests at once.
 
-    An ordering is a lattice path from (0, 0) to (n, m), and its statistic reaches ``d`` if
-    it touches a point that is far enough off the diagonal. ``hit`` counts, for one ``i``
-    and the points (i, low..high) between those limits, the paths that already did: the
-    ones coming from the left and from below, where a neighbour beyond the limits passes
-    on all its paths. Counts are relative to the number of paths to (i, high).
-    None where the counts of one row span more than a double can.
+    An ordering is a lattice path from (0, 0) to (n, m), and its statistic reaches ``d`` if it touches a point that is far
+    enough off the diagonal. Of all paths to a point, the share that already did is the mean of the shares at the two
+    points before it, weighted by how many paths come from each; shares never leave 0..1, so no size is too large.
     """
-    n, m = int(min(n, m)), int(max(n, m))
-    reach = round(d * n * m)
-    if reach <= 0:
-        return 1.0
-
-    def log_paths(i, j):
-        return log_factorial[i + j] - log_factorial[i] - log_factorial[j]
-
-    high = min(m, -(-reach // n) - 1)
-    low, scale, hit = 0, 0.0, np.zeros(high + 1)
-    for i in range(1, n + 1):
-        last_low, last_high, last_scale = low, high, scale
-        low, high = max(0, (i * m - reach) // n + 1), min(m, -(-(i * m + reach) // n) - 1)
-        scale = log_paths(i, high)
-        if scale - log_paths(i, low) > 600:
-            return None
-        from_below = hit[low - last_low :] * np.exp(last_scale - scale)
-        beyond = np.exp(log_paths(i - 1, np.arange(max(low, last_high + 1), high + 1)) - scale)
-        from_left = np.exp(log_paths(i, low - 1) - scale) if low else 0.0
-        hit = from_left + np.cumsum(np.concatenate([from_below, beyond]))
-    return float(min(hit[-1], 1.0))
-
-
-def with_pvalue(tested: DataFrame, method: str = "auto") -> DataFrame:
+    n, m = np.minimum(n, m).astype(np.int64), np.maximum(n, m).astype(np.int64)
+    reach = np.rint(d * n * m).astype(np.int64)
+    tails = np.ones(len(d))
+    open_tests = np.flatnonzero(reach > 0)
+    order = open_tests[np.lexsort((n[open_tests], m[open_tests]))]
+    start = 0
+    while start < len(order):
+        # the points within reach of the diagonal are the ones to advance
+        width = np.minimum(2 * reach[order[start:]] // (n + m)[order[start:]] + 3, n[order[start:]] + 1)
+        size = max(1, int(np.searchsorted(np.maximum.accumulate(width) * np.arange(1, len(width) + 1), LATTICE_POINTS)))
+        block = order[start : start + size]
+        tails[block] = _advanced(n[block], m[block], reach[block])
+        start += size
+    return tails
+
+
+def _advanced(n: np.ndarray, m: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """The shares at (n, m) of a block of tests, advanced by one step of all paths at a time."""
+    both, most = n + m, int(n.max())
+    tails = np.empty(len(n))
+    i = np.arange(most + 1)
+    offsets = i[None, :] * both[:, None]
+    hit = np.ones((len(n), most + 1))  # beyond the reach every path has touched
+    hit[:, 0] = 0.0
+    for step in range(1, int(both.max()) + 1):
+        low = max(0, int(((step * n - reach) // both).min()))
+        high = min(most, step, int(((step * n + reach) // both).max()) + 1)
+        here = slice(low, high + 1)
+        moved = hit[:, here] * ((step - i[here]) / step)
+        before = slice(max(low, 1) - 1, high)
+        moved[:, (low == 0) :] += hit[:, before] * (i[max(low, 1) : high + 1] / step)
+        moved[np.abs(offsets[:, here] - step * n[:, None]) >= reach[:, None]] = 1.0
+        hit[:, here] = moved
+        if low:
+            hit[:, low - 1] = 1.0
+        if (done := both == step).any():
+            tails[done] = hit[done, n[done]]
+    return np.minimum(tails, 1.0)
+
+
+def with_pvalue(tested: DataFrame, method: str = "auto", exact_limit: int = EXACT_LIMIT) -> DataFrame:
     """Tests with their ``p_value``.
 
-    Exact p-values are little data and much work, so the tests are dealt over all cores.
+    Exact p-values are little data and much work: equal tests are worked out once, dealt over all cores, and a task's
+    tests are put in the order of their sizes, so that neighbours are advanced together.
     """
-    if method in ("auto", "exact"):
-        tested = tested.repartition(2 * tested.sparkSession.sparkContext.defaultParallelism)
-    return tested.withColumn("p_value", ks_pvalue(F.col("stat"), F.col("n"), F.col("m"), method))
+    p_value = ks_pvalue(F.col("stat"), F.col("n"), F.col("m"), method, exact_limit)
+    if method not in ("auto", "exact"):
+        return tested.withColumn("p_value", p_value)
+    tasks = 2 * tested.sparkSession.sparkContext.defaultParallelism
+    kinds = tested.where("stat IS NOT NULL").select("stat", "n", "m").distinct()
+    kinds = kinds.repartition(tasks).sortWithinPartitions("m", "n").withColumn("p_value", p_value)
+    return tested.join(kinds, ["stat", "n", "m"], "left").select(*tested.columns, "p_value")
 
 
-def ks_test(df: DataFrame, method: str = "auto") -> DataFrame:
+def ks_test(df: DataFrame, method: str = "auto", exact_limit: int = EXACT_LIMIT) -> DataFrame:
     """Every country's players against all players, per opening and metric.
 
     One row per opening and country with ``{metric}_stat``, ``_p_value`` and ``_sign``.
     """
     tested = ks_subset(metric_values(df, ["matched_id", "country"]), ["matched_id", "metric"], "country")
-    tested = with_pvalue(tested, method)
+    tested = with_pvalue(tested, method, exact_limit)
     wide = []
     for metric in METRICS:
         for part in ("stat", "p_value", "sign"):

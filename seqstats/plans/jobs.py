@@ -11,7 +11,7 @@ from seqstats.operators.counts import count_names, lower_names, player_openings,
 from seqstats.operators.distributions import distributions
 from seqstats.operators.filters import filter_has_country, filter_min_games
 from seqstats.operators.hierarchy import count_along_paths, prefix_closure
-from seqstats.operators.ks import ks_test
+from seqstats.operators.ks import EXACT_LIMIT, ks_test
 from seqstats.operators.matching import match_prefixes
 from seqstats.operators.probabilities import (
     country_means,
@@ -118,15 +118,16 @@ def run_country_probabilities(spark: SparkSession, root: str, name: str, min_gam
 
 def run_distributions(spark: SparkSession, root: str, name: str, min_games: int = MIN_GAMES) -> None:
     players = filter_min_games(read_stage(spark, root, "players", name, "prob"), min_games)
-    whole = distributions(players, ["matched_id"], "dist_global")
-    write_stage(whole, root, "distributions", name, "global")
+    write_stage(distributions(players, ["matched_id"]), root, "distributions", name, "global")
     by_country = distributions(filter_has_country(players), ["matched_id", "country"])
     write_stage(by_country, root, "distributions", name, "country")
 
 
-def run_ks_test(spark: SparkSession, root: str, name: str, min_games: int = MIN_GAMES, method: str = "auto") -> None:
+def run_ks_test(
+    spark: SparkSession, root: str, name: str, min_games: int = MIN_GAMES, method: str = "auto", exact_limit: int = EXACT_LIMIT
+) -> None:
     players = filter_min_games(read_stage(spark, root, "players", name, "prob"), min_games)
-    write_stage(ks_test(players, method), root, "ks_test", name)
+    write_stage(ks_test(players, method, exact_limit), root, "ks_test", name)
 
 
 def run_significant(

@@ -58,7 +58,7 @@ def test_pipeline(spark, tmp_path):
     assert rows(read_stage(spark, root, "countries", name, "player_count")) == [("DE", 13), ("FR", 7)]
     jobs.run_distributions(spark, root, name, min_games=10)
     whole = read_stage(spark, root, "distributions", name, "global")
-    assert whole.select(F.size("p_w_dist_global")).distinct().collect() == [(24,)]
+    assert whole.where("metric = 'p_w'").groupBy("matched_id").agg(F.sum("players")).select("sum(players)").distinct().collect() == [(24,)]
     jobs.run_ks_test(spark, root, name, min_games=10)
     assert read_stage(spark, root, "ks_test", name).count() == 8
     jobs.run_significant(spark, root, name, openings, alpha=1.1, min_dev=0.0, min_players=1)

@@ -10,8 +10,8 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from seqstats.operators.distributions import distributions
-from seqstats.operators.ks import ks_pvalue, ks_subset, ks_test, ks_two_sample
+from seqstats.operators.distributions import distribution_arrays, distributions
+from seqstats.operators.ks import ks_pvalue, ks_subset, ks_test, ks_two_sample, lattice_tails, ranged, with_pvalue
 
 
 def brute(a, b):
@@ -176,12 +176,50 @@ def test_ks_test_columns(spark):
         assert 0 < row["p_w_stat"] < 1 and 0 < row["p_w_p_value"] <= 1
 
 
-@pytest.mark.parametrize("part_values", [1_000_000, 50])
-def test_distributions_are_whole(spark, part_values):
+@pytest.mark.parametrize("parts", [1, 7])
+def test_distributions_are_whole(spark, parts):
     df = players(spark)
-    found = distributions(df, ["matched_id"], "d", part_values)
-    split = found.count()
-    assert split == 2 if part_values == 1_000_000 else split > 2
-    values = found.select("matched_id", F.explode("p_w_d").alias("v"))
+    arrays = distribution_arrays(df, ["matched_id"], "d", parts)
+    assert arrays.count() == 2 * parts
+    values = arrays.select("matched_id", F.explode("p_w_d").alias("v"))
     assert rows(values) == rows(df, "matched_id", "p_w")
-    assert found.where(F.size("p_won_b_d") > 0).count() == 0
+    assert arrays.where(F.size("p_won_b_d") > 0).count() == 0
+    counted = distributions(df, ["matched_id"])
+    again = counted.where("metric = 'p_w'").select("matched_id", F.explode(F.array_repeat("value", F.col("players").cast("int"))).alias("v"))
+    assert rows(again) == rows(df, "matched_id", "p_w")
+
+
+def test_a_hot_group_of_any_scale_is_cut_into_many_ranges(spark):
+    df = spark.range(20_000).select(F.lit("hot").alias("k"), (F.col("id") * 50.0 + 1).alias("value"))
+    cut = ranged(df).groupBy(F.col("_range").alias("r")).agg(F.count("*").alias("n"), F.min("value"), F.max("value")).orderBy("r").collect()
+    assert len(cut) >= 48 and max(r["n"] for r in cut) < 2_000
+    assert all(a[3] < b[2] for a, b in zip(cut, cut[1:]))
+
+
+def test_shares_of_very_different_tests_in_one_batch(spark):
+    """Long and short tests advanced together, also where path counts are beyond a double's range."""
+    rng = random.Random(6)
+    cases = [(rng.randint(1, 60), rng.randint(1, 400), rng.uniform(0.01, 1)) for _ in range(60)] + [(3000, 5000, 0.05), (900, 900, 0.6), (1, 1, 0.0)]
+    found = lattice_tails(*(np.array([c[k] for c in cases], float) for k in (2, 0, 1)))
+    for (n, m, d), p in zip(cases, found):
+        n, m = min(n, m), max(n, m)
+        reach = round(d * n * m)
+        assert p == pytest.approx(diagonal_tail(n, m, reach) if reach else 1.0, rel=1e-9)
+    assert 0 < found[-2] < 1e-100
+
+
+def test_short_limit_series_equals_the_long_one(spark):
+    z = [0.2 + 0.02 * k for k in range(200)]
+    df = spark.createDataFrame([(x,) for x in z], "z DOUBLE")
+    found = [r[0] for r in df.select(ks_pvalue(F.col("z") / 1000, F.lit(2_000_000), F.lit(2_000_000), "asymp")).collect()]
+    for x, p in zip(z, found):
+        long = math.fsum(2 * (-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101))
+        assert p == pytest.approx(min(max(long, 0), 1), rel=1e-9, abs=1e-12)
+
+
+def test_equal_tests_share_one_p_value(spark):
+    df = spark.createDataFrame([("a", 0.5, 4, 6), ("b", 0.5, 4, 6), ("c", None, 0, 6), ("d", 0.5, 30, 60)], "k STRING, stat DOUBLE, n BIGINT, m BIGINT")
+    found = {r["k"]: r["p_value"] for r in with_pvalue(df, "auto", exact_limit=10).collect()}
+    assert found["a"] == found["b"] == pytest.approx(share_at_least(4, 6, 12)) and found["c"] is None
+    finite = df.select(ks_pvalue(F.col("stat"), F.col("n"), F.col("m"), "finite").alias("p")).collect()
+    assert found["d"] == finite[3]["p"]

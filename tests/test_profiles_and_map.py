@@ -15,8 +15,19 @@ def test_batches(spark):
     players = spark.createDataFrame([(i,) for i in ["b", "a", "c", "?", None, "Known", "a", "d", "e"]], "id STRING")
     known = spark.createDataFrame([("known",)], "id STRING")
     found = new_player_batches(players, known, size=2, per_period=2, period=60)
-    assert rows(found) == [(0, 0, 0, "a,b"), (1, 0, 0, "c,d"), (2, 1, 60, "e")]
-    assert rows(request_batches(players.where("id IS NOT NULL").distinct(), max_ids=3), "ids") == [("?,Known,a",)]
+    assert rows(found) == [(0, 0, 0, 0, "a,b"), (0, 1, 0, 0, "c,d"), (0, 2, 1, 60, "e")]
+
+
+def test_every_id_is_scheduled_beyond_the_quota(spark):
+    ids = spark.range(0, 1_000, 1, 7).select(F.concat(F.when(F.col("id") % 2 == 0, "P").otherwise("p"), "id").alias("id"))
+    ids = ids.unionByName(spark.createDataFrame([(None,)], "id STRING"))
+    found = request_batches(ids, size=30, per_period=2, period=60, max_ids=400).orderBy("run", "batch_no").collect()
+    order = [i for r in found for i in r["ids"].split(",")]
+    assert order == sorted(f"{'Pp'[i % 2]}{i}" for i in range(1_000))
+    assert [sum(len(r["ids"].split(",")) for r in found if r["run"] == k) for k in range(3)] == [400, 400, 200]
+    assert all(len(r["ids"].split(",")) <= 30 and r["start_offset_s"] == r["batch_no"] // 2 * 60 for r in found)
+    assert [r["batch_no"] for r in found if r["run"] == 2] == list(range(7))
+    assert request_batches(ids.limit(0)).count() == 0
 
 
 def test_first_run_has_no_known_players(spark):
