@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from seqstats.operators import counts, probabilities
 from seqstats.operators.filters import filter_has_country, filter_min_games
 from seqstats.operators.matching import match_prefixes
-from seqstats.session import spread, written
 from seqstats.sources.records import ordered_sequence
 
 
@@ -29,11 +28,10 @@ SCHEMAS = {
 
 
 class Inputs:
-    """Inputs and intermediate tables of the pipeline over one data folder, lazy unless noted."""
+    """Inputs and intermediate tables of the pipeline over one data folder, all lazy."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
-        self._players: DataFrame | None = None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
@@ -42,7 +40,7 @@ class Inputs:
         """Order lines as games of a customer against another one, the part as the moves."""
         customers = self.table("customer").agg(F.count("*"))
         columns = ["l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"]
-        lines = spread(self.table("lineitem").select(*columns)).join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        lines = self.table("lineitem").select(*columns).join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         lines = lines.join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
         base = F.when(F.col("l_linestatus") == "O", F.concat("p_type", F.lit(": "), "p_name")).otherwise(
             F.concat("p_brand", F.lit(": "), "p_type")
@@ -108,12 +106,6 @@ class Inputs:
         return counts.player_openings(self.matches(), ("month",))
 
     def players(self) -> DataFrame:
-        """Player probabilities; a query reads them several times, so they are written first."""
-        if self._players is None:
-            self._players = written(self.players_plan(), "players")
-        return self._players
-
-    def players_plan(self) -> DataFrame:
         return probabilities.player_probabilities(self.counts(), self.profiles())
 
     def counted(self) -> DataFrame:

@@ -24,7 +24,7 @@ from seqstats.operators import (
 )
 from seqstats.operators.shaping import METRICS, SUFFIXES
 from seqstats.plans import jobs
-from seqstats.session import fresh_dir, written
+from seqstats.session import fresh_dir
 from seqstats.sources import features, openings, records, stages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -139,7 +139,7 @@ def flatten_profile(i: Inputs) -> DataFrame:
 @query
 def product_columns(i: Inputs) -> DataFrame:
     named = shaping.product_columns(["p_", "p_won_"], ["w", "b"])
-    return i.players_plan().select("id", "matched_id", *[F.col(c).alias(f"share_{c}") for c in named])
+    return i.players().select("id", "matched_id", *[F.col(c).alias(f"share_{c}") for c in named])
 
 
 # --- dictionary and stages ------------------------------------------------------------------
@@ -359,19 +359,18 @@ def prefix_closure(i: Inputs) -> DataFrame:
 
 
 def deepest_counts(i: Inputs) -> DataFrame:
-    """Counts of deepest matches, written since the hierarchy operators read them twice."""
     deepest = matching.deepest_match(i.games(), i.openings()).withColumn("real_game", F.lit(1))
-    return written(counts.player_openings(deepest), "counts")
+    return counts.player_openings(deepest)
 
 
 @query
 def base_nodes(i: Inputs) -> DataFrame:
-    return hierarchy.base_nodes(deepest_counts(i), hierarchy.prefix_closure(i.openings()))
+    return hierarchy.base_nodes(deepest_counts(i), i.openings())
 
 
 @query
 def rollup_counts(i: Inputs) -> DataFrame:
-    return hierarchy.rollup_counts(deepest_counts(i), hierarchy.prefix_closure(i.openings()))
+    return hierarchy.rollup_counts(deepest_counts(i), i.openings())
 
 
 @query
@@ -594,7 +593,7 @@ def num_countries(i: Inputs) -> DataFrame:
 
 @query
 def player_probabilities(i: Inputs) -> DataFrame:
-    return i.players_plan()
+    return i.players()
 
 
 @query
@@ -867,8 +866,7 @@ def write_features(i: Inputs) -> DataFrame:
 
 @query
 def feature_enrichment(i: Inputs) -> DataFrame:
-    country = written(i.standardized(), "countries")
-    enriched = geo.feature_enrichment(country, i.player_counts(), i.iso(), plain_features(i))
+    enriched = geo.feature_enrichment(i.standardized(), i.player_counts(), i.iso(), plain_features(i))
     return feature_values(enriched).where("key <> 'ADMIN' AND key <> 'ISO_A3'").withColumn("value", F.col("value").cast("double"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 SCALE_MIN, SCALE_MAX, SCALE_STEPS = -1.0, 3.0, 400
 
 
+# Fixed: the formulas of the color scale, which the result dictates.
 def bin_position(z: Column, low: float = SCALE_MIN, high: float = SCALE_MAX, steps: int = SCALE_STEPS) -> Column:
     """Step (1..steps) of a standard score on the color scale; 0 where there is none."""
     width = (high - low) / steps

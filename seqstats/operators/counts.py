@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seqstats.operators.shaping import union_all
 
+# The count columns of the players' tables.
 COUNTS = ["count_w", "won_w", "lost_w", "count_b", "won_b", "lost_b", "real_game_w", "real_game_b"]
 
 

@@ -20,7 +20,11 @@ def result_flags(df: DataFrame) -> DataFrame:
     )
 
 
-def filter_min_games(df: DataFrame, k: int = 50) -> DataFrame:
+# The default thresholds.
+MIN_GAMES, ALPHA, MIN_DEV, MIN_PLAYERS = 50, 0.01, 0.5, 2000
+
+
+def filter_min_games(df: DataFrame, k: int = MIN_GAMES) -> DataFrame:
     """Players with at least ``k`` games; a NULL total on either side drops the row."""
     return df.where(F.col("total_count_w") + F.col("total_count_b") >= k)
 
@@ -38,7 +42,7 @@ def filter_iso2(df: DataFrame) -> DataFrame:
 
 
 def filter_significant(
-    df: DataFrame, mode: str = "played", alpha: float = 0.01, min_dev: float = 0.5, min_players: int = 2000
+    df: DataFrame, mode: str = "played", alpha: float = ALPHA, min_dev: float = MIN_DEV, min_players: int = MIN_PLAYERS
 ) -> DataFrame:
     """Rows significant in ``mode``; a missing p-value, deviation or count is not."""
     check_choice("mode", mode, ("played", "won"))

@@ -9,7 +9,6 @@ from seqstats.functions.numbers import bin_position
 from seqstats.operators.counts import distinct_keys
 from seqstats.operators.filters import drop_unresolved
 from seqstats.operators.shaping import METRICS, SUFFIXES, union_evolving
-from seqstats.session import broadcast_if_small
 from seqstats.sources.features import MOMENTS, property_text
 
 # Tasks the features-by-openings grid is spread over.
@@ -20,7 +19,7 @@ CELLS = [c for s in SUFFIXES for c in (f"pos_{s}", f"p_{s}")]
 
 def resolve_country(df: DataFrame, iso: DataFrame) -> DataFrame:
     """Add name and three-letter code of ``ISO_A2``, NULL if it is no country."""
-    return df.join(broadcast_if_small(iso.select("ISO_A2", "country", "ISO_A3")), "ISO_A2", "left")
+    return df.join(iso.select("ISO_A2", "country", "ISO_A3"), "ISO_A2", "left")
 
 
 def new_countries(df: DataFrame, known: DataFrame) -> DataFrame:
@@ -36,7 +35,7 @@ def known_countries(country: DataFrame, iso: DataFrame, known: DataFrame) -> Dat
 def country_names(df: DataFrame, known: DataFrame) -> DataFrame:
     """Rows of known countries, with the country's name for its code."""
     names = known.select(F.col("ISO_A2").alias("_code"), F.col("country").alias("_name"))
-    joined = df.join(broadcast_if_small(names), F.col("country") == F.col("_code"))
+    joined = df.join(names, F.col("country") == F.col("_code"))
     return joined.withColumn("country", F.col("_name")).drop("_code", "_name")
 
 
@@ -52,7 +51,7 @@ def map_iso3(df: DataFrame, known: DataFrame) -> DataFrame:
     codes = known.select(F.col("ISO_A2").alias("iso_a2"), F.col("ISO_A3").alias("_iso3"))
     renamed = df.withColumnRenamed("country", "iso_a2")
     columns = [F.col("_iso3").alias("country") if c == "country" else F.col(c) for c in df.columns]
-    return renamed.join(broadcast_if_small(codes), "iso_a2", "left").select(*columns, "iso_a2")
+    return renamed.join(codes, "iso_a2", "left").select(*columns, "iso_a2")
 
 
 def positions(df: DataFrame) -> DataFrame:
@@ -137,7 +136,7 @@ def opening_metadata(openings: DataFrame, moments: DataFrame, data: DataFrame) -
     named = openings.select(F.col("id").alias("matched_id"), "name", "pgn")
     return (
         distinct_keys(data, "matched_id")
-        .join(broadcast_if_small(named), "matched_id", "left")
+        .join(named, "matched_id", "left")
         .join(moments, "matched_id", "left")
         .select("matched_id", "name", "pgn", *MOMENTS)
     )

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from seqstats.functions.moves import token_count
 from seqstats.operators.counts import COUNTS
 from seqstats.operators.matching import chain_by_shuffle
-from seqstats.session import broadcast_if_small
 
 SIX_COUNTS = ["count_w", "won_w", "lost_w", "count_b", "won_b", "lost_b"]
 
@@ -37,18 +36,17 @@ def prefix_closure(openings: DataFrame, moves: str = "moves") -> DataFrame:
     ).select("id", "ancestor_id", "depth")
 
 
-def _played_paths(counts: DataFrame, closure: DataFrame) -> DataFrame:
-    """Per player and played opening the openings above it, up to the topmost played one.
+def _played(counts: DataFrame, openings: DataFrame, moves: str) -> DataFrame:
+    """Counts with ``_below``: the opening's path from the player's topmost played opening on it down to itself.
 
-    A path is at most as long as a sequence has tokens, so the window stays small for
-    every player and opening.
+    The player's openings are a set over a window, bounded by the dictionary, so the paths are joined but never exploded
+    and the counts are shuffled by player once.
     """
-    up = closure.select(F.col("id").alias("matched_id"), "ancestor_id", "depth")
-    above = counts.join(broadcast_if_small(up), "matched_id")
-    played = counts.select("id", F.col("matched_id").alias("ancestor_id")).distinct().withColumn("_played", F.lit(True))
-    path = Window.partitionBy("id", "matched_id")
-    top = F.max(F.when(F.col("_played"), F.col("depth"))).over(path)
-    return above.join(played, ["id", "ancestor_id"], "left").withColumn("_top", top)
+    paths = _paths(openings, moves).select(F.col("id").alias("matched_id"), "path")
+    owned = F.collect_set("matched_id").over(Window.partitionBy("id"))
+    top = F.array_position("path", F.get(F.array_intersect("path", "_owned"), F.lit(0)))
+    below = F.slice("path", top.cast("int"), F.size("path"))
+    return counts.where("id IS NOT NULL").withColumn("_owned", owned).join(paths, "matched_id").withColumn("_below", below)
 
 
 def count_along_paths(counts: DataFrame, closure: DataFrame) -> DataFrame:
@@ -61,27 +59,25 @@ def count_along_paths(counts: DataFrame, closure: DataFrame) -> DataFrame:
     own = [F.sum(c).alias(c) for c in SIX_COUNTS]
     real = [F.sum(F.when(F.col("depth") == 0, F.col(c)).otherwise(0)).alias(c) for c in ("real_game_w", "real_game_b")]
     keys = [c for c in counts.columns if c not in (*COUNTS, "matched_id")]
-    above = counts.join(broadcast_if_small(up), "matched_id")
+    above = counts.join(up, "matched_id")
     return above.groupBy(*keys, F.col("ancestor_id").alias("matched_id")).agg(*own, *real)
 
 
-def base_nodes(counts: DataFrame, closure: DataFrame) -> DataFrame:
+def base_nodes(counts: DataFrame, openings: DataFrame, moves: str = "moves") -> DataFrame:
     """Per player the played openings without a played opening above them."""
-    played = counts.select("id", "matched_id").distinct()
-    return _played_paths(played, closure).where((F.col("depth") == 0) & (F.col("_top") == 0)).select("id", "matched_id")
+    return _played(counts, openings, moves).where(F.size("_below") == 1).select("id", "matched_id").distinct()
 
 
-def rollup_counts(counts: DataFrame, closure: DataFrame) -> DataFrame:
+def rollup_counts(counts: DataFrame, openings: DataFrame, moves: str = "moves") -> DataFrame:
     """Per player the six counts of every opening including all openings below it.
 
     Rows appear for the player's base openings and everything between them and a played
     opening, also where the opening in between was not played itself.
     """
-    own = counts.groupBy("id", "matched_id").agg(*[F.sum(c).alias(c) for c in SIX_COUNTS])
     summed = (
-        _played_paths(own, closure)
-        .where(F.col("depth") <= F.col("_top"))
-        .groupBy("id", F.col("ancestor_id").alias("matched_id"))
+        _played(counts, openings, moves)
+        .select("id", F.explode("_below").alias("matched_id"), *SIX_COUNTS)
+        .groupBy("id", "matched_id")
         .agg(*[F.sum(c).alias(c) for c in SIX_COUNTS])
     )
     return summed.where(sum(F.col(c) for c in SIX_COUNTS) > 0)

@@ -3,9 +3,10 @@
 Games are joined to openings on equality with one of their prefixes, by whole tokens, and
 never on ``startswith``:
 
-* a dictionary within the broadcast bounds is looked up once per prefix length, so games
-  are not shuffled at all and popular sequences cost nothing extra;
-* a larger one is matched on the distinct sequences, spread over salts, and joined back.
+* a dictionary made from small files is broadcast once and looked up by every prefix length, so
+  games are not shuffled at all and popular sequences cost nothing extra;
+* any other is matched on the distinct sequences and joined back. A prefix that nearly all
+  sequences share is split by adaptive skew handling, into as many parts as its rows need.
 
 Either way a game gets its ``chain``: the matching openings from shallowest to deepest.
 Of openings with equal sequences the greatest id counts as the deepest.
@@ -19,10 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqstats.functions.moves import prefixes, token_count
-from seqstats.session import BROADCAST_BYTES, BROADCAST_ROWS, broadcast_if_small
-
-# Copies of the dictionary a large one is spread over, against popular prefixes.
-SALTS = 16
+from seqstats.session import small_on_disk
 
 CHAIN = "array<struct<id: string, moves: string, name: string>>"
 
@@ -80,23 +78,9 @@ def with_chain(games: DataFrame, openings: DataFrame, seq: str, n: int, moves: s
     entries = openings.where((F.col(moves) != "") & (token_count(F.col(moves)) <= n)).select(
         F.col(moves).alias("key"), "id", named.alias("name"), token_count(F.col(moves)).alias("tokens")
     )
-    lengths = _lookup_lengths(entries)
-    if lengths is None:
-        return chain_by_shuffle(games, entries, seq, n)
-    return _chain_by_lookup(games, entries, seq, lengths)
-
-
-def _lookup_lengths(entries: DataFrame) -> list[int] | None:
-    """Token counts present in a dictionary within the broadcast bounds, None beyond them."""
-    size = F.octet_length("key") + F.coalesce(F.octet_length("name"), F.lit(0)) + 64
-    rows = (
-        entries.limit(BROADCAST_ROWS + 1)
-        .groupBy("tokens")
-        .agg(F.count("*").alias("entries"), F.sum(size).alias("bytes"))
-        .collect()
-    )
-    small = sum(r["entries"] for r in rows) <= BROADCAST_ROWS and sum(r["bytes"] for r in rows) <= BROADCAST_BYTES
-    return sorted(r["tokens"] for r in rows) if small else None
+    if small_on_disk(openings):
+        return _chain_by_lookup(games, entries, seq, n)
+    return chain_by_shuffle(games, entries, seq, n)
 
 
 def _by_key(entries: DataFrame) -> DataFrame:
@@ -105,37 +89,32 @@ def _by_key(entries: DataFrame) -> DataFrame:
     return entries.groupBy("key", "tokens").agg(F.sort_array(F.collect_list(opening)).alias("hits"))
 
 
-def _chain_by_lookup(games: DataFrame, entries: DataFrame, seq: str, lengths: list[int]) -> DataFrame:
-    """One broadcast lookup per prefix length. No shuffle of games."""
+def _chain_by_lookup(games: DataFrame, entries: DataFrame, seq: str, n: int) -> DataFrame:
+    """A lookup per prefix length in one broadcast dictionary. No shuffle of games."""
+    dictionary = _by_key(entries)
 
     def look_up(df: DataFrame, k: int) -> DataFrame:
-        part = _by_key(entries.where(F.col("tokens") == k)).select(
-            F.col("key").alias(f"_key_{k}"), F.col("hits").alias(f"_hits_{k}")
-        )
-        hit = F.substring_index(F.col(seq), " ", k) == F.col(f"_key_{k}")
-        return df.join(F.broadcast(part), hit, "left").drop(f"_key_{k}")
+        part = dictionary.select(F.col("key").alias(f"_key_{k}"), F.col("hits").alias(f"_hits_{k}"))
+        prefix = F.when(F.col("_tokens") >= k, F.substring_index(F.col(seq), " ", k))
+        return df.join(F.broadcast(part), prefix == F.col(f"_key_{k}"), "left").drop(f"_key_{k}")
 
     none = F.array().cast(CHAIN)
+    lengths = range(1, n + 1)
     found = [F.coalesce(f"_hits_{k}", none) for k in lengths]
-    return reduce(look_up, lengths, games).select(*games.columns, F.concat(none, *found).alias("chain"))
+    counted = games.withColumn("_tokens", token_count(F.col(seq)))
+    return reduce(look_up, lengths, counted).select(*games.columns, F.concat(none, *found).alias("chain"))
 
 
 def chain_by_shuffle(games: DataFrame, entries: DataFrame, seq: str, n: int | None) -> DataFrame:
     """Match the distinct sequences, then join back.
 
-    Equal sequences collapse before the first shuffle. A prefix shared by many of them is
-    spread over the salts. The join back has one row per sequence on the right, and a hot
-    sequence on the left is split by adaptive skew handling.
+    Equal sequences collapse before the first shuffle. Both joins have one row per key on the
+    right; a hot prefix or sequence on the left is split by adaptive skew handling.
     """
     keys = games.select(F.col(seq).alias("_seq")).where(F.col("_seq") != "").distinct()
     every = prefixes(F.col("_seq"))
-    tried = keys.select(
-        "_seq",
-        F.explode(every if n is None else F.slice(every, 1, n)).alias("key"),
-        F.pmod(F.xxhash64("_seq"), F.lit(SALTS)).alias("_salt"),
-    )
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).alias("_salt")
-    hits = tried.join(_by_key(entries).select("*", salts), ["key", "_salt"])
+    tried = keys.select("_seq", F.explode(every if n is None else F.slice(every, 1, n)).alias("key"))
+    hits = tried.join(_by_key(entries), "key")
     in_order = F.sort_array(F.collect_list(F.struct("tokens", "hits")))
     found = hits.groupBy("_seq").agg(F.flatten(F.transform(in_order, lambda h: h["hits"])).alias("_chain"))
     return games.join(found, games[seq] == found["_seq"], "left").select(
@@ -146,4 +125,4 @@ def chain_by_shuffle(games: DataFrame, entries: DataFrame, seq: str, n: int | No
 def exact_sequence_lookup(df: DataFrame, openings: DataFrame, seq: str = "pgn") -> DataFrame:
     """Id of the opening with exactly this move text (the smallest of several), or NULL."""
     by_text = openings.groupBy(F.col(seq).alias("_text")).agg(F.min("id").alias("matched_id"))
-    return df.join(broadcast_if_small(by_text), F.col(seq) == F.col("_text"), "left").drop("_text")
+    return df.join(by_text, F.col(seq) == F.col("_text"), "left").drop("_text")

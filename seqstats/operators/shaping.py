@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +22,7 @@ def product_columns(prefixes: list[str], sides: list[str]) -> list[str]:
     return [p + s for p in prefixes for s in sides]
 
 
+# The ends of the result's column names.
 SUFFIXES = product_columns(["", "won_"], ["w", "b"])
 METRICS = [f"p_{s}" for s in SUFFIXES]
 
@@ -34,8 +34,17 @@ def flatten_profile(df: DataFrame) -> DataFrame:
 
 
 def union_all(dfs: list[DataFrame]) -> DataFrame:
-    """All rows, with the first frame's columns; a frame lacking one of them is an error."""
-    return reduce(lambda a, b: a.unionByName(b.select(*a.columns)), dfs)
+    """All rows, with the first frame's columns; a frame lacking one of them is an error, further columns are left out."""
+    if not dfs:
+        raise ValueError("no frames to unite")
+    first, *others = dfs
+    for number, df in enumerate(others, 2):
+        if missing := [c for c in first.columns if c not in df.columns]:
+            raise ValueError(f"frame {number} lacks the columns {', '.join(missing)}")
+    united = first
+    for df in others:
+        united = united.unionByName(df.drop(*[c for c in df.columns if c not in first.columns]))
+    return united
 
 
 def union_evolving(a: DataFrame, b: DataFrame) -> DataFrame:

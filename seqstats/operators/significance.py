@@ -6,11 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqstats.functions.moves import last_mover
-from seqstats.operators.filters import filter_iso2, filter_outliers, filter_side, filter_significant
+from seqstats.operators.filters import (
+    ALPHA,
+    MIN_DEV,
+    MIN_PLAYERS,
+    filter_iso2,
+    filter_outliers,
+    filter_side,
+    filter_significant,
+)
 from seqstats.operators.probabilities import unstandardize
 from seqstats.operators.shaping import sort_by_deviation
-from seqstats.session import broadcast_if_small
 
+# Columns of the result.
 COLUMNS = [
     "matched_id", "country", "p_val_played", "dev_played", "prob_played", "p_val_won", "dev_won", "prob_won",
     "color", "num_players", "name", "pgn",
@@ -34,7 +42,7 @@ def join_opening_names(df: DataFrame, openings: DataFrame) -> DataFrame:
     named = openings.select(
         F.col("id").alias("matched_id"), last_mover(F.col("pgn")).alias("color"), "name", "pgn"
     )
-    return df.join(broadcast_if_small(named), "matched_id")
+    return df.join(named, "matched_id")
 
 
 def deviations(
@@ -53,8 +61,13 @@ def by_color(column: str, end: str = "") -> Column:
 def colored_deviations(
     ks: DataFrame, country: DataFrame, counts: DataFrame, moments: DataFrame, openings: DataFrame
 ) -> DataFrame:
-    """Test results, scores and probabilities of every opening in its own color."""
-    rows = deviations(ks, country, counts, moments, openings).withColumns(
+    """Test results, scores and probabilities of every opening in its own color, where none of them is missing.
+
+    The rows of ``deviations`` that can be significant: those lack no side, so all joins are inner ones, countries without
+    a two-letter code go before the joins, and the small tables are left to be broadcast by their measured size.
+    """
+    joined = filter_iso2(ks).join(filter_iso2(country), ["country", "matched_id"]).join(counts, "country")
+    rows = join_opening_names(joined.join(moments, "matched_id"), openings).withColumns(
         {
             "p_val_played": by_color("p", "_p_value"),
             "dev_played": by_color("stand_p"),
@@ -67,7 +80,7 @@ def colored_deviations(
 
 def significant_deviations(
     ks: DataFrame, country: DataFrame, counts: DataFrame, moments: DataFrame, openings: DataFrame,
-    mode: str = "played", color: str = "w", alpha: float = 0.01, min_dev: float = 0.5, min_players: int = 2000,
+    mode: str = "played", color: str = "w", alpha: float = ALPHA, min_dev: float = MIN_DEV, min_players: int = MIN_PLAYERS,
 ) -> DataFrame:
     """Deviations of one color's openings that pass the tests in ``mode``."""
     rows = filter_side(colored_deviations(ks, country, counts, moments, openings), color)
@@ -76,13 +89,28 @@ def significant_deviations(
 
 def all_significant(
     ks: DataFrame, country: DataFrame, counts: DataFrame, moments: DataFrame, openings: DataFrame,
-    mode: str = "played", alpha: float = 0.01, min_dev: float = 0.5, min_players: int = 2000,
+    mode: str = "played", alpha: float = ALPHA, min_dev: float = MIN_DEV, min_players: int = MIN_PLAYERS,
 ) -> DataFrame:
     """Significant deviations of both colors, found in one pass, the largest first."""
     rows = colored_deviations(ks, country, counts, moments, openings)
     return sort_by_deviation(filter_significant(rows, mode, alpha, min_dev, min_players), mode)
 
 
+def significant_in_either(
+    ks: DataFrame, country: DataFrame, counts: DataFrame, moments: DataFrame, openings: DataFrame,
+    alpha: float = ALPHA, min_dev: float = MIN_DEV, min_players: int = MIN_PLAYERS,
+) -> DataFrame:
+    """Rows significant in either mode, with the flags ``played`` and ``won``: one pass for both results."""
+    rows = colored_deviations(ks, country, counts, moments, openings)
+    passed = [
+        F.coalesce(
+            (F.col(f"p_val_{m}") < alpha) & (F.abs(f"dev_{m}") > min_dev) & (F.col("num_players") >= min_players), F.lit(False)
+        ).alias(m)
+        for m in ("played", "won")
+    ]
+    return rows.select("*", *passed).where("played OR won")
+
+
 def opening_profile(country: DataFrame, moments: DataFrame, openings: DataFrame, opening: str) -> DataFrame:
     """Countries' probabilities for one opening in its last mover's color.
 

@@ -1,4 +1,4 @@
-"""Session helpers: shared folders, file system checks and size-checked broadcasts."""
+"""Session helpers: shared folders and file system checks."""
 
 from __future__ import annotations
 
@@ -6,11 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-# A table is broadcast only when both bounds hold.
-BROADCAST_ROWS = 200_000
-BROADCAST_BYTES = 64 * 1024 * 1024
+# A dictionary is broadcast only if all files it is made from have this size at most, compressed.
+BROADCAST_FILE_BYTES = 8 * 1024 * 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,12 +34,6 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan with fewer splits than cores, dealt over all of them; any other scan as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """The frame written to the shared folder and read back: cuts its lineage for reuse."""
     spark = df.sparkSession
@@ -60,20 +52,19 @@ def delete_path(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Whether a dimension fits the broadcast bounds; reads at most ``max_rows + 1`` rows."""
-    text = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if f.dataType.simpleString() == "string"]
-    width = sum(text, F.lit(16 * len(df.columns)))
-    rows, size = (
-        df.limit(max_rows + 1).select(width.alias("w")).agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0))).first()
-    )
-    return rows <= max_rows and size <= max_bytes
-
+def small_on_disk(df: DataFrame, limit: int = BROADCAST_FILE_BYTES) -> bool:
+    """Whether all files a frame is made from are small together. Looks at the files only and starts no job.
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for a dimension that passes the size check, else the plain frame.
-
-    For inputs (dictionaries, country tables). Derived frames are left to Spark, which
-    decides by their measured size.
+    A frame that is not read from files has no known size and is not small.
     """
-    return F.broadcast(df) if is_small(df, max_rows) else df
+    spark = df.sparkSession
+    files = df.inputFiles()
+    if not files or len(files) > 1_000:
+        return False
+    total = 0
+    for name in files:
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+        total += path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+        if total > limit:
+            return False
+    return True

@@ -50,8 +50,7 @@ def expected(games, openings, n):
 @pytest.mark.parametrize("n", [10, 3])
 @pytest.mark.parametrize("large", [False, True])
 def test_match_prefixes(frames, data, n, large, monkeypatch):
-    if large:
-        monkeypatch.setattr(matching, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(matching, "small_on_disk", lambda df: not large)
     found = match_prefixes(*frames, n=n)
     assert rows(found) == expected(*data, n)
 
@@ -114,7 +113,7 @@ def test_rollup_and_base(spark, frames, data):
     paths = {o[0]: above(data[1], o) for o in data[1]}
     table = [(f"p{p}", i, *[rng.randrange(5) + 1 for _ in SIX_COUNTS]) for p in range(8) for i in rng.sample(ids, 7)]
     counts = spark.createDataFrame(table, "id STRING, matched_id STRING, " + ", ".join(f"{c} INT" for c in SIX_COUNTS))
-    closure = prefix_closure(frames[1])
+    openings = frames[1]
 
     summed, base = {}, []
     for player in {t[0] for t in table}:
@@ -125,8 +124,8 @@ def test_rollup_and_base(spark, frames, data):
                 under = [own[i] for i in own if node in paths[i]]
                 if under:
                     summed[player, node] = tuple(map(sum, zip(*under)))
-    assert rows(base_nodes(counts, closure)) == sorted(base, key=repr)
-    assert rows(rollup_counts(counts, closure)) == sorted(((*k, *v) for k, v in summed.items()), key=repr)
+    assert rows(base_nodes(counts, openings)) == sorted(base, key=repr)
+    assert rows(rollup_counts(counts, openings)) == sorted(((*k, *v) for k, v in summed.items()), key=repr)
 
 
 def plan(df):
@@ -135,8 +134,9 @@ def plan(df):
 
 def test_plan_of_small_dictionary_keeps_games_in_place(spark, tmp_path, frames):
     """Games are neither shuffled nor compared pairwise with the dictionary."""
-    frames[0].write.parquet(str(tmp_path / "games"))
-    text = plan(match_prefixes(spark.read.parquet(str(tmp_path / "games")), frames[1]))
+    for name, frame in zip(("games", "openings"), frames):
+        frame.write.parquet(str(tmp_path / name))
+    text = plan(match_prefixes(*(spark.read.parquet(str(tmp_path / name)) for name in ("games", "openings"))))
     assert "NestedLoop" not in text and "Cartesian" not in text and "Python" not in text
     games_side = [line for line in text.split("\n") if "Exchange hashpartitioning" in line and "moves" in line and "white" in line]
     assert not games_side

@@ -75,13 +75,8 @@ def test_csv_keeps_quotes_and_order(spark, tmp_path):
     assert 'say ""a"", b' in text
 
 
-def test_size_check(spark):
-    few, many = spark.range(10), spark.range(1000)
-    assert session.is_small(few, max_rows=100) and not session.is_small(many, max_rows=100)
-    assert not session.is_small(few, max_bytes=50)
-
-
-def test_spread_leaves_wide_scans_alone(spark):
-    wide = spark.range(0, 100, 1, numPartitions=64)
-    assert session.spread(wide) is wide
-    assert session.spread(spark.range(0, 100, 1, numPartitions=1)).rdd.getNumPartitions() > 1
+def test_size_check_looks_at_files_only(spark, tmp_path):
+    spark.range(1000).write.parquet(str(tmp_path / "a b"))
+    read = spark.read.parquet(str(tmp_path / "a b"))
+    assert session.small_on_disk(read) and not session.small_on_disk(read, limit=100)
+    assert session.small_on_disk(read.union(read).distinct()) and not session.small_on_disk(spark.range(10))
