@@ -1,58 +1,87 @@
-"""Command line: ``spark-submit -m seqstats JOB --root DATA --name NAME ...``."""
+"""Command line: ``spark-submit -m seqstats --root DATA JOB --name NAME ...``."""
 
 from __future__ import annotations
 
 import argparse
+import sys
 
 from pyspark.sql import SparkSession
 
+from seqstats.operators.filters import ALPHA, MIN_DEV, MIN_GAMES, MIN_PLAYERS
+from seqstats.operators.ks import EXACT_LIMIT
 from seqstats.plans import jobs
 from seqstats.sources.openings import read_openings
+from seqstats.sources.stages import write_csv
 
 
-def main() -> None:
+def parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="seqstats")
     parser.add_argument("--root", required=True, help="data folder shared by all executors")
     sub = parser.add_subparsers(dest="job", required=True)
-    for job in ("games", "players", "probabilities", "countries", "distributions", "ks", "significant",
-                "known-countries", "enrich"):
+    for job in ("games", "players", "new-players", "probabilities", "countries", "distributions", "ks", "significant",
+                "known-countries", "enrich", "opening-profile"):
         sub.add_parser(job).add_argument("--name", required=True)
-    sub.choices["games"].add_argument("--pgn", required=True)
-    sub.choices["known-countries"].add_argument("--iso", required=True, help="CSV with ISO_A2, country, ISO_A3")
-    sub.choices["enrich"].add_argument("--features", required=True)
-    sub.choices["enrich"].add_argument("--out", required=True)
-    sub.choices["enrich"].add_argument("--moments")
+    choose = sub.choices
+    choose["games"].add_argument("--pgn", required=True)
+    choose["games"].add_argument("--n", type=int, default=10, help="half-moves to match")
+    for job in ("countries", "distributions", "ks"):
+        choose[job].add_argument("--min-games", type=int, default=MIN_GAMES)
+    choose["ks"].add_argument("--method", choices=("auto", "exact", "finite", "asymp"), default="auto")
+    choose["ks"].add_argument("--exact-limit", type=int, default=EXACT_LIMIT)
+    choose["significant"].add_argument("--alpha", type=float, default=ALPHA)
+    choose["significant"].add_argument("--min-dev", type=float, default=MIN_DEV)
+    choose["significant"].add_argument("--min-players", type=int, default=MIN_PLAYERS)
+    choose["known-countries"].add_argument("--iso", required=True, help="CSV with ISO_A2, country, ISO_A3")
+    choose["enrich"].add_argument("--features", required=True)
+    choose["enrich"].add_argument("--out", required=True)
+    choose["enrich"].add_argument("--moments")
+    choose["enrich"].add_argument("--document", action="store_true", help="one document instead of lines")
+    choose["new-players"].add_argument("--out", required=True, help="CSV folder for the schedule")
+    choose["opening-profile"].add_argument("--opening", required=True)
+    choose["opening-profile"].add_argument("--out", required=True, help="CSV folder for the points")
     merge = sub.add_parser("merge")
     merge.add_argument("--start", required=True)
     merge.add_argument("--end")
-    args = parser.parse_args()
+    sub.add_parser("merge-profiles").add_argument("--responses", required=True, help="JSON lines with id and profile")
+    return parser
 
+
+def main(arguments: list[str] | None = None) -> None:
+    args = parser().parse_args(sys.argv[1:] if arguments is None else arguments)
     spark = SparkSession.builder.appName(f"seqstats {args.job}").getOrCreate()
-    openings = f"{args.root}/openings"
+    root = args.root
+
+    def openings():
+        return read_openings(spark, f"{root}/openings")
+
     if args.job == "games":
-        jobs.run_games(spark, args.root, args.name, args.pgn, read_openings(spark, openings))
+        jobs.run_games(spark, root, args.name, args.pgn, openings(), args.n)
     elif args.job == "players":
-        jobs.run_player_openings(spark, args.root, args.name, read_openings(spark, openings))
+        jobs.run_player_openings(spark, root, args.name, openings())
     elif args.job == "merge":
-        jobs.run_merge_months(spark, args.root, args.start, args.end)
+        jobs.run_merge_months(spark, root, args.start, args.end)
+    elif args.job == "new-players":
+        write_csv(jobs.run_new_player_batches(spark, root, args.name), args.out)
+    elif args.job == "merge-profiles":
+        jobs.run_merge_profiles(spark, root, spark.read.json(args.responses))
     elif args.job == "probabilities":
-        jobs.run_player_probabilities(spark, args.root, args.name)
+        jobs.run_player_probabilities(spark, root, args.name)
     elif args.job == "countries":
-        jobs.run_country_probabilities(spark, args.root, args.name)
+        jobs.run_country_probabilities(spark, root, args.name, args.min_games)
     elif args.job == "distributions":
-        jobs.run_distributions(spark, args.root, args.name)
+        jobs.run_distributions(spark, root, args.name, args.min_games)
     elif args.job == "ks":
-        jobs.run_ks_test(spark, args.root, args.name)
+        jobs.run_ks_test(spark, root, args.name, args.min_games, args.method, args.exact_limit)
     elif args.job == "significant":
-        jobs.run_significant(spark, args.root, args.name, read_openings(spark, openings))
+        jobs.run_significant(spark, root, args.name, openings(), args.alpha, args.min_dev, args.min_players)
     elif args.job == "known-countries":
-        iso = spark.read.option("header", True).csv(args.iso)
-        jobs.run_known_countries(spark, args.root, args.name, iso)
+        jobs.run_known_countries(spark, root, args.name, spark.read.option("header", True).csv(args.iso))
     elif args.job == "enrich":
-        jobs.run_feature_enrichment(
-            spark, args.root, args.name, read_openings(spark, openings), args.features, args.out, args.moments
-        )
-    spark.stop()
+        jobs.run_feature_enrichment(spark, root, args.name, openings(), args.features, args.out, args.moments, args.document)
+    elif args.job == "opening-profile":
+        write_csv(jobs.run_opening_profile(spark, root, args.name, openings(), args.opening), args.out)
+    if arguments is None:
+        spark.stop()
 
 
 if __name__ == "__main__":

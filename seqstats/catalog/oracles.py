@@ -417,7 +417,8 @@ SQL = {
         SELECT matched_id, country, {r6_all(METRICS)}, {mover("pgn")} AS color, name, pgn
         FROM means JOIN openings ON matched_id = id""",
     "new_players": """
-        SELECT DISTINCT id FROM counts WHERE id NOT IN (SELECT id FROM profiles WHERE country IS NOT NULL)""",
+        SELECT CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN 'P' ELSE 'p' END || id AS id
+        FROM (SELECT DISTINCT id FROM counts WHERE id NOT IN (SELECT id FROM profiles WHERE country IS NOT NULL))""",
     "new_countries": """
         SELECT DISTINCT country AS ISO_A2 FROM profiles p WHERE NOT EXISTS (SELECT 1 FROM iso WHERE ISO_A2 = p.country)""",
     "attach_player_counts": f"""
@@ -442,7 +443,9 @@ SQL = {
         FROM (SELECT DISTINCT matched_id FROM means) c JOIN openings o ON c.matched_id = o.id
         LEFT JOIN (SELECT * FROM moments WHERE mean_p_w > 0.01) m ON c.matched_id = m.matched_id""",
     # aggregates
-    "player_openings": "SELECT * FROM counts",
+    "player_openings": f"""
+        SELECT lower(name) AS id, matched_id, {COUNT_EIGHT}
+        FROM (SELECT *, CASE WHEN result = '1-0' THEN 'P' ELSE 'p' END || username AS name FROM sides) GROUP BY name, matched_id""",
     "player_openings_along_paths": "SELECT * FROM counts",
     "merge_counts": "SELECT * FROM counts",
     "player_totals": "SELECT * FROM totals",
@@ -555,9 +558,12 @@ SQL = {
     # map documents
     "read_features": """
         SELECT ISO_A3, 'ISO_A3' AS key, ISO_A3 AS value FROM features
-        UNION ALL SELECT ISO_A3, 'ADMIN', lower(ISO_A3) FROM features""",
+        UNION ALL SELECT ISO_A3, 'ADMIN', lower(ISO_A3) FROM features
+        UNION ALL SELECT ISO_A3, 'member id', '"f' || ISO_A3 || '"' FROM features
+        UNION ALL SELECT ISO_A3, 'member bbox', '[0,1]' FROM features
+        UNION ALL SELECT NULL, 'collection name', '"countries"' UNION ALL SELECT NULL, 'collection crs', '{"type":"name"}'""",
     "write_features": """
-        SELECT lower(ISO_A3) AS admin,
+        SELECT lower(ISO_A3) AS admin, 'f' || ISO_A3 AS id,
                '{"coordinates":[0.5,' || CAST(length(ISO_A3) AS VARCHAR) || '],"type":"Point"}' AS geometry FROM features""",
     "feature_enrichment": " UNION ALL ".join(
         f"""SELECT f.ISO_A3, o.id || '_{label}' AS key, {r6(f"CAST(coalesce({cell}, 0) AS DOUBLE)", "value")}
@@ -566,7 +572,8 @@ SQL = {
         for s in SUFFIXES
         for label, cell in ((f"POS_{s.upper()}", f"pos_{s}"), (s.upper(), f"p_{s}"))
     )
-    + """ UNION ALL SELECT f.ISO_A3, 'PLAYER_COUNT', CAST(coalesce(num_players, 0) AS DOUBLE)
+    + """ UNION ALL SELECT ISO_A3, 'member bbox', 1::DOUBLE FROM features
+        UNION ALL SELECT f.ISO_A3, 'PLAYER_COUNT', CAST(coalesce(num_players, 0) AS DOUBLE)
         FROM features f LEFT JOIN iso i ON f.ISO_A3 = i.ISO_A3 LEFT JOIN player_counts n ON n.country = i.ISO_A2""",
     "write_metadata": f"""
         SELECT 300 AS positive_positions, 100 AS negative_positions, (SELECT count(*) FROM iso) AS num_countries,
@@ -575,7 +582,7 @@ SQL = {
         JOIN moments m ON c.matched_id = m.matched_id""",
     "read_metadata": """
         SELECT 300 AS positive_positions, 100 AS negative_positions, (SELECT count(*) FROM iso) AS num_countries,
-               CAST(count(DISTINCT matched_id) AS INTEGER) AS num_openings FROM means""",
+               CAST(count(DISTINCT matched_id) AS INTEGER) AS num_openings, 'kept' AS source FROM means""",
     # jobs
     "games": f"""
         SELECT white, black, coalesce(original_name, 'Unknown') AS original_name, moves AS original_moves, result,
@@ -587,7 +594,8 @@ SQL = {
         SELECT run, batch_no, batch_no // 3 AS slot, batch_no // 3 * 600 AS start_offset_s, string_agg(id, ',' ORDER BY id) AS ids
         FROM (SELECT id, rank // 120000 AS run, rank % 120000 // 20 AS batch_no
               FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS rank
-                    FROM (SELECT DISTINCT id FROM counts WHERE id NOT IN (SELECT id FROM profiles WHERE country IS NOT NULL))))
+                    FROM (SELECT DISTINCT CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN 'P' ELSE 'p' END || id AS id
+                          FROM counts WHERE id NOT IN (SELECT id FROM profiles WHERE country IS NOT NULL))))
         GROUP BY run, batch_no""",
     "merge_profiles": """
         SELECT id, country, NULL AS source FROM profiles WHERE country IS NOT NULL

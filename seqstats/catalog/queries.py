@@ -24,7 +24,7 @@ from seqstats.operators import (
 )
 from seqstats.operators.shaping import METRICS, SUFFIXES
 from seqstats.plans import jobs
-from seqstats.session import fresh_dir
+from seqstats.session import fresh_dir, move_path, path_exists
 from seqstats.sources import features, openings, records, stages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,21 +146,23 @@ def product_columns(i: Inputs) -> DataFrame:
 
 
 def written_openings(i: Inputs) -> str:
+    """The dictionary as files ``*.tsv``, some columns of which are to be left out."""
     path = fresh_dir(i.spark, "openings")
     table = i.openings().select("eco", "name", "pgn", "uci", F.lit("x").alias("Unnamed: 0"))
-    table.write.option("sep", "\t").option("header", True).option("quote", "").csv(path)
+    table.write.option("sep", "\t").option("header", True).option("quote", "").csv(f"{path}/written")
+    for k, name in enumerate(sorted(f for f in i.spark.read.text(f"{path}/written").inputFiles())):
+        move_path(i.spark, name, f"{path}/part{k}.tsv")
     return path
 
 
 @query
 def union_files(i: Inputs) -> DataFrame:
-    return openings.union_files(i.spark, f"{written_openings(i)}/*.csv")
+    return openings.union_files(i.spark, f"{written_openings(i)}/*.tsv")
 
 
 @query
 def read_openings(i: Inputs) -> DataFrame:
-    table = openings.union_files(i.spark, f"{written_openings(i)}/*.csv")
-    return openings.with_ids(shaping.drop_matching(table, "^Unnamed"))
+    return openings.read_openings(i.spark, written_openings(i))
 
 
 @query
@@ -196,9 +198,12 @@ def read_months(i: Inputs) -> DataFrame:
 
 @query
 def read_known(i: Inputs) -> DataFrame:
+    """Two conflicting rows for every code; the one seen first counts."""
     path = fresh_dir(i.spark, "known")
-    i.iso().unionByName(i.iso()).write.parquet(path)
-    return stages.read_known(i.spark, path, "ISO_A2", jobs.KNOWN_COUNTRIES)
+    first = i.iso().withColumn("seen", F.lit(1))
+    later = i.iso().select("ISO_A2", F.lower("ISO_A3").alias("ISO_A3"), F.lit("a later name").alias("country"), F.lit(2).alias("seen"))
+    later.unionByName(first).write.parquet(path)
+    return stages.read_known(i.spark, path, "ISO_A2", jobs.KNOWN_COUNTRIES, "seen").drop("seen")
 
 
 @query
@@ -445,9 +450,20 @@ def known_profiles(i: Inputs) -> DataFrame:
     return i.profiles().where("country IS NOT NULL")
 
 
+def cased(name: F.Column) -> F.Column:
+    """Names in two spellings, by the player's number."""
+    return F.concat(F.when(name.cast("bigint") % 2 == 0, "P").otherwise("p"), name)
+
+
+def cased_players(i: Inputs) -> tuple[DataFrame, DataFrame]:
+    """Players in two spellings, and the known ones in lower case."""
+    known = known_profiles(i).withColumn("id", F.concat(F.lit("p"), "id"))
+    return counts.distinct_keys(i.counts(), "id").select(cased(F.col("id")).alias("id")), known
+
+
 @query
 def new_players(i: Inputs) -> DataFrame:
-    return profiles.new_players(counts.distinct_keys(i.counts(), "id"), known_profiles(i))
+    return profiles.new_players(*cased_players(i))
 
 
 @query
@@ -500,7 +516,10 @@ def opening_metadata(i: Inputs) -> DataFrame:
 
 @query
 def player_openings(i: Inputs) -> DataFrame:
-    return i.counts()
+    """Names in two spellings, by color and result: they are counted as written and lower-cased afterwards."""
+    won = F.when(F.col("result") == "1-0", "P").otherwise("p")
+    games = i.matches().withColumns({c: F.concat(won, F.col(c)) for c in ("white", "black")})
+    return counts.player_openings(games)
 
 
 @query
@@ -831,7 +850,7 @@ def scalar_map_json(i: Inputs) -> DataFrame:
 
 
 def plain_features(i: Inputs) -> DataFrame:
-    """The map's codes as features with a name and a point."""
+    """The map's codes as features with a name, a point and members that GeoJSON allows besides."""
     return i.features().select(
         F.lit("Feature").alias("type"),
         F.map_from_arrays(
@@ -839,6 +858,18 @@ def plain_features(i: Inputs) -> DataFrame:
             F.array(F.col("ISO_A3").cast("variant"), F.lower("ISO_A3").cast("variant")),
         ).alias("properties"),
         F.parse_json(F.concat(F.lit('{"type":"Point","coordinates":[0.5,'), F.length("ISO_A3"), F.lit("]}"))).alias("geometry"),
+        F.map_from_arrays(
+            F.array(F.lit("id"), F.lit("bbox")),
+            F.array(F.concat(F.lit("f"), "ISO_A3").cast("variant"), F.parse_json(F.lit("[0,1]"))),
+        ).alias("members"),
+    )
+
+
+def collection_members(i: Inputs) -> DataFrame:
+    return i.spark.range(1).select(
+        F.map_from_arrays(
+            F.array(F.lit("name"), F.lit("crs")), F.array(F.lit("countries").cast("variant"), F.parse_json(F.lit('{"type":"name"}')))
+        ).alias("members")
     )
 
 
@@ -849,11 +880,19 @@ def feature_values(df: DataFrame) -> DataFrame:
     )
 
 
+def member_values(df: DataFrame, code: F.Column, prefix: str) -> DataFrame:
+    found = df.select(code.alias("ISO_A3"), F.explode("members").alias("key", "value"))
+    return found.select("ISO_A3", F.concat(F.lit(prefix), "key").alias("key"), F.to_json("value").alias("value"))
+
+
 @query
 def read_features(i: Inputs) -> DataFrame:
     path = fresh_dir(i.spark, "features")
-    features.write_features(plain_features(i), path, document=True)
-    return feature_values(features.read_features(i.spark, path))
+    features.write_features(plain_features(i), path, document=True, collection=collection_members(i))
+    read = features.read_features(i.spark, path)
+    members = member_values(read, features.property_text(read, "ISO_A3"), "member ")
+    collection = member_values(features.read_collection(i.spark, path), F.lit(None).cast("string"), "collection ")
+    return feature_values(read).unionByName(members).unionByName(collection)
 
 
 @query
@@ -861,34 +900,43 @@ def write_features(i: Inputs) -> DataFrame:
     path = fresh_dir(i.spark, "features")
     features.write_features(plain_features(i), path)
     read = features.read_features(i.spark, path, lines=True)
-    return read.select(features.property_text(read, "ADMIN").alias("admin"), F.to_json("geometry").alias("geometry"))
+    code = F.try_element_at("members", F.lit("id")).cast("string").alias("id")
+    return read.select(features.property_text(read, "ADMIN").alias("admin"), F.to_json("geometry").alias("geometry"), code)
 
 
 @query
 def feature_enrichment(i: Inputs) -> DataFrame:
     enriched = geo.feature_enrichment(i.standardized(), i.player_counts(), i.iso(), plain_features(i))
-    return feature_values(enriched).where("key <> 'ADMIN' AND key <> 'ISO_A3'").withColumn("value", F.col("value").cast("double"))
+    code = features.property_text(enriched, "ISO_A3")
+    values = feature_values(enriched).where("key <> 'ADMIN' AND key <> 'ISO_A3'").withColumn("value", F.col("value").cast("double"))
+    kept = member_values(enriched, code, "member ").where("key = 'member bbox'").withColumn("value", F.lit(1.0))
+    return values.unionByName(kept)
 
 
-def written_metadata(i: Inputs) -> DataFrame:
+def written_metadata(i: Inputs, document: bool) -> str:
+    """Metadata written over earlier ones, of which a member is to be kept and a number to be replaced."""
     path = fresh_dir(i.spark, "metadata")
     described = geo.opening_metadata(i.openings(), i.moments(), i.means())
-    features.write_metadata(described, counts.num_countries(i.iso()), numbers.bin_counts(), path)
-    return features.read_metadata(i.spark, path)
+    earlier = i.spark.range(1).select(F.parse_json(F.lit('{"source":"kept","num_countries":-1}')).cast("variant").alias("d"))
+    earlier = earlier.select(F.try_variant_get("d", "$", features.MEMBERS).alias("members"))
+    features.write_metadata(described, counts.num_countries(i.iso()), numbers.bin_counts(), path, document, earlier)
+    return path
 
 
 @query
 def write_metadata(i: Inputs) -> DataFrame:
-    return written_metadata(i).select(
-        "positive_positions", "negative_positions", "num_countries", F.explode("openings").alias("matched_id", "o")
-    ).select("positive_positions", "negative_positions", "num_countries", "matched_id", "o.*")
+    path = written_metadata(i, document=False)
+    totals = features.read_metadata(i.spark, path).drop("members")
+    return features.read_metadata_openings(i.spark, path).select("*", *[totals.select(c).scalar().alias(c) for c in totals.columns])
 
 
 @query
 def read_metadata(i: Inputs) -> DataFrame:
-    return written_metadata(i).select(
-        "positive_positions", "negative_positions", "num_countries", F.size("openings").alias("num_openings")
-    )
+    path = written_metadata(i, document=True)
+    found = features.read_metadata(i.spark, path, document=True)
+    known = features.read_metadata_openings(i.spark, path, document=True).agg(F.count("*").cast("int").alias("n"))
+    source = F.try_element_at("members", F.lit("source")).cast("string").alias("source")
+    return found.select(*features.TOTALS, known.scalar().alias("num_openings"), source)
 
 
 # --- jobs ------------------------------------------------------------------------------------------
@@ -899,16 +947,26 @@ def games(i: Inputs) -> DataFrame:
     return jobs.games_from_records(written_records(i), i.openings())
 
 
+def written_months(i: Inputs, root: str) -> None:
+    """The players' table of every month, each a stage of its own."""
+    path = f"{root}/written"
+    stages.write_months(i.monthly(), path)
+    for month in stages.month_range(*month_bounds(i)):
+        if path_exists(i.spark, f"{path}/month={month}"):
+            move_path(i.spark, f"{path}/month={month}", stages.stage_path(root, "players", month))
+
+
 @query
 def merge_months(i: Inputs) -> DataFrame:
-    path = fresh_dir(i.spark, "months")
-    stages.write_months(i.monthly(), path)
-    return counts.sum_counts(stages.read_months(i.spark, path, *month_bounds(i)))
+    root = fresh_dir(i.spark, "months")
+    i.spark.range(0).write.parquet(stages.stage_path(root, "players", "none"))
+    written_months(i, root)
+    return i.spark.read.parquet(jobs.run_merge_months(i.spark, root, *month_bounds(i)))
 
 
 @query
 def new_player_batches(i: Inputs) -> DataFrame:
-    return profiles.new_player_batches(i.counts(), known_profiles(i), size=20, per_period=3)
+    return profiles.new_player_batches(*cased_players(i), size=20, per_period=3)
 
 
 @query

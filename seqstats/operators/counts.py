@@ -93,10 +93,14 @@ def distinct_keys(df: DataFrame, col: str) -> DataFrame:
     return df.select(col).distinct()
 
 
-def dedupe_known(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row per key by ``order``; partial results keep hot keys cheap."""
+def dedupe_known(df: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """The first row per key by ``order``, without one the row whose other columns are least.
+
+    Partial results keep hot keys cheap.
+    """
     rest = [c for c in df.columns if c != key]
-    first = F.min_by(F.struct(*rest), F.col(order)).alias("r")
+    row = F.struct(*rest)
+    first = (F.min(row) if order is None else F.min_by(row, F.col(order))).alias("r")
     return df.groupBy(key).agg(first).select(key, *[F.col("r")[c].alias(c) for c in rest]).select(*df.columns)
 
 

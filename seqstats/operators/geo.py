@@ -11,9 +11,6 @@ from seqstats.operators.filters import drop_unresolved
 from seqstats.operators.shaping import METRICS, SUFFIXES, union_evolving
 from seqstats.sources.features import MOMENTS, property_text
 
-# Tasks the features-by-openings grid is spread over.
-SPREAD = 32
-
 CELLS = [c for s in SUFFIXES for c in (f"pos_{s}", f"p_{s}")]
 
 
@@ -60,22 +57,25 @@ def positions(df: DataFrame) -> DataFrame:
     return placed.fillna(0, METRICS)
 
 
-def dense_grid(features: DataFrame, openings: DataFrame, data: DataFrame) -> DataFrame:
-    """Positions and probabilities for every feature and opening, 0 where there are none.
+def cells_of(data: DataFrame) -> DataFrame:
+    """Positions and probabilities by feature code and opening, only where there are data.
 
-    The map needs a value in every cell, so the result itself is features times openings.
-    The openings are dealt over ``SPREAD`` buckets that the (few) features are joined to by
-    equality, so the cells come out spread over the cluster. Two codes for one feature:
-    the one with the greater two-letter code counts.
+    Two codes for one feature: the one with the greater two-letter code counts.
     """
-    bucket = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)).cast("array<bigint>")).alias("_bucket")
-    dealt = openings.select("matched_id").distinct().withColumn("_bucket", F.pmod(F.xxhash64("matched_id"), F.lit(SPREAD)))
-    grid = features.select("ISO_A3").distinct().select("ISO_A3", bucket).join(dealt, "_bucket").drop("_bucket")
     last = F.max_by(F.struct(*CELLS), "iso_a2").alias("_cell")
     cells = data.groupBy(F.col("country").alias("ISO_A3"), "matched_id").agg(last)
-    return grid.join(cells, ["ISO_A3", "matched_id"], "left").select(
-        "ISO_A3", "matched_id", *[F.coalesce(F.col("_cell")[c], F.lit(0)).alias(c) for c in CELLS]
-    )
+    return cells.select("ISO_A3", "matched_id", *[F.col("_cell")[c].alias(c) for c in CELLS])
+
+
+def dense_grid(features: DataFrame, openings: DataFrame, data: DataFrame) -> DataFrame:
+    """Positions and probabilities for every feature and opening, 0 where there are none.
+
+    For consumers that want a row for every cell; the map itself stores the cells with data only. The openings, which the
+    dictionary bounds, are one array that every feature is exploded by.
+    """
+    every = openings.agg(F.collect_set("matched_id").alias("all")).scalar()
+    grid = features.select("ISO_A3").distinct().withColumn("_all", every).select("ISO_A3", F.explode("_all").alias("matched_id"))
+    return grid.join(cells_of(data), ["ISO_A3", "matched_id"], "left").fillna(0, CELLS)
 
 
 def feature_player_counts(features: DataFrame, counts: DataFrame) -> DataFrame:
@@ -85,24 +85,16 @@ def feature_player_counts(features: DataFrame, counts: DataFrame) -> DataFrame:
     return features.select("ISO_A3").join(by_code, "ISO_A3", "left").fillna(0, ["num_players"])
 
 
-def cell_properties(grid: DataFrame) -> DataFrame:
-    """The grid as feature properties: ``ISO_A3``, ``key``, ``value`` and whether it is whole."""
-    entries = []
-    for s in SUFFIXES:
-        for label, cell, whole in ((f"POS_{s.upper()}", f"pos_{s}", True), (s.upper(), f"p_{s}", False)):
-            key, value = F.concat_ws("_", "matched_id", F.lit(label)), F.col(cell).cast("double")
-            entries.append(F.struct(key.alias("key"), value.alias("value"), F.lit(whole).alias("whole")))
-    return grid.select("ISO_A3", F.inline(F.array(*entries)))
+LABELS = [(f"POS_{s.upper()}", f"pos_{s}", True) if whole else (s.upper(), f"p_{s}", False) for s in SUFFIXES for whole in (True, False)]
 
 
-def enriched_cells(
-    country: DataFrame, counts: DataFrame, known: DataFrame, features: DataFrame
-) -> tuple[DataFrame, DataFrame]:
-    """The filled grid and the player counts of all features."""
-    data = map_iso3(attach_player_counts(country, counts), known)
-    data = positions(drop_unresolved(data, "country"))
-    players = drop_unresolved(map_iso3(counts, known), "country")
-    return dense_grid(features, data, data), feature_player_counts(features, players)
+def cell_properties(cells: DataFrame) -> DataFrame:
+    """Cells as feature properties: ``ISO_A3``, ``key``, ``value`` and whether it is whole."""
+    entries = []
+    for label, cell, whole in LABELS:
+        key, value = F.concat_ws("_", "matched_id", F.lit(label)), F.col(cell).cast("double")
+        entries.append(F.struct(key.alias("key"), value.alias("value"), F.lit(whole).alias("whole")))
+    return cells.select("ISO_A3", F.inline(F.array(*entries)))
 
 
 def feature_enrichment(
@@ -110,25 +102,35 @@ def feature_enrichment(
 ) -> DataFrame:
     """Map features with player count, positions and probabilities added to their properties.
 
-    A feature's properties are one map, bounded by the number of openings.
+    Rows are made for cells with data only. A feature's properties are one map, bounded by the number of openings; the
+    openings it has no data for are filled in there with 0.
     """
+    data = drop_unresolved(positions(map_iso3(attach_player_counts(country, counts), known)), "country")
+    players = drop_unresolved(map_iso3(counts, known), "country")
     coded = features.withColumn("ISO_A3", property_text(features, "ISO_A3"))
     codes = coded.select("ISO_A3").distinct()
-    grid, players = enriched_cells(country, counts, known, codes)
     typed = F.when(F.col("whole"), F.col("value").cast("int").cast("variant")).otherwise(F.col("value").cast("variant"))
     folded = (
-        cell_properties(grid)
+        cell_properties(cells_of(data))
         .groupBy("ISO_A3")
         .agg(F.map_from_entries(F.collect_list(F.struct("key", typed))).alias("_cells"))
     )
-    count = F.map_from_arrays(F.array(F.lit("PLAYER_COUNT")), F.array(F.col("num_players").cast("variant")))
+    every = data.agg(F.array_sort(F.collect_set("matched_id")).alias("all")).scalar()
+    keys = F.flatten(F.transform("_all", lambda o: F.array(*[F.concat_ws("_", o, F.lit(label)) for label, _, _ in LABELS])))
     none = F.create_map().cast("map<string,variant>")
-    joined = coded.join(folded, "ISO_A3", "left").join(players, "ISO_A3", "left")
-    added = joined.withColumn("_added", F.map_concat(F.coalesce("_cells", none), count))
-    # Values of an earlier enrichment give way to the new ones.
-    kept = F.array_except(F.map_keys("properties"), F.map_keys("_added"))
-    own = F.map_filter("properties", lambda k, v: F.array_contains("_kept", k))
-    return added.withColumn("_kept", kept).select("type", F.map_concat(own, "_added").alias("properties"), "geometry")
+    joined = coded.join(folded, "ISO_A3", "left").join(feature_player_counts(codes, players), "ISO_A3", "left")
+    joined = joined.withColumn("_cells", F.coalesce("_cells", none)).withColumn("_all", every)
+    missing = F.array_except(keys, F.map_keys("_cells"))
+    zero = F.lit(0).cast("variant")
+    count = F.map_from_arrays(F.array(F.lit("PLAYER_COUNT")), F.array(F.col("num_players").cast("variant")))
+    filled = joined.withColumn("_missing", missing).withColumn(
+        "_added", F.map_concat("_cells", F.map_from_arrays("_missing", F.transform("_missing", lambda k: zero)), count)
+    )
+    # Values of an earlier enrichment give way to the new ones. What is left to look up is the map's own properties.
+    kept = filled.withColumn("_kept", F.array_except(F.map_keys("properties"), F.map_keys("_added")))
+    own = F.map_from_arrays("_kept", F.transform("_kept", lambda k: F.try_element_at("properties", k)))
+    rest = ["members"] if "members" in features.columns else []
+    return kept.select("type", F.map_concat(own, "_added").alias("properties"), "geometry", *rest)
 
 
 def opening_metadata(openings: DataFrame, moments: DataFrame, data: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from seqstats.functions.numbers import bin_counts
 from seqstats.operators import geo
 from seqstats.operators.counts import count_names, lower_names, player_openings, sum_counts
 from seqstats.operators.distributions import distributions
-from seqstats.operators.filters import filter_has_country, filter_min_games
+from seqstats.operators.filters import ALPHA, MIN_DEV, MIN_GAMES, MIN_PLAYERS, filter_has_country, filter_min_games
 from seqstats.operators.hierarchy import count_along_paths, prefix_closure
 from seqstats.operators.ks import EXACT_LIMIT, ks_test
 from seqstats.operators.matching import match_prefixes
@@ -21,20 +21,23 @@ from seqstats.operators.probabilities import (
     standardize,
 )
 from seqstats.operators.profiles import new_player_batches
-from seqstats.operators.shaping import flatten_profile, union_evolving
-from seqstats.operators.significance import all_significant, opening_profile
-from seqstats.sources.features import read_features, write_features, write_metadata
+from seqstats.operators.shaping import flatten_profile, sort_by_deviation, union_evolving
+from seqstats.operators.significance import opening_profile, significant_in_either
+from seqstats.session import move_path, path_exists
+from seqstats.sources.features import read_collection, read_features, read_members, write_features, write_metadata
 from seqstats.sources.records import parse_games, read_game_records
 from seqstats.sources.stages import (
+    month_range,
     read_known,
     read_month_stages,
     read_stage,
+    replace_table,
     stage_path,
     write_csv,
     write_stage,
 )
 
-MIN_GAMES = 50
+# The tables of known entities.
 KNOWN_PLAYERS = "id STRING, country STRING"
 KNOWN_COUNTRIES = "ISO_A2 STRING, country STRING, ISO_A3 STRING"
 
@@ -56,8 +59,8 @@ def country_probabilities(players: DataFrame, min_games: int = MIN_GAMES) -> dic
     }
 
 
-def run_games(spark: SparkSession, root: str, name: str, pgn: str, openings: DataFrame) -> None:
-    write_stage(games_from_records(read_game_records(spark, pgn), openings), root, "games", name)
+def run_games(spark: SparkSession, root: str, name: str, pgn: str, openings: DataFrame, n: int = 10) -> None:
+    write_stage(games_from_records(read_game_records(spark, pgn), openings, n), root, "games", name)
 
 
 def run_player_openings(spark: SparkSession, root: str, name: str, openings: DataFrame | None = None) -> None:
@@ -79,9 +82,11 @@ def counts_along_paths(deepest: DataFrame, openings: DataFrame, keys: tuple[str,
     return lower_names(count_along_paths(count_names(deepest, keys), prefix_closure(openings)))
 
 
-def run_merge_months(spark: SparkSession, root: str, start: str, end: str | None = None) -> None:
-    merged = sum_counts(read_month_stages(spark, root, "players", start, end))
-    write_stage(merged, root, "players", f"{start}_{end}")
+def run_merge_months(spark: SparkSession, root: str, start: str, end: str | None = None) -> str:
+    """Add up the months' tables; the result is named by the first and the last month."""
+    last = month_range(start, end)[-1]
+    merged = sum_counts(read_month_stages(spark, root, "players", start, last))
+    return write_stage(merged, root, "players", f"{start}_{last}")
 
 
 def run_new_player_batches(spark: SparkSession, root: str, name: str, known: str = "known_players") -> DataFrame:
@@ -96,9 +101,7 @@ def run_merge_profiles(spark: SparkSession, root: str, responses: DataFrame, kno
     The next table is written beside the present one and then takes its place.
     """
     path = stage_path(root, "players", known)
-    merged = union_evolving(read_known(spark, path, "id", KNOWN_PLAYERS), flatten_profile(responses))
-    staged = write_stage(merged, root, "players", known, "next", "gzip")
-    write_stage(spark.read.parquet(staged), root, "players", known, compression="gzip")
+    replace_table(union_evolving(read_known(spark, path, "id", KNOWN_PLAYERS), flatten_profile(responses)), path)
 
 
 def run_player_probabilities(spark: SparkSession, root: str, name: str, known: str = "known_players") -> None:
@@ -107,13 +110,14 @@ def run_player_probabilities(spark: SparkSession, root: str, name: str, known: s
 
 
 def run_country_probabilities(spark: SparkSession, root: str, name: str, min_games: int = MIN_GAMES) -> None:
-    """Write the three tables; the scores reuse the moments already written."""
-    players = read_stage(spark, root, "players", name, "prob")
+    """Write the three tables from one reading of the players; the scores reuse the moments already written."""
+    players = read_stage(spark, root, "players", name, "prob").persist()
     tables = country_probabilities(players, min_games)
     write_stage(tables["player_count"], root, "countries", name, "player_count")
     moments = spark.read.parquet(write_stage(tables["mean_std"], root, "openings", name, "mean_std"))
     located = filter_has_country(filter_min_games(players, min_games))
     write_stage(standardize(country_means(located), moments), root, "countries", name)
+    players.unpersist()
 
 
 def run_distributions(spark: SparkSession, root: str, name: str, min_games: int = MIN_GAMES) -> None:
@@ -132,41 +136,53 @@ def run_ks_test(
 
 def run_significant(
     spark: SparkSession, root: str, name: str, openings: DataFrame,
-    alpha: float = 0.01, min_dev: float = 0.5, min_players: int = 2000,
+    alpha: float = ALPHA, min_dev: float = MIN_DEV, min_players: int = MIN_PLAYERS,
 ) -> None:
-    """One CSV folder per mode, sorted by deviation."""
+    """One CSV folder per mode, sorted by deviation; the tables are joined once for both."""
     tables = (
         read_stage(spark, root, "ks_test", name),
         read_stage(spark, root, "countries", name),
         read_stage(spark, root, "countries", name, "player_count"),
         read_stage(spark, root, "openings", name, "mean_std"),
     )
+    rows = significant_in_either(*tables, openings, alpha, min_dev, min_players).persist()
     for mode in ("played", "won"):
-        rows = all_significant(*tables, openings, mode, alpha, min_dev, min_players)
-        write_csv(rows, stage_path(root, "significant", name, mode).replace(".parquet", ".csv"))
+        found = sort_by_deviation(rows.where(mode).drop("played", "won"), mode)
+        write_csv(found, stage_path(root, "significant", name, mode).replace(".parquet", ".csv"))
+    rows.unpersist()
 
 
 def run_known_countries(spark: SparkSession, root: str, name: str, iso: DataFrame) -> None:
     path = stage_path(root, "countries", "known_countries")
     known = read_known(spark, path, "ISO_A2", KNOWN_COUNTRIES)
-    merged = geo.known_countries(read_stage(spark, root, "countries", name), iso, known)
-    staged = write_stage(merged, root, "countries", "known_countries", "next", "gzip")
-    write_stage(spark.read.parquet(staged), root, "countries", "known_countries", compression="gzip")
+    replace_table(geo.known_countries(read_stage(spark, root, "countries", name), iso, known), path)
 
 
 def run_feature_enrichment(
-    spark: SparkSession, root: str, name: str, openings: DataFrame, features: str, out: str, moments: str | None = None
-) -> None:
-    """Write the enriched features and the metadata document below ``out``."""
+    spark: SparkSession, root: str, name: str, openings: DataFrame, features: str, out: str, moments: str | None = None,
+    document: bool = False,
+) -> None:
+    """Write the enriched features, the collection's other members and the metadata below ``out``.
+
+    As lines by default; ``document`` puts features and metadata into one document each, for maps that fit a row. Members of
+    earlier metadata that are not written anew are kept.
+    """
     country = read_stage(spark, root, "countries", name)
     counts = read_stage(spark, root, "countries", name, "player_count")
     known = read_known(spark, stage_path(root, "countries", "known_countries"), "ISO_A2", KNOWN_COUNTRIES)
     enriched = geo.feature_enrichment(country, counts, known, read_features(spark, features))
-    write_features(enriched, f"{out}/countries.geojson", document=True)
+    collection = read_collection(spark, features)
+    if document:
+        write_features(enriched, f"{out}/countries.geojson", document=True, collection=collection)
+    else:
+        write_features(enriched, f"{out}/countries.geojsonl")
+        collection.select(F.to_json("members")).write.mode("overwrite").text(f"{out}/countries_collection.json")
     resolved = geo.drop_unresolved(geo.map_iso3(country, known), "country")
     described = geo.opening_metadata(openings, read_stage(spark, root, "openings", moments or name, "mean_std"), resolved)
-    total = known.agg(F.count("*"))
-    write_metadata(described, total, bin_counts(), f"{out}/enrichment_metadata.json")
+    path = f"{out}/enrichment_metadata" + (".json" if document else "")
+    previous = read_members(spark, path, document) if path_exists(spark, path) else None
+    write_metadata(described, known.agg(F.count("*")), bin_counts(), f"{path}_next", document, previous)
+    move_path(spark, f"{path}_next", path)
 
 
 def run_opening_profile(spark: SparkSession, root: str, name: str, openings: DataFrame, opening: str) -> DataFrame:

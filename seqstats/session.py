@@ -52,6 +52,19 @@ def delete_path(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+def move_path(spark: SparkSession, source: str, target: str) -> None:
+    """Let ``source`` take the place of ``target``; what was there goes when the new one is in place."""
+    names = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in (source, target, f"{target}_old")]
+    system = names[0].getFileSystem(spark._jsc.hadoopConfiguration())
+    system.delete(names[2], True)
+    if system.exists(names[1]) and not system.rename(names[1], names[2]):
+        raise OSError(f"{target} cannot be replaced")
+    if not system.rename(names[0], names[1]):
+        raise OSError(f"{source} cannot be moved to {target}")
+    system.delete(names[2], True)
+    spark.catalog.refreshByPath(target)
+
+
 def small_on_disk(df: DataFrame, limit: int = BROADCAST_FILE_BYTES) -> bool:
     """Whether all files a frame is made from are small together. Looks at the files only and starts no job.
 

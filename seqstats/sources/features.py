@@ -1,43 +1,76 @@
-"""Map features (GeoJSON) and the metadata document."""
+"""Map features (GeoJSON) and the metadata of the map, as lines or as one document."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqstats.session import written
-
-# A feature keeps its properties by name, each of its own type.
-FEATURE = "type STRING, properties MAP<STRING, VARIANT>, geometry VARIANT"
+MEMBERS = "map<string,variant>"
 MOMENTS = [f"{m}_{p}" for p in ("p_w", "p_b", "p_won_w", "p_won_b") for m in ("mean", "std")]
-METADATA = (
-    "positive_positions INT, negative_positions INT, num_countries BIGINT, openings MAP<STRING, STRUCT<"
-    "name: STRING, pgn: STRING, " + ", ".join(f"{m}: DOUBLE" for m in MOMENTS) + ">>"
-)
+OPENING = "matched_id STRING, name STRING, pgn STRING, " + ", ".join(f"{m} DOUBLE" for m in MOMENTS)
+# The members of the metadata document that this library writes.
+TOTALS = ("positive_positions", "negative_positions", "num_countries")
+
+
+def _member(value: Column, name: str, kind: str) -> Column:
+    return F.try_variant_get(value, f"$.{name}", kind)
 
-# A document is put together in one row; beyond this size the line form is the one to use.
-DOCUMENT_BYTES = 512 * 1024 * 1024
+
+def _others(value: Column, *known: str) -> Column:
+    """The members of a JSON object besides the known ones."""
+    return F.map_filter(F.try_variant_get(value, "$", MEMBERS), lambda k, v: ~k.isin(*known))
 
 
 def read_features(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Features of a FeatureCollection document, or of a file with one feature per line."""
+    """Features of a FeatureCollection document, or of files with one feature per line.
+
+    A feature keeps its properties by name, each of its own type, and further members (``id``, ``bbox``, ...) in ``members``.
+    """
     if lines:
-        return spark.read.schema(FEATURE).json(path)
-    document = spark.read.schema(f"features ARRAY<STRUCT<{FEATURE}>>").option("multiLine", True).json(path)
-    return document.select(F.inline("features"))
+        found = spark.read.option("singleVariantColumn", "f").json(path)
+    else:
+        document = spark.read.schema("features ARRAY<VARIANT>").option("multiLine", True).json(path)
+        found = document.select(F.explode("features").alias("f"))
+    f = F.col("f")
+    return found.select(
+        _member(f, "type", "string").alias("type"),
+        _member(f, "properties", MEMBERS).alias("properties"),
+        _member(f, "geometry", "variant").alias("geometry"),
+        _others(f, "type", "properties", "geometry").alias("members"),
+    )
+
+
+def read_collection(spark: SparkSession, path: str) -> DataFrame:
+    """One row: the ``members`` of a FeatureCollection document besides its type and features."""
+    document = spark.read.option("singleVariantColumn", "d").option("multiLine", True).json(path)
+    return document.select(_others(F.col("d"), "type", "features").alias("members"))
+
+
+def _inner(json: Column) -> Column:
+    """The text between an object's braces."""
+    return F.substring(json, F.lit(2), F.length(json) - 2)
+
 
+def _joined(*texts: Column) -> Column:
+    """One object of the members in several objects' texts, empty ones left out."""
+    return F.concat(F.lit("{"), F.concat_ws(",", *[F.when(t != "", t) for t in texts]), F.lit("}"))
 
-def write_features(df: DataFrame, path: str, document: bool = False) -> None:
-    """One feature per line, or all of them in one FeatureCollection document."""
-    line = df.select(F.to_json(F.struct("type", "properties", "geometry")).alias("value"))
+
+def feature_lines(df: DataFrame) -> DataFrame:
+    members = _inner(F.to_json("members")) if "members" in df.columns else F.lit("")
+    return df.select(_joined(_inner(F.to_json(F.struct("type", "properties", "geometry"))), members).alias("value"))
+
+
+def write_features(df: DataFrame, path: str, document: bool = False, collection: DataFrame | None = None) -> None:
+    """One feature per line; or, for maps that fit a row, all of them in one FeatureCollection with the given members."""
+    line = feature_lines(df)
     if not document:
         line.write.mode("overwrite").text(path)
         return
-    line = written(line, "features")
-    _check_size(line.agg(F.sum(F.octet_length("value"))), "features")
-    together = F.array_join(F.collect_list("value"), ",")
-    opening, closing = F.lit('{"type":"FeatureCollection","features":['), F.lit("]}")
-    line.agg(F.concat(opening, together, closing)).write.mode("overwrite").text(path)
+    members = _inner(F.to_json(collection.scalar())) if collection is not None else F.lit("")
+    features = F.concat(F.lit('"features":['), F.array_join(F.collect_list("value"), ","), F.lit("]"))
+    together = line.agg(features.alias("features"))
+    together.select(_joined(F.lit('"type":"FeatureCollection"'), members, F.col("features"))).write.mode("overwrite").text(path)
 
 
 def property_text(df: DataFrame, name: str) -> Column:
@@ -45,28 +78,52 @@ def property_text(df: DataFrame, name: str) -> Column:
     return F.try_element_at(df["properties"], F.lit(name)).cast("string")
 
 
-def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """The metadata document, one row."""
-    text = spark.read.option("wholetext", True).text(path)
-    return text.select(F.from_json("value", METADATA).alias("d")).select("d.*")
-
-
-def write_metadata(openings: DataFrame, num_countries: DataFrame, positions: tuple[int, int], path: str) -> None:
-    """Metadata document: scale steps, number of countries and the openings by id."""
-    openings = written(openings, "metadata")
-    width = F.octet_length(F.to_json(F.struct("*")))
-    _check_size(openings.agg(F.sum(width)), "openings")
-    entry = F.struct("name", "pgn", *MOMENTS)
-    parts = openings.agg(F.map_from_entries(F.collect_list(F.struct("matched_id", entry))).alias("openings"))
-    document = parts.select(
-        F.lit(positions[0]).alias("positive_positions"),
-        F.lit(positions[1]).alias("negative_positions"),
-        num_countries.scalar().alias("num_countries"),
-        "openings",
+def write_metadata(
+    openings: DataFrame, num_countries: DataFrame, positions: tuple[int, int], path: str, document: bool = False,
+    previous: DataFrame | None = None,
+) -> None:
+    """Scale steps, number of countries and the openings.
+
+    As lines: ``openings`` below ``path`` has an opening per line, ``totals`` the rest in one line. Or, for dictionaries that
+    fit a row, one document with the openings by id. ``previous`` is one row of ``members`` (``read_members``): those that
+    are not written anew are kept.
+    """
+    totals = F.struct(
+        F.lit(positions[0]).alias(TOTALS[0]), F.lit(positions[1]).alias(TOTALS[1]), num_countries.scalar().alias(TOTALS[2])
     )
-    document.select(F.to_json(F.struct("*"))).write.mode("overwrite").text(path)
+    kept = F.lit("")
+    if previous is not None:
+        rest = previous.select(F.map_filter("members", lambda k, v: ~k.isin(*TOTALS, "openings")).alias("members"))
+        kept = _inner(F.to_json(rest.scalar()))
+    if document:
+        entry = F.struct("name", "pgn", *MOMENTS)
+        together = F.map_from_entries(F.collect_list(F.struct("matched_id", entry))).alias("openings")
+        found = openings.agg(together).select(_joined(_inner(F.to_json(totals)), _inner(F.to_json(F.struct("openings"))), kept))
+        found.write.mode("overwrite").text(path)
+        return
+    openings.select(F.to_json(F.struct("matched_id", "name", "pgn", *MOMENTS))).write.mode("overwrite").text(f"{path}/openings")
+    one = openings.sparkSession.range(1).select(_joined(_inner(F.to_json(totals)), kept))
+    one.write.mode("overwrite").text(f"{path}/totals")
 
 
-def _check_size(size: DataFrame, what: str) -> None:
-    if (size.first()[0] or 0) > DOCUMENT_BYTES:
-        raise ValueError(f"the {what} are too large for one document; write one per line instead")
+def read_members(spark: SparkSession, path: str, document: bool = False) -> DataFrame:
+    """One row: all ``members`` of a metadata document, or of the line form's totals."""
+    file = path if document else f"{path}/totals"
+    found = spark.read.option("singleVariantColumn", "d").option("multiLine", True).json(file)
+    return found.select(F.try_variant_get("d", "$", MEMBERS).alias("members"))
+
+
+def read_metadata(spark: SparkSession, path: str, document: bool = False) -> DataFrame:
+    """One row: scale steps, number of countries and the further ``members``."""
+    found = read_members(spark, path, document)
+    own = [F.try_element_at("members", F.lit(t)).cast("bigint" if t == "num_countries" else "int").alias(t) for t in TOTALS]
+    return found.select(*own, F.map_filter("members", lambda k, v: ~k.isin(*TOTALS, "openings")).alias("members"))
+
+
+def read_metadata_openings(spark: SparkSession, path: str, document: bool = False) -> DataFrame:
+    """The metadata's openings, one row each."""
+    if not document:
+        return spark.read.schema(OPENING).json(f"{path}/openings")
+    entry = OPENING.removeprefix("matched_id STRING, ")
+    found = spark.read.schema(f"openings MAP<STRING, STRUCT<{entry.replace(' STRING', ': STRING').replace(' DOUBLE', ': DOUBLE')}>>")
+    return found.option("multiLine", True).json(path).select(F.explode("openings").alias("matched_id", "o")).select("matched_id", "o.*")

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from seqstats.session import delete_path, path_exists
+from seqstats.operators.counts import dedupe_known
+from seqstats.session import delete_path, move_path
 
 # Folder of each stage below the data folder.
 STAGES = {
@@ -88,15 +89,18 @@ def read_month_stages(spark: SparkSession, root: str, stage: str, start: str, en
     return spark.read.parquet(*[stage_path(root, stage, m) for m in month_range(start, end)])
 
 
-def read_known(spark: SparkSession, path: str, key: str, schema: str) -> DataFrame:
-    """A table of known entities, one row per key; empty if nothing was saved yet."""
+def read_known(spark: SparkSession, path: str, key: str, schema: str, order: str | None = None) -> DataFrame:
+    """A table of known entities, one row per key; empty if nothing was saved yet.
+
+    Of several rows with one key the first by ``order`` counts, without an order the one whose other columns are least.
+    """
     try:
         known = spark.read.parquet(path)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
-    return known.dropDuplicates([key])
+    return dedupe_known(known, key, order)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -112,14 +116,17 @@ def checkpointed(df: DataFrame, path: str, batch: int) -> None:
 def promote(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
     """Replace the final table by ``known`` plus all saved batches, then drop the batches.
 
-    ``known`` may be read from ``path`` itself: the new table is written beside it first.
+    ``known`` may be read from ``path`` itself: the new table is written beside it and takes its place when it is whole.
     """
     batches = spark.read.option("mergeSchema", True).parquet(f"{path}_temp").drop("batch")
     merged = batches if known is None else known.unionByName(batches, allowMissingColumns=True)
-    staged = f"{path}_next"
-    merged.write.mode("overwrite").option("compression", "gzip").parquet(staged)
-    spark.read.parquet(staged).write.mode("overwrite").option("compression", "gzip").parquet(path)
-    for done in (staged, f"{path}_temp"):
-        if path_exists(spark, done):
-            delete_path(spark, done)
+    replace_table(merged, path)
+    delete_path(spark, f"{path}_temp")
     return spark.read.parquet(path)
+
+
+def replace_table(df: DataFrame, path: str, compression: str = "gzip") -> None:
+    """Write a frame, which may be read from ``path``, beside it and then let it take that place."""
+    staged = f"{path}_next"
+    df.write.mode("overwrite").option("compression", compression).parquet(staged)
+    move_path(df.sparkSession, staged, path)

@@ -6,8 +6,10 @@ import random
 from conftest import rows
 from pyspark.sql import functions as F
 
+from seqstats.__main__ import main, parser
 from seqstats.operators.counts import player_openings
 from seqstats.plans import jobs
+from seqstats.sources.features import read_features, read_metadata_openings
 from seqstats.sources.openings import read_openings
 from seqstats.sources.stages import read_stage, stage_path, write_stage
 
@@ -40,8 +42,8 @@ def test_pipeline(spark, tmp_path):
         by_path = read_stage(spark, root, "players", month)
         plain = player_openings(read_stage(spark, root, "games", month))
         assert rows(by_path.select(*plain.columns)) == rows(plain)
-    jobs.run_merge_months(spark, root, "2022-01", "2022-02")
     name = "2022-01_2022-02"
+    assert jobs.run_merge_months(spark, root, "2022-01", "2022-02") == stage_path(root, "players", name)
     merged = read_stage(spark, root, "players", name)
     games = read_stage(spark, root, "games", "2022-01").unionByName(read_stage(spark, root, "games", "2022-02"))
     assert merged.agg(F.sum("real_game_w")).first()[0] == games.agg(F.sum("real_game")).first()[0]
@@ -73,10 +75,15 @@ def test_pipeline(spark, tmp_path):
     features = [shape | {"properties": {"ISO_A3": c}} for c in ("DEU", "FRA", "USA")]
     (tmp_path / "map.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
     jobs.run_feature_enrichment(spark, root, name, openings, str(tmp_path / "map.geojson"), f"{root}/map")
+    assert read_features(spark, f"{root}/map/countries.geojsonl", lines=True).count() == 3
+    assert read_metadata_openings(spark, f"{root}/map/enrichment_metadata").count() == len(OPENINGS)
+    for _ in range(2):
+        jobs.run_feature_enrichment(spark, root, name, openings, str(tmp_path / "map.geojson"), f"{root}/map", document=True)
     text = "".join(p.read_text() for p in (tmp_path / "map/enrichment_metadata.json").glob("part-*"))
     metadata = json.loads(text)
     assert (metadata["positive_positions"], metadata["negative_positions"], metadata["num_countries"]) == (300, 100, 2)
     assert sorted(o["pgn"] for o in metadata["openings"].values()) == sorted(p for p, _ in OPENINGS.values())
+    assert not [p.name for p in tmp_path.rglob("*") if p.name.endswith(("_next", "_old", "_next.parquet"))]
     opening = next(i for i, o in metadata["openings"].items() if o["pgn"] == "1. e4")
     points = jobs.run_opening_profile(spark, root, name, openings, opening)
     assert rows(points, "country", "color") == [("France", "w"), ("Germany", "w")]
@@ -93,3 +100,20 @@ def test_country_scores_stay_in_the_engine(spark, tmp_path):
         assert "Python" not in text and "NestedLoop" not in text
     counted = jobs.country_probabilities(players)["player_count"]._jdf.queryExecution().executedPlan().toString()
     assert "IsNotNull(country)" in counted and "p_won_w" not in counted
+
+
+def test_command_line_knows_every_job_and_parameter():
+    line = parser()
+    args = line.parse_args("--root r significant --name x --alpha 0.05 --min-dev 1 --min-players 7".split())
+    assert (args.alpha, args.min_dev, args.min_players) == (0.05, 1.0, 7)
+    args = line.parse_args("--root r ks --name x --method finite --exact-limit 5 --min-games 3".split())
+    assert (args.method, args.exact_limit, args.min_games) == ("finite", 5, 3)
+    for text in ("new-players --name x --out o", "merge-profiles --responses f", "opening-profile --name x --opening i --out o", "games --name x --pgn f --n 4"):
+        assert line.parse_args(f"--root r {text}".split()).job == text.split()[0]
+
+
+def test_command_line_runs_a_job(spark, tmp_path):
+    columns = "id STRING, matched_id STRING, total_count_w BIGINT, total_count_b BIGINT, p_w DOUBLE, p_b DOUBLE, p_won_w DOUBLE, p_won_b DOUBLE, country STRING"
+    write_stage(spark.createDataFrame([("a", "x", 5, 5, 0.5, 0.5, 0.5, 0.5, "DE")], columns), str(tmp_path), "players", "t", "prob")
+    main(["--root", str(tmp_path), "countries", "--name", "t", "--min-games", "10"])
+    assert rows(read_stage(spark, str(tmp_path), "countries", "t", "player_count")) == [("DE", 1)]

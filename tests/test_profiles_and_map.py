@@ -6,7 +6,15 @@ from pyspark.sql import functions as F
 
 from seqstats.operators import geo
 from seqstats.operators.profiles import new_player_batches, request_batches
-from seqstats.sources.features import read_features, write_features
+from seqstats.sources.features import (
+    read_collection,
+    read_features,
+    read_members,
+    read_metadata,
+    read_metadata_openings,
+    write_features,
+    write_metadata,
+)
 
 KNOWN = "ISO_A2 STRING, country STRING, ISO_A3 STRING"
 
@@ -47,12 +55,12 @@ def test_known_countries_grow(spark):
 @pytest.fixture()
 def collection(tmp_path):
     features = [
-        {"type": "Feature", "properties": {"ISO_A3": code, "ADMIN": name, "area": 1.5, "UN": True, "PLAYER_COUNT": 99},
+        {"type": "Feature", "id": f"f{name}", "bbox": [0, 1, 2, 3], "properties": {"ISO_A3": code, "ADMIN": name, "area": 1.5, "UN": True, "PLAYER_COUNT": 99},
          "geometry": {"type": "Polygon", "coordinates": [[[0, 1], [2.5, 3]]]}}
         for code, name in (("DEU", "Germany"), ("FRA", "France"), ("-99", "Nowhere"), ("-99", "Elsewhere"))
     ]
     path = tmp_path / "countries.geojson"
-    path.write_text(json.dumps({"type": "FeatureCollection", "features": features}, indent=1))
+    path.write_text(json.dumps({"type": "FeatureCollection", "name": "countries", "crs": {"n": 1}, "features": features}, indent=1))
     return str(path)
 
 
@@ -71,10 +79,17 @@ def test_enrichment(spark, collection, tmp_path):
     known = spark.createDataFrame([("DE", "Germany", "DEU"), ("FR", "France", "FRA"), ("FX", "France", "FRA")], KNOWN)
     enriched = geo.feature_enrichment(country, counts, known, read_features(spark, collection))
     out = str(tmp_path / "out")
-    write_features(enriched, out, document=True)
+    write_features(enriched, out, document=True, collection=read_collection(spark, collection))
     text = "".join(p.read_text() for p in (tmp_path / "out").glob("part-*"))
     document = json.loads(text)
     assert document["type"] == "FeatureCollection" and len(document["features"]) == 4
+    assert document["name"] == "countries" and document["crs"] == {"n": 1}
+    assert all(f["id"] == f"f{f['properties']['ADMIN']}" and f["bbox"] == [0, 1, 2, 3] for f in document["features"])
+    write_features(enriched, f"{out}l")
+    lines = [json.loads(x) for p in (tmp_path / "outl").glob("part-*") for x in p.read_text().splitlines()]
+    key = lambda f: f["id"]
+    assert sorted(lines, key=key) == sorted(document["features"], key=key)
+    assert read_features(spark, f"{out}l", lines=True).where("size(members) = 2").count() == 4
     by_name = {f["properties"]["ADMIN"]: f["properties"] for f in document["features"]}
     germany, france, nowhere = (by_name[n] for n in ("Germany", "France", "Nowhere"))
     assert (germany["area"], germany["UN"], germany["PLAYER_COUNT"]) == (1.5, True, 12)
@@ -92,6 +107,21 @@ def test_enrichment(spark, collection, tmp_path):
     assert document["features"][0]["geometry"] == {"type": "Polygon", "coordinates": [[[0, 1], [2.5, 3]]]}
 
 
+@pytest.mark.parametrize("document", [False, True])
+def test_metadata_is_updated_in_place(spark, tmp_path, document):
+    path = str(tmp_path / "meta")
+    moments = {f"{m}_{p}": 0.5 for p in ("p_w", "p_b", "p_won_w", "p_won_b") for m in ("mean", "std")}
+    openings = spark.createDataFrame([{"matched_id": "A", "name": "N", "pgn": "1. a3", **moments}])
+    earlier = spark.sql("SELECT map('note', parse_json('[1]'), 'num_countries', parse_json('7'), 'openings', parse_json('{}')) AS members")
+    write_metadata(openings, spark.sql("SELECT 3"), (300, 100), path, document, earlier)
+    found = read_metadata(spark, path, document).first()
+    assert (found["positive_positions"], found["negative_positions"], found["num_countries"]) == (300, 100, 3)
+    assert list(found["members"]) == ["note"]
+    assert rows(read_metadata_openings(spark, path, document), "matched_id", "name", "mean_p_w") == [("A", "N", 0.5)]
+    write_metadata(openings, spark.sql("SELECT 4"), (300, 100), f"{path}2", document, read_members(spark, path, document))
+    assert read_metadata(spark, f"{path}2", document).select("num_countries", F.to_json("members")).first() == (4, '{"note":[1]}')
+
+
 def test_grid_without_pairwise_join(spark):
     features = spark.createDataFrame([("DEU",), ("FRA",)], "ISO_A3 STRING")
     openings = spark.range(200).select(F.col("id").cast("string").alias("matched_id"))

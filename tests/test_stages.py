@@ -4,7 +4,17 @@ import pytest
 from conftest import rows
 
 from seqstats import session
-from seqstats.operators.shaping import flatten_profile
+from seqstats.catalog.fixture import Inputs
+from seqstats.catalog.queries import QUERIES
+from seqstats.operators import ks, significance
+from seqstats.operators.shaping import (
+    first_n,
+    flatten_profile,
+    sort_by_deviation,
+    sort_by_player,
+    sort_by_sequence,
+    union_all,
+)
 from seqstats.sources.stages import (
     checkpointed,
     month_range,
@@ -80,3 +90,58 @@ def test_size_check_looks_at_files_only(spark, tmp_path):
     read = spark.read.parquet(str(tmp_path / "a b"))
     assert session.small_on_disk(read) and not session.small_on_disk(read, limit=100)
     assert session.small_on_disk(read.union(read).distinct()) and not session.small_on_disk(spark.range(10))
+
+
+def test_known_rows_with_one_key(spark, tmp_path):
+    """The first by the order, without an order the least; never parts of several rows."""
+    path = str(tmp_path / "known")
+    spark.createDataFrame([("a", "x", 9, 2), ("a", "y", 1, 1), ("b", "z", 5, 1), ("a", "x", 8, 3)], "id STRING, t STRING, n INT, seen INT").write.parquet(path)
+    assert rows(read_known(spark, path, "id", "id STRING", "seen")) == [("a", "y", 1, 1), ("b", "z", 5, 1)]
+    assert rows(read_known(spark, path, "id", "id STRING")) == [("a", "x", 8, 3), ("b", "z", 5, 1)]
+
+
+def test_sorts_keep_their_order(spark):
+    """What comparisons by hash do not see: the order of the sorted results."""
+    openings = spark.createDataFrame([("2", "b"), ("1", "b"), ("3", "a")], "id STRING, uci STRING")
+    assert [r["id"] for r in sort_by_sequence(openings).collect()] == ["3", "1", "2"]
+    scored = spark.createDataFrame([("x", "A", 0.5), ("x", "B", 2.0), ("w", "B", 2.0), ("v", "C", None)], "matched_id STRING, country STRING, dev_played DOUBLE")
+    assert [tuple(r)[:2] for r in sort_by_deviation(scored).collect()] == [("w", "B"), ("x", "B"), ("x", "A"), ("v", "C")]
+    players = spark.createDataFrame([("a", "1"), ("b", "1"), ("b", "2")], "id STRING, matched_id STRING")
+    assert [tuple(r) for r in sort_by_player(players).collect()] == [("b", "2"), ("b", "1"), ("a", "1")]
+    assert [r["id"] for r in first_n(players, 2, ["matched_id", "id"]).collect()] == ["a", "b"]
+
+
+def test_union_all_checks_columns(spark):
+    a, b = spark.createDataFrame([(1, 2)], "x INT, y INT"), spark.createDataFrame([(3, 4, 5)], "y INT, x INT, z INT")
+    assert rows(union_all([a, b])) == [(1, 2), (4, 3)] and union_all([a, b]).columns == ["x", "y"]
+    with pytest.raises(ValueError, match="frame 2 lacks the columns y"):
+        union_all([a, a.drop("y")])
+
+
+def test_queries_are_built_without_jobs(spark):
+    """Entries that write nothing start no job before their first action."""
+    sinks = {
+        "read_game_records", "header_columns", "move_tokens", "union_files", "read_openings", "read_stage", "read_months", "read_known",
+        "write_stage", "write_stage_gzip", "write_csv", "checkpointed", "read_features", "write_features", "write_metadata",
+        "read_metadata", "games", "merge_months", "merge_profiles", "month_range", "request_batches", "new_player_batches",
+    }
+    tracker = spark.sparkContext.statusTracker()
+    for name in set(QUERIES) - sinks:
+        spark.sparkContext.setJobGroup(f"build-{name}", name)
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert not tracker.getJobIdsForGroup(f"build-{name}"), name
+    spark.sparkContext.setJobGroup("tests", "tests")
+
+
+def test_significant_rows_in_both_modes(spark):
+    i = Inputs(spark, "/root/testdata/sf0.001")
+    tables = ks.ks_test(i.counted(), "asymp"), i.standardized(), i.player_counts(), i.moments(), i.openings()
+    limits = {"alpha": 0.9, "min_dev": 0.1, "min_players": 1}
+    both = significance.significant_in_either(*tables, **limits).persist()
+    for mode in ("played", "won"):
+        alone = significance.all_significant(*tables, mode, **limits)
+        found = alone.collect()
+        assert rows(both.where(mode).drop("played", "won")) == rows(alone) and found
+        assert [r[f"dev_{mode}"] for r in found] == sorted((r[f"dev_{mode}"] for r in found), reverse=True)
+    text = significance.colored_deviations(*tables)._jdf.queryExecution().executedPlan().toString()
+    assert "FullOuter" not in text and "Python" not in text
