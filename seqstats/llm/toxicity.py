@@ -28,8 +28,8 @@ from seqstats.llm.common import labelled_sample, utf8
 SAMPLE_ROWS = 3_000
 PARTS, LEFT_OUT = 4, 2
 THRESHOLD = 0.3
-WINDOW = 4
-ORDINARY_BYTES, TOXIC_BYTES = 8_192, 512
+WINDOW = 8
+ORDINARY_BYTES, TOXIC_BYTES = 8_192, 2_048
 #: Standard deviations by which the log odds of a telling beginning differ from 0, at least.
 LEAST_DEVIATIONS = 3.3
 GAINS = (1, 2, 3, 4, 5)
@@ -90,7 +90,8 @@ def coder(content: bytes) -> zstandard.ZstdCompressor:
 def toxic_content(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
     """Word beginnings of toxic documents that tell them from ordinary ones, the most frequent last.
 
-    Every word that has a telling beginning gives its best one: many documents with it, and significantly more toxic ones.
+    Every word that has telling beginnings (in significantly more toxic documents than the rest) gives its best one, the one
+    that most of them have, and its longest one, so that words are matched as far as they are known.
     """
 
     def beginnings(text: bytes) -> set[bytes]:
@@ -120,10 +121,11 @@ def toxic_content(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
         for word in WORDS.findall(text.lower()):
             if found := [word[:k] for k in range(4, min(len(word), 24) + 1) if word[:k] in telling]:
                 chosen[max(found, key=lambda p: (telling[p], len(p), p))] += 1
+                chosen[found[-1]] += 1
     parts: list[bytes] = []
     size = 0
     for part, _ in sorted(chosen.items(), key=lambda x: (-x[1], x[0])):
-        if size + len(part) < TOXIC_BYTES and not any(part in p for p in parts):
+        if size + len(part) < TOXIC_BYTES and part not in parts:
             parts.append(part)
             size += len(part) + 1
     return b"".join(b" " + p for p in reversed(parts))
