@@ -40,7 +40,9 @@ class Inputs:
         """Order lines as games of a customer against another one, the part as the moves."""
         customers = self.table("customer").agg(F.count("*"))
         columns = ["l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"]
-        lines = self.table("lineitem").select(*columns).join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        # Lines and orders are both large at scale: the same plan at every size, and as many tasks as shuffle partitions.
+        orders = self.table("orders").hint("merge")
+        lines = self.table("lineitem").select(*columns).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         lines = lines.join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
         base = F.when(F.col("l_linestatus") == "O", F.concat("p_type", F.lit(": "), "p_name")).otherwise(
             F.concat("p_brand", F.lit(": "), "p_type")

@@ -31,14 +31,16 @@ EXACT_LIMIT = 10_000
 LATTICE_POINTS = 16_384
 
 
-def ranged(counts: DataFrame) -> DataFrame:
+def ranged(counts: DataFrame, cols: list[str]) -> DataFrame:
     """The rows with the number of their value range, ascending with the value; NULL goes to the first.
 
     The bounds are approximate quantiles of all values, so a hot group, which makes up most of them, is cut into many
-    ranges whatever its scale. Results are the same for any cut.
+    ranges whatever its scale. Results are the same for any cut. Values are those with a count in ``cols``; reading the
+    counts lets the quantiles share the shuffle of the counts.
     """
     shares = [k / RANGES for k in range(1, RANGES)]
-    bounds = counts.agg(F.percentile_approx("value", shares, 1_000).alias("bounds")).scalar()
+    present = F.when(sum(F.col(c) for c in cols) > 0, F.col("value"))
+    bounds = counts.agg(F.percentile_approx(present, shares, 1_000).alias("bounds")).scalar()
     below = F.size(F.filter("_bounds", lambda b: b < F.col("value")))
     number = F.when(F.col("value").isNull() | F.col("_bounds").isNull(), 0).otherwise(below)
     return counts.withColumn("_bounds", bounds).withColumn("_range", number).drop("_bounds")
@@ -49,7 +51,7 @@ def running_counts(counts: DataFrame, keys: list[str], cols: list[str]) -> DataF
 
     Each group is cut into value ranges, so no task sorts a hot group alone.
     """
-    counts = ranged(counts)
+    counts = ranged(counts, cols)
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     group = Window.partitionBy(*keys)
     per_range = counts.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_{c}") for c in cols])
@@ -108,7 +110,7 @@ def ks_subset(df: DataFrame, keys: list[str], group: str, value: str = "value")
     both are taken within value ranges of a key, and the counts of the ranges below are added.
     """
     counts = df.groupBy(*keys, group, F.col(value).alias("value")).agg(F.count(value).alias("s"))
-    counts = ranged(counts)
+    counts = ranged(counts, ["s"])
 
     cells = counts.groupBy(*keys, group, "_range").agg(F.sum("s").alias("_cell"))
     whole = Window.partitionBy(*keys)

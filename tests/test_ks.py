@@ -190,8 +190,8 @@ def test_distributions_are_whole(spark, parts):
 
 
 def test_a_hot_group_of_any_scale_is_cut_into_many_ranges(spark):
-    df = spark.range(20_000).select(F.lit("hot").alias("k"), (F.col("id") * 50.0 + 1).alias("value"))
-    cut = ranged(df).groupBy(F.col("_range").alias("r")).agg(F.count("*").alias("n"), F.min("value"), F.max("value")).orderBy("r").collect()
+    df = spark.range(20_000).select(F.lit("hot").alias("k"), (F.col("id") * 50.0 + 1).alias("value"), F.lit(1).alias("n"))
+    cut = ranged(df, ["n"]).groupBy(F.col("_range").alias("r")).agg(F.count("*").alias("n"), F.min("value"), F.max("value")).orderBy("r").collect()
     assert len(cut) >= 48 and max(r["n"] for r in cut) < 2_000
     assert all(a[3] < b[2] for a, b in zip(cut, cut[1:]))
 
