@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqstats.llm.common import utf8
+from seqstats.session import written
 
 WINDOW = 10
 #: Text of the items in one automaton: about 100 MB of a worker's memory.
@@ -188,7 +189,7 @@ def mark(
     for number, block in enumerate(blocks):
         shared = context.broadcast(block)
         if number:  # one automaton in memory at a time
-            marked = marked.checkpoint()
+            marked = written(marked, "marked")
         marked = marked.mapInArrow(marker(shared, at, window), schema)
     return marked
 
@@ -250,11 +251,11 @@ def without_spans(text: str, hits: list[list[int]]) -> str:
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", max_share: float = 0.5) -> DataFrame:
     """Documents without their hit spans; those with more than ``max_share`` of their words hit go as a whole."""
-    columns = docs.columns
-    at = columns.index(text_col)
-    marked = mark(docs, benchmark, text_col)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called
+    at = docs.columns.index(text_col)
+    marked = mark(docs.toDF(*names), benchmark, names[at])
     hit = F.aggregate("_hits", F.lit(0).cast("bigint"), lambda n, s: n + (s[1] - s[0]).cast("bigint"))
-    kept = marked.where(hit <= max_share * F.col("_n_words")).select(*columns, "_hits")
+    kept = marked.where(hit <= max_share * F.col("_n_words")).select(*names, "_hits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,10 +264,39 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", max_sha
             texts = [without_spans(t, h) if h else t for t, h in zip(texts, hits)]
             new = list(batch.columns[:-1])
             new[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(new, names=columns)
+            yield pa.RecordBatch.from_arrays(new, names=names)
 
-    return kept.mapInArrow(run, docs.schema)
+    return kept.mapInArrow(run, docs.toDF(*names).schema).toDF(*docs.columns)
 
 
 def digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+
+
+#: ``report`` by windows as joined words, each looked up in every document.
+SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+items AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS g
+  FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT *, least(10, len(w)) AS k FROM items WHERE len(w) > 0))),
+grams AS (
+  SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS g
+  FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i
+        FROM docs JOIN (SELECT DISTINCT k FROM windows) ON len(w) >= k)),
+found AS (SELECT r, i, grams.k, item FROM grams JOIN windows ON grams.k = windows.k AND grams.g = windows.g),
+hits AS (
+  SELECT r, count(DISTINCT place) AS n FROM (SELECT r, i + unnest(range(0, k)) AS place FROM (SELECT DISTINCT r, i, k FROM found))
+  GROUP BY r),
+names AS (
+  SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS joined FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hits.n, 0) AS n_hit, coalesce(names.n, 0) AS n_items,
+       sha256(coalesce(joined, '')) AS items_sha256, hits.n IS NOT NULL AS contaminated
+FROM docs LEFT JOIN hits ON docs.r = hits.r LEFT JOIN names ON docs.r = names.r
+"""

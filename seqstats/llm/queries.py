@@ -63,4 +63,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {"op3_url_filters": url_filters.SQL}
+ORACLES: dict[str, str] = {"op3_url_filters": url_filters.SQL, "op8_decontamination": decontamination.SQL}

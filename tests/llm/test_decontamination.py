@@ -5,8 +5,9 @@ import hashlib
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import check
 from seqstats.llm import decontamination as d
-from seqstats.llm.queries import op8_decontamination
+from seqstats.llm.queries import ORACLES, op8_decontamination
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -70,7 +71,7 @@ def test_frame_blocks_and_nulls(spark, monkeypatch, tmp_path):
 def test_clean_removes_spans_and_mostly_hit_documents(spark):
     items = spark.createDataFrame([(1, "one two three")], "item_id int, text string")
     rows = [(1, "a b ÉONE, Two three. ONE, Two three! c d", 7), (2, "one two three x", 8), (3, None, 9)]
-    docs = spark.createDataFrame(rows, "doc_id int, text string, _hits2 int")
+    docs = spark.createDataFrame(rows, "doc_id int, text string, _hits int")
     got = sorted(tuple(r) for r in d.clean(docs, items).collect())
     assert got == [(1, "a b ÉONE, Two three. ! c d", 7), (3, None, 9)]
 
@@ -93,3 +94,8 @@ def test_query(spark):
                 found |= names
         assert (r.n_words, r.n_hit, r.n_items) == (len(w), sum(flags), len(found))
         assert r.items_sha256 == d.digest(list(found)) and r.contaminated == bool(found)
+
+
+def test_query_matches_sql(spark):
+    folder = "/root/testdata/sf0.01"
+    assert check.compare(spark, check.connect(folder), folder, "op8_decontamination", ORACLES["op8_decontamination"]) is None
