@@ -100,21 +100,36 @@ class PerfectHash:
         return self.key_of[slots]
 
 
+def ranked_tokens(path: str) -> list[tuple[int, bytes]]:
+    """Ranks and byte strings of a rank file, by rank."""
+    with open(path, "rb") as file:
+        return sorted((int(rank), base64.b64decode(token)) for token, rank in map(bytes.split, file))
+
+
+class TokenBytes:
+    """The bytes of every id, all that decoding needs."""
+
+    def __init__(self, pairs: list[tuple[int, bytes]]):
+        lengths = np.zeros(max((rank for rank, _ in pairs), default=-1) + 1, np.int64)
+        lengths[[rank for rank, _ in pairs]] = [len(token) for _, token in pairs]
+        self.lengths, self.starts = lengths, np.cumsum(lengths) - lengths
+        self.bytes = np.frombuffer(b"".join(token for _, token in pairs), np.uint8)
+
+    def decode(self, ids: bytes) -> bytes:
+        ids = np.frombuffer(ids, "<u4")
+        return self.bytes[ragged(self.starts[ids], self.lengths[ids])].tobytes()
+
+
 class Vocabulary:
     """Byte strings and their ranks, with the perfect hash over them."""
 
     def __init__(self, path: str, pattern: str):
-        with open(path, "rb") as file:
-            pairs = sorted((int(rank), base64.b64decode(token)) for token, rank in map(bytes.split, file))
+        pairs = ranked_tokens(path)
         self.ids = np.array([rank for rank, _ in pairs], np.int64)
         self.tokens = [token for _, token in pairs]
         self.rank = {token: rank for rank, token in pairs}
         self.hash = PerfectHash(self.tokens)
         self.pattern = regex.compile(pattern)
-        lengths = np.zeros(int(self.ids.max(initial=-1)) + 1, np.int64)
-        lengths[self.ids] = [len(t) for t in self.tokens]
-        self.lengths, self.starts = lengths, np.cumsum(lengths) - lengths
-        self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.merged = functools.lru_cache(maxsize=1 << 17)(self.merge)
 
     def merge(self, word: bytes) -> tuple[int, ...]:
@@ -200,10 +215,6 @@ class Vocabulary:
         flush()
         return (b"".join(parts) for parts in done)
 
-    def decode(self, ids: bytes) -> bytes:
-        ids = np.frombuffer(ids, "<u4")
-        return self.bytes[ragged(self.starts[ids], self.lengths[ids])].tobytes()
-
 
 @functools.lru_cache(maxsize=4)
 def vocabulary(path: str, pattern: str) -> Vocabulary:
@@ -211,6 +222,11 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(path, pattern)
 
 
+@functools.lru_cache(maxsize=4)
+def token_bytes(path: str) -> TokenBytes:
+    return TokenBytes(ranked_tokens(path))
+
+
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns id, ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit integers) of every row.
 
@@ -231,14 +247,14 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     return source.mapInArrow(run, schema)
 
 
-def decode(df: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode(df: DataFrame, path: str) -> DataFrame:
     """The rows with ``decoded`` (binary), the bytes of their ``ids``; null ids have no bytes."""
     names = df.columns
     schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", decoded binary"
     at = names.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary(path, pattern)
+        known = token_bytes(path)
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 decoded = pa.array([known.decode(x or b"") for x in part.column(at).to_pylist()], pa.binary())
@@ -249,6 +265,6 @@ def decode(df: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def encoded_digests(df: DataFrame, path: str, pattern: str) -> DataFrame:
     """Number of ids, digest of the ids and digest of the bytes they decode to, for every document."""
-    return decode(encode(df, path, pattern), path, pattern).select(
+    return decode(encode(df, path, pattern), path).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
