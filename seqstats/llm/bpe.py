@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqstats.llm.common import ragged
+from seqstats.llm.common import map_batches, ragged
 
 #: Pre-tokens looked up together, and characters from which a text is split block by block.
 BLOCK_TOKENS = 200_000
@@ -244,7 +244,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
                 columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "ids"])
 
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)
 
 
 def decode(df: DataFrame, path: str) -> DataFrame:
@@ -260,7 +260,7 @@ def decode(df: DataFrame, path: str) -> DataFrame:
                 decoded = pa.array([known.decode(x or b"") for x in part.column(at).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, decoded], names=[*names, "decoded"])
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def encoded_digests(df: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -17,6 +17,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Bytes of rows that go to Python together. Spark's default of 64 MB is held several times over by an executor's tasks.
+BATCH_BYTES = 8 * 1024 * 1024
+_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` in batches of ``BATCH_BYTES`` at most, or of a longer row alone.
+
+    The session's setting is lowered to that if it is higher.
+    """
+    conf = df.sparkSession.conf
+    if int(re.sub(r"\D", "", conf.get(_SETTING)) or 0) > BATCH_BYTES:
+        conf.set(_SETTING, f"{BATCH_BYTES}b")
+    return df.mapInArrow(run, schema)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The rows of a text column as bytes; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

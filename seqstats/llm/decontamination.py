@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqstats.llm.common import utf8
+from seqstats.llm.common import map_batches, utf8
 from seqstats.session import written
 
 WINDOW = 10
@@ -190,7 +190,7 @@ def mark(
         shared = context.broadcast(block)
         if number:  # one automaton in memory at a time
             marked = written(marked, "marked")
-        marked = marked.mapInArrow(marker(shared, at, window), schema)
+        marked = map_batches(marked, marker(shared, at, window), schema)
     return marked
 
 
@@ -266,7 +266,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", max_sha
             new[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(new, names=names)
 
-    return kept.mapInArrow(run, docs.toDF(*names).schema).toDF(*docs.columns)
+    return map_batches(kept, run, docs.toDF(*names).schema).toDF(*docs.columns)
 
 
 def digest(items: list[str]) -> str:

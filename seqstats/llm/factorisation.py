@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqstats.llm.common import WORD, batches_of, labelled_sample, utf8
+from seqstats.llm.common import WORD, batches_of, labelled_sample, map_batches, utf8
 
 #: Labelled documents the machine learns from, at most.
 SAMPLE_ROWS = 12_000
@@ -166,7 +166,7 @@ def scored(documents: DataFrame, machine: Machine) -> DataFrame:
             new = [batch.column(0), batch.column(1), pa.array(np.concatenate([np.zeros(0), *scores]))]
             yield pa.RecordBatch.from_arrays(new, names=["doc_id", "held_out", "score"])
 
-    return source.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return map_batches(source, run, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def report(documents: DataFrame, labels: DataFrame) -> DataFrame:

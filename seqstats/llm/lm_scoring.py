@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqstats.llm.common import WORD, utf8
+from seqstats.llm.common import WORD, map_batches, utf8
 from seqstats.llm.elias_fano import EliasFano
 from seqstats.session import fresh_dir, written
 
@@ -304,7 +304,7 @@ def word_counts(texts: DataFrame, shards: int) -> DataFrame:
                         held = 0
         yield flush()
 
-    return texts.mapInArrow(run, HANDED)
+    return map_batches(texts, run, HANDED)
 
 
 HANDED_ARROW = pa.schema([("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -341,7 +341,7 @@ def pair_counts(texts: DataFrame, trie: Trie) -> DataFrame:
                         held = 0
         yield flush()
 
-    return texts.mapInArrow(run, HANDED)
+    return map_batches(texts, run, HANDED)
 
 
 def built_words(counted: DataFrame, folder: str, shards: int) -> DataFrame:
@@ -425,7 +425,7 @@ def scored(documents: DataFrame, trie: Trie, id_col: str = "doc_id", text_col: s
             new = [batch.column(0), *(pa.array(t.astype(np.int64)) for t in totals[:2]), *(pa.array(t) for t in totals[2:])]
             yield pa.RecordBatch.from_arrays(new, names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)
 
 
 def report(documents: DataFrame) -> DataFrame:

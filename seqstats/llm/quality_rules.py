@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqstats.llm.common import WORD, labelled_sample, utf8
+from seqstats.llm.common import WORD, labelled_sample, map_batches, utf8
 
 #: Labelled documents the trees learn from, at most.
 SAMPLE_ROWS = 20_000
@@ -189,7 +189,7 @@ def statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
             new = [pa.array([c for c, _ in both], pa.list_(pa.int64())), pa.array([s for _, s in both], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*names, "_counts", "_statistics"])
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def train(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Trees:
@@ -220,7 +220,7 @@ def judged(df: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
             new.append(pa.array(~failed & (quality >= 0.5)))
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*names, *added, "base_failed", "quality", "kept"])
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def report(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqstats.llm.common import utf8
+from seqstats.llm.common import map_batches, utf8
 
 #: Documents whose words make the dictionary and the surroundings of the labelled findings, at most.
 SAMPLE_ROWS = 1_000
@@ -294,7 +294,7 @@ def findings(df: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start_byte", "end_byte", "score"])
 
     schema = f"doc_id {dict(source.dtypes)['doc_id']}, start_byte bigint, end_byte bigint, score double"
-    return source.mapInArrow(run, schema).withColumn("secret", F.col("score") >= THRESHOLD)
+    return map_batches(source, run, schema).withColumn("secret", F.col("score") >= THRESHOLD)
 
 
 def masked(text: bytes, found: list[tuple[int, int, float]]) -> bytes:
@@ -319,4 +319,4 @@ def redact(docs: DataFrame, scanner: Scanner, text_col: str = "text") -> DataFra
             texts = pa.array([t if t is None else masked(t, f) for t, f in zip(raw, found)], pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([texts if j == at else c for j, c in enumerate(batch.columns)], names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

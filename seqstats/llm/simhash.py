@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqstats.llm.common import utf8
+from seqstats.llm.common import map_batches, utf8
 from seqstats.session import written
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
@@ -79,7 +79,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             found = np.array([fingerprint(t, shingle) for t in utf8(batch.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), batch.column(2)], names=["doc_id", "fp", "text_hash"])
 
-    return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['doc_id']}, fp bigint, text_hash bigint")
+    return map_batches(source, run, f"doc_id {dict(source.dtypes)['doc_id']}, fp bigint, text_hash bigint")
 
 
 def byte_at(column: str, place: int):

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqstats.llm.common import labelled_sample, utf8
+from seqstats.llm.common import labelled_sample, map_batches, utf8
 
 #: Labelled documents of each kind that the dictionaries and the calibration learn from, at most.
 SAMPLE_ROWS = 3_000
@@ -200,7 +200,7 @@ def scored(documents: DataFrame, model: Classifier) -> DataFrame:
             new = [batch.column(0), batch.column(1), pa.array(classifier.score(utf8(batch.column(2))))]
             yield pa.RecordBatch.from_arrays(new, names=["doc_id", "held_out", "score"])
 
-    return source.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return map_batches(source, run, schema).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def report(documents: DataFrame, labels: DataFrame) -> DataFrame:
