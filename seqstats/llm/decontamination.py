@@ -9,8 +9,8 @@ automaton, as no window occurs elsewhere.
 Null texts have no words, null item ids are the item "null", items with one id are one item, repeated document rows are
 judged each for itself, and empty tables give no rows or no hits. Very long documents are streamed like any other.
 
-Items are broadcast in blocks of at most ``BLOCK_BYTES`` of text (an item longer than that is a block of its own, cut into
-pieces that overlap by a window), so the automaton's memory is bounded; every block is run over all documents.
+Items are broadcast in blocks of at most ``BLOCK_BYTES`` of text (an item longer than that is a block of its own), so the
+automaton's memory is bounded; every block is run over all documents, the marks so far in a written table between blocks.
 """
 
 from __future__ import annotations
@@ -151,19 +151,19 @@ class Automaton:
         return spans, items
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> list[list[tuple[str, bytes]]]:
-    """The items in blocks of at most ``BLOCK_BYTES``; reading stops at no item."""
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, bytes]]]:
+    """The items in blocks of at most ``BLOCK_BYTES``, one at a time on the driver; an empty one if there are no items."""
     rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col(text_col)).toLocalIterator()
-    blocks: list[list[tuple[str, bytes]]] = [[]]
+    block: list[tuple[str, bytes]] = []
     held = 0
     for name, text in rows:
         text = (text or "").encode()
         if held and held + len(text) > BLOCK_BYTES:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((name, text))
+            yield block
+            block, held = [], 0
+        block.append((name, text))
         held += len(text)
-    return blocks
+    yield block
 
 
 def normal_words(text: bytes) -> list[bytes]:
@@ -176,7 +176,6 @@ def mark(
 ) -> DataFrame:
     """The rows with ``_n_words``, ``_hits`` (ranges of hit words) and ``_items`` (items whose windows occur, sorted)."""
     context = docs.sparkSession.sparkContext
-    blocks = item_blocks(benchmark, item_id, item_text, window)
     marked = docs.withColumns(
         {
             "_n_words": F.lit(0).cast("bigint"),
@@ -186,7 +185,7 @@ def mark(
     )
     schema = marked.schema
     at = docs.columns.index(text_col)
-    for number, block in enumerate(blocks):
+    for number, block in enumerate(item_blocks(benchmark, item_id, item_text)):
         shared = context.broadcast(block)
         if number:  # one automaton in memory at a time
             marked = written(marked, "marked")
