@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import re
 from collections.abc import Iterator
 
@@ -33,6 +35,21 @@ def map_batches(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+@functools.lru_cache(maxsize=1)
+def _trim():
+    """The C library's call that gives freed memory back to the system, where there is one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: 0
+
+
+def release() -> None:
+    """Give freed memory back, so that a worker that waits or goes on to another step holds only what it needs."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The rows of a text column as bytes; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
