@@ -32,7 +32,12 @@ def map_batches(df: DataFrame, run, schema) -> DataFrame:
     conf = df.sparkSession.conf
     if int(re.sub(r"\D", "", conf.get(_SETTING)) or 0) > BATCH_BYTES:
         conf.set(_SETTING, f"{BATCH_BYTES}b")
-    return df.mapInArrow(run, schema)
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(released, schema)
 
 
 @functools.lru_cache(maxsize=1)
