@@ -1,6 +1,7 @@
 """Secret scans: patterns find candidates, a random forest removes the false positives.
 
-Candidates are runs of 16 or more characters of keys, and values assigned to a word like ``password``. The forest sees a
+Candidates are runs of 16 or more characters of keys, and values assigned to a word like ``password``. A run has a digit, a
+known beginning of keys or an announcing word before it; values are sought after every colon and equals sign. The forest sees a
 candidate's length, its character transitions, how much of it common words cover, whether it stands in a path or address,
 and the words beside it. It is trained from labelled findings: (text, start, end, label) with offsets in UTF-8 bytes.
 
@@ -30,13 +31,21 @@ FINDINGS = 8_000
 THRESHOLD = 0.5
 MASK = b"[SECRET]"
 
+DIGIT = re.compile(rb"[0-9]")
 RUN = re.compile(rb"[A-Za-z0-9+/_\-.~]{16,}={0,2}")
-ASSIGNED = re.compile(rb"[:=]\s{0,3}[\"'`]?([^\s\"'`<>,;]{6,})")
+#: What stands before a value, and a value. Values may hold further places, so a place ends where its value begins.
+ASSIGNED = re.compile(rb"[:=]\s{0,3}[\"'`]?(?=[^\s\"'`<>,;]{6})")
+VALUE = re.compile(rb"[^\s\"'`<>,;]*")
+#: The name of a parameter in an address; its value ends where the next one or the fragment begins.
+PARAMETER = re.compile(rb"[?&][\w\-.\[\]%]*$")
+PARAMETER_END = re.compile(rb"[&#]")
 #: Words that announce a secret, and words that announce a digest or an id.
 ANNOUNCING = re.compile(rb"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth|credential|bearer)")
 BEFORE_VALUE = re.compile(ANNOUNCING.pattern + rb"[\w\-]{0,12}[\"'\s]{0,3}$")
+ANNOUNCED = re.compile(ANNOUNCING.pattern + rb"[\w\-]{0,12}[\"'`\s:=]{0,5}$")
 HARMLESS = re.compile(rb"(?i)(sha-?\d*|md5|commit|checksum|digest|hash|uuid|isbn|id|version|build|revision|etag)\W*$")
 KNOWN_START = re.compile(rb"(AKIA|ASIA|gh[pousr]_|sk_live_|sk-|xox[abp]-|AIza|eyJ|glpat-)")
+KNOWN_INSIDE = re.compile(rb"(?<![A-Za-z0-9])" + KNOWN_START.pattern)
 PLACEHOLDER = re.compile(rb"(?i)(x{4,}|\*{3,}|example|change_?me|your[_-]|placeholder|required|null|none|true|false|undefined|\$\{|%\()")
 
 
@@ -47,15 +56,35 @@ def candidates(text: bytes) -> list[tuple[int, int]]:
         start, end = m.span()
         while text[end - 1 : end] in (b".", b"-", b"~"):
             end -= 1
-        if end - start >= 16 and re.search(rb"[0-9]", text[start:end]):
+        if end - start < 16:
+            continue
+        value = text[start:end]
+        if DIGIT.search(value) or KNOWN_INSIDE.search(value) or ANNOUNCED.search(text[max(0, start - 24) : start]):
             found.add((start, end))
+    whole = stop = 0  # where the value and the parameter last seen end; the places inside them share that end
+    outer = None
     for m in ASSIGNED.finditer(text):
         before = text[max(0, m.start() - 24) : m.start()]
         if BEFORE_VALUE.search(before):
-            start, end = m.span(1)
+            start = m.end()
+            if start >= whole:
+                whole, outer = VALUE.match(text, start).end(), None
+            end = whole
+            if name := PARAMETER.search(before):
+                if start > stop or stop > whole:
+                    mark = PARAMETER_END.search(text, start, whole)
+                    stop = mark.start() if mark else whole
+                end = stop
+                begin = m.start() - len(before) + name.start()
+                if outer and begin - outer[0] >= 6 and outer[1] > begin:  # a value that holds the parameter ends before it
+                    found.discard(outer)
+                    found.add((outer[0], begin))
+            if end - start < 6:
+                continue
             while end - start > 6 and text[end - 1 : end] in b".!?)]}|#$%&*":
                 end -= 1
-            found.add((start, end))
+            outer = (start, end)
+            found.add(outer)
     kept: list[tuple[int, int]] = []
     for start, end in sorted(found):
         if kept and kept[-1][1] > start:

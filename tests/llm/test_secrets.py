@@ -41,6 +41,42 @@ def test_candidates():
     assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
 
 
+def values(text):
+    return [text[a:b] for a, b in s.candidates(text)]
+
+
+def test_candidates_without_digits():
+    key, letters = b"AKIA" + b"QWERTYUIOPASDFGH", b"QwErTyUiOpAsDfGhJkLzXcVb"
+    assert values(b"words " + key + b" words") == [key]
+    assert values(b"see conf/" + key) == [b"conf/" + key]
+    assert values(b"the token " + letters + b", words") == [letters]
+    assert values(b"the garden " + letters + b" and brisk-" + b"words" * 4) == []
+
+
+def test_candidates_in_addresses():
+    assert values(b"https://host.example/?password=hunter22") == [b"hunter22"]
+    assert values(b"at https://host.example/a?user=joe&token=abcdefgh&x=password#auth=qwertyui .") == [b"abcdefgh", b"qwertyui"]
+    assert values(b"token: https://host.example/?password=hunter22&secret=qwertyui") == [b"https://host.example/", b"hunter22", b"qwertyui"]
+    assert values(b"x=y;note:password=hunter22") == [b"hunter22"]
+    assert values(b"password=ab&cdef:g") == [b"ab&cdef:g"]
+    many = b"password=" * 30_000  # one value, whose end is sought once
+    assert values(many) == [many[9:]]
+    assert len(values(b"?password=" * 30_000)) == 1
+
+
+def test_secrets_without_digits_are_masked(scanner):
+    draw = random.Random(9)
+    made = lambda n, letters: "".join(draw.choice(letters) for _ in range(n))
+    upper, both = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    texts, wanted = [], []
+    for _ in range(100):
+        for lead, value in (("", "AKIA" + made(16, upper)), ("token ", made(24, both)), ("https://host.example/?password=", made(14, both + "23456789"))):
+            texts.append(f"the garden {lead}{value} after".encode())
+            wanted.append(f"the garden {lead}[SECRET] after".encode())
+    got = [s.masked(t, f) for t, f in zip(texts, scanner.scan(texts))]
+    assert np.mean([a == b for a, b in zip(got, wanted)]) > 0.97
+
+
 def test_masking(spark, scanner):
     draw = random.Random(4)
     key = "AKIA" + "".join(draw.choice("ABCDEFGHIJ234567") for _ in range(16))
