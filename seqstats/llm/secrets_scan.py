@@ -24,13 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqstats.llm.common import map_batches, utf8
+from seqstats.session import written
 
-#: Documents whose words make the dictionary and the surroundings of the labelled findings, at most.
-SAMPLE_ROWS = 1_000
+#: The dictionary's size: so many words of all documents, the most common ones.
+DICTIONARY_WORDS = 20_000
 FINDINGS = 8_000
 THRESHOLD = 0.5
 MASK = b"[SECRET]"
 
+WORDS = re.compile(rb"[a-z\x80-\xff]{2,}")
 DIGIT = re.compile(rb"[0-9]")
 RUN = re.compile(rb"[A-Za-z0-9+/_\-.~]{16,}={0,2}")
 #: What stands before a value, and a value. Values may hold further places, so a place ends where its value begins.
@@ -112,13 +114,51 @@ class Language:
     pairs: np.ndarray
 
     @classmethod
-    def of(cls, texts: list[bytes], size: int = 20_000) -> Language:
-        counts = Counter(w for t in texts for w in re.findall(rb"[a-z\x80-\xff]{2,}", t.lower()))
-        pairs = np.full((256, 256), 0.05)
-        for word, n in counts.items():
-            data = np.frombuffer(word, np.uint8)
-            np.add.at(pairs, (data[:-1], data[1:]), min(n, 20))
-        return cls(frozenset(w for w, _ in counts.most_common(size)), np.log(pairs / pairs.sum(axis=1, keepdims=True)))
+    def of(cls, texts: list[bytes], size: int = DICTIONARY_WORDS) -> Language:
+        counts = Counter(w for t in texts for w in WORDS.findall(t.lower()))
+        common = sorted(counts, key=lambda w: (-counts[w], w))[:size]
+        return cls.made(common, transitions(list(counts), np.fromiter(counts.values(), np.int64, len(counts))))
+
+    @classmethod
+    def made(cls, words: list[bytes], counts: np.ndarray) -> Language:
+        pairs = counts.reshape(256, 256) + 0.05
+        return cls(frozenset(words), np.log(pairs / pairs.sum(axis=1, keepdims=True)))
+
+
+def transitions(words: list[bytes], counts: np.ndarray) -> np.ndarray:
+    """How often each of the 65,536 pairs of neighbouring characters occurs; a word's pairs weigh 20 at most."""
+    data = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    inner = np.ones(len(data), bool)
+    inner[np.cumsum(sizes) - 1] = False
+    at = np.flatnonzero(inner)
+    return np.bincount(data[at] * 256 + data[at + 1], np.repeat(np.minimum(counts, 20), sizes)[at], 1 << 16)
+
+
+def learned(documents: DataFrame, size: int = DICTIONARY_WORDS) -> Language:
+    """``Language.of`` all texts. Words and pairs are counted in Spark; the driver gets ``size`` words and 65,536 pairs at most."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: Counter[bytes] = Counter()
+            for text in utf8(batch.column(0)):
+                counts.update(m[0] for m in WORDS.finditer(text.lower()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 16)
+        for batch in batches:
+            total += transitions(batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False))
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen].astype(np.int64))], names=["pair", "n"])
+
+    counted = map_batches(documents.select("text"), count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = written(counted, "words")
+    common = [bytes(r.word) for r in counted.orderBy(F.desc("n"), "word").limit(size).collect()]
+    counts = np.zeros(1 << 16)
+    for r in map_batches(counted, pair, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        counts[r.pair] = r.n
+    return Language.made(common, counts)
 
 
 def features(text: bytes, start: int, end: int, language: Language) -> list[float]:
@@ -134,7 +174,7 @@ def features(text: bytes, start: int, end: int, language: Language) -> list[floa
     likely = float(language.pairs[lower[:-1], lower[1:]].mean()) if n > 1 else 0.0
     # words of letters inside the candidate, and what of them the dictionary covers (the longest words first)
     covered = 0
-    for part in re.findall(rb"[a-z\x80-\xff]{3,}", re.sub(rb"(?<=[a-z])(?=[A-Z])", b" ", value[:512]).lower()):
+    for part in re.findall(rb"[a-z\x80-\xff]{3,}", re.sub(rb"(?<=[a-z])(?=[A-Z])", b" ", value).lower()):
         at = 0
         while at + 3 <= len(part):
             for size in range(min(12, len(part) - at), 2, -1):
@@ -150,11 +190,11 @@ def features(text: bytes, start: int, end: int, language: Language) -> list[floa
     last = before[-1:] if before else b" "
     return [
         np.log2(n), share[0], share[1], share[2], share[3], float((kinds[1:] != kinds[:-1]).mean()) if n > 1 else 0.0,
-        float(-(counts * np.log2(counts)).sum()), len(counts) / n, likely, covered / min(n, 512),
+        float(-(counts * np.log2(counts)).sum()), len(counts) / n, likely, covered / n,
         float(bool(re.fullmatch(rb"[0-9a-fA-F]+", value))), float(value.isdigit()), float(bool(KNOWN_START.match(value))),
         float(value.count(b"/") + value.count(b".")) / n * 16, float(bool(re.search(rb"\.[a-z]{2,5}$", value))),
         float(b"://" in before[-12:] or b"@" in before[-2:] or after[:1] == b"@"), float(last in b"/\\."), float(last in b"\"'`=:"),
-        float(bool(ANNOUNCING.search(near))), float(bool(HARMLESS.search(before[-16:]))), float(bool(PLACEHOLDER.search(value[:256]))),
+        float(bool(ANNOUNCING.search(near))), float(bool(HARMLESS.search(before[-16:]))), float(bool(PLACEHOLDER.search(value))),
         float(after[:1] in b"\"'`"), float(value[:8].count(b"-") + value.count(b"-") > 2),
     ]
 
@@ -299,12 +339,9 @@ def trained(findings: list[tuple[bytes, int, int, int]], language: Language) ->
     return Scanner(language, fit(x, np.array([label for *_, label in findings], float)))
 
 
-def train(documents: DataFrame, rows: int = SAMPLE_ROWS) -> Scanner:
-    """A scanner whose dictionary and findings come from the words of at most ``rows`` documents, the first by a hash."""
-    chosen = documents.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = documents.join(F.broadcast(chosen), "doc_id").select(F.substring("text", 1, 5_000))
-    texts = sorted((t or "").encode() for (t,) in sample.toLocalIterator())
-    language = Language.of(texts)
+def train(documents: DataFrame) -> Scanner:
+    """A scanner whose dictionary, transitions and findings come from the words of all documents."""
+    language = learned(documents)
     words = sorted(w.decode() for w in language.words if w.isalpha())
     return trained(labelled_findings(words), language)
 

@@ -93,6 +93,23 @@ def test_training_without_documents(spark):
     assert s.train(spark.createDataFrame([], "doc_id long, text string")).scan([b"", b"token = 0a1b2c3d4e5f60718293"])[0] == []
 
 
+def test_statistics_of_all_documents(spark):
+    texts = [f"common words é {'x' * (i % 7)} number{i}" for i in range(1_200)] + ["filler " * 2_000 + "rarely seen at the end", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    found, want = s.learned(docs), s.Language.of([(t or "").encode() for t in texts])
+    assert found.words == want.words and {b"rarely", b"common", "é".encode()} <= found.words
+    assert np.array_equal(found.pairs, want.pairs)
+    assert s.learned(docs, 2).words == s.Language.of([(t or "").encode() for t in texts], 2).words
+    docs = spark.createDataFrame([(i, "w" + "".join("abcdefghij"[int(c)] for c in str(i))) for i in range(1_200)], "doc_id long, text string")
+    assert len(s.learned(docs).words) == 1_200
+
+
+def test_long_values_are_seen_whole(language):
+    column = lambda value, k: s.features(b"token=" + value, 6, 6 + len(value), language)[k]
+    assert column(b"Q7" * 300 + b"garden" * 100, 9) == 0.5
+    assert column(b"Q7" * 300 + b"changeme", 20) == 1.0 and column(b"Q7" * 300, 20) == 0.0
+
+
 def test_query(spark):
     texts = {r.doc_id: r.text.encode() for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
     found = {(r.doc_id, r.start_byte, r.end_byte) for r in op5_secret_scans(spark, FOLDER).collect() if r.secret}
