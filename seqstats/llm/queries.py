@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from seqstats.llm import (
-    bpe, decontamination, factorisation, interaction, lm_scoring, mixing, quality_rules, secrets_scan, simhash, suffix_dedup, toxicity,
-    url_filters,
+    bpe, decontamination, factorisation, interaction, lm_scoring, mixing, phrases, quality_rules, secrets_scan, simhash, suffix_dedup,
+    toxicity, url_filters,
 )
 from seqstats.llm.common import table
 
@@ -66,15 +66,20 @@ def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return interaction.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op13_phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.phrases(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_suffix_array_dedup, op2_quality_rules, op3_url_filters, op4_byte_bpe, op5_secret_scans, op6_lm_scoring,
         op7_quality_classifier, op8_decontamination, op9_simhash_near_dedup, op10_toxicity, op11_source_mixing, op12_filter_audit,
+        op13_phrase_mining,
     )
 }
 
 ORACLES: dict[str, str] = {
     "op3_url_filters": url_filters.SQL, "op8_decontamination": decontamination.SQL, "op11_source_mixing": mixing.SQL,
-    "op12_filter_audit": interaction.SQL,
+    "op12_filter_audit": interaction.SQL, "op13_phrase_mining": phrases.SQL,
 }
