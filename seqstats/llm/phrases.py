@@ -41,6 +41,8 @@ LEAST, LONGEST, TOP, PERCENT = 100, 5, 2000, 100
 GROUP_SUFFIXES = 1 << 20
 #: Bits of a map of prefixes (8 MB), whatever the corpus.
 FILTER_BITS = 1 << 26
+#: Words of the prefixes that are counted even if none is too frequent, to leave out what no phrase begins with.
+PRUNED = 3
 #: Distinct prefixes that a task adds up before it hands them on.
 HELD = 1 << 21
 _MARKS = b".,;:!?\n\x0b\x0c\r"
@@ -51,7 +53,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 def tokens(texts: list[bytes]) -> list[bytes]:
     """Words of all texts, A-Z in lower case; a mark (which no word holds) ends each piece."""
     joined = b".".join(texts).lower().translate(_CUT).replace(b".", b" . ")
-    return [x for x in joined.split(b" ") if x] + [b"."]
+    return joined.split() + [b"."]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -63,29 +65,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Numbered:
     """A batch's tokens as numbers of its distinct words (0: the end of a piece), with the words' hashes."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], lang: str):
         found = defaultdict(itertools.count().__next__)
         found[b"."]
         self.codes = np.fromiter(map(found.__getitem__, tokens(texts)), np.int32)
         self.words = list(found)
         self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
+        start = np.array([xxhash.xxh3_64_intdigest(lang.encode())], np.uint64)
+        self.singles = mixed(start * _STEP + self.hashes)
 
-    def keys(self, lang: int, depth: int, places: np.ndarray) -> np.ndarray:
-        """Hash of the first ``depth`` words of the suffixes at ``places``; all of them must be words."""
-        key = np.full(len(places), lang, np.uint64)
-        for j in range(depth):
+    def keys(self, depth: int, places: np.ndarray) -> np.ndarray:
+        """Hash of the language and the first ``depth`` words of the suffixes at ``places``; all of them must be words."""
+        key = self.singles[self.codes[places]]
+        for j in range(1, depth):
             key = mixed(key * _STEP + self.hashes[self.codes[places + j]])
         return key
 
-    def reach(self, depth: int) -> np.ndarray:
-        """Words of the suffix at each place, ``depth`` at most."""
-        reach = np.zeros(len(self.codes), np.int8)
-        run = self.codes != 0
-        for j in range(depth):
-            reach += run
-            run = run & np.concatenate([self.codes[j + 1 :] != 0, np.zeros(min(j + 1, len(self.codes)), bool)])
-        return reach
-
 
 class Map:
     """A set of hashes as bits; may hold more than was put in, never less."""
@@ -104,40 +99,37 @@ def by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
         yield name, texts[names.indices.to_numpy() == i].tolist()
 
 
-def salt(lang: str) -> int:
-    return xxhash.xxh3_64_intdigest(lang.encode())
-
-
 class Partition:
     """Word prefixes by budget: which are frequent, and which are too frequent for one group, by their number of words."""
 
-    def __init__(self, frequent: Map | None, heavy: dict[int, Map], groups: int = 1):
+    def __init__(self, frequent: dict[int, Map], heavy: dict[int, Map], groups: int = 1):
         self.frequent, self.heavy, self.groups = frequent, heavy, groups
 
-    def suffixes(self, text: Numbered, lang: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the suffixes that a phrase may begin with, and their number of words."""
-        reach = text.reach(longest)
-        if self.frequent is None:
-            places = np.flatnonzero(reach >= 2)
-            return places, reach[places]
-        pair = np.zeros(len(reach) + longest, bool)
-        at = np.flatnonzero(reach >= 2)
-        pair[at[self.frequent.has(text.keys(lang, 2, at))]] = True
-        places = np.flatnonzero(pair)
-        lengths, alive = np.full(len(places), 2, np.int8), np.ones(len(places), bool)
-        for j in range(1, longest - 1):
-            alive &= pair[places + j]
-            lengths += alive
-        return places, lengths
-
-    def placed(self, text: Numbered, lang: int, places: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    def lengths(self, text: Numbered, longest: int) -> np.ndarray:
+        """Words at each place that may be a frequent prefix: all parts of it may be, as far as they are known."""
+        live = text.codes != 0
+        if 1 in self.frequent:
+            live &= self.frequent[1].has(text.singles)[text.codes]
+        lengths = live.astype(np.int8)
+        for depth in range(2, longest + 1):
+            places = np.flatnonzero(live[:-1] & live[1:])
+            if depth in self.frequent:
+                places = places[self.frequent[depth].has(text.keys(depth, places))]
+            live = np.zeros(len(live), bool)
+            live[places] = True
+            lengths += live
+        return lengths
+
+    def placed(self, text: Numbered, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(depth of the prefix, group key, place, length) of the suffixes, from the shortest prefixes to the longest.
 
         A suffix under a prefix that is too frequent also gives the prefix itself, for the prefix's own count.
         """
-        depth = 2
+        lengths = self.lengths(text, longest)
+        places = np.flatnonzero(lengths >= 2)
+        lengths, depth = lengths[places], 2
         while len(places):
-            key = text.keys(lang, depth, places)
+            key = text.keys(depth, places)
             heavy = self.heavy[depth].has(key) if depth in self.heavy else np.zeros(len(places), bool)
             yield depth, key, places, np.where(heavy, depth, lengths)
             longer = heavy & (lengths > depth)
@@ -176,48 +168,51 @@ class Subtree:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """lang, phrase (one word), n."""
+    """lang, phrase (one word), its key and n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, texts in by_lang(batch):
-                text = Numbered(texts)
+                text = Numbered(texts, lang)
                 counts = np.bincount(text.codes, minlength=len(text.words))[1:]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array(text.words[1:], pa.binary()).cast(pa.string()), pa.array(counts)], ["lang", "phrase", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([lang] * len(counts), pa.string()), pa.array(text.words[1:], pa.binary()).cast(pa.string()),
+                        pa.array(text.singles[1:].view(np.int64)), pa.array(counts),
+                    ],
+                    ["lang", "phrase", "key", "n"],
+                )
 
-    return map_batches(docs, run, "lang string, phrase string, n bigint").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    counts = map_batches(docs, run, "lang string, phrase string, key bigint, n bigint")
+    return counts.groupBy("lang", "phrase", "key").agg(F.sum("n").alias("n"))
 
 
-def prefix_counts(docs: DataFrame, partition: Partition, depth: int, longest: int) -> DataFrame:
-    """key, n of the prefixes of ``depth`` words: all of two words, else those under a too frequent one."""
+def prefix_counts(docs: DataFrame, partition: Partition, depth: int) -> DataFrame:
+    """key, n of the prefixes of ``depth`` words whose parts may be frequent."""
     known = docs.sparkSession.sparkContext.broadcast(partition)
 
+    def added(keys: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+        every, n = np.concatenate(keys), np.concatenate(counts)
+        order = np.argsort(every)
+        every, n = every[order], n[order]
+        starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])[: len(every)])
+        sums = np.add.reduceat(n, starts) if len(starts) else n
+        return pa.RecordBatch.from_arrays([pa.array(every[starts].view(np.int64)), pa.array(sums)], ["key", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, held = [], [], 0
-
-        def added() -> pa.RecordBatch:
-            every, n = np.concatenate(keys), np.concatenate(counts)
-            order = np.argsort(every)
-            every, n = every[order], n[order]
-            starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
-            sums = np.add.reduceat(n, starts) if len(starts) else n
-            return pa.RecordBatch.from_arrays([pa.array(every[starts].view(np.int64)), pa.array(sums)], ["key", "n"])
-
         for batch in batches:
             for lang, texts in by_lang(batch):
-                text, seed = Numbered(texts), salt(lang)
-                places, lengths = known.value.suffixes(text, seed, longest)
-                for level, key, at, reach in known.value.placed(text, seed, places, lengths):
-                    if level == depth:
-                        found, n = np.unique(key[reach >= depth], return_counts=True)
-                        keys.append(found)
-                        counts.append(n)
-                        held += len(found)
+                text = Numbered(texts, lang)
+                found, n = np.unique(text.keys(depth, np.flatnonzero(known.value.lengths(text, depth) == depth)), return_counts=True)
+                keys.append(found)
+                counts.append(n)
+                held += len(found)
             if held > HELD:
-                yield added()
+                yield added(keys, counts)
                 keys, counts, held = [], [], 0
         if keys:
-            yield added()
+            yield added(keys, counts)
 
     return map_batches(docs, run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -231,19 +226,24 @@ def bit_map(keys: DataFrame, bits: int) -> Map:
     return found
 
 
-def partitioned(docs: DataFrame, least: int, longest: int, budget: int, bits: int) -> Partition:
-    """Counts prefixes level by level. A prefix may hold an eighth of a group; groups expect a half of the budget."""
-    partition = Partition(None, {})
+def partitioned(docs: DataFrame, words: DataFrame, least: int, longest: int, budget: int, bits: int) -> Partition:
+    """Counts prefixes level by level: up to ``PRUNED`` words in any case, then as long as some are too frequent.
+
+    A prefix may hold an eighth of a group; groups expect a half of the budget.
+    """
+    partition = Partition({1: bit_map(words.where(F.col("n") >= least), bits)}, {})
     for depth in range(2, longest):
-        counts = written(prefix_counts(docs, partition, depth, longest).where(F.col("n") >= least), "prefixes")
+        if depth > PRUNED and depth - 1 not in partition.heavy:
+            break
+        counts = written(prefix_counts(docs, partition, depth).where(F.col("n") >= least), "prefixes")
         if depth == 2:
             total = counts.agg(F.sum("n")).first()[0] or 0
             slots = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-            partition = Partition(bit_map(counts, bits), {}, max(4 * slots, -(-2 * total // budget)))
+            partition.groups = max(4 * slots, -(-2 * total // budget))
+        partition.frequent[depth] = bit_map(counts, bits)
         heavy = counts.where(F.col("n") > budget // 8)
-        if heavy.isEmpty():
-            break
-        partition.heavy[depth] = bit_map(heavy, bits)
+        if (depth == 2 or depth - 1 in partition.heavy) and not heavy.isEmpty():
+            partition.heavy[depth] = bit_map(heavy, bits)
     return partition
 
 
@@ -254,9 +254,8 @@ def longer_phrases(docs: DataFrame, partition: Partition, least: int, longest: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, texts in by_lang(batch):
-                text, seed = Numbered(texts), salt(lang)
-                places, lengths = known.value.suffixes(text, seed, longest)
-                for depth, key, at, reach in known.value.placed(text, seed, places, lengths):
+                text = Numbered(texts, lang)
+                for depth, key, at, reach in known.value.placed(text, longest):
                     columns = [np.where(reach > j, text.codes[np.minimum(at + j, len(text.codes) - 1)], -1) for j in range(longest)]
                     order = np.lexsort(columns[::-1])
                     columns, key, reach = [c[order] for c in columns], key[order], reach[order]
@@ -330,7 +329,7 @@ def phrases(
     read = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     words = written(word_counts(read), "words")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    partition = partitioned(read, least, longest, budget, bits)
+    partition = partitioned(read, words, least, longest, budget, bits)
     longer = written(longer_phrases(read, partition, least, longest), "phrases")
     every = words.where(F.col("n") >= least).select("lang", "phrase", F.lit(1).alias("size"), F.col("n").alias("a")).unionByName(
         longer.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("size"), F.col("n").alias("a"))
