@@ -13,7 +13,7 @@ rows. Documents of one such sum share a word; they enter the adders as a word wi
 
 Null texts are empty: no words, so they fail A only, and E if a smaller id is empty too. A null id is never the smaller one and
 never fails E. Rows that repeat an id are documents of their own; with the smallest id of a text all its rows pass E. A null source is the part ''.
-Labels that are null or missing are no label; of several rows for one id the greatest counts. Texts of any length are read
+A null id has no label; labels that are null or missing are none; of several rows for one id the greatest counts. Texts of any length are read
 whole. An empty table has no parts and gives no rows. Extra columns are not read and may have any name.
 """
 
