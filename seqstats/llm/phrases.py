@@ -11,7 +11,8 @@ leaves. A group never needs another one, so a lost executor repeats its groups a
 What tasks must know of the counts is the same size for any corpus: bit maps over 64-bit hashes of prefixes (``FILTER_BITS``) say
 "frequent" and "too frequent". A bit that two prefixes share lets a suffix through that was not needed, or lengthens
 a prefix that need not be; counts come from the words alone, so neither changes a result. Tasks add up equal prefixes and suffixes
-before anything is shuffled: a passage repeated in a third of the documents is one row per batch.
+before anything is shuffled, and hand all that a batch has for one group on as one row: a passage repeated in a third of the
+documents is one line per batch.
 
 Scores are exact: products are decimals of 38 digits, their quotient is an integer division.
 
@@ -62,6 +63,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def changes(columns: list[np.ndarray]) -> np.ndarray:
+    """Whether a row differs from the one before it; the first row does."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for column in columns:
+        new[1:] |= column[1:] != column[:-1]
+    return new
+
+
 class Numbered:
     """A batch's tokens as numbers of its distinct words (0: the end of a piece), with the words' hashes."""
 
@@ -195,7 +205,7 @@ def prefix_counts(docs: DataFrame, partition: Partition, depth: int) -> DataFram
         every, n = np.concatenate(keys), np.concatenate(counts)
         order = np.argsort(every)
         every, n = every[order], n[order]
-        starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])[: len(every)])
+        starts = np.flatnonzero(changes([every]))
         sums = np.add.reduceat(n, starts) if len(starts) else n
         return pa.RecordBatch.from_arrays([pa.array(every[starts].view(np.int64)), pa.array(sums)], ["key", "n"])
 
@@ -257,33 +267,37 @@ def longer_phrases(docs: DataFrame, partition: Partition, least: int, longest: i
                 text = Numbered(texts, lang)
                 for depth, key, at, reach in known.value.placed(text, longest):
                     columns = [np.where(reach > j, text.codes[np.minimum(at + j, len(text.codes) - 1)], -1) for j in range(longest)]
-                    order = np.lexsort(columns[::-1])
-                    columns, key, reach = [c[order] for c in columns], key[order], reach[order]
-                    new = np.ones(len(order), bool)
-                    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns]) if len(order) else new[1:]
-                    starts = np.flatnonzero(new)
-                    n = np.diff(np.append(starts, len(order)))
+                    group = (key % groups).astype(np.int32)
+                    order = np.lexsort([*columns[::-1], group])
+                    columns, group, reach = [c[order] for c in columns], group[order], reach[order]
+                    starts = np.flatnonzero(changes([group, *columns]))
+                    n, group = np.diff(np.append(starts, len(order))), group[starts]
                     rows = zip(reach[starts].tolist(), *(c[starts].tolist() for c in columns))
+                    suffixes = [b" ".join([text.words[x] for x in row[1 : 1 + row[0]]]) for row in rows]
+                    # One row for each group: its suffixes as lines, and their counts.
+                    cuts = np.append(np.flatnonzero(changes([group])), len(group))
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array((key[starts] % groups).astype(np.int32)), pa.array([lang] * len(starts), pa.string()),
-                            pa.array(np.full(len(starts), depth, np.int32)), pa.array([b" ".join([text.words[x] for x in row[1 : 1 + row[0]]]) for row in rows], pa.binary()),
-                            pa.array(n),
+                            pa.array(group[cuts[:-1]]), pa.array([lang] * (len(cuts) - 1), pa.string()),
+                            pa.array(np.full(len(cuts) - 1, depth, np.int32)),
+                            pa.array([b"\n".join(suffixes[i:j]) for i, j in zip(cuts[:-1], cuts[1:])], pa.binary()),
+                            pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(n)),
                         ],
-                        ["group", "lang", "since", "suffix", "n"],
+                        ["group", "lang", "since", "suffixes", "counts"],
                     )
 
     def build(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         langs, found = group["lang"].combine_chunks().dictionary_encode(), defaultdict(itertools.count().__next__)
-        rows = [x.split(b" ") for x in group["suffix"].to_pylist()]
+        rows = [x.split(b" ") for lines in group["suffixes"].to_pylist() for x in lines.split(b"\n")]
+        counts, each = np.concatenate(group["counts"].to_numpy()), [len(x) for x in group["counts"].to_pylist()]
         leaves = np.full((len(rows), longest + 1), -1, np.int32)
-        leaves[:, 0] = langs.indices.to_numpy()
+        leaves[:, 0] = np.repeat(langs.indices.to_numpy(), each)
         sizes = np.fromiter(map(len, rows), np.int64, len(rows))
         inside = np.arange(longest) < sizes[:, None]
         leaves[:, 1:][inside] = np.fromiter((found[w] for row in rows for w in row), np.int32)
         words = list(found)
-        tree = Subtree.build(leaves, group["since"].to_numpy(), group["n"].to_numpy())
+        tree = Subtree.build(leaves, np.repeat(group["since"].to_numpy(), each), counts)
         out: tuple[list, list, list] = ([], [], [])
         for depth, starts, counts in tree.nodes():
             kept = counts >= least
@@ -293,7 +307,7 @@ def longer_phrases(docs: DataFrame, partition: Partition, least: int, longest: i
                 out[2].append(n)
         return pa.table({"lang": pa.array(out[0], pa.string()), "phrase": pa.array(out[1], pa.string()), "n": pa.array(out[2], pa.int64())})
 
-    suffixes = map_batches(docs, run, "group int, lang string, since int, suffix binary, n bigint")
+    suffixes = map_batches(docs, run, "group int, lang string, since int, suffixes binary, counts array<bigint>")
     return suffixes.groupBy("group").applyInArrow(build, "lang string, phrase string, n bigint")
 
 
