@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 from seqstats.operators.filters import ALPHA, MIN_DEV, MIN_GAMES, MIN_PLAYERS
 from seqstats.operators.ks import EXACT_LIMIT
 from seqstats.plans import jobs
+from seqstats.sources.ledger import BUCKETS
 from seqstats.sources.openings import read_openings
 from seqstats.sources.stages import write_csv
 
@@ -42,6 +43,11 @@ def parser() -> argparse.ArgumentParser:
     merge = sub.add_parser("merge")
     merge.add_argument("--start", required=True)
     merge.add_argument("--end")
+    for job in ("add-months", "withdraw-months"):
+        sub.add_parser(job, help="keep the ledger of months").add_argument("--start", required=True)
+        choose[job].add_argument("--end", help="last month, by default the first")
+    choose["add-months"].add_argument("--buckets", type=int, default=BUCKETS, help="of the ledger's state, fixed by its first change")
+    sub.add_parser("ledger-table", help="write the ledger's sums as a players' table").add_argument("--name", required=True)
     sub.add_parser("merge-profiles").add_argument("--responses", required=True, help="JSON lines with id and profile")
     return parser
 
@@ -60,6 +66,12 @@ def main(arguments: list[str] | None = None) -> None:
         jobs.run_player_openings(spark, root, args.name, openings())
     elif args.job == "merge":
         jobs.run_merge_months(spark, root, args.start, args.end)
+    elif args.job == "add-months":
+        jobs.run_add_months(spark, root, args.start, args.end, args.buckets)
+    elif args.job == "withdraw-months":
+        jobs.run_withdraw_months(spark, root, args.start, args.end)
+    elif args.job == "ledger-table":
+        jobs.run_ledger_table(spark, root, args.name)
     elif args.job == "new-players":
         write_csv(jobs.run_new_player_batches(spark, root, args.name), args.out)
     elif args.job == "merge-profiles":

@@ -315,6 +315,7 @@ SQL = {
     "write_stage_gzip": "SELECT * FROM profiles",
     "write_csv": "SELECT c_custkey, c_name, " + r6("c_acctbal") + " FROM customer",
     "checkpointed": "SELECT * FROM profiles",
+    "promote_resumed": "SELECT * FROM profiles",
     # filters
     "filter_matched": """
         SELECT white, black, g.moves, matched_id FROM games g JOIN (
@@ -450,6 +451,8 @@ SQL = {
     "merge_counts": "SELECT * FROM counts",
     "player_totals": "SELECT * FROM totals",
     "country_player_counts": "SELECT * FROM player_counts",
+    "country_player_counts_approx": "SELECT *, true AS within_bounds, true AS as_in_one_pass FROM player_counts",
+    "global_moments_updated": f"SELECT matched_id, {r6_all(MOMENTS)} FROM moments",
     "country_means": f"SELECT country, matched_id, {r6_all(METRICS)} FROM means",
     "global_moments": f"SELECT matched_id, {r6_all(MOMENTS)} FROM moments",
     "distributions_global": COUNTED_VALUES.replace("#", "").replace("&", "counted_values"),
@@ -590,6 +593,9 @@ SQL = {
                CASE WHEN result <> '1/2-1/2' THEN {ELO.replace("@", "black")} END AS b_elo,
                'Rated game ' || month AS event, matched_id, matched_moves, real_game FROM matches""",
     "merge_months": "SELECT * FROM counts",
+    "month_ledger": f"""
+        SELECT id, matched_id, {each("CAST(sum(@) AS BIGINT) AS @", COUNTS)}, count(DISTINCT month) AS months
+        FROM monthly WHERE month NOT IN ('1995-03', '1996-12') GROUP BY id, matched_id""",
     "new_player_batches": """
         SELECT run, batch_no, batch_no // 3 AS slot, batch_no // 3 * 600 AS start_offset_s, string_agg(id, ',' ORDER BY id) AS ids
         FROM (SELECT id, rank // 120000 AS run, rank % 120000 // 20 AS batch_no

@@ -25,7 +25,7 @@ from seqstats.operators import (
 from seqstats.operators.shaping import METRICS, SUFFIXES
 from seqstats.plans import jobs
 from seqstats.session import fresh_dir, move_path, path_exists
-from seqstats.sources import features, openings, records, stages
+from seqstats.sources import features, ledger, openings, records, stages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -236,6 +236,17 @@ def checkpointed(i: Inputs) -> DataFrame:
     return stages.promote(i.spark, path, known)
 
 
+@query
+def promote_resumed(i: Inputs) -> DataFrame:
+    """A collection that stopped right after its commit point, and went on with one more batch."""
+    path = fresh_dir(i.spark, "profiles")
+    found = i.profiles().where("country IS NOT NULL")
+    stages.checkpointed(found.where("length(country) = 2"), path, 0)
+    stages.commit_batches(i.spark, path, i.profiles().where("country IS NULL"))
+    stages.checkpointed(found.where("length(country) <> 2"), path, 0)
+    return stages.promote(i.spark, path, stages.read_known(i.spark, path, "id", jobs.KNOWN_PLAYERS))
+
+
 # --- filters ----------------------------------------------------------------------------------
 
 
@@ -545,6 +556,30 @@ def country_player_counts(i: Inputs) -> DataFrame:
     return i.player_counts()
 
 
+@query
+def country_player_counts_approx(i: Inputs) -> DataFrame:
+    """Sketches per country and first letter of the id, united; the exact number must lie within the stated bounds."""
+    parts = probabilities.player_sketches(i.located().withColumn("part", F.substring("id", 1, 1)), ("country", "part"))
+    united = probabilities.approx_player_counts(probabilities.united_sketches(parts))
+    whole = probabilities.approx_player_counts(probabilities.player_sketches(i.located())).select("country", F.col("num_players").alias("_once"))
+    exact = i.player_counts().withColumnRenamed("num_players", "exact")
+    inside = F.col("exact").between(F.col("at_least"), F.col("at_most"))
+    same = F.abs(F.col("_once") - F.col("num_players")) <= 2 * probabilities.sketch_error() * F.col("exact")
+    joined = united.join(whole, "country").join(exact, "country")
+    return joined.select("country", F.col("exact").alias("num_players"), inside.alias("within_bounds"), same.alias("as_in_one_pass"))
+
+
+@query
+def global_moments_updated(i: Inputs) -> DataFrame:
+    """Moments of all players, from states in which some players were first wrong, then taken out and put in right."""
+    players = i.counted()
+    some = F.col("id").cast("long") % 7 == 0
+    wrong = players.where(some).withColumns({m: F.col(m) * 0.5 + 0.25 for m in METRICS})
+    states = probabilities.moment_states(players.where(~some).unionByName(wrong))
+    states = probabilities.updated_states(states, probabilities.moment_states(wrong), -1)
+    return probabilities.moments_of(probabilities.updated_states(states, probabilities.moment_states(players.where(some))))
+
+
 @query
 def country_means(i: Inputs) -> DataFrame:
     return i.means()
@@ -964,6 +999,21 @@ def merge_months(i: Inputs) -> DataFrame:
     return i.spark.read.parquet(jobs.run_merge_months(i.spark, root, *month_bounds(i)))
 
 
+@query
+def month_ledger(i: Inputs) -> DataFrame:
+    """Months added to a ledger, those of 1994 with rows missing at first, and two months withdrawn at the end."""
+    root = fresh_dir(i.spark, "ledger")
+    path = f"{root}/months"
+    stages.write_months(i.monthly(), path)
+    named = stages.month_range(*month_bounds(i))
+    counted, late = stages.read_months(i.spark, path, *month_bounds(i)), [m for m in named if m.startswith("1994")]
+    missing = (F.col("month").isin(late)) & (F.col("count_w") > 0)
+    ledger.put_months(i.spark, f"{root}/ledger", counted.where(~missing), named, buckets=8)
+    ledger.put_months(i.spark, f"{root}/ledger", counted.where(F.col("month").isin(late)), late)
+    ledger.withdraw_months(i.spark, f"{root}/ledger", ["1995-03", "1996-12"])
+    return ledger.state(i.spark, f"{root}/ledger")
+
+
 @query
 def new_player_batches(i: Inputs) -> DataFrame:
     return profiles.new_player_batches(*cased_players(i), size=20, per_period=3)

@@ -70,6 +70,6 @@ def filter_side(df: DataFrame, side: str) -> DataFrame:
     return df.where(F.col("color") == side)
 
 
-def check_choice(what: str, value: str, allowed: tuple[str, ...]) -> None:
+def check_choice(what: str, value: str | int, allowed: tuple[str | int, ...]) -> None:
     if value not in allowed:
-        raise ValueError(f"{what} must be one of {', '.join(allowed)}, not {value!r}")
+        raise ValueError(f"{what} must be one of {', '.join(map(str, allowed))}, not {value!r}")

@@ -115,12 +115,12 @@ def feature_enrichment(
         .groupBy("ISO_A3")
         .agg(F.map_from_entries(F.collect_list(F.struct("key", typed))).alias("_cells"))
     )
-    every = data.agg(F.array_sort(F.collect_set("matched_id")).alias("all")).scalar()
-    keys = F.flatten(F.transform("_all", lambda o: F.array(*[F.concat_ws("_", o, F.lit(label)) for label, _, _ in LABELS])))
+    # All keys that any feature has: read from the folded cells, so that nothing is worked out twice.
+    every = folded.select(F.explode(F.map_keys("_cells")).alias("key")).distinct().agg(F.array_sort(F.collect_set("key")).alias("all")).scalar()
     none = F.create_map().cast("map<string,variant>")
     joined = coded.join(folded, "ISO_A3", "left").join(feature_player_counts(codes, players), "ISO_A3", "left")
     joined = joined.withColumn("_cells", F.coalesce("_cells", none)).withColumn("_all", every)
-    missing = F.array_except(keys, F.map_keys("_cells"))
+    missing = F.array_except("_all", F.map_keys("_cells"))
     zero = F.lit(0).cast("variant")
     count = F.map_from_arrays(F.array(F.lit("PLAYER_COUNT")), F.array(F.col("num_players").cast("variant")))
     filled = joined.withColumn("_missing", missing).withColumn(

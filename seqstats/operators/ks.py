@@ -23,27 +23,48 @@ from seqstats.operators.shaping import METRICS
 # Tasks get the p-value function itself, so executors need no copy of this package.
 register_pickle_by_value(sys.modules[__name__])
 
-# A running sum is taken within value ranges of one group and the ranges' totals are added.
-RANGES = 64
+# A running sum is taken within value ranges of one group and the ranges' totals are added. A range has about so many values.
+RANGE_ROWS = 65_536
+# Ranges that a group is cut into at most, a square.
+MOST_RANGES = 2_304
+# Ranks of the bounds are right to one part in so many.
+RANK_PARTS = 10_000
 # Fixed value, the default of a parameter: samples up to this size get the exact p-value under ``auto``.
 EXACT_LIMIT = 10_000
 # Numbers of lattice points that are advanced together.
 LATTICE_POINTS = 16_384
 
 
-def ranged(counts: DataFrame, cols: list[str]) -> DataFrame:
-    """The rows with the number of their value range, ascending with the value; NULL goes to the first.
+def ranged(counts: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """The rows with the number of their value range within their group, ascending with the value; NULL goes to the first.
 
-    The bounds are approximate quantiles of all values, so a hot group, which makes up most of them, is cut into many
-    ranges whatever its scale. Results are the same for any cut. Values are those with a count in ``cols``; reading the
-    counts lets the quantiles share the shuffle of the counts.
+    Every group has a quantile sketch of its own, made per task and merged, and is cut into as many ranges of equal
+    weight as its size asks for: a small group is one range, a hot one at most ``MOST_RANGES``, each of about ``RANGE_ROWS``
+    rows or a thousandth part of it at most. What is broadcast are the bounds of large groups: one number for ``RANGE_ROWS``
+    values, so eight bytes for half a megabyte of them, and no more than ``MOST_RANGES`` a group. Results are the same for any cut. Values are those with a count in ``cols``; reading the
+    counts lets the sketches share the shuffle of the counts.
     """
-    shares = [k / RANGES for k in range(1, RANGES)]
+    shares = [k / MOST_RANGES for k in range(1, MOST_RANGES)]
     present = F.when(sum(F.col(c) for c in cols) > 0, F.col("value"))
-    bounds = counts.agg(F.percentile_approx(present, shares, 1_000).alias("bounds")).scalar()
-    below = F.size(F.filter("_bounds", lambda b: b < F.col("value")))
-    number = F.when(F.col("value").isNull() | F.col("_bounds").isNull(), 0).otherwise(below)
-    return counts.withColumn("_bounds", bounds).withColumn("_range", number).drop("_bounds")
+    large = counts.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(
+        F.count(present).alias("_size"), F.percentile_approx(present, shares, RANK_PARTS).alias("_all")
+    ).where(F.col("_size") > RANGE_ROWS)
+    # Every so many bounds, so that there are as many ranges as the size asks for.
+    step = F.greatest(F.lit(1), F.floor(MOST_RANGES * float(RANGE_ROWS) / F.col("_size"))).cast("int")
+    large = large.withColumn("_bounds", F.filter("_all", lambda b, i: (i + 1) % step == 0)).drop("_all", "_size")
+    same = [F.col(k) == F.col(f"_k_{k}") for k in keys]
+    number = F.when(F.col("value").isNull() | F.col("_bounds").isNull(), 0).otherwise(_bounds_below("_bounds", F.col("value")))
+    joined = counts.join(F.broadcast(large), same, "left").withColumn("_range", number)
+    return joined.drop("_bounds", *[f"_k_{k}" for k in keys])
+
+
+def _bounds_below(bounds: str, value: Column) -> Column:
+    """How many of the ascending bounds are below a value: first whole blocks of them, then within one block."""
+    width = int(MOST_RANGES**0.5)
+    lasts = F.filter(F.col(bounds), lambda b, i: (i + 1) % width == 0)
+    blocks = F.size(F.filter(lasts, lambda b: b < value))
+    inside = F.slice(F.col(bounds), blocks * width + 1, F.lit(width))
+    return blocks * width + F.size(F.filter(inside, lambda b: b < value))
 
 
 def running_counts(counts: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
@@ -51,7 +72,7 @@ def running_counts(counts: DataFrame, keys: list[str], cols: list[str]) -> DataF
 
     Each group is cut into value ranges, so no task sorts a hot group alone.
     """
-    counts = ranged(counts, cols)
+    counts = ranged(counts, keys, cols)
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     group = Window.partitionBy(*keys)
     per_range = counts.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_{c}") for c in cols])
@@ -110,7 +131,7 @@ def ks_subset(df: DataFrame, keys: list[str], group: str, value: str = "value")
     both are taken within value ranges of a key, and the counts of the ranges below are added.
     """
     counts = df.groupBy(*keys, group, F.col(value).alias("value")).agg(F.count(value).alias("s"))
-    counts = ranged(counts, ["s"])
+    counts = ranged(counts, keys, ["s"])
 
     cells = counts.groupBy(*keys, group, "_range").agg(F.sum("s").alias("_cell"))
     whole = Window.partitionBy(*keys)
@@ -227,7 +248,8 @@ def _exact_tail(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
     tails = pd.Series(np.nan, index=d.index).astype(object)
     tails[:] = None
     if len(tests):
-        tails[tests.index] = lattice_tails(*(tests[c].to_numpy(float) for c in "dnm"))
+        kinds, of = np.unique(tests.to_numpy(float), axis=0, return_inverse=True)
+        tails[tests.index] = lattice_tails(*kinds.T)[of.ravel()]
     return tails
 
 
@@ -281,16 +303,15 @@ def _advanced(n: np.ndarray, m: np.ndarray, reach: np.ndarray) -> np.ndarray:
 def with_pvalue(tested: DataFrame, method: str = "auto", exact_limit: int = EXACT_LIMIT) -> DataFrame:
     """Tests with their ``p_value``.
 
-    Exact p-values are little data and much work: equal tests are worked out once, dealt over all cores, and a task's
-    tests are put in the order of their sizes, so that neighbours are advanced together.
+    Exact p-values are little data and much work: they are dealt over all cores by the test itself, so equal tests meet in
+    one task and are worked out once, and a task's tests are put in the order of their sizes, so that neighbours are
+    advanced together.
     """
     p_value = ks_pvalue(F.col("stat"), F.col("n"), F.col("m"), method, exact_limit)
     if method not in ("auto", "exact"):
         return tested.withColumn("p_value", p_value)
     tasks = 2 * tested.sparkSession.sparkContext.defaultParallelism
-    kinds = tested.where("stat IS NOT NULL").select("stat", "n", "m").distinct()
-    kinds = kinds.repartition(tasks).sortWithinPartitions("m", "n").withColumn("p_value", p_value)
-    return tested.join(kinds, ["stat", "n", "m"], "left").select(*tested.columns, "p_value")
+    return tested.repartition(tasks, "stat", "n", "m").sortWithinPartitions("m", "n", "stat").withColumn("p_value", p_value)
 
 
 def ks_test(df: DataFrame, method: str = "auto", exact_limit: int = EXACT_LIMIT) -> DataFrame:

@@ -21,10 +21,11 @@ from seqstats.operators.probabilities import (
     standardize,
 )
 from seqstats.operators.profiles import new_player_batches
-from seqstats.operators.shaping import flatten_profile, sort_by_deviation, union_evolving
+from seqstats.operators.shaping import flatten_profile, sort_by_deviation, union_all, union_evolving
 from seqstats.operators.significance import opening_profile, significant_in_either
 from seqstats.session import move_path, path_exists
 from seqstats.sources.features import read_collection, read_features, read_members, write_features, write_metadata
+from seqstats.sources.ledger import BUCKETS, put_months, state, withdraw_months
 from seqstats.sources.records import parse_games, read_game_records
 from seqstats.sources.stages import (
     month_range,
@@ -89,6 +90,26 @@ def run_merge_months(spark: SparkSession, root: str, start: str, end: str | None
     return write_stage(merged, root, "players", f"{start}_{last}")
 
 
+def run_add_months(spark: SparkSession, root: str, start: str, end: str | None = None, buckets: int = BUCKETS) -> int:
+    """Add the months' tables to the ledger, or replace them there; only these months are read. Gives the version."""
+    named = month_range(start, end or start)
+    tables = [read_stage(spark, root, "players", m).withColumn("month", F.lit(m)) for m in named]
+    return put_months(spark, ledger_path(root), union_all(tables), named, buckets)
+
+
+def run_withdraw_months(spark: SparkSession, root: str, start: str, end: str | None = None) -> int:
+    return withdraw_months(spark, ledger_path(root), month_range(start, end or start))
+
+
+def run_ledger_table(spark: SparkSession, root: str, name: str) -> str:
+    """The ledger's sums as the players' table ``name``, for the jobs that follow."""
+    return write_stage(state(spark, ledger_path(root)).drop("months"), root, "players", name)
+
+
+def ledger_path(root: str) -> str:
+    return stage_path(root, "players", "ledger").removesuffix(".parquet")
+
+
 def run_new_player_batches(spark: SparkSession, root: str, name: str, known: str = "known_players") -> DataFrame:
     """Schedule for looking up the profiles of players not known yet."""
     known_df = read_known(spark, stage_path(root, "players", known), "id", KNOWN_PLAYERS)

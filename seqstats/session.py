@@ -65,6 +65,14 @@ def move_path(spark: SparkSession, source: str, target: str) -> None:
     spark.catalog.refreshByPath(target)
 
 
+def rename_path(spark: SparkSession, source: str, target: str) -> None:
+    """One rename to a name that is free."""
+    names = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in (source, target)]
+    system = names[0].getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(names[1]) or not system.rename(*names):
+        raise OSError(f"{source} cannot be renamed to {target}")
+
+
 def small_on_disk(df: DataFrame, limit: int = BROADCAST_FILE_BYTES) -> bool:
     """Whether all files a frame is made from are small together. Looks at the files only and starts no job.
 

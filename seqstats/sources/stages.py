@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from seqstats.operators.counts import dedupe_known
-from seqstats.session import delete_path, move_path
+from seqstats.session import delete_path, move_path, path_exists, rename_path
 
 # Folder of each stage below the data folder.
 STAGES = {
@@ -94,6 +94,7 @@ def read_known(spark: SparkSession, path: str, key: str, schema: str, order: str
 
     Of several rows with one key the first by ``order`` counts, without an order the one whose other columns are least.
     """
+    recover(spark, path)
     try:
         known = spark.read.parquet(path)
     except AnalysisException as missing:
@@ -110,6 +111,7 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def checkpointed(df: DataFrame, path: str, batch: int) -> None:
     """Save one batch beside the final table; repeating a batch replaces it."""
+    recover(df.sparkSession, path)
     df.write.mode("overwrite").option("compression", "gzip").parquet(f"{path}_temp/batch={batch}")
 
 
@@ -117,12 +119,37 @@ def promote(spark: SparkSession, path: str, known: DataFrame | None = None) -> D
     """Replace the final table by ``known`` plus all saved batches, then drop the batches.
 
     ``known`` may be read from ``path`` itself: the new table is written beside it and takes its place when it is whole.
+    The commit point is one rename: once the new table is whole, the batches' folder is renamed to ``_merged``. A run that
+    stops before it is repeated with the same batches, one that stops after it is finished by ``recover`` and adds nothing
+    twice. Without new batches the table stays as it is.
     """
+    recover(spark, path)
+    if path_exists(spark, f"{path}_temp"):
+        commit_batches(spark, path, known)
+        recover(spark, path)
+    return spark.read.parquet(path)
+
+
+def commit_batches(spark: SparkSession, path: str, known: DataFrame | None = None) -> None:
+    """The first half of ``promote``: the new table beside the old one, then the commit point."""
     batches = spark.read.option("mergeSchema", True).parquet(f"{path}_temp").drop("batch")
     merged = batches if known is None else known.unionByName(batches, allowMissingColumns=True)
-    replace_table(merged, path)
-    delete_path(spark, f"{path}_temp")
-    return spark.read.parquet(path)
+    merged.write.mode("overwrite").option("compression", "gzip").parquet(f"{path}_next")
+    rename_path(spark, f"{path}_temp", f"{path}_merged")
+
+
+def recover(spark: SparkSession, path: str) -> bool:
+    """Finish a promotion that stopped after its commit point; whether there was one.
+
+    ``read_known`` does this before it reads, so that a table planned on the state before never meets the batches again.
+    """
+    if not path_exists(spark, f"{path}_merged"):
+        return False
+    if path_exists(spark, f"{path}_next"):
+        move_path(spark, f"{path}_next", path)
+    delete_path(spark, f"{path}_old")
+    delete_path(spark, f"{path}_merged")
+    return True
 
 
 def replace_table(df: DataFrame, path: str, compression: str = "gzip") -> None:

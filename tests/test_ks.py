@@ -10,6 +10,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from seqstats.operators import ks
 from seqstats.operators.distributions import distribution_arrays, distributions
 from seqstats.operators.ks import ks_pvalue, ks_subset, ks_test, ks_two_sample, lattice_tails, ranged, with_pvalue
 
@@ -189,9 +190,10 @@ def test_distributions_are_whole(spark, parts):
     assert rows(again) == rows(df, "matched_id", "p_w")
 
 
-def test_a_hot_group_of_any_scale_is_cut_into_many_ranges(spark):
+def test_a_hot_group_of_any_scale_is_cut_into_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ks, "RANGE_ROWS", 300)
     df = spark.range(20_000).select(F.lit("hot").alias("k"), (F.col("id") * 50.0 + 1).alias("value"), F.lit(1).alias("n"))
-    cut = ranged(df, ["n"]).groupBy(F.col("_range").alias("r")).agg(F.count("*").alias("n"), F.min("value"), F.max("value")).orderBy("r").collect()
+    cut = ranged(df, ["k"], ["n"]).groupBy(F.col("_range").alias("r")).agg(F.count("*").alias("n"), F.min("value"), F.max("value")).orderBy("r").collect()
     assert len(cut) >= 48 and max(r["n"] for r in cut) < 2_000
     assert all(a[3] < b[2] for a, b in zip(cut, cut[1:]))
 
@@ -223,3 +225,46 @@ def test_equal_tests_share_one_p_value(spark):
     assert found["a"] == found["b"] == pytest.approx(share_at_least(4, 6, 12)) and found["c"] is None
     finite = df.select(ks_pvalue(F.col("stat"), F.col("n"), F.col("m"), "finite").alias("p")).collect()
     assert found["d"] == finite[3]["p"]
+
+
+def test_ranges_follow_the_group(spark, monkeypatch):
+    """A hot group is cut into ranges of a thousandth part at most, a small one not at all, and order is kept."""
+    hot = spark.range(60_000).select(F.lit("hot").alias("k"), (F.pow(F.rand(1), F.lit(6.0)) * 100).alias("value"), F.lit(1).alias("n"))
+    small = spark.range(300).select(F.lit("small").alias("k"), (F.col("id") / 7.0).alias("value"), F.lit(1).alias("n"))
+    middle = spark.range(2_000).select(F.lit("middle").alias("k"), F.when(F.col("id") % 9 > 0, F.col("id") % 800 + 0.5).alias("value"), F.lit(1).alias("n"))
+    counts = hot.unionByName(small).unionByName(middle).persist()
+    monkeypatch.setattr(ks, "RANGE_ROWS", 500)
+    found = ks.ranged(counts, ["k"], ["n"])
+    sizes = found.where("value IS NOT NULL").groupBy("k", "_range").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).collect()
+    by_key = {k: sorted((r["_range"], r["n"], r["low"], r["high"]) for r in sizes if r["k"] == k) for k in ("hot", "middle", "small")}
+    assert len(by_key["small"]) == 1 and 3 <= len(by_key["middle"]) <= 5 and 100 <= len(by_key["hot"]) <= 130
+    for ranges in by_key.values():
+        assert all(a[3] < b[2] for a, b in zip(ranges, ranges[1:]))
+    monkeypatch.setattr(ks, "RANGE_ROWS", 1)
+    most = ks.ranged(counts.where("k = 'hot'"), ["k"], ["n"]).groupBy("_range").count().agg(F.max("count")).first()[0]
+    assert most <= 60_000 / 1_000
+    counts.unpersist()
+
+
+def test_statistics_do_not_depend_on_the_cut(spark, monkeypatch):
+    df = spark.range(4_000).select((F.col("id") % 2).alias("k"), F.concat(F.lit("g"), F.col("id") % 5).alias("g"), F.floor(F.rand(3) * 500).cast("double").alias("value"))
+    df = df.persist()
+    whole = rows(ks.ks_subset(df, ["k"], "g"))
+    halves = df.where("g < 'g2'"), df.where("g >= 'g2'")
+    both = rows(ks.ks_two_sample(*halves, ["k"]))
+    for size in (1, 90):
+        monkeypatch.setattr(ks, "RANGE_ROWS", size)
+        assert rows(ks.ks_subset(df, ["k"], "g")) == whole and rows(ks.ks_two_sample(*halves, ["k"])) == both
+    df.unpersist()
+
+
+def test_tests_are_read_once_and_equal_ones_worked_out_once(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(ks, "lattice_tails", lambda d, n, m: calls.append(len(d)) or d * 0 + 0.5)
+    import pandas as pd
+
+    found = ks._exact_tail.func(pd.Series([0.5, 0.5, None, 0.25]), pd.Series([4.0, 4.0, 4.0, 4.0]), pd.Series([6.0, 6.0, 6.0, 8.0]))
+    assert calls == [2] and found.tolist()[:2] == [0.5, 0.5] and found.tolist()[2] is None
+    tested = spark.createDataFrame([("a", 0.5, 4, 6)], "k STRING, stat DOUBLE, n LONG, m LONG").groupBy("k", "n", "m").agg({"stat": "max"}).withColumnRenamed("max(stat)", "stat")
+    plan = ks.with_pvalue(tested, "exact")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan

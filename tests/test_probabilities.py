@@ -6,13 +6,19 @@ from seqstats.functions.numbers import bin_counts, bin_position
 from seqstats.operators.counts import COUNTS, dedupe_known, merge_counts, player_openings, upsert_latest
 from seqstats.operators.filters import filter_min_games, filter_significant
 from seqstats.operators.probabilities import (
+    approx_player_counts,
     country_player_counts,
     global_moments,
+    moment_states,
+    moments_of,
     player_probabilities,
+    player_sketches,
     standardize,
+    united_sketches,
     unstandardize,
+    updated_states,
 )
-from seqstats.operators.shaping import union_all
+from seqstats.operators.shaping import METRICS, union_all
 
 GAME = "white STRING, black STRING, result STRING, matched_id STRING, real_game BIGINT"
 
@@ -117,3 +123,39 @@ def test_unions_and_upserts(spark):
     assert rows(upsert_latest(a, b.drop("extra"), ["k"])) == [("k1", 1), ("k2", 9), ("k3", 8)]
     repeated = spark.createDataFrame([("k", 2, "b"), ("k", 1, "a"), ("l", 3, None)], "k STRING, o INT, v STRING")
     assert rows(dedupe_known(repeated, "k", "o")) == [("k", 1, "a"), ("l", 3, None)]
+
+
+def test_sketches_hold_their_bounds_and_unite(spark):
+    """Three standard errors around the estimate hold the exact number, also where months overlap."""
+    players = spark.range(120_000).select(
+        F.concat(F.lit("p"), F.col("id") % 50_000).alias("id"), (F.col("id") % 3).cast("string").alias("month"),
+        F.when(F.col("id") % 5 == 0, "A").otherwise("B").alias("country"),
+    )
+    players = players.unionByName(spark.createDataFrame([(None, "0", "A"), (None, "0", "C")], "id STRING, month STRING, country STRING"))
+    monthly = player_sketches(players, ("month", "country"))
+    found = {r["country"]: r for r in approx_player_counts(united_sketches(monthly)).collect()}
+    exact = {r["country"]: r["num_players"] for r in country_player_counts(players).collect()}
+    assert exact == {"A": 10_000, "B": 40_000, "C": 0} and found.keys() == exact.keys()
+    for country, n in exact.items():
+        assert found[country]["at_least"] <= n <= found[country]["at_most"]
+    united = {r["country"]: r["num_players"] for r in approx_player_counts(united_sketches(player_sketches(players, ("country", "month")))).collect()}
+    assert united == {c: r["num_players"] for c, r in found.items()}
+
+
+def test_states_follow_changes_of_players(spark):
+    """States after any additions and removals give the moments of the rows that are left."""
+    schema = "id INT, matched_id STRING, " + ", ".join(f"{m} DOUBLE" for m in METRICS)
+    made = [(i, f"o{i % 4}", 1e6 + (i * 37 % 11) / 7, None if i % 3 else i / 9, float(i % 2), None) for i in range(200)]
+    df = spark.createDataFrame(made, schema).persist()
+    first, second, gone = df.where("id < 90"), df.where("id >= 90"), df.where("id % 2 = 0 OR matched_id = 'o3'")
+    states = updated_states(moment_states(first), moment_states(second))
+    states = updated_states(states, moment_states(gone), -1)
+    found = {r["matched_id"]: r.asDict() for r in moments_of(states).collect()}
+    wanted = {r["matched_id"]: r.asDict() for r in global_moments(df.where("NOT (id % 2 = 0 OR matched_id = 'o3')")).collect()}
+    assert found.keys() == wanted.keys() == {"o1"}
+    for opening, row in wanted.items():
+        for name, value in row.items():
+            assert found[opening][name] == (pytest.approx(value, rel=1e-6, abs=1e-6) if name != "matched_id" else value)
+    with pytest.raises(ValueError):
+        updated_states(states, states, 2)
+    df.unpersist()

@@ -123,7 +123,7 @@ def test_queries_are_built_without_jobs(spark):
     sinks = {
         "read_game_records", "header_columns", "move_tokens", "union_files", "read_openings", "read_stage", "read_months", "read_known",
         "write_stage", "write_stage_gzip", "write_csv", "checkpointed", "read_features", "write_features", "write_metadata",
-        "read_metadata", "games", "merge_months", "merge_profiles", "month_range", "request_batches", "new_player_batches",
+        "read_metadata", "games", "merge_months", "month_ledger", "promote_resumed", "merge_profiles", "month_range", "request_batches", "new_player_batches",
     }
     tracker = spark.sparkContext.statusTracker()
     for name in set(QUERIES) - sinks:
@@ -145,3 +145,61 @@ def test_significant_rows_in_both_modes(spark):
         assert [r[f"dev_{mode}"] for r in found] == sorted((r[f"dev_{mode}"] for r in found), reverse=True)
     text = significance.colored_deviations(*tables)._jdf.queryExecution().executedPlan().toString()
     assert "FullOuter" not in text and "Python" not in text
+
+
+def test_a_promotion_that_stops_anywhere_ends_with_the_same_table(spark, tmp_path, monkeypatch):
+    """Every step of the file system may be the last of a run; the next run ends with each batch in the table once."""
+    from seqstats.sources import stages
+
+    steps = ("rename_path", "move_path", "delete_path")
+
+    def collect(path):
+        schema = "id STRING, country STRING"
+        promote(spark, path, read_known(spark, path, "id", schema))
+
+    def begin(path):
+        spark.createDataFrame([("old", "IT")], "id STRING, country STRING").write.parquet(path)
+        for batch, row in enumerate([("ann", "DE"), ("bob", "FR")]):
+            checkpointed(spark.createDataFrame([row], "id STRING, country STRING"), path, batch)
+
+    calls = []
+    for name in steps:
+        def counted(*a, inner=getattr(stages, name), name=name):
+            calls.append(name)
+            return inner(*a)
+        monkeypatch.setattr(stages, name, counted)
+    begin(str(tmp_path / "whole"))
+    collect(str(tmp_path / "whole"))
+    monkeypatch.undo()
+    wanted = [("ann", "DE"), ("bob", "FR"), ("old", "IT")]
+    assert rows(spark.read.parquet(str(tmp_path / "whole"))) == wanted and len(calls) == 4
+    for last in range(1, len(calls) + 1):
+        path, done = str(tmp_path / str(last)), []
+        begin(path)
+        with monkeypatch.context() as patch:
+            for name in steps:
+                def stopping(*a, inner=getattr(stages, name)):
+                    done.append(1)
+                    if len(done) == last:
+                        raise RuntimeError("stopped")
+                    inner(*a)
+                patch.setattr(stages, name, stopping)
+            with pytest.raises(RuntimeError):
+                collect(path)
+        collect(path)
+        assert rows(spark.read.parquet(path)) == wanted, last
+        assert not any(session.path_exists(spark, f"{path}_{x}") for x in ("temp", "merged", "old"))
+
+
+def test_a_stop_between_the_two_renames_of_a_move(spark, tmp_path):
+    """The old table is out of the way and the new one not yet in place: committed, so the new one comes."""
+    from seqstats.sources import stages
+
+    path = str(tmp_path / "t")
+    spark.createDataFrame([("old", "IT")], "id STRING, country STRING").write.parquet(path)
+    checkpointed(spark.createDataFrame([("ann", "DE")], "id STRING, country STRING"), path, 0)
+    stages.commit_batches(spark, path, spark.read.parquet(path))
+    session.rename_path(spark, path, f"{path}_old")
+    assert rows(read_known(spark, path, "id", "id STRING")) == [("ann", "DE"), ("old", "IT")]
+    with pytest.raises(OSError):
+        session.rename_path(spark, path, path)
