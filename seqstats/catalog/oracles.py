@@ -370,6 +370,11 @@ SQL = {
         SELECT o.id AS child_id, max_by(a.id, length(a.moves)) AS parent_id
         FROM openings o LEFT JOIN openings a ON starts_with(o.moves, a.moves || ' ') GROUP BY o.id""",
     "prefix_closure": "SELECT id, ancestor_id, CAST(depth AS INTEGER) AS depth FROM closure",
+    "opening_intervals": """
+        SELECT id, CAST(first AS INTEGER) AS first, CAST(first + size - 1 AS INTEGER) AS last, CAST(depth AS INTEGER) AS depth
+        FROM (SELECT id, row_number() OVER (ORDER BY replace(moves, ' ', chr(1)) || chr(1), id) AS first FROM openings)
+        JOIN (SELECT ancestor_id AS id, count(*) AS size FROM closure GROUP BY ancestor_id) USING (id)
+        JOIN (SELECT id, count(*) AS depth FROM closure GROUP BY id) USING (id)""",
     "base_nodes": """
         SELECT d.id, d.matched_id FROM deepest_counts d LEFT JOIN (
             SELECT DISTINCT d.id, d.matched_id

@@ -374,6 +374,11 @@ def prefix_closure(i: Inputs) -> DataFrame:
     return hierarchy.prefix_closure(i.openings())
 
 
+@query
+def opening_intervals(i: Inputs) -> DataFrame:
+    return hierarchy.opening_intervals(i.openings())
+
+
 def deepest_counts(i: Inputs) -> DataFrame:
     deepest = matching.deepest_match(i.games(), i.openings()).withColumn("real_game", F.lit(1))
     return counts.player_openings(deepest)

@@ -9,6 +9,8 @@ from seqstats.functions.moves import token_count
 from seqstats.operators.counts import COUNTS
 from seqstats.operators.matching import chain_by_shuffle
 
+# Ends a token of a key; below everything that a token holds.
+END = "\x01"
 SIX_COUNTS = ["count_w", "won_w", "lost_w", "count_b", "won_b", "lost_b"]
 
 
@@ -36,17 +38,38 @@ def prefix_closure(openings: DataFrame, moves: str = "moves") -> DataFrame:
     ).select("id", "ancestor_id", "depth")
 
 
+def opening_intervals(openings: DataFrame, moves: str = "moves") -> DataFrame:
+    """Every opening as an interval of numbers: ``first``, ``last`` and ``depth`` (openings on its path).
+
+    Openings are numbered in the order of their tokens, each right before all openings below it; these are the ones whose
+    ``first`` lies between its ``first`` and ``last``, so "above" is a comparison. Only the dictionary's keys pass through the
+    one sort that numbers them; counts never do.
+    """
+    key = F.concat(F.regexp_replace(moves, " ", END), F.lit(END))
+    own = openings.where(F.col(moves) != "").select(F.col("id").alias("_id"), key.alias("_key"))
+    numbered = own.select("_id", F.row_number().over(Window.orderBy("_key", "_id")).alias("first"))
+    paths = _paths(openings, moves)
+    sizes = paths.select(F.explode("path").alias("_node")).groupBy("_node").agg(F.count("*").alias("_size"))
+    placed = paths.select("id", F.size("path").alias("depth")).join(sizes, F.col("id") == F.col("_node"))
+    return placed.join(numbered, F.col("id") == F.col("_id")).select(
+        "id", "first", (F.col("first") + F.col("_size") - 1).cast("int").alias("last"), "depth"
+    )
+
+
 def _played(counts: DataFrame, openings: DataFrame, moves: str) -> DataFrame:
-    """Counts with ``_below``: the opening's path from the player's topmost played opening on it down to itself.
+    """Counts with ``_base``: the depth of the player's topmost played opening on the opening's path.
 
-    The player's openings are a set over a window, bounded by the dictionary, so the paths are joined but never exploded
-    and the counts are shuffled by player once.
+    A player's openings are walked in the order of their intervals: one is a base if none before it reaches over it, else its
+    base is the last one before it (of repeated rows the first is the base). A row carries three numbers, so a player's memory is linear in the player's rows, and
+    counts are shuffled by player once.
     """
-    paths = _paths(openings, moves).select(F.col("id").alias("matched_id"), "path")
-    owned = F.collect_set("matched_id").over(Window.partitionBy("id"))
-    top = F.array_position("path", F.get(F.array_intersect("path", "_owned"), F.lit(0)))
-    below = F.slice("path", top.cast("int"), F.size("path"))
-    return counts.where("id IS NOT NULL").withColumn("_owned", owned).join(paths, "matched_id").withColumn("_below", below)
+    places = opening_intervals(openings, moves).withColumnRenamed("id", "_opening")
+    before = Window.partitionBy("id").orderBy("first")
+    reach = F.max("last").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    base = reach.isNull() | (reach < F.col("first"))
+    placed = counts.where("id IS NOT NULL").join(places, F.col("matched_id") == F.col("_opening")).withColumn("_top", base)
+    of_base = F.last(F.when(F.col("_top"), F.col("depth")), ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, 0))
+    return placed.withColumn("_base", of_base).drop("_opening", "first", "last", "depth")
 
 
 def count_along_paths(counts: DataFrame, closure: DataFrame) -> DataFrame:
@@ -65,7 +88,7 @@ def count_along_paths(counts: DataFrame, closure: DataFrame) -> DataFrame:
 
 def base_nodes(counts: DataFrame, openings: DataFrame, moves: str = "moves") -> DataFrame:
     """Per player the played openings without a played opening above them."""
-    return _played(counts, openings, moves).where(F.size("_below") == 1).select("id", "matched_id").distinct()
+    return _played(counts.select("id", "matched_id"), openings, moves).where("_top").select("id", "matched_id")
 
 
 def rollup_counts(counts: DataFrame, openings: DataFrame, moves: str = "moves") -> DataFrame:
@@ -74,9 +97,12 @@ def rollup_counts(counts: DataFrame, openings: DataFrame, moves: str = "moves")
     Rows appear for the player's base openings and everything between them and a played
     opening, also where the opening in between was not played itself.
     """
+    paths = _paths(openings, moves).select(F.col("id").alias("_opening"), "path")
+    below = F.slice("path", F.col("_base"), F.size("path"))
     summed = (
         _played(counts, openings, moves)
-        .select("id", F.explode("_below").alias("matched_id"), *SIX_COUNTS)
+        .join(paths, F.col("matched_id") == F.col("_opening"))
+        .select("id", F.explode(below).alias("matched_id"), *SIX_COUNTS)
         .groupBy("id", "matched_id")
         .agg(*[F.sum(c).alias(c) for c in SIX_COUNTS])
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from seqstats.functions.moves import token_count
 from seqstats.operators import matching
-from seqstats.operators.hierarchy import SIX_COUNTS, base_nodes, prefix_closure, prefix_edges, rollup_counts
+from seqstats.operators.hierarchy import SIX_COUNTS, base_nodes, opening_intervals, prefix_closure, prefix_edges, rollup_counts
 from seqstats.operators.matching import (
     deepest_match,
     exact_sequence_lookup,
@@ -107,6 +107,22 @@ def test_closure_and_edges(frames, data):
     assert rows(prefix_edges(frames[1])) == sorted(edges, key=repr)
 
 
+def test_above_is_a_comparison_of_intervals(frames, data):
+    found = opening_intervals(frames[1]).collect()
+    assert {r["id"]: r["depth"] for r in found} == {o[0]: len(above(data[1], o)) for o in data[1]}
+    pairs = {(a["id"], b["id"]) for a in found for b in found if a["first"] <= b["first"] <= a["last"]}
+    assert pairs == {(a, o[0]) for o in data[1] for a in above(data[1], o)}
+
+
+def test_repeated_rows_and_memory_of_a_player(spark, frames, data):
+    """Rows that repeat count each; no set of a player's openings stands beside the rows."""
+    counts = spark.createDataFrame([("p", "a", *[1] * 6), ("p", "a", *[2] * 6), ("p", "a_again", *[4] * 6)], "id STRING, matched_id STRING, " + ", ".join(f"{c} INT" for c in SIX_COUNTS))
+    assert rows(base_nodes(counts, frames[1])) == [("p", "a")]
+    assert rows(rollup_counts(counts, frames[1]), "matched_id", "won_b") == [("a", 7), ("a_again", 4)]
+    plan = rollup_counts(counts, frames[1])._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan
+
+
 def test_rollup_and_base(spark, frames, data):
     rng = random.Random(3)
     ids = [o[0] for o in data[1]]
