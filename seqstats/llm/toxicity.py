@@ -10,6 +10,7 @@ score is the share of toxic labels seen (0 without any). Very long texts are com
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,6 +31,10 @@ PARTS, LEFT_OUT = 4, 2
 THRESHOLD = 0.3
 WINDOW = 8
 ORDINARY_BYTES, TOXIC_BYTES = 8_192, 2_048
+#: Windows of the sampled documents that the ordinary dictionary is trained on, at most, drawn by hash.
+DICTIONARY_WINDOWS = 100_000
+#: Documents that agree in so many least hashes of their words count once for the toxic dictionary.
+COPY_HASHES = 8
 #: Standard deviations by which the log odds of a telling beginning differ from 0, at least.
 LEAST_DEVIATIONS = 3.3
 GAINS = (1, 2, 3, 4, 5)
@@ -98,12 +103,12 @@ def toxic_content(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
         return {w[:k] for w in set(WORDS.findall(text.lower())) for k in range(4, min(len(w), 24) + 1)}
 
     def counted(texts: list[bytes]) -> tuple[Counter, int]:
-        """Documents by beginning; near copies, told by the least hash of their long words, count once."""
+        """Documents by beginning; near copies, told by several least hashes of their words, count once."""
         counts, seen, n = Counter(), set(), 0
         for text in texts:
             parts = beginnings(text)
-            key = min((crc32(p) for p in parts if len(p) > 9), default=None)
-            if key is None or key not in seen:
+            key = tuple(heapq.nsmallest(COPY_HASHES, map(crc32, set(WORDS.findall(text.lower())))))
+            if len(key) < COPY_HASHES or key not in seen:
                 seen.add(key)
                 counts.update(parts)
                 n += 1
@@ -132,8 +137,12 @@ def toxic_content(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
 
 
 def ordinary_content(texts: list[bytes]) -> bytes:
-    """The content of a dictionary trained on windows of ordinary documents, its tables left away."""
-    samples = [w for text in texts for w in windows(text)[::2]][:100_000]
+    """The content of a dictionary trained on windows of ordinary documents.
+
+    Of more than ``DICTIONARY_WINDOWS`` windows those of least hash are taken, whichever documents they are from. Of the dictionary its first
+    tenth is left away: its tables (at most some hundred bytes), and the segments that the trainer valued least.
+    """
+    samples = heapq.nsmallest(DICTIONARY_WINDOWS, (w for text in texts for w in windows(text)), key=lambda w: (crc32(w), w))
     try:
         dictionary = zstandard.train_dictionary(ORDINARY_BYTES, samples, k=16, d=6).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too few samples to train on: they are the dictionary

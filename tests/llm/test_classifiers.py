@@ -71,3 +71,19 @@ def test_toxic_words_gain(spark):
     assert b" idioti" in model.toxic and b" patheti" in model.toxic and b"sunsh" not in model.toxic
     scores = model.score([text(["idiotic", "pathetic"]), text(["sunshine", "gardening"]), b""])
     assert scores[0] > 0.5 > scores[1]
+
+
+def test_dictionary_windows_come_from_all_documents(monkeypatch):
+    """Long documents that sort first do not crowd out the others, and documents that share a word are no copies."""
+    taken = []
+    monkeypatch.setattr(t, "DICTIONARY_WINDOWS", 50)
+    monkeypatch.setattr(t.zstandard, "train_dictionary", lambda size, samples, **_: taken.extend(samples) or t.zstandard.ZstdCompressionDict(b"".join(samples)))
+    t.ordinary_content([b" ".join(b"aa%d" % i for i in range(4_000)).replace(b"0", b"x")] + [b"zz " * 8 + b"word%c " % (97 + i) * 8 for i in range(26)])
+    assert len(taken) == 50
+    t.ordinary_content([b" ".join(b"w" + bytes([97 + i % 26, 97 + i // 26 % 26, 97 + i // 676]) for i in range(k, k + 800)) for k in range(0, 8_000, 800)])
+    kinds = {w.split()[0] for w in taken[50:]}
+    assert len(kinds) == 50 and len({int(x[3]) for x in kinds}) > 5
+    spelled = lambda i: b" ".join(bytes([97 + i % 26, 97 + i // 26 % 26, 97 + k, 97 + (i * 7 + k) % 26]) for k in range(12))
+    toxic, plain = [b"accommodating insulting " + spelled(i) for i in range(90)], [b"accommodating friendly " + spelled(i) for i in range(90, 180)]
+    assert b" insulting" in t.toxic_content(toxic, plain)
+    assert t.toxic_content(toxic[:1] * 90, plain) == b""
