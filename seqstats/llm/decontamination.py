@@ -7,25 +7,31 @@ length, the window's words are hit. Only stretches whose neighbouring words are
 automaton, as no window occurs elsewhere.
 
 Null texts have no words, null item ids are the item "null", items with one id are one item, repeated document rows are
-judged each for itself, and empty tables give no rows or no hits. Very long documents are streamed like any other.
+judged each for itself, equal texts get equal marks, and empty tables give no rows or no hits. Very long documents are
+streamed like any other. ``report`` reads id and text only; ``clean`` keeps further columns whatever they are called.
 
-Items are broadcast in blocks of at most ``BLOCK_BYTES`` of text (an item longer than that is a block of its own), so the
-automaton's memory is bounded; every block is run over all documents, the marks so far in a written table between blocks.
+The items are dealt by hash to blocks of about ``BLOCK_BYTES`` of text, a table in the shared folder of which a task reads one
+block by its number; no item passes through the driver, and an automaton's memory is bounded. With several blocks the
+documents are numbered and written once; a block's pass hands on the numbers and marks of the rows that it hits, and the marks
+of all blocks are united by number and joined to the texts at the end.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqstats.llm.common import map_batches, utf8
-from seqstats.session import written
+from seqstats.session import fresh_dir, written
 
 WINDOW = 10
 #: Text of the items in one automaton: about 100 MB of a worker's memory.
@@ -151,19 +157,28 @@ class Automaton:
         return spans, items
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, bytes]]]:
-    """The items in blocks of at most ``BLOCK_BYTES``, one at a time on the driver; an empty one if there are no items."""
-    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col(text_col)).toLocalIterator()
-    block: list[tuple[str, bytes]] = []
-    held = 0
-    for name, text in rows:
-        text = (text or "").encode()
-        if held and held + len(text) > BLOCK_BYTES:
-            yield block
-            block, held = [], 0
-        block.append((name, text))
-        held += len(text)
-    yield block
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> tuple[str, int]:
+    """The folder of the items' table, a folder for each block, and the number of blocks."""
+    items = benchmark.select(
+        F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")
+    ).distinct()
+    count = 1 + (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES
+    folder = fresh_dir(benchmark.sparkSession, "items")
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(count)))
+    dealt.repartition("block").write.partitionBy("block").parquet(folder)
+    return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}", count
+
+
+def items_of(folder: str, block: int) -> list[tuple[str, list[bytes]]]:
+    """A block's items and their words."""
+    system, inner = pyarrow.fs.FileSystem.from_uri(folder)
+    files = system.get_file_info(pyarrow.fs.FileSelector(f"{inner}/block={block}", allow_not_found=True))
+    found = []
+    for path in sorted(f.path for f in files if f.path.endswith(".parquet")):
+        with system.open_input_file(path) as source:
+            rows = pyarrow.parquet.ParquetFile(source).read(["item", "text"])
+        found += zip(rows.column("item").to_pylist(), map(normal_words, utf8(rows.column("text").combine_chunks())))
+    return found
 
 
 def normal_words(text: bytes) -> list[bytes]:
@@ -175,40 +190,54 @@ def mark(
     window: int = WINDOW,
 ) -> DataFrame:
     """The rows with ``_n_words``, ``_hits`` (ranges of hit words) and ``_items`` (items whose windows occur, sorted)."""
-    context = docs.sparkSession.sparkContext
-    marked = docs.withColumns(
-        {
-            "_n_words": F.lit(0).cast("bigint"),
-            "_hits": F.expr("cast(array() as array<array<int>>)"),
-            "_items": F.expr("cast(array() as array<string>)"),
-        }
-    )
-    schema = marked.schema
+    folder, blocks = item_blocks(benchmark, item_id, item_text)
     at = docs.columns.index(text_col)
-    for number, block in enumerate(item_blocks(benchmark, item_id, item_text)):
-        shared = context.broadcast(block)
-        if number:  # one automaton in memory at a time
-            marked = written(marked, "marked")
-        marked = map_batches(marked, marker(shared, at, window), schema)
-    return marked
+    marks = ", ".join(f"{name} {kind}" for name, kind in MARKS.items())
+    if blocks == 1:
+        schema = docs.select("*", *(F.lit(None).cast(kind).alias(name) for name, kind in MARKS.items())).schema
+        return map_batches(docs, marker(folder, 0, at, window, list(range(len(docs.columns)))), schema)
+    numbered = written(docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    rows = numbered.select("_row", f"c{at}")
+    passes = [map_batches(rows, marker(folder, b, 1, window, [0], only_hit=b > 0), f"_row bigint, {marks}") for b in range(blocks)]
+    united = functools.reduce(DataFrame.unionAll, passes).groupBy("_row").agg(
+        F.max("_n_words").alias("_n_words"),
+        F.flatten(F.collect_list("_hits")).alias("_hits"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"),
+    )
+    united = map_batches(united, merged, united.schema)
+    return numbered.join(united, "_row").drop("_row").toDF(*docs.columns, *MARKS)
+
+
+MARKS = {"_n_words": "bigint", "_hits": "array<array<int>>", "_items": "array<string>"}
+
+
+def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the ranges of all blocks as maximal ranges."""
+    for batch in batches:
+        hits = pa.array([joined([tuple(x) for x in h]) for h in batch.column(2).to_pylist()], batch.schema.types[2])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], hits, batch.column(3)], names=batch.schema.names)
+
 
+def marker(
+    folder: str, block: int, at: int, window: int, keep: list[int], only_hit: bool = False
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The columns ``keep`` and the marks of one block for all rows, or for those that it hits."""
 
-def marker(shared, at: int, window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton([(name, normal_words(text)) for name, text in shared.value], window)
+        automaton = Automaton(items_of(folder, block), window)
         for batch in batches:
             counts, hits, items = [], [], []
-            olds = zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())
-            for text, (old_hits, old_items) in zip(utf8(batch.column(at)), olds):
+            for text in utf8(batch.column(at)):
                 words = normal_words(text)
                 spans, names = automaton.scan(words)
                 counts.append(len(words))
-                hits.append(joined([tuple(x) for x in old_hits] + spans) if old_hits else spans)
-                items.append(sorted(names | set(old_items)))
-            columns = list(batch.columns[:-3])
+                hits.append(spans)
+                items.append(sorted(names))
+            columns = [batch.column(i) for i in keep]
             columns += [pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.list_(pa.int32())))]
             columns += [pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            out = pa.RecordBatch.from_arrays(columns, names=[batch.schema.names[i] for i in keep] + list(MARKS))
+            yield out.filter(pa.array([bool(h) for h in hits], pa.bool_())) if only_hit else out
 
     return run
 

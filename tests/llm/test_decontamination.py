@@ -68,6 +68,31 @@ def test_frame_blocks_and_nulls(spark, monkeypatch, tmp_path):
     assert d.report(docs, items.limit(0)).where("contaminated").count() == 0
 
 
+def test_twenty_blocks(spark, monkeypatch):
+    """The table's items in many blocks give what one block gives; the texts are written once."""
+    docs, items = (spark.read.parquet(f"{FOLDER}/{name}.parquet") for name in ("documents", "benchmark"))
+    one = sorted(map(tuple, d.report(docs, items).collect()))
+    cleaned = sorted(map(tuple, d.clean(docs, items).collect()))
+    size = sum(len((r.text or "").encode()) for r in items.distinct().collect())
+    monkeypatch.setattr(d, "BLOCK_BYTES", size // 19)
+    labels = []
+    monkeypatch.setattr(d, "written", lambda df, label, kept=d.written: (labels.append(label), kept(df, label))[1])
+    assert d.item_blocks(items, "item_id", "text")[1] >= 20
+    assert sorted(map(tuple, d.report(docs, items).collect())) == one and labels == ["numbered"]
+    assert sorted(map(tuple, d.clean(docs, items).collect())) == cleaned
+
+
+def test_very_long_text_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(d, "BLOCK_BYTES", 60)
+    passage = "ten words of an item that stand in long texts"
+    items = spark.createDataFrame([(i, f"{passage} {i}") for i in range(4)], "item_id int, text string")
+    rows = [(1, "x " * 500_000 + passage + " 2 " + "y " * 500_000, "a")] * 2 + [(2, "y " * 50, "b")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, _row string")
+    got = [(r.doc_id, r.n_words, r.n_hit, r.n_items) for r in d.report(docs, items).collect()]
+    assert sorted(got) == [(1, 1_000_011, 11, 4)] * 2 + [(2, 50, 0, 0)]
+    assert sorted((r.doc_id, len(r.text), r["_row"]) for r in d.clean(docs, items).collect()) == [(1, 2_000_001, "a")] * 2 + [(2, 100, "b")]
+
+
 def test_clean_removes_spans_and_mostly_hit_documents(spark):
     items = spark.createDataFrame([(1, "one two three")], "item_id int, text string")
     rows = [(1, "a b ÉONE, Two three. ONE, Two three! c d", 7), (2, "one two three x", 8), (3, None, 9)]
