@@ -1,12 +1,13 @@
 """Secret scans: patterns find candidates, a random forest removes the false positives.
 
-Candidates are runs of 16 or more characters of keys, and values assigned to a word like ``password``. A run has a digit, a
-known beginning of keys or an announcing word before it; values are sought after every colon and equals sign. The forest sees a
-candidate's length, its character transitions, how much of it common words cover, whether it stands in a path or address,
+Candidates are all runs of 16 or more characters of keys, and values assigned to a word like ``password``, which are sought
+after every colon and equals sign. The forest alone judges them. It sees a candidate's length, its character transitions, how much of it common words cover, whether it stands in a path or address,
 and the words beside it. It is trained from labelled findings: (text, start, end, label) with offsets in UTF-8 bytes.
 
 Null and empty texts have no candidates. Repeated rows are scanned each for itself. Equal texts give equal findings; of two
-overlapping candidates the longer counts, of equally long ones the first. Very long texts and runs are scanned whole.
+overlapping candidates the longer counts, of equally long ones the first. Very long texts and runs are scanned whole. An
+empty table has no findings (and trains on one made word). ``findings`` reads id and text only; ``redact`` keeps further
+columns whatever they are called.
 """
 
 from __future__ import annotations
@@ -33,7 +34,6 @@ THRESHOLD = 0.5
 MASK = b"[SECRET]"
 
 WORDS = re.compile(rb"[a-z\x80-\xff]{2,}")
-DIGIT = re.compile(rb"[0-9]")
 RUN = re.compile(rb"[A-Za-z0-9+/_\-.~]{16,}={0,2}")
 #: What stands before a value, and a value. Values may hold further places, so a place ends where its value begins.
 ASSIGNED = re.compile(rb"[:=]\s{0,3}[\"'`]?(?=[^\s\"'`<>,;]{6})")
@@ -44,10 +44,8 @@ PARAMETER_END = re.compile(rb"[&#]")
 #: Words that announce a secret, and words that announce a digest or an id.
 ANNOUNCING = re.compile(rb"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth|credential|bearer)")
 BEFORE_VALUE = re.compile(ANNOUNCING.pattern + rb"[\w\-]{0,12}[\"'\s]{0,3}$")
-ANNOUNCED = re.compile(ANNOUNCING.pattern + rb"[\w\-]{0,12}[\"'`\s:=]{0,5}$")
 HARMLESS = re.compile(rb"(?i)(sha-?\d*|md5|commit|checksum|digest|hash|uuid|isbn|id|version|build|revision|etag)\W*$")
 KNOWN_START = re.compile(rb"(AKIA|ASIA|gh[pousr]_|sk_live_|sk-|xox[abp]-|AIza|eyJ|glpat-)")
-KNOWN_INSIDE = re.compile(rb"(?<![A-Za-z0-9])" + KNOWN_START.pattern)
 PLACEHOLDER = re.compile(rb"(?i)(x{4,}|\*{3,}|example|change_?me|your[_-]|placeholder|required|null|none|true|false|undefined|\$\{|%\()")
 
 
@@ -60,9 +58,7 @@ def candidates(text: bytes) -> list[tuple[int, int]]:
             end -= 1
         if end - start < 16:
             continue
-        value = text[start:end]
-        if DIGIT.search(value) or KNOWN_INSIDE.search(value) or ANNOUNCED.search(text[max(0, start - 24) : start]):
-            found.add((start, end))
+        found.add((start, end))
     whole = stop = 0  # where the value and the parameter last seen end; the places inside them share that end
     outer = None
     for m in ASSIGNED.finditer(text):
@@ -112,6 +108,20 @@ class Language:
 
     words: frozenset[bytes]
     pairs: np.ndarray
+    #: Lengths of words, the longest first.
+    sizes: tuple[int, ...] = ()
+
+    def __post_init__(self):
+        self.sizes = tuple(sorted({len(w) for w in self.words if len(w) > 2}, reverse=True))
+
+    def covered(self, part: bytes) -> int:
+        """How many bytes words of the dictionary cover, the longest that fits at each place first."""
+        at = covered = 0
+        while at + 3 <= len(part):
+            size = next((n for n in self.sizes if n <= len(part) - at and part[at : at + n] in self.words), 0)
+            covered += size
+            at += size or 1
+        return covered
 
     @classmethod
     def of(cls, texts: list[bytes], size: int = DICTIONARY_WORDS) -> Language:
@@ -173,17 +183,8 @@ def features(text: bytes, start: int, end: int, language: Language) -> list[floa
     lower = np.frombuffer(value.lower(), np.uint8)
     likely = float(language.pairs[lower[:-1], lower[1:]].mean()) if n > 1 else 0.0
     # words of letters inside the candidate, and what of them the dictionary covers (the longest words first)
-    covered = 0
-    for part in re.findall(rb"[a-z\x80-\xff]{3,}", re.sub(rb"(?<=[a-z])(?=[A-Z])", b" ", value).lower()):
-        at = 0
-        while at + 3 <= len(part):
-            for size in range(min(12, len(part) - at), 2, -1):
-                if part[at : at + size] in language.words:
-                    covered += size
-                    at += size
-                    break
-            else:
-                at += 1
+    parts = re.findall(rb"[a-z\x80-\xff]{3,}", re.sub(rb"(?<=[a-z])(?=[A-Z])", b" ", value).lower())
+    covered = sum(map(language.covered, parts))
     before, after = text[max(0, start - 40) : start], text[end : end + 16]
     words = before.split()
     near = b" ".join(words[-3:])
@@ -272,6 +273,8 @@ def labelled_findings(words: list[str], size: int = FINDINGS, seed: int = 5) ->
     letters, upper, hexes = string.ascii_letters + string.digits, string.ascii_uppercase + string.digits, "0123456789abcdef"
     announcing = ["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "auth_token", "client_secret", "SECRET_KEY"]
     pick = draw.choice
+    cases = [str.lower, str.upper, str.capitalize]
+    long = sorted(words, key=lambda w: (-len(w), w))[: max(1, len(words) // 100)]
 
     def assigned(value: str) -> tuple[str, str, str]:
         quote = pick(["", "", '"', "'"])
@@ -290,6 +293,7 @@ def labelled_findings(words: list[str], size: int = FINDINGS, seed: int = 5) ->
         lambda: ("", "AIza" + of(letters + "-_", 35), ""),
         lambda: (pick(["", "Bearer "]), f"eyJ{of(letters, 20, 40)}.eyJ{of(letters, 30, 80)}.{of(letters + '-_', 43)}", ""),
         lambda: (f"{pick(announcing)} ", of(letters, 24, 44), ""),
+        lambda: (pick(["", "", f"{pick(announcing)} "]), of(pick([letters, string.ascii_letters]), 24, 48), ""),
     ]
     harmless = [
         lambda: ("", of(string.digits, 16), ""),
@@ -306,6 +310,11 @@ def labelled_findings(words: list[str], size: int = FINDINGS, seed: int = 5) ->
         lambda: ("version ", f"{draw.randint(0, 9)}.{draw.randint(0, 99)}.{draw.randint(0, 999)}-beta.{draw.randint(0, 9)}", ""),
         lambda: (f"{pick(announcing)}{pick(['=', ': '])}", pick(["required", "undefined", "your_api_key_here", "xxxxxxxxxxxx", "${TOKEN}", "changeme", "example"]), ""),
         lambda: (f"{pick(announcing)}: ", pick(words) + pick(words) + pick(words), ""),
+        lambda: ("", pick(cases)(pick(["-", "_", "/", ".", ""]).join(pick(words) for _ in range(draw.randint(3, 6)))), ""),
+        lambda: ("", pick(cases)(pick(long) if pick([True, False]) else pick(words) + pick(words)), ""),
+        lambda: ("", "".join(pick(words).capitalize() for _ in range(draw.randint(3, 6))), ""),
+        lambda: ("", "/".join(pick(words) for _ in range(3)) + f".{pick(['js', 'py', 'html'])}", ""),
+        lambda: ("", pick("-_.~+") * draw.randint(16, 60), ""),
     ]
     found = []
     for i in range(size):
