@@ -268,6 +268,9 @@ DISTRIBUTION = "SELECT matched_id, # metric, " + r6("v", "value") + " FROM & WHE
 COUNTED_VALUES = """
     SELECT matched_id, # metric, @, players
     FROM (SELECT matched_id, # metric, v, count(*) AS players FROM & WHERE v IS NOT NULL GROUP BY ALL)""".replace("@", r6("v", "value"))
+NEW_PLAYERS = """
+    SELECT CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN 'P' ELSE 'p' END || id AS id
+    FROM (SELECT DISTINCT id FROM counts WHERE id NOT IN (SELECT id FROM profiles WHERE country IS NOT NULL))"""
 P_DIGITS = "CASE WHEN @ IS NOT NULL THEN printf('%.5e', @) END AS p_value"
 
 SQL = {
@@ -422,9 +425,8 @@ SQL = {
     "join_opening_names": f"""
         SELECT matched_id, country, {r6_all(METRICS)}, {mover("pgn")} AS color, name, pgn
         FROM means JOIN openings ON matched_id = id""",
-    "new_players": """
-        SELECT CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN 'P' ELSE 'p' END || id AS id
-        FROM (SELECT DISTINCT id FROM counts WHERE id NOT IN (SELECT id FROM profiles WHERE country IS NOT NULL))""",
+    "new_players": NEW_PLAYERS,
+    "new_players_by_filter": NEW_PLAYERS,
     "new_countries": """
         SELECT DISTINCT country AS ISO_A2 FROM profiles p WHERE NOT EXISTS (SELECT 1 FROM iso WHERE ISO_A2 = p.country)""",
     "attach_player_counts": f"""

@@ -17,6 +17,7 @@ from seqstats.operators import (
     hierarchy,
     ks,
     matching,
+    membership,
     probabilities,
     profiles,
     shaping,
@@ -482,6 +483,16 @@ def new_players(i: Inputs) -> DataFrame:
     return profiles.new_players(*cased_players(i))
 
 
+@query
+def new_players_by_filter(i: Inputs) -> DataFrame:
+    """The same with the known players as a table of files and its stored filter."""
+    ids, known = cased_players(i)
+    root = fresh_dir(i.spark, "known")
+    known.write.parquet(f"{root}/players")
+    saved = i.spark.read.parquet(f"{root}/players")
+    return profiles.new_players(ids, saved, membership.stored_filter(saved, "id", f"{root}/filters"))
+
+
 @query
 def new_countries(i: Inputs) -> DataFrame:
     codes = counts.distinct_keys(i.profiles(), "country").withColumnRenamed("country", "ISO_A2")

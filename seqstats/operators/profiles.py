@@ -7,11 +7,18 @@ from pyspark.sql import functions as F
 
 from seqstats.operators.counts import distinct_keys
 from seqstats.operators.filters import filter_valid_id
+from seqstats.operators.membership import anti_join
 from seqstats.session import written
 
 
-def new_players(ids: DataFrame, known: DataFrame) -> DataFrame:
-    """Ids not among the known ones, whatever their case."""
+def new_players(ids: DataFrame, known: DataFrame, seen: tuple[DataFrame, int] | None = None) -> DataFrame:
+    """Ids not among the known ones, whatever their case.
+
+    ``seen``: the filter of the known ids and its number of blocks (``membership.stored_filter``). Ids that it rejects are
+    new without a join, so a very large known table meets only those that it lets through.
+    """
+    if seen is not None:
+        return anti_join(ids, F.lower("id"), known, "id", *seen)
     seen = known.select(F.col("id").alias("_known"))
     return ids.join(seen, F.lower("id") == F.col("_known"), "left_anti")
 
@@ -56,6 +63,8 @@ def request_batches(
     )
 
 
-def new_player_batches(players: DataFrame, known: DataFrame, **limits: int) -> DataFrame:
+def new_player_batches(
+    players: DataFrame, known: DataFrame, seen: tuple[DataFrame, int] | None = None, **limits: int
+) -> DataFrame:
     """Batches of all players without a profile."""
-    return request_batches(filter_valid_id(new_players(distinct_keys(players, "id"), known)), **limits)
+    return request_batches(filter_valid_id(new_players(distinct_keys(players, "id"), known, seen)), **limits)

@@ -13,6 +13,7 @@ from seqstats.operators.filters import ALPHA, MIN_DEV, MIN_GAMES, MIN_PLAYERS, f
 from seqstats.operators.hierarchy import count_along_paths, prefix_closure
 from seqstats.operators.ks import EXACT_LIMIT, ks_test
 from seqstats.operators.matching import match_prefixes
+from seqstats.operators.membership import stored_filter
 from seqstats.operators.probabilities import (
     country_means,
     country_player_counts,
@@ -23,7 +24,7 @@ from seqstats.operators.probabilities import (
 from seqstats.operators.profiles import new_player_batches
 from seqstats.operators.shaping import flatten_profile, sort_by_deviation, union_all, union_evolving
 from seqstats.operators.significance import opening_profile, significant_in_either
-from seqstats.session import move_path, path_exists
+from seqstats.session import delete_path, move_path, path_exists, small_on_disk
 from seqstats.sources.features import read_collection, read_features, read_members, write_features, write_metadata
 from seqstats.sources.ledger import BUCKETS, put_months, state, withdraw_months
 from seqstats.sources.records import parse_games, read_game_records
@@ -111,9 +112,21 @@ def ledger_path(root: str) -> str:
 
 
 def run_new_player_batches(spark: SparkSession, root: str, name: str, known: str = "known_players") -> DataFrame:
-    """Schedule for looking up the profiles of players not known yet."""
-    known_df = read_known(spark, stage_path(root, "players", known), "id", KNOWN_PLAYERS)
-    return new_player_batches(read_stage(spark, root, "players", name), known_df)
+    """Schedule for looking up the profiles of players not known yet.
+
+    A large table of known players is met through its filter, which is built once for each state of the table.
+    """
+    path = stage_path(root, "players", known)
+    known_df = read_known(spark, path, "id", KNOWN_PLAYERS)
+    seen = None
+    if known_df.inputFiles() and not small_on_disk(known_df):
+        known_df = spark.read.parquet(path).select("id")  # repeated rows do not matter here
+        seen = stored_filter(known_df, "id", filters_path(path))
+    return new_player_batches(read_stage(spark, root, "players", name), known_df, seen)
+
+
+def filters_path(path: str) -> str:
+    return f"{path.removesuffix('.parquet')}_filters"
 
 
 def run_merge_profiles(spark: SparkSession, root: str, responses: DataFrame, known: str = "known_players") -> None:
@@ -123,6 +136,7 @@ def run_merge_profiles(spark: SparkSession, root: str, responses: DataFrame, kno
     """
     path = stage_path(root, "players", known)
     replace_table(union_evolving(read_known(spark, path, "id", KNOWN_PLAYERS), flatten_profile(responses)), path)
+    delete_path(spark, filters_path(path))  # of the former table; a filter is found by the table's files alone
 
 
 def run_player_probabilities(spark: SparkSession, root: str, name: str, known: str = "known_players") -> None:

@@ -124,6 +124,7 @@ def test_queries_are_built_without_jobs(spark):
         "read_game_records", "header_columns", "move_tokens", "union_files", "read_openings", "read_stage", "read_months", "read_known",
         "write_stage", "write_stage_gzip", "write_csv", "checkpointed", "read_features", "write_features", "write_metadata",
         "read_metadata", "games", "merge_months", "month_ledger", "promote_resumed", "merge_profiles", "month_range", "request_batches", "new_player_batches",
+        "new_players_by_filter",
     }
     tracker = spark.sparkContext.statusTracker()
     for name in set(QUERIES) - sinks:
