@@ -1,5 +1,6 @@
 """Kolmogorov–Smirnov statistics and p-values against brute force."""
 
+import functools
 import itertools
 import math
 import random
@@ -10,9 +11,12 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from seqstats.catalog.fixture import Inputs
+from seqstats.catalog.queries import QUERIES
 from seqstats.operators import ks
 from seqstats.operators.distributions import distribution_arrays, distributions
 from seqstats.operators.ks import ks_pvalue, ks_subset, ks_test, ks_two_sample, lattice_tails, ranged, with_pvalue
+from seqstats.operators.shaping import METRICS
 
 
 def brute(a, b):
@@ -268,3 +272,37 @@ def test_tests_are_read_once_and_equal_ones_worked_out_once(spark, monkeypatch):
     tested = spark.createDataFrame([("a", 0.5, 4, 6)], "k STRING, stat DOUBLE, n LONG, m LONG").groupBy("k", "n", "m").agg({"stat": "max"}).withColumnRenamed("max(stat)", "stat")
     plan = ks.with_pvalue(tested, "exact")._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+@functools.cache
+def counted_tail(n, m, reach):
+    """The share by counting, in whole numbers, the lattice paths that stay within reach."""
+    inside = [0] * (m + 1)
+    for i in range(n + 1):
+        for j in range(m + 1):
+            before = (inside[j] if i else 0) + (inside[j - 1] if j else 0) or int(i == j == 0)
+            inside[j] = before if abs(i * m - j * n) < reach else 0
+    return 1 - Fraction(inside[m], math.comb(n + m, n))
+
+
+def test_the_jobs_own_form_against_brute_force(spark):
+    """``ks_test_auto`` over the whole smallest tables: statistic, sign and counted p-value of every test."""
+    folder = "/root/testdata/sf0.001"
+    values = Inputs(spark, folder).counted().select("matched_id", "country", *METRICS).collect()
+    by_opening = {}
+    for r in values:
+        by_opening.setdefault(r.matched_id, []).append(r)
+    found = QUERIES["ks_test_auto"](spark, folder).collect()
+    assert {(r.matched_id, r.country) for r in found} == {(r.matched_id, r.country) for r in values if r.country is not None}
+    for r in found:
+        for metric in METRICS:
+            every = [x[metric] for x in by_opening[r.matched_id] if x[metric] is not None]
+            own = [x[metric] for x in by_opening[r.matched_id] if x.country == r.country and x[metric] is not None]
+            stat, sign = brute(own, every)
+            assert r[f"{metric}_sign"] == sign
+            if stat is None:
+                assert r[f"{metric}_stat"] is None and r[f"{metric}_p_value"] is None
+                continue
+            n, m = sorted((len(own), len(every)))
+            assert r[f"{metric}_stat"] == pytest.approx(stat, abs=1e-6)
+            assert r[f"{metric}_p_value"] == pytest.approx(float(counted_tail(n, m, round(stat * n * m))), abs=1e-6)
