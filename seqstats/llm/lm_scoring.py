@@ -8,7 +8,11 @@ the word alone, and quantised to 16 bits.
 
 Both levels are cut into shards by ranges of word hashes. A shard is built by one task from counts that were already added
 up per block, and written to the shared folder; scoring tasks map the shards and touch only what their documents need, so
-neither the driver nor a worker ever holds the trie. The number of shards follows the size of the texts.
+neither the driver nor a worker ever holds the trie. The number of shards follows the size of the texts. A shard of successors
+whose words have more than ``SLICE_TOKENS`` tokens (one very frequent word is enough) is cut into slices by ranges of the
+successor: each is built by a task of its own, after the slices' numbers of successors per context were added up. So a slice has
+its share of a frequent word's successors, and of a frequent successor one pair for each word of the shard. Tasks find the files
+through a directory file, so nothing that grows with the corpus travels with the code.
 
 A text's tokens are its words, A-Z lower-cased, and one end; the end is never a context. Null and empty texts have only the
 end. Repeated rows count and are scored each for itself. Documents with a null id are not held out. Without training text
@@ -37,7 +41,7 @@ from pyspark.sql import functions as F
 
 from seqstats.llm.common import WORD, map_batches, utf8
 from seqstats.llm.elias_fano import EliasFano
-from seqstats.session import fresh_dir, written
+from seqstats.session import delete_path, fresh_dir, written
 
 PARTS, LEFT_OUT = 10, 0
 ADDED, DISCOUNT = 0.1, 0.75
@@ -47,6 +51,8 @@ END = b"\n"
 #: Bytes of text whose words and pairs make one shard, and tokens that are counted or scored together.
 SHARD_BYTES = 24_000_000
 BLOCK_TOKENS = 500_000
+#: Tokens of a shard's words for which its successors get one slice more.
+SLICE_TOKENS = 8_000_000
 #: Distinct counts a task gathers before it hands them on.
 GATHERED = 6_000_000
 
@@ -137,6 +143,11 @@ def save(folder: str, label: str, arrays: dict[str, np.ndarray]) -> str:
 
 @functools.lru_cache(maxsize=4096)
 def load(path: str) -> dict[str, np.ndarray]:
+    """``read`` for the files of the trie, which are read often."""
+    return read(path)
+
+
+def read(path: str) -> dict[str, np.ndarray]:
     """A saved file's arrays, memory-mapped: in place if every executor mounts the folder, else from a copy without a name."""
     system, inner = pyarrow.fs.FileSystem.from_uri(path)
     if isinstance(system, pyarrow.fs.LocalFileSystem):
@@ -171,17 +182,34 @@ def mapped(arrays: dict[str, np.ndarray], prefix: str) -> EliasFano:
 
 @dataclass
 class Trie:
-    """Where the shards are: their files, the id of each one's first word, and the totals."""
+    """Numbers of shards, tokens and distinct words, and the file that tells where the shards are."""
 
     shards: int
-    words: list[str]
-    pairs: list[str]
-    first: np.ndarray
     tokens: int
+    distinct: int
+    directory: str
+
+    def part(self, name: str) -> np.ndarray:
+        return load(self.directory)[name]
+
+    def file(self, name: str, number: int) -> dict[str, np.ndarray]:
+        return load(self.part(name)[number].decode())
+
+    @property
+    def first(self) -> np.ndarray:
+        """The id of each shard's first word, and the number of words."""
+        return self.part("first")
 
     @property
-    def distinct(self) -> int:
-        return int(self.first[-1])
+    def slices(self) -> np.ndarray:
+        """The number of each shard's first slice, and the number of slices."""
+        return self.part("slices")
+
+    def slice_of(self, shards: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The slices that hold a word's successions to contexts of the shards."""
+        start = self.slices[shards]
+        cut = (self.slices[shards + 1] - start).astype(U)
+        return start + (words.astype(U) * cut // U(max(1, self.distinct))).astype(np.int64)
 
     def shard_of(self, hashes: np.ndarray) -> np.ndarray:
         return shard_of(hashes, self.shards)
@@ -194,7 +222,7 @@ class Trie:
         ids, counts = np.full(len(hashes), -1), np.zeros(len(hashes), np.int64)
         bounds = np.searchsorted(self.shard_of(hashes), np.arange(self.shards + 1))
         for shard in np.flatnonzero(np.diff(bounds)).tolist():
-            arrays = load(self.words[shard])
+            arrays = self.file("words", shard)
             here = slice(bounds[shard], bounds[shard + 1])
             place, found = mapped(arrays, "hash").find(hashes[here] - U(floor_of(shard, self.shards)))
             place = place[found]
@@ -208,7 +236,7 @@ class Trie:
         bounds = np.searchsorted(ids, self.first)
         for shard in np.flatnonzero(np.diff(bounds)).tolist():
             here = slice(bounds[shard], bounds[shard + 1])
-            out[here] = load(self.words[shard])["count"][ids[here] - self.first[shard]]
+            out[here] = self.file("words", shard)["count"][ids[here] - self.first[shard]]
         return out
 
     def alone(self, counts: np.ndarray) -> np.ndarray:
@@ -220,17 +248,21 @@ class Trie:
         out = np.zeros(len(words))
         bounds = np.searchsorted(contexts, self.first)
         for shard in np.flatnonzero(np.diff(bounds)).tolist():
-            arrays = load(self.pairs[shard])
             here = slice(bounds[shard], bounds[shard + 1])
-            context = contexts[here] - self.first[shard]
-            starts, successors = mapped(arrays, "start"), mapped(arrays, "next")
-            # the range of the context's successors, and the search inside it by id relative to the range
-            distinct, back = np.unique(context, return_inverse=True)
-            start, end = starts[distinct].astype(np.int64)[back], starts[distinct + 1].astype(np.int64)[back]
-            place, found = successors.find(context.astype(U) * U(self.distinct) + np.maximum(words[here], 0).astype(U))
-            found &= (words[here] >= 0) & (place >= start) & (place < end)
-            value = from_steps(arrays["back"][context]) + alone[here]
-            value[found] = from_steps(arrays["probability"][place[found]])
+            context, word = contexts[here] - self.first[shard], words[here]
+            value = from_steps(self.file("backs", shard)["back"][context]) + alone[here]
+            known = np.flatnonzero(word >= 0)
+            numbers = self.slice_of(np.full(len(known), shard), word[known])
+            for number in np.unique(numbers).tolist():
+                at = known[numbers == number]
+                arrays = self.file("pairs", number)
+                starts, successors = mapped(arrays, "start"), mapped(arrays, "next")
+                # the range of the context's successors, and the search inside it by id relative to the range
+                distinct, back = np.unique(context[at], return_inverse=True)
+                start, end = starts[distinct].astype(np.int64)[back], starts[distinct + 1].astype(np.int64)[back]
+                place, found = successors.find(context[at].astype(U) * U(self.distinct) + word[at].astype(U))
+                found &= (place >= start) & (place < end)
+                value[at[found]] = from_steps(arrays["probability"][place[found]])
             out[here] = value
         return out
 
@@ -311,7 +343,7 @@ HANDED_ARROW = pa.schema([("shard", pa.int32()), ("keys", pa.binary()), ("counts
 
 
 def pair_counts(texts: DataFrame, trie: Trie) -> DataFrame:
-    """Counts of pairs of neighbouring words, added up per task, by the shard of the first; keys are relative to the shard."""
+    """Counts of pairs of neighbouring words, added up per task, by slice; keys are relative to the first word's shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, held = [], [], 0
@@ -323,7 +355,10 @@ def pair_counts(texts: DataFrame, trie: Trie) -> DataFrame:
             counts.clear()
             shard = np.searchsorted(trie.first, (key // size).astype(np.int64), side="right") - 1
             relative = key - trie.first[shard].astype(U) * size
-            return pa.RecordBatch.from_pandas(handed_on(relative, count, shard), schema=HANDED_ARROW, preserve_index=False)
+            number = trie.slice_of(shard, relative % size)
+            order = np.argsort(number, kind="stable")
+            handed = handed_on(relative[order], count[order], number[order])
+            return pa.RecordBatch.from_pandas(handed, schema=HANDED_ARROW, preserve_index=False)
 
         for batch in batches:
             for hashes, places, _, follows in blocks(utf8(batch.column(0))):
@@ -356,47 +391,109 @@ def built_words(counted: DataFrame, folder: str, shards: int) -> DataFrame:
     return counted.groupBy("shard").applyInPandas(build, "shard int, path string, words bigint, tokens bigint")
 
 
+def saved_pairs(trie: Trie, folder: str, number: int, key: np.ndarray, count: np.ndarray, kinds: np.ndarray, total: np.ndarray) -> str:
+    """The file of a slice: pointers, successors and their probabilities. ``kinds``, ``total``: of all slices of the shard."""
+    context, word = (key // U(trie.distinct)).astype(np.int64), (key % U(trie.distinct)).astype(np.int64)
+    own = np.bincount(context, minlength=len(kinds))
+    spare = DISCOUNT * kinds / np.maximum(total, 1)
+    distinct, back = np.unique(word, return_inverse=True)
+    alone = 10 ** trie.alone(trie.counts_of(distinct))[back]
+    probability = (count - DISCOUNT) / total[context] + spare[context] * alone
+    arrays = sequence("start", np.concatenate([[0], np.cumsum(own)])) | sequence("next", key)
+    return save(folder, f"pairs-{number}", arrays | {"probability": to_steps(np.log10(probability))})
+
+
+def saved_back(folder: str, shard: int, kinds: np.ndarray, total: np.ndarray) -> str:
+    """The file of a shard's shares left to words alone; 1 for a word that nothing follows."""
+    spare = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
+    return save(folder, f"back-{shard}", {"back": to_steps(np.log10(spare))})
+
+
 def built_pairs(counted: DataFrame, folder: str, trie: Trie) -> DataFrame:
-    """A file of successors per shard."""
+    """A file of successors per slice (``shard`` of ``counted``). A shard of one slice is done with it, and has ``back``;
+    other slices are added up and put aside with their numbers of successors and of successions per context."""
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
-        shard = int(frame["shard"].iloc[0])
+        number = int(frame["shard"].iloc[0])
+        shard = int(np.searchsorted(trie.slices, number, side="right")) - 1
         key, count = summed([undone(x) for x in frame["keys"]], [np.frombuffer(x, "<u4") for x in frame["counts"]])
         contexts = int(trie.first[shard + 1] - trie.first[shard])
-        context, word = (key // U(trie.distinct)).astype(np.int64), (key % U(trie.distinct)).astype(np.int64)
-        kinds = np.bincount(context, minlength=contexts)
-        total = np.bincount(context, count, minlength=contexts)
-        spare = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
-        distinct, back = np.unique(word, return_inverse=True)
-        alone = 10 ** trie.alone(trie.counts_of(distinct))[back]
-        probability = (count - DISCOUNT) / total[context] + spare[context] * alone
-        arrays = sequence("start", np.concatenate([[0], np.cumsum(kinds)])) | sequence("next", key)
-        arrays |= {"probability": to_steps(np.log10(probability)), "back": to_steps(np.log10(spare))}
-        return pd.DataFrame({"shard": [shard], "path": [save(folder, f"pairs-{shard}", arrays)]})
+        context = (key // U(trie.distinct)).astype(np.int64)
+        kinds, total = np.bincount(context, minlength=contexts), np.bincount(context, count, minlength=contexts).astype(np.int64)
+        if trie.slices[shard + 1] - trie.slices[shard] == 1:
+            path, back = saved_pairs(trie, folder, number, key, count, kinds, total), saved_back(folder, shard, kinds, total)
+        else:
+            path, back = save(f"{folder}/aside", f"pairs-{number}", {"key": key, "count": count, "kinds": kinds, "total": total}), None
+        return pd.DataFrame({"shard": [shard], "number": [number], "path": [path], "back": [back]})
+
+    return counted.groupBy("shard").applyInPandas(build, "shard int, number int, path string, back string")
+
+
+def added_up(aside: DataFrame, folder: str, tasks: int) -> DataFrame:
+    """Per shard of several slices: a file of the numbers per context over all slices, and its ``back``."""
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        shard, sums = int(frame["shard"].iloc[0]), {}
+        for path in frame["path"]:
+            part = read(path)
+            sums = {name: sums.get(name, 0) + part[name] for name in ("kinds", "total")}
+        back = saved_back(folder, shard, **sums)
+        return pd.DataFrame({"shard": [shard], "sums": [save(f"{folder}/aside", f"sums-{shard}", sums)], "back": [back]})
+
+    return aside.repartition(tasks, "shard").groupBy("shard").applyInPandas(add, "shard int, sums string, back string")
+
+
+def finished_slices(aside: DataFrame, sums: DataFrame, folder: str, trie: Trie, tasks: int) -> DataFrame:
+    """The files of the slices that were put aside."""
+
+    def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for number, path, added in zip(frame["number"], frame["path"], frame["sums"]):
+                part, whole = read(path), read(added)
+                done = saved_pairs(trie, folder, number, part["key"], part["count"], whole["kinds"], whole["total"])
+                yield pd.DataFrame({"number": [number], "path": [done]})
 
-    return counted.groupBy("shard").applyInPandas(build, "shard int, path string")
+    joined = aside.select("shard", "number", "path").join(sums.select("shard", "sums"), "shard")
+    return joined.repartition(tasks, "number").mapInPandas(finish, "number int, path string")
 
 
 def train(documents: DataFrame, text_col: str = "text") -> Trie:
-    """The trie of all rows of ``documents``. The driver learns one file name per shard."""
+    """The trie of all rows of ``documents``. The driver learns one file name per shard and slice."""
     spark = documents.sparkSession
-    folder = uri(fresh_dir(spark, "trie"))
+    shared = fresh_dir(spark, "trie")
+    folder = uri(shared)
     texts = documents.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = documents.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     shards = 1 + int(size) // SHARD_BYTES
     found = {r.shard: r for r in written(built_words(word_counts(texts, shards), folder, shards), "word-shards").collect()}
     empty = save(folder, "words-none", sequence("hash", np.zeros(0, U)) | {"count": np.zeros(0, "<u8")})
     words = [found[s].path if s in found else empty for s in range(shards)]
-    first = np.concatenate([[0], np.cumsum([found[s].words if s in found else 0 for s in range(shards)])])
-    trie = Trie(shards, words, [], first, sum(r.tokens for r in found.values()))
-    paired = {r.shard: r.path for r in written(built_pairs(pair_counts(texts, trie), folder, trie), "pair-shards").collect()}
-    none = {}
+    first = np.concatenate([[0], np.cumsum([found[s].words if s in found else 0 for s in range(shards)])]).astype(np.int64)
+    if (distinct := int(first[-1])) >= 1 << 32:
+        raise OverflowError(f"{distinct} distinct words: a pair's key has room for 2^32")
+    cuts = [1 + (found[s].tokens if s in found else 0) // SLICE_TOKENS for s in range(shards)]
+    places = {"words": np.array(words, "S"), "first": first, "slices": np.concatenate([[0], np.cumsum(cuts)]).astype(np.int64)}
+    tokens = sum(r.tokens for r in found.values())
+    trie = Trie(shards, tokens, distinct, save(folder, "directory", places))
+    built = written(built_pairs(pair_counts(texts, trie), folder, trie), "pair-shards")
+    aside = built.where("back IS NULL")
+    rows = built.collect()
+    pairs = {r.number: r.path for r in rows if r.back}
+    backs = {r.shard: r.back for r in rows if r.back}
+    if tasks := sum(r.back is None for r in rows):
+        sums = written(added_up(aside, folder, tasks), "pair-sums")
+        backs |= {r.shard: r.back for r in sums.collect()}
+        pairs |= {r.number: r.path for r in written(finished_slices(aside, sums, folder, trie, tasks), "pair-slices").collect()}
+        delete_path(spark, f"{shared}/aside")
     for s in range(shards):
-        if s not in paired:
-            n = int(first[s + 1] - first[s])
-            none[s] = save(folder, f"pairs-{s}", sequence("start", np.zeros(n + 1, U)) | sequence("next", np.zeros(0, U)) | {"probability": np.zeros(0, np.uint16), "back": np.zeros(n, np.uint16)})
-    trie.pairs = [paired.get(s) or none[s] for s in range(shards)]
-    return trie
+        nothing = np.zeros(first[s + 1] - first[s], np.int64)
+        if s not in backs:
+            backs[s] = saved_back(folder, s, nothing, nothing)
+        if missing := [k for k in range(places["slices"][s], places["slices"][s + 1]) if k not in pairs]:
+            path = saved_pairs(trie, folder, missing[0], np.zeros(0, U), np.zeros(0, np.int64), nothing, nothing)
+            pairs |= dict.fromkeys(missing, path)
+    places |= {name: np.array([found[k] for k in range(len(found))], "S") for name, found in (("pairs", pairs), ("backs", backs))}
+    return Trie(shards, tokens, distinct, save(folder, "directory", places))
 
 
 def scored(documents: DataFrame, trie: Trie, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

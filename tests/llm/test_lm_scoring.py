@@ -78,8 +78,9 @@ def test_query(spark):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
-@pytest.mark.parametrize("shard, block, gathered", [(24_000_000, 500_000, 6_000_000), (40, 3, 4)])
-def test_cases(spark, monkeypatch, shard, block, gathered):
+@pytest.mark.parametrize("shard, block, gathered, cut", [(24_000_000, 500_000, 6_000_000, 8_000_000), (40, 3, 4, 8_000_000), (40, 3, 4, 2), (24_000_000, 500_000, 6_000_000, 9)])
+def test_cases(spark, monkeypatch, shard, block, gathered, cut):
+    monkeypatch.setattr(lm, "SLICE_TOKENS", cut)
     monkeypatch.setattr(lm, "SHARD_BYTES", shard)
     monkeypatch.setattr(lm, "BLOCK_TOKENS", block)
     monkeypatch.setattr(lm, "GATHERED", gathered)
@@ -94,6 +95,22 @@ def test_cases(spark, monkeypatch, shard, block, gathered):
     check_rows(other, [(other[0], "b unseen c a unseen")], brute)
 
 
+def test_a_frequent_word_is_cut_into_slices(spark, monkeypatch):
+    """A word that is half of all tokens: its successors are in several files, none with more than its part."""
+    monkeypatch.setattr(lm, "SLICE_TOKENS", 500)
+    texts = [" ".join(f"the w{(7 * i + j) % 900}" for j in range(40)) for i in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    trie = lm.train(docs)
+    assert trie.slices.tolist() == [0, 1 + 8_100 // 500]
+    brute, files = Brute(texts), [trie.file("pairs", k) for k in range(trie.slices[-1])]
+    assert sum(len(f["probability"]) for f in files) == len(brute.pairs)
+    hot = trie.lookup(np.array([lm.hash_of(b"the")], np.uint64))[0]
+    of_hot = [int((lm.mapped(f, "start")[hot + 1] - lm.mapped(f, "start")[hot])[0]) for f in files]
+    assert sum(of_hot) == brute.kinds["the"] and max(of_hot) < 2 * brute.kinds["the"] / len(files)
+    got = lm.scored(docs, trie).collect()
+    check_rows(got, [(r, texts[r.doc_id]) for r in got], brute)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert lm.report(docs).count() == 0
