@@ -38,21 +38,37 @@ def move_tokens(text: Column, n: int | None = 10) -> Column:
         marked = F.contains(body, F.lit("{")) | F.contains(body, F.lit(";"))
         return F.when(marked, F.regexp_replace(body, r"\{[^}]*\}?|;[^\n]*", " ")).otherwise(body)
 
-    def numbered(body: Column) -> Column:
-        body = F.substring_index(F.ltrim(body, F.lit(" \n\t")), "\n\n", 1)
-        body = F.when(F.contains(body, F.lit("$")), F.regexp_replace(body, r"\$\d+", " ")).otherwise(body)
-        body = F.when(F.contains(body, F.lit("(")), F.regexp_replace(body, r"([()])", " $1 ")).otherwise(body)
+    def main(body: Column) -> Column:
+        return F.substring_index(F.ltrim(body, F.lit(" \n\t")), "\n\n", 1)
+
+    def unmarked(body: Column) -> Column:
+        return F.when(F.contains(body, F.lit("$")), F.regexp_replace(body, r"\$\d+", " ")).otherwise(body)
+
+    def unbranched(body: Column) -> Column:
+        """Without variations; where they are nested deeper or not closed, their marks are set apart for ``first``."""
+        rest = body
+        for _ in range(3):
+            rest = F.regexp_replace(rest, r"\([^()]*+\)", " ")
+        left = _let(rest, lambda r: F.when(~r.rlike("[()]"), r).otherwise(F.regexp_replace(body, r"([()])", " $1 ")))
+        return F.when(F.contains(body, F.lit("(")), left).otherwise(body)
+
+    def unnumbered(body: Column) -> Column:
         return F.regexp_replace(body, r"(?<!\S)\d+\.+", " ")
 
+    def unsuffixed(body: Column) -> Column:
+        return F.regexp_replace(F.translate(body, "\n\t", "  "), r"(?<![+#!?])[+#!?]++(?= |\z)", "")
+
     def words(body: Column) -> Column:
-        parts = F.transform(F.split(F.translate(body, "\n\t", "  "), " "), lambda w: F.rtrim(w, F.lit("+#!?")))
-        return F.filter(parts, lambda w: (w != "") & ~w.isin(RESULTS))
+        return F.filter(F.split(body, " "), lambda w: (w != "") & ~w.isin(RESULTS))
 
     def first(found: Column) -> Column:
         moves = F.when(F.array_contains(found, "("), _main_line(found)).otherwise(found)
         return moves if n is None else F.slice(moves, 1, n)
 
-    return _let(_let(_let(_let(_movetext(text), cleaned), numbered), words), first)
+    value = _movetext(text)
+    for step in (cleaned, main, unmarked, unbranched, unnumbered, unsuffixed, words, first):
+        value = _let(value, step)
+    return value
 
 
 def _main_line(words: Column) -> Column:

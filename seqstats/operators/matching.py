@@ -3,8 +3,9 @@
 Games are joined to openings on equality with one of their prefixes, by whole tokens, and
 never on ``startswith``:
 
-* a dictionary made from small files is broadcast once and looked up by every prefix length, so
-  games are not shuffled at all and popular sequences cost nothing extra;
+* a dictionary of small size is broadcast once and looked up by every prefix length, so games are not shuffled at
+  all and popular sequences cost nothing extra. Files that it is made from tell its size if they are small; of larger
+  ones, which may hold few distinct openings, it is written once to the shared folder and its own size counts;
 * any other is matched on the distinct sequences and joined back. A prefix that nearly all
   sequences share is split by adaptive skew handling, into as many parts as its rows need.
 
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqstats.functions.moves import prefixes, token_count
-from seqstats.session import small_on_disk
+from seqstats.session import small_on_disk, written
 
 CHAIN = "array<struct<id: string, moves: string, name: string>>"
 
@@ -78,9 +79,11 @@ def with_chain(games: DataFrame, openings: DataFrame, seq: str, n: int, moves: s
     entries = openings.where((F.col(moves) != "") & (token_count(F.col(moves)) <= n)).select(
         F.col(moves).alias("key"), "id", named.alias("name"), token_count(F.col(moves)).alias("tokens")
     )
-    if small_on_disk(openings):
-        return _chain_by_lookup(games, entries, seq, n)
-    return chain_by_shuffle(games, entries, seq, n)
+    dictionary, small = _by_key(entries), small_on_disk(openings)
+    if not small and openings.inputFiles():
+        dictionary = written(dictionary, "dictionary")
+        small = small_on_disk(dictionary)
+    return (_chain_by_lookup if small else _chain_by_shuffle)(games, dictionary, seq, n)
 
 
 def _by_key(entries: DataFrame) -> DataFrame:
@@ -89,9 +92,8 @@ def _by_key(entries: DataFrame) -> DataFrame:
     return entries.groupBy("key", "tokens").agg(F.sort_array(F.collect_list(opening)).alias("hits"))
 
 
-def _chain_by_lookup(games: DataFrame, entries: DataFrame, seq: str, n: int) -> DataFrame:
+def _chain_by_lookup(games: DataFrame, dictionary: DataFrame, seq: str, n: int) -> DataFrame:
     """A lookup per prefix length in one broadcast dictionary. No shuffle of games."""
-    dictionary = _by_key(entries)
 
     def look_up(df: DataFrame, k: int) -> DataFrame:
         part = dictionary.select(F.col("key").alias(f"_key_{k}"), F.col("hits").alias(f"_hits_{k}"))
@@ -111,10 +113,14 @@ def chain_by_shuffle(games: DataFrame, entries: DataFrame, seq: str, n: int | No
     Equal sequences collapse before the first shuffle. Both joins have one row per key on the
     right; a hot prefix or sequence on the left is split by adaptive skew handling.
     """
+    return _chain_by_shuffle(games, _by_key(entries), seq, n)
+
+
+def _chain_by_shuffle(games: DataFrame, dictionary: DataFrame, seq: str, n: int | None) -> DataFrame:
     keys = games.select(F.col(seq).alias("_seq")).where(F.col("_seq") != "").distinct()
     every = prefixes(F.col("_seq"))
     tried = keys.select("_seq", F.explode(every if n is None else F.slice(every, 1, n)).alias("key"))
-    hits = tried.join(_by_key(entries), "key")
+    hits = tried.join(dictionary, "key")
     in_order = F.sort_array(F.collect_list(F.struct("tokens", "hits")))
     found = hits.groupBy("_seq").agg(F.flatten(F.transform(in_order, lambda h: h["hits"])).alias("_chain"))
     return games.join(found, games[seq] == found["_seq"], "left").select(

@@ -162,3 +162,21 @@ def test_plan_of_large_dictionary(frames):
     entries = frames[1].select(F.col("moves").alias("key"), "id", "name", token_count(F.col("moves")).alias("tokens"))
     text = plan(matching.chain_by_shuffle(frames[0], entries, "moves", 10))
     assert "NestedLoop" not in text and "Cartesian" not in text
+
+
+def test_small_dictionary_from_large_files_keeps_games_in_place(spark, tmp_path, frames, monkeypatch):
+    """The distinct openings' own size counts, not that of files which repeat them."""
+    from seqstats import session
+
+    games, openings = frames
+    games.write.parquet(str(tmp_path / "games"))
+    repeated = openings.crossJoin(spark.range(3000).toDF("_n")).repartition(8)
+    repeated.write.option("compression", "none").parquet(str(tmp_path / "openings"))
+    games, many = (spark.read.parquet(str(tmp_path / name)) for name in ("games", "openings"))
+    limit = 32 * 1024
+    monkeypatch.setattr(matching, "small_on_disk", lambda df: session.small_on_disk(df, limit))
+    assert not matching.small_on_disk(many)
+    found = match_prefixes(games, many.drop("_n").distinct())
+    text = plan(found)
+    assert not [line for line in text.split("\n") if "Exchange hashpartitioning" in line and "moves" in line and "white" in line]
+    assert rows(found) == rows(match_prefixes(frames[0], openings.distinct()))
