@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seqstats.operators import counts, probabilities
 from seqstats.operators.filters import filter_has_country, filter_min_games
 from seqstats.operators.matching import match_prefixes
+from seqstats.session import small_on_disk, written
 from seqstats.sources.records import ordered_sequence
 
 
@@ -28,10 +29,12 @@ SCHEMAS = {
 
 
 class Inputs:
-    """Inputs and intermediate tables of the pipeline over one data folder, all lazy."""
+    """Inputs and intermediate tables of the pipeline over one data folder, all lazy but for ``share``."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._matches: DataFrame | None = None
+        self._counted: DataFrame | None = None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
@@ -99,7 +102,9 @@ class Inputs:
         return self.iso().select("ISO_A3").unionByName(regions)
 
     def matches(self) -> DataFrame:
-        return match_prefixes(self.games(), self.openings())
+        if self._matches is None:
+            self._matches = match_prefixes(self.games(), self.openings())
+        return self._matches
 
     def counts(self) -> DataFrame:
         return counts.player_openings(self.matches())
@@ -111,7 +116,16 @@ class Inputs:
         return probabilities.player_probabilities(self.counts(), self.profiles())
 
     def counted(self) -> DataFrame:
-        return filter_min_games(self.players())
+        return filter_min_games(self.players()) if self._counted is None else self._counted
+
+    def share(self) -> Inputs:
+        """For a query that reads the counted players several times: those of large tables are written once.
+
+        Each use reads other columns, so that Spark would count and shuffle the games for each of them.
+        """
+        if self._counted is None and not small_on_disk(self.table("lineitem")):
+            self._counted = written(self.counted(), "counted")
+        return self
 
     def located(self) -> DataFrame:
         return filter_has_country(self.counted())
@@ -123,6 +137,7 @@ class Inputs:
         return probabilities.country_means(self.located())
 
     def standardized(self) -> DataFrame:
+        self.share()
         return probabilities.standardize(self.means(), self.moments())
 
     def player_counts(self) -> DataFrame:

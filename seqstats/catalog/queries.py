@@ -284,6 +284,7 @@ def filter_iso2(i: Inputs) -> DataFrame:
 
 
 def white_tests(i: Inputs) -> DataFrame:
+    i.share()
     joined = significance.join_player_counts(significance.join_ks_country(tested(i), i.standardized()), i.player_counts())
     return joined.select(
         "matched_id",
@@ -306,6 +307,7 @@ def filter_significant(i: Inputs) -> DataFrame:
 
 @query
 def filter_outliers(i: Inputs) -> DataFrame:
+    i.share()
     joined = probabilities.join_moments(i.means(), i.moments())
     names = {"p_w": "p", "p_won_w": "p_won", "mean_p_w": "mean_p", "std_p_w": "std_p",
              "mean_p_won_w": "mean_p_won", "std_p_won_w": "std_p_won"}
@@ -438,22 +440,26 @@ def join_country(i: Inputs) -> DataFrame:
 
 @query
 def join_moments(i: Inputs) -> DataFrame:
+    i.share()
     return probabilities.join_moments(i.means(), i.moments())
 
 
 @query
 def join_ks_country(i: Inputs) -> DataFrame:
     """Scores of two-letter countries only, so that tests of other codes have no country row."""
+    i.share()
     return significance.join_ks_country(tested(i), filters.filter_iso2(i.standardized()))
 
 
 @query
 def join_player_counts(i: Inputs) -> DataFrame:
+    i.share()
     return significance.join_player_counts(filters.filter_iso2(i.means()), i.player_counts())
 
 
 @query
 def join_global(i: Inputs) -> DataFrame:
+    i.share()
     frequent = i.moments().where("mean_p_w > 0.01")
     return significance.join_global(i.means(), frequent)
 
@@ -501,6 +507,7 @@ def new_countries(i: Inputs) -> DataFrame:
 
 @query
 def attach_player_counts(i: Inputs) -> DataFrame:
+    i.share()
     return geo.attach_player_counts(i.means(), filters.filter_iso2(i.player_counts()))
 
 
@@ -535,6 +542,7 @@ def feature_player_counts(i: Inputs) -> DataFrame:
 
 @query
 def opening_metadata(i: Inputs) -> DataFrame:
+    i.share()
     return geo.opening_metadata(i.openings(), i.moments().where("mean_p_w > 0.01"), i.means())
 
 
@@ -575,6 +583,7 @@ def country_player_counts(i: Inputs) -> DataFrame:
 @query
 def country_player_counts_approx(i: Inputs) -> DataFrame:
     """Sketches per country and first letter of the id, united; the exact number must lie within the stated bounds."""
+    i.share()
     parts = probabilities.player_sketches(i.located().withColumn("part", F.substring("id", 1, 1)), ("country", "part"))
     united = probabilities.approx_player_counts(probabilities.united_sketches(parts))
     whole = probabilities.approx_player_counts(probabilities.player_sketches(i.located())).select("country", F.col("num_players").alias("_once"))
@@ -588,7 +597,7 @@ def country_player_counts_approx(i: Inputs) -> DataFrame:
 @query
 def global_moments_updated(i: Inputs) -> DataFrame:
     """Moments of all players, from states in which some players were first wrong, then taken out and put in right."""
-    players = i.counted()
+    players = i.share().counted()
     some = F.col("id").cast("long") % 7 == 0
     wrong = players.where(some).withColumns({m: F.col(m) * 0.5 + 0.25 for m in METRICS})
     states = probabilities.moment_states(players.where(~some).unionByName(wrong))
@@ -681,7 +690,7 @@ def unstandardize(i: Inputs) -> DataFrame:
 @query
 def ks_two_sample(i: Inputs) -> DataFrame:
     """Players of a known country against the others, per opening and metric."""
-    values = distributions.metric_values(i.counted(), ["matched_id", "country"])
+    values = distributions.metric_values(i.share().counted(), ["matched_id", "country"])
     known, unknown = values.where("country IS NOT NULL"), values.where("country IS NULL")
     return ks.ks_two_sample(known, unknown, ["matched_id", "metric"])
 
@@ -741,6 +750,7 @@ def ks_test_auto(i: Inputs) -> DataFrame:
 
 
 def significant_tables(i: Inputs) -> tuple[DataFrame, ...]:
+    i.share()
     return tested(i), i.standardized(), i.player_counts(), i.moments(), i.openings()
 
 
@@ -775,6 +785,7 @@ def band(i: Inputs) -> DataFrame:
 
 @query
 def opening_profile(i: Inputs) -> DataFrame:
+    i.share()
     return significance.opening_profile(geo.country_names(i.means(), i.iso()), i.moments(), i.openings(), "MEDIUM Brand#2")
 
 
@@ -967,6 +978,7 @@ def feature_enrichment(i: Inputs) -> DataFrame:
 def written_metadata(i: Inputs, document: bool) -> str:
     """Metadata written over earlier ones, of which a member is to be kept and a number to be replaced."""
     path = fresh_dir(i.spark, "metadata")
+    i.share()
     described = geo.opening_metadata(i.openings(), i.moments(), i.means())
     earlier = i.spark.range(1).select(F.parse_json(F.lit('{"source":"kept","num_countries":-1}')).cast("variant").alias("d"))
     earlier = earlier.select(F.try_variant_get("d", "$", features.MEMBERS).alias("members"))

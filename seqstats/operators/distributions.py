@@ -23,7 +23,7 @@ def distribution_arrays(df: DataFrame, keys: list[str], suffix: str = "dist", pa
     With ``parts`` over 1 every group's players are dealt over so many rows, numbered by ``part``.
     """
     dealt = df.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-    arrays = [F.array_sort(F.collect_list(m)).alias(f"{m}_{suffix}") for m in METRICS]
+    arrays = [F.sort_array(F.collect_list(m)).alias(f"{m}_{suffix}") for m in METRICS]
     return dealt.groupBy(*keys, "part").agg(*arrays)
 
 

@@ -2,6 +2,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from seqstats.operators.distributions import distribution_arrays
 from seqstats.functions.numbers import bin_counts, bin_position
 from seqstats.operators.counts import COUNTS, dedupe_known, merge_counts, player_openings, upsert_latest
 from seqstats.operators.filters import filter_min_games, filter_significant
@@ -159,3 +160,26 @@ def test_states_follow_changes_of_players(spark):
     with pytest.raises(ValueError):
         updated_states(states, states, 2)
     df.unpersist()
+
+
+def test_counted_players_of_large_tables_are_read_not_counted_again(spark, monkeypatch):
+    """A query with several uses of the counted players: the same rows, and no use goes back to the games."""
+    from seqstats.catalog import fixture
+    from seqstats.catalog.queries import QUERIES
+
+    names = ("attach_player_counts", "join_moments", "unstandardize")
+    lazy = {n: rows(QUERIES[n](spark, "/root/testdata/sf0.001")) for n in names}
+    monkeypatch.setattr(fixture, "small_on_disk", lambda df: False)
+    for name in names:
+        found = QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert not [f for f in found.inputFiles() if "lineitem" in f], name
+        assert rows(found) == lazy[name] and lazy[name], name
+
+
+def test_arrays_are_sorted_natively(spark):
+    df = spark.createDataFrame([("p", "a", 0.5, None, float("nan"), 0.0), ("q", "a", 0.25, 0.5, 1.0, 0.5)], "id STRING, matched_id STRING, p_w DOUBLE, p_b DOUBLE, p_won_w DOUBLE, p_won_b DOUBLE")
+    found = distribution_arrays(df, ["matched_id"])
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+    row = found.first()
+    assert row["p_w_dist"] == [0.25, 0.5] and row["p_b_dist"] == [0.5]
+    assert row["p_won_w_dist"][0] == 1.0 and row["p_won_w_dist"][1] != row["p_won_w_dist"][1]
