@@ -83,8 +83,12 @@ def difference(new: DataFrame | None, old: list[DataFrame]) -> DataFrame:
     )
 
 
-def changed(before: DataFrame, change: DataFrame) -> DataFrame:
-    """The state after a change; openings that no month speaks of any more go."""
+def changed(before: DataFrame, change: DataFrame, buckets: int | None = None) -> DataFrame:
+    """The state after a change; openings that no month speaks of any more go.
+
+    The change is dealt to the state's ``buckets``: of fewer buckets than shuffle partitions Spark would shuffle the state.
+    """
+    change = change if buckets is None else change.repartition(buckets, "id")
     change = change.select(*[F.col(c).alias(f"_{c}") for c in change.columns])
     same = (F.col("id") == F.col("_id")) & (F.col("matched_id") == F.col("_matched_id"))
     joined = before.join(change.hint("merge"), same, "full_outer")
@@ -116,7 +120,7 @@ def _apply(spark: SparkSession, root: str, put: DataFrame | None, named: list[st
         change = difference(new, old)
         after = f"state-{uuid.uuid4().hex}"
         with _setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
-            result = changed(state(spark, root, version), change) if found.get("state") else change
+            result = changed(state(spark, root, version), change, buckets) if found.get("state") else change
             _write_bucketed(result if found.get("state") else result.repartition(buckets, "id"), f"{root}/{after}", buckets)
     return commits.commit(spark, root, {"buckets": buckets, "state": after, "months": known}, version)
 

@@ -105,3 +105,15 @@ def test_one_of_two_writers_wins(spark, tmp_path):
     assert commits.read_commit(spark, root) == (1, {"a": 1})
     assert commits.commit(spark, root, {"a": "é"}, 1) == 2 and commits.read_commit(spark, root) == (2, {"a": "é"})
     assert not [x for x in commits.names(spark, f"{root}/_commits") if x.startswith("draft")]
+
+
+def test_state_of_few_buckets_is_not_shuffled(spark, tmp_path):
+    """Fewer buckets than shuffle partitions: still only the change moves."""
+    root = str(tmp_path / "ledger")
+    ledger.put_months(spark, root, made(spark, 1, ["2022-07"]), ["2022-07"], buckets=2)
+    change = ledger.difference(made(spark, 2, ["2022-08"]).selectExpr("*", "1 AS months"), [])
+    with ledger._setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"), ledger._setting(spark, "spark.sql.shuffle.partitions", "32"):
+        plan = ledger.changed(ledger.state(spark, root), change, 2)._jdf.queryExecution().executedPlan().toString()
+    side = plan[plan.index("SortMergeJoin") :]
+    scan = side.index("Bucketed: true")
+    assert "Exchange" not in side[:scan] and "Exchange" in side[scan:]
