@@ -109,8 +109,8 @@ class Inputs:
     def counts(self) -> DataFrame:
         return counts.player_openings(self.matches())
 
-    def monthly(self) -> DataFrame:
-        return counts.player_openings(self.matches(), ("month",))
+    def monthly(self, parts: int | None = None) -> DataFrame:
+        return counts.player_openings(self.matches(), ("month",), parts)
 
     def players(self) -> DataFrame:
         return probabilities.player_probabilities(self.counts(), self.profiles())

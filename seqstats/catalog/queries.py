@@ -190,11 +190,18 @@ def month_range(i: Inputs) -> DataFrame:
     return months.join(orders, "month", "left").fillna(0)
 
 
+def write_monthly(i: Inputs, path: str) -> tuple[str, str]:
+    """The counts of all months, one folder each; gives the first and the last month."""
+    bounds = month_bounds(i)
+    parts = stages.month_parts(i.spark, len(stages.month_range(*bounds)))
+    stages.write_months(i.monthly(parts), path, dealt=True)
+    return bounds
+
+
 @query
 def read_months(i: Inputs) -> DataFrame:
     path = fresh_dir(i.spark, "months")
-    stages.write_months(i.monthly(), path)
-    return stages.read_months(i.spark, path, *month_bounds(i))
+    return stages.read_months(i.spark, path, *write_monthly(i, path))
 
 
 @query
@@ -1010,21 +1017,21 @@ def games(i: Inputs) -> DataFrame:
     return jobs.games_from_records(written_records(i), i.openings())
 
 
-def written_months(i: Inputs, root: str) -> None:
-    """The players' table of every month, each a stage of its own."""
+def written_months(i: Inputs, root: str) -> tuple[str, str]:
+    """The players' table of every month, each a stage of its own; gives the first and the last month."""
     path = f"{root}/written"
-    stages.write_months(i.monthly(), path)
-    for month in stages.month_range(*month_bounds(i)):
+    bounds = write_monthly(i, path)
+    for month in stages.month_range(*bounds):
         if path_exists(i.spark, f"{path}/month={month}"):
             move_path(i.spark, f"{path}/month={month}", stages.stage_path(root, "players", month))
+    return bounds
 
 
 @query
 def merge_months(i: Inputs) -> DataFrame:
     root = fresh_dir(i.spark, "months")
     i.spark.range(0).write.parquet(stages.stage_path(root, "players", "none"))
-    written_months(i, root)
-    return i.spark.read.parquet(jobs.run_merge_months(i.spark, root, *month_bounds(i)))
+    return i.spark.read.parquet(jobs.run_merge_months(i.spark, root, *written_months(i, root)))
 
 
 @query
@@ -1032,9 +1039,9 @@ def month_ledger(i: Inputs) -> DataFrame:
     """Months added to a ledger, those of 1994 with rows missing at first, and two months withdrawn at the end."""
     root = fresh_dir(i.spark, "ledger")
     path = f"{root}/months"
-    stages.write_months(i.monthly(), path)
-    named = stages.month_range(*month_bounds(i))
-    counted, late = stages.read_months(i.spark, path, *month_bounds(i)), [m for m in named if m.startswith("1994")]
+    bounds = write_monthly(i, path)
+    named = stages.month_range(*bounds)
+    counted, late = stages.read_months(i.spark, path, *bounds), [m for m in named if m.startswith("1994")]
     missing = (F.col("month").isin(late)) & (F.col("count_w") > 0)
     ledger.put_months(i.spark, f"{root}/ledger", counted.where(~missing), named, buckets=8)
     ledger.put_months(i.spark, f"{root}/ledger", counted.where(F.col("month").isin(late)), late)

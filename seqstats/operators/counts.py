@@ -13,30 +13,40 @@ from seqstats.operators.shaping import union_all
 COUNTS = ["count_w", "won_w", "lost_w", "count_b", "won_b", "lost_b", "real_game_w", "real_game_b"]
 
 
-def player_openings(games: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def player_openings(games: DataFrame, keys: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
     """Games, wins, losses and deepest matches per player and opening, for each color.
 
-    Names are grouped as written and only then lower-cased.
+    Names are grouped as written and only then lower-cased. For ``parts`` see ``count_names``.
     """
-    return lower_names(count_names(games, keys))
+    return lower_names(count_names(games, keys, parts))
 
 
-def count_names(games: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def count_names(games: DataFrame, keys: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
     """The eight counts per ``username`` and opening.
 
     Each game row counts once for either player; one aggregate with map-side partial sums
-    does them all.
+    does them all. With ``parts`` the rows are dealt by ``keys`` and so many parts of each instead, by a hash of the player,
+    and counted where they arrive: the counts lie together by ``keys`` and can be written so without another shuffle. One
+    task then reads all games that a player has under one of the keys; what it holds are the counts alone.
     """
     sides = F.array(
-        F.struct(F.col("white").alias("username"), F.lit(True).alias("w")),
-        F.struct(F.col("black").alias("username"), F.lit(False).alias("w")),
+        F.struct(F.col("white").alias("username"), F.lit(3).alias("_side")),
+        F.struct(F.col("black").alias("username"), F.lit(0).alias("_side")),
     )
-    rows = games.where(F.col("matched_id").isNotNull()).select(
-        *keys, "matched_id", "result", "real_game", F.inline(sides)
+    # Color and result in one small number: rows that are dealt are shuffled before they are counted.
+    result = F.when(F.col("result") == "1-0", 1).when(F.col("result") == "0-1", 2).otherwise(0)
+    rows = (
+        games.where(F.col("matched_id").isNotNull())
+        .select(*keys, "matched_id", "real_game", result.alias("_result"), F.inline(sides))
+        .select(*keys, "username", "matched_id", "real_game", (F.col("_side") + F.col("_result")).cast("tinyint").alias("_how"))
     )
-    white, black = F.col("w"), ~F.col("w")
-    first, second = F.col("result") == "1-0", F.col("result") == "0-1"
-    return rows.groupBy(*keys, "username", "matched_id").agg(
+    dealt = []
+    if parts is not None:
+        part = F.pmod(F.xxhash64("username"), F.lit(parts))
+        rows, dealt = rows.repartition(*keys, part).withColumn("_part", part), ["_part"]
+    white, black = F.col("_how") >= 3, F.col("_how") < 3
+    first, second = F.col("_how") % 3 == 1, F.col("_how") % 3 == 2
+    return rows.groupBy(*keys, *dealt, "username", "matched_id").agg(
         F.count_if(white).alias("count_w"),
         F.count_if(white & first).alias("won_w"),
         F.count_if(white & second).alias("lost_w"),
@@ -45,7 +55,7 @@ def count_names(games: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
         F.count_if(black & first).alias("lost_b"),
         F.sum(F.when(white, F.col("real_game")).otherwise(0)).alias("real_game_w"),
         F.sum(F.when(black, F.col("real_game")).otherwise(0)).alias("real_game_b"),
-    )
+    ).drop(*dealt)
 
 
 def lower_names(counts: DataFrame) -> DataFrame:
@@ -59,7 +69,7 @@ def merge_counts(dfs: list[DataFrame]) -> DataFrame:
 
 
 def sum_counts(df: DataFrame) -> DataFrame:
-    return df.groupBy("id", "matched_id").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    return df.repartition("id").groupBy("id", "matched_id").agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
 def player_totals(counts: DataFrame) -> DataFrame:

@@ -66,9 +66,18 @@ def _month_number(month: str) -> int:
     return parsed.year * 12 + parsed.month - 1
 
 
-def write_months(df: DataFrame, path: str) -> None:
-    """Write a table with one folder per ``month``; hot months are split over tasks."""
-    df.hint("rebalance", "month").write.mode("overwrite").partitionBy("month").parquet(path)
+def write_months(df: DataFrame, path: str, dealt: bool = False) -> None:
+    """Write a table with one folder per ``month``; hot months are split over tasks.
+
+    Rows that lie together by month already, in ``month_parts`` parts, are ``dealt``: they are written where they are.
+    """
+    together = df if dealt else df.hint("rebalance", "month")
+    together.write.mode("overwrite").partitionBy("month").parquet(path)
+
+
+def month_parts(spark: SparkSession, months: int) -> int:
+    """Parts to deal each month to, so that every task of a shuffle has some: eight on average, and eight tasks a month at least."""
+    return max(8, -(-8 * int(spark.conf.get("spark.sql.shuffle.partitions")) // months))
 
 
 def read_months(spark: SparkSession, path: str, start: str, end: str | None = None) -> DataFrame:

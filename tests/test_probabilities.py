@@ -51,6 +51,43 @@ def test_counts_for_both_sides(spark):
     assert rows(merged.where("id = 'ann' AND matched_id = 'x'"), "count_w", "real_game_b") == [(6, 4)]
 
 
+def test_counts_of_dealt_months_are_written_where_they_are(spark, tmp_path):
+    """The same rows as without parts, together by month after one shuffle of the games' rows."""
+    from seqstats.sources.stages import write_months
+
+    table = [
+        (f"P{i % 7}" if i % 11 else None, f"p{i % 5}", ("1-0", "0-1", "1/2-1/2", None)[i % 4], "xyz"[i % 3] if i % 13 else None, i % 2,
+         f"2022-0{i % 3 + 1}" if i % 17 else None)
+        for i in range(300)
+    ]
+    path = str(tmp_path / "games")
+    spark.createDataFrame(table, GAME + ", month STRING").write.parquet(path)
+    games = spark.read.parquet(path)
+    columns = ("month", "id", "matched_id", *COUNTS)
+    dealt, plain = player_openings(games, ("month",), parts=3), player_openings(games, ("month",))
+    assert rows(dealt, *columns) == rows(plain, *columns) and dealt.columns == plain.columns
+    text = dealt._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1 and "Exchange hashpartitioning(month" in text
+    write_months(dealt, str(tmp_path / "months"), dealt=True)
+    written = spark.read.schema(f"{', '.join(f'{c} {t}' for c, t in plain.dtypes)}").parquet(str(tmp_path / "months"))
+    assert rows(written, *columns) == rows(plain, *columns)
+
+
+def test_months_are_dealt_to_all_tasks(spark):
+    from seqstats.sources.stages import month_parts
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for months in (1, 3, 80, 10_000):
+        assert month_parts(spark, months) >= 8 and month_parts(spark, months) * months >= 8 * tasks
+
+
+def test_sums_shuffle_each_row_once(spark):
+    counts = player_openings(spark.createDataFrame([("Ann", "Bob", "1-0", "x", 1)], GAME))
+    counts = spark.createDataFrame(counts.collect(), counts.schema)
+    text = merge_counts([counts, counts])._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1 and "Exchange hashpartitioning(id" in text
+
+
 def counts_frame(spark, table):
     return spark.createDataFrame(table, "id STRING, matched_id STRING, " + ", ".join(f"{c} BIGINT" for c in COUNTS))
 
