@@ -28,5 +28,9 @@ def distribution_arrays(df: DataFrame, keys: list[str], suffix: str = "dist", pa
 
 
 def metric_values(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Long form: one row per key, metric and value (NULL values included)."""
-    return df.select(*keys, *METRICS).unpivot(keys, METRICS, "metric", "value")
+    """Long form: one row per key, metric and value (NULL values included).
+
+    Not by ``unpivot``, whose output Spark numbers anew in every use, so that equal shuffles are not seen as equal.
+    """
+    values = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS])
+    return df.select(*keys, F.inline(values))

@@ -52,7 +52,7 @@ def ranged(counts: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     # Every so many bounds, so that there are as many ranges as the size asks for.
     step = F.greatest(F.lit(1), F.floor(MOST_RANGES * float(RANGE_ROWS) / F.col("_size"))).cast("int")
     large = large.withColumn("_bounds", F.filter("_all", lambda b, i: (i + 1) % step == 0)).drop("_all", "_size")
-    same = [F.col(k) == F.col(f"_k_{k}") for k in keys]
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
     number = F.when(F.col("value").isNull() | F.col("_bounds").isNull(), 0).otherwise(_bounds_below("_bounds", F.col("value")))
     joined = counts.join(F.broadcast(large), same, "left").withColumn("_range", number)
     return joined.drop("_bounds", *[f"_k_{k}" for k in keys])
@@ -130,6 +130,9 @@ def ks_subset(df: DataFrame, keys: list[str], group: str, value: str = "value")
     the group's own values or just before it, so the two running counts are compared there:
     both are taken within value ranges of a key, and the counts of the ranges below are added.
     """
+    # Rows without a key have no test. They go first and all at once, and the joins below compare keys null-safely: a filter on
+    # a single key, which Spark infers from a plain comparison, would tell the counts' uses apart, and each would count anew.
+    df = df.dropna(subset=keys)
     counts = df.groupBy(*keys, group, F.col(value).alias("value")).agg(F.count(value).alias("s"))
     counts = ranged(counts, keys, ["s"])
 
@@ -138,9 +141,9 @@ def ks_subset(df: DataFrame, keys: list[str], group: str, value: str = "value")
     part = Window.partitionBy(*keys, group)
     ranges_below = (Window.unboundedPreceding, -1)
     below = cells.select(
-        *keys,
+        *[F.col(k).alias(f"_k_{k}") for k in keys],
         F.col(group).alias("_group"),
-        "_range",
+        F.col("_range").alias("_below"),
         F.coalesce(F.sum("_cell").over(whole.orderBy("_range").rangeBetween(*ranges_below)), F.lit(0)).alias("_f_below"),
         F.coalesce(F.sum("_cell").over(part.orderBy("_range").rangeBetween(*ranges_below)), F.lit(0)).alias("_s_below"),
         F.sum("_cell").over(whole).alias("m"),
@@ -157,7 +160,8 @@ def ks_subset(df: DataFrame, keys: list[str], group: str, value: str = "value")
             ),
         }
     ).where(F.col(group).isNotNull())
-    at = counts.withColumn("_group", F.col(group)).join(below, [*keys, "_group", "_range"])
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    at = counts.join(below, [*same, F.col(group) == F.col("_group"), F.col("_range") == F.col("_below")])
     f, s = F.col("_f_below") + F.col("_f_within"), F.col("_s_below") + F.col("_s_within")
     above = s * F.col("m") - f * F.col("n")
     under = (f - F.col("_f_at")) * F.col("n") - (s - F.col("s")) * F.col("m")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from seqstats.catalog.fixture import Inputs
 from seqstats.catalog.queries import QUERIES
 from seqstats.operators import ks
-from seqstats.operators.distributions import distribution_arrays, distributions
+from seqstats.operators.distributions import distribution_arrays, distributions, metric_values
 from seqstats.operators.ks import ks_pvalue, ks_subset, ks_test, ks_two_sample, lattice_tails, ranged, with_pvalue
 from seqstats.operators.shaping import METRICS
 
@@ -306,3 +306,16 @@ def test_the_jobs_own_form_against_brute_force(spark):
             n, m = sorted((len(own), len(every)))
             assert r[f"{metric}_stat"] == pytest.approx(stat, abs=1e-6)
             assert r[f"{metric}_p_value"] == pytest.approx(float(counted_tail(n, m, round(stat * n * m))), abs=1e-6)
+
+
+def test_counts_of_a_subset_test_are_worked_out_once(spark, tmp_path):
+    """The bounds, the sums below and the running sums read one shuffle of the counts; rows without a key have no test."""
+    names = "matched_id STRING, country STRING, " + ", ".join(f"{m} DOUBLE" for m in METRICS)
+    table = [("xyz"[i % 3] if i % 10 else None, "AB"[i % 2] if i % 7 else None, *[i % k / k for k in (5, 7, 9, 11)]) for i in range(400)]
+    spark.createDataFrame(table, names).write.parquet(str(tmp_path / "players"))
+    values = metric_values(spark.read.parquet(str(tmp_path / "players")), ["matched_id", "country"])
+    tests = ks_subset(values, ["matched_id", "metric"], "country")
+    found = tests.collect()
+    assert {(r["matched_id"], r["metric"], r["country"]) for r in found} == {(o, m, c) for o in "xyz" for m in METRICS for c in "AB"}
+    final = tests._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "Final Plan" in final and final.count("partial_count(value") == 1
