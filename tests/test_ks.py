@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from seqstats.catalog.fixture import Inputs
 from seqstats.catalog.queries import QUERIES
 from seqstats.operators import ks
+from seqstats.operators.counts import COUNTS
 from seqstats.operators.distributions import distribution_arrays, distributions, metric_values
 from seqstats.operators.ks import ks_pvalue, ks_subset, ks_test, ks_two_sample, lattice_tails, ranged, with_pvalue
+from seqstats.operators.probabilities import player_probabilities
 from seqstats.operators.shaping import METRICS
 
 
@@ -308,14 +310,23 @@ def test_the_jobs_own_form_against_brute_force(spark):
             assert r[f"{metric}_p_value"] == pytest.approx(float(counted_tail(n, m, round(stat * n * m))), abs=1e-6)
 
 
-def test_counts_of_a_subset_test_are_worked_out_once(spark, tmp_path):
+def test_counts_of_a_subset_test_share_one_shuffle(spark, tmp_path):
     """The bounds, the sums below and the running sums read one shuffle of the counts; rows without a key have no test."""
-    names = "matched_id STRING, country STRING, " + ", ".join(f"{m} DOUBLE" for m in METRICS)
-    table = [("xyz"[i % 3] if i % 10 else None, "AB"[i % 2] if i % 7 else None, *[i % k / k for k in (5, 7, 9, 11)]) for i in range(400)]
-    spark.createDataFrame(table, names).write.parquet(str(tmp_path / "players"))
-    values = metric_values(spark.read.parquet(str(tmp_path / "players")), ["matched_id", "country"])
-    tests = ks_subset(values, ["matched_id", "metric"], "country")
+    table = [(f"p{i}", "xyz"[(i + k) % 3] if (i + k) % 10 else None, *[i % 9 + k + 1] * 8) for i in range(200) for k in range(2)]
+    counts = spark.createDataFrame(table, "id STRING, matched_id STRING, " + ", ".join(f"{c} BIGINT" for c in COUNTS))
+    counts.write.parquet(str(tmp_path / "counts"))
+    profiles = spark.createDataFrame([(f"p{i}", "AB"[i // 2 % 2]) for i in range(200) if i % 5], "id STRING, country STRING")
+    profiles.write.parquet(str(tmp_path / "profiles"))
+    players = player_probabilities(*(spark.read.parquet(str(tmp_path / name)) for name in ("counts", "profiles")))
+    tests = ks_subset(metric_values(players, ["matched_id", "country"]), ["matched_id", "metric"], "country")
     found = tests.collect()
     assert {(r["matched_id"], r["metric"], r["country"]) for r in found} == {(o, m, c) for o in "xyz" for m in METRICS for c in "AB"}
-    final = tests._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-    assert "Final Plan" in final and final.count("partial_count(value") == 1
+    again = ks_subset(metric_values(players, ["matched_id", "country"]), ["matched_id", "metric"], "country")
+
+    def shuffles(plan):
+        own = [plan.canonicalized()] if plan.getClass().getSimpleName() == "ShuffleExchangeExec" and "value#" in plan.outputPartitioning().toString() else []
+        children = [plan.children().apply(k) for k in range(plan.children().size())]
+        return own + [s for child in children for s in shuffles(child)]
+
+    counted = shuffles(again._jdf.queryExecution().executedPlan().initialPlan())
+    assert len(counted) > 1 and all(s.equals(counted[0]) for s in counted)
