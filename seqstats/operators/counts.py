@@ -24,10 +24,12 @@ def player_openings(games: DataFrame, keys: tuple[str, ...] = (), parts: int | N
 def count_names(games: DataFrame, keys: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
     """The eight counts per ``username`` and opening.
 
-    Each game row counts once for either player; one aggregate with map-side partial sums
-    does them all. With ``parts`` the rows are dealt by ``keys`` and so many parts of each instead, by a hash of the player,
-    and counted where they arrive: the counts lie together by ``keys`` and can be written so without another shuffle. One
-    task then reads all games that a player has under one of the keys; what it holds are the counts alone.
+    Each game row counts once for either player. Rows are dealt by ``keys`` and the player's id and counted where they arrive,
+    in one shuffle of small rows: a player's counts lie together, for what follows by ``id`` too (``lower_names``). Sums before
+    the shuffle would be wider than the rows and hardly fewer, since a player's games are scattered. With ``parts`` rows are
+    dealt by ``keys`` and so many parts of each instead, by a hash of the player: the counts lie together by ``keys`` and can
+    be written so without another shuffle. One task then reads all games that a player has under one of the keys; what it
+    holds are the counts alone.
     """
     sides = F.array(
         F.struct(F.col("white").alias("username"), F.lit(3).alias("_side")),
@@ -40,13 +42,11 @@ def count_names(games: DataFrame, keys: tuple[str, ...] = (), parts: int | None
         .select(*keys, "matched_id", "real_game", result.alias("_result"), F.inline(sides))
         .select(*keys, "username", "matched_id", "real_game", (F.col("_side") + F.col("_result")).cast("tinyint").alias("_how"))
     )
-    dealt = []
-    if parts is not None:
-        part = F.pmod(F.xxhash64("username"), F.lit(parts))
-        rows, dealt = rows.repartition(*keys, part).withColumn("_part", part), ["_part"]
+    part = F.lower("username") if parts is None else F.pmod(F.xxhash64("username"), F.lit(parts))
+    rows = rows.repartition(*keys, part).withColumn("_part", part)
     white, black = F.col("_how") >= 3, F.col("_how") < 3
     first, second = F.col("_how") % 3 == 1, F.col("_how") % 3 == 2
-    return rows.groupBy(*keys, *dealt, "username", "matched_id").agg(
+    return rows.groupBy(*keys, "_part", "username", "matched_id").agg(
         F.count_if(white).alias("count_w"),
         F.count_if(white & first).alias("won_w"),
         F.count_if(white & second).alias("lost_w"),
@@ -55,7 +55,7 @@ def count_names(games: DataFrame, keys: tuple[str, ...] = (), parts: int | None
         F.count_if(black & first).alias("lost_b"),
         F.sum(F.when(white, F.col("real_game")).otherwise(0)).alias("real_game_w"),
         F.sum(F.when(black, F.col("real_game")).otherwise(0)).alias("real_game_b"),
-    ).drop(*dealt)
+    ).drop("_part")
 
 
 def lower_names(counts: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from seqstats.operators.probabilities import (
     approx_player_counts,
     country_player_counts,
     global_moments,
+    join_country,
     moment_states,
     moments_of,
     player_probabilities,
@@ -88,6 +89,34 @@ def test_sums_shuffle_each_row_once(spark):
     assert text.count("Exchange") == 1 and "Exchange hashpartitioning(id" in text
 
 
+def test_counts_meet_many_profiles_without_another_shuffle(spark, tmp_path):
+    """Profiles that are not broadcast are brought to the counts, which lie together by id after their one shuffle."""
+    table = [("Ann", "Bob", "1-0", "x", 1), ("ANN", None, "0-1", "x", 1), ("Bob", "Eve", "1-0", "y", 0), ("Ann", "Bob", "1-0", None, 1)]
+    path = str(tmp_path / "games")
+    spark.createDataFrame(table, GAME).write.parquet(path)
+    profiles = spark.createDataFrame([("ann", "DE"), ("bob", None), ("eve", "FR"), ("eve", "IT"), (None, "PL")], "id STRING, country STRING")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = join_country(player_openings(spark.read.parquet(path)), profiles)
+        shares = player_probabilities(player_openings(spark.read.parquet(path)), profiles)
+        for df in (found, shares):
+            text = df._jdf.queryExecution().executedPlan().toString()
+            assert text.count("Exchange hashpartitioning") == 2 and "Exchange hashpartitioning(lower(username" in text
+        assert rows(found, "id", "matched_id", "count_w", "count_b", "country") == sorted(
+            [
+                ("ann", "x", 1, 0, "DE"), ("ann", "x", 1, 0, "DE"), (None, "x", 0, 1, None), ("bob", "x", 0, 1, None),
+                ("bob", "y", 1, 0, None), ("eve", "y", 0, 1, "FR"), ("eve", "y", 0, 1, "IT"),
+            ],
+            key=repr,
+        )
+        assert rows(shares.select("id", "matched_id", "country").distinct()) == sorted(
+            [("ann", "x", "DE"), ("bob", "x", None), ("bob", "y", None), ("eve", "y", "FR"), ("eve", "y", "IT")], key=repr
+        )
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def counts_frame(spark, table):
     return spark.createDataFrame(table, "id STRING, matched_id STRING, " + ", ".join(f"{c} BIGINT" for c in COUNTS))
 
