@@ -25,7 +25,7 @@ from seqstats.operators import (
 )
 from seqstats.operators.shaping import METRICS, SUFFIXES
 from seqstats.plans import jobs
-from seqstats.session import fresh_dir, move_path, path_exists
+from seqstats.session import fresh_dir, move_path, path_exists, small_on_disk, written
 from seqstats.sources import features, ledger, openings, records, stages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -733,6 +733,8 @@ def share_tests(i: Inputs) -> DataFrame:
     """Every country's players against those of the next country by code: their shares of games as white."""
     share = F.col("total_count_w") / (F.col("total_count_w") + F.col("total_count_b"))
     values = i.located().select("id", "country", share.alias("value")).distinct()
+    # One row a player, read three times: those of large tables are written once, as each use would count the games anew.
+    values = values if small_on_disk(i.table("lineitem")) else written(values, "shares")
     previous = F.lag("country").over(Window.orderBy("country"))
     pairs = values.select("country").distinct().select(F.col("country").alias("_next"), previous.alias("_country")).dropna()
     others = values.join(pairs, F.col("country") == F.col("_next")).select(F.col("_country").alias("country"), "value")

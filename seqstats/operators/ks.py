@@ -33,6 +33,12 @@ RANK_PARTS = 10_000
 EXACT_LIMIT = 10_000
 # Numbers of lattice points that are advanced together.
 LATTICE_POINTS = 16_384
+# A test with more points within reach of the diagonal is advanced alone, and so are fewer tests than these.
+WIDE_POINTS, FEW_TESTS = 512, 8
+# What stands for a share of 1 there, so that no share that counts is too small for a whole number of digits.
+WHOLE = 2.0**1000
+# Smaller numbers become 0 every so many steps: below 1e-500 of a path, and slow to reckon with if they go on shrinking.
+NEGLIGIBLE, SWEEP = 1e-200, 32
 
 
 def ranged(counts: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
@@ -269,13 +275,20 @@ def lattice_tails(d: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     tails = np.ones(len(d))
     open_tests = np.flatnonzero(reach > 0)
     order = open_tests[np.lexsort((n[open_tests], m[open_tests]))]
+    # the points within reach of the diagonal are the ones to advance
+    wide = np.minimum(2 * reach // (n + m) + 3, n + 1) > WIDE_POINTS
+    for test in order[wide[order]]:
+        tails[test] = _advanced_alone(int(n[test]), int(m[test]), int(reach[test]))
+    order = order[~wide[order]]
     start = 0
     while start < len(order):
-        # the points within reach of the diagonal are the ones to advance
         width = np.minimum(2 * reach[order[start:]] // (n + m)[order[start:]] + 3, n[order[start:]] + 1)
         size = max(1, int(np.searchsorted(np.maximum.accumulate(width) * np.arange(1, len(width) + 1), LATTICE_POINTS)))
         block = order[start : start + size]
-        tails[block] = _advanced(n[block], m[block], reach[block])
+        if len(block) < FEW_TESTS:
+            tails[block] = [_advanced_alone(int(n[i]), int(m[i]), int(reach[i])) for i in block]
+        else:
+            tails[block] = _advanced(n[block], m[block], reach[block])
         start += size
     return tails
 
@@ -304,17 +317,63 @@ def _advanced(n: np.ndarray, m: np.ndarray, reach: np.ndarray) -> np.ndarray:
     return np.minimum(tails, 1.0)
 
 
+def _advanced_alone(n: int, m: int, reach: int) -> float:
+    """The share at (n, m) of one test: only the points between the two lines that it must touch, each step in place."""
+    both = n + m
+    if _vanishes(n, m, reach):
+        return 0.0
+    hit = np.full(n + 2, WHOLE)
+    hit[0] = 0.0
+    moved, up, down = np.empty(n + 1), np.arange(n + 1.0), np.arange(both, -1.0, -1.0)
+    for step in range(1, both + 1):
+        low = max(0, step - m, (step * n - reach) // both + 1)
+        high = min(n, step, (step * n + reach - 1) // both)
+        here, other = hit[low : high + 1], moved[: high + 1 - low]
+        if low:
+            np.multiply(hit[low - 1 : high], up[low : high + 1], out=other)
+        else:
+            other[0] = 0.0
+            np.multiply(hit[:high], up[1 : high + 1], out=other[1:])
+        here *= down[both - step + low : both - step + high + 1]
+        here += other
+        here *= 1.0 / step
+        if low:
+            hit[low - 1] = WHOLE
+        if step % SWEEP == 0:
+            here[here < NEGLIGIBLE] = 0.0
+    return min(hit[n] / WHOLE, 1.0)
+
+
+def _vanishes(n: int, m: int, reach: int) -> bool:
+    """Whether the share is 0 as a number of double precision, by a bound: what passes through each point of the two lines, in sum."""
+    both = n + m
+    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1.0, both + 1)))])
+
+    def ways(total: np.ndarray | int, part: np.ndarray) -> np.ndarray:
+        return logs[total] - logs[part] - logs[total - part]
+
+    step = np.arange(both + 1)
+    most = -np.inf
+    for line in ((step * n + reach - 1) // both + 1, (step * n - reach) // both):
+        there = (line >= 0) & (line <= n) & (step - line >= 0) & (step - line <= m)
+        if there.any():
+            through = ways(n, line[there]) + ways(m, (step - line)[there]) - ways(both, step[there])
+            most = max(most, float(through.max()))
+    # the least number above 0 is e^-744.4; the logs are right to far less than the rest
+    return most + np.log(2.0 * both) < -760
+
+
 def with_pvalue(tested: DataFrame, method: str = "auto", exact_limit: int = EXACT_LIMIT) -> DataFrame:
     """Tests with their ``p_value``.
 
     Exact p-values are little data and much work: they are dealt over all cores by the test itself, so equal tests meet in
     one task and are worked out once, and a task's tests are put in the order of their sizes, so that neighbours are
-    advanced together.
+    advanced together. There are several tasks a core, since a few large tests may be all there is: they seldom share a task.
     """
     p_value = ks_pvalue(F.col("stat"), F.col("n"), F.col("m"), method, exact_limit)
     if method not in ("auto", "exact"):
         return tested.withColumn("p_value", p_value)
-    tasks = 2 * tested.sparkSession.sparkContext.defaultParallelism
+    tasks = 8 * tested.sparkSession.sparkContext.defaultParallelism
     return tested.repartition(tasks, "stat", "n", "m").sortWithinPartitions("m", "n", "stat").withColumn("p_value", p_value)
 
 

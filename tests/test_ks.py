@@ -11,6 +11,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from seqstats.catalog import queries
 from seqstats.catalog.fixture import Inputs
 from seqstats.catalog.queries import QUERIES
 from seqstats.operators import ks
@@ -330,3 +331,52 @@ def test_counts_of_a_subset_test_share_one_shuffle(spark, tmp_path):
 
     counted = shuffles(again._jdf.queryExecution().executedPlan().initialPlan())
     assert len(counted) > 1 and all(s.equals(counted[0]) for s in counted)
+
+
+def test_wide_tests_are_advanced_alone_and_exactly(monkeypatch):
+    """Few or wide tests never meet as a block, whose points span all their diagonals; closed form for equal sizes."""
+    monkeypatch.setattr(ks, "_advanced", None)
+    n = 3_000
+    for reach in (60, 200, 900, 1_400):
+        long = Fraction(0)
+        for k in range(1, n // reach + 1):
+            long += 2 * (-1) ** (k - 1) * Fraction(math.comb(2 * n, n - k * reach), math.comb(2 * n, n))
+        assert ks.lattice_tails(np.array([reach / n]), np.array([n]), np.array([n]))[0] == pytest.approx(float(long), rel=1e-10)
+    sizes = [(40, 1_500), (700, 901), (300, 300), (77, 901), (1_200, 40)]
+    d = [round(1.4 * math.sqrt((n + m) * n * m)) / (n * m) for n, m in sizes]
+    found = ks.lattice_tails(np.array(d), *np.array(sizes).T)
+    for (n, m), x, p in zip(sizes, d, found):
+        assert p == pytest.approx(diagonal_tail(n, m, round(x * n * m)), rel=1e-10)
+    # far below the least number there is: told by the bound, without advancing anything
+    assert ks.lattice_tails(np.array([0.5]), np.array([100_000]), np.array([100_000])).tolist() == [0.0]
+
+
+def test_few_large_tests_are_dealt_to_tasks_of_their_own(spark):
+    df = spark.createDataFrame([(0.5, n, n) for n in range(10, 18)], "stat DOUBLE, n BIGINT, m BIGINT")
+    assert with_pvalue(df, "exact").rdd.getNumPartitions() >= 8 * spark.sparkContext.defaultParallelism
+
+
+def write_tables(spark, folder):
+    """Small tables of games: 60 players of 4 countries, 12 parts, 6,000 games."""
+    tables = {
+        "customer": (60, "id AS c_custkey, 'c' AS c_name, CAST(id % 4 AS INT) AS c_nationkey, 1.0D AS c_acctbal, 'AUTO' AS c_mktsegment"),
+        "nation": (4, "CAST(id AS INT) AS n_nationkey, 'n' AS n_name, 0 AS n_regionkey"),
+        "part": (12, "id AS p_partkey, 'x y' AS p_name, concat('Brand#', id % 3) AS p_brand, concat('T', id % 2) AS p_type, 1 AS p_size, 1.0D AS p_retailprice"),
+        "orders": (2_000, "id AS o_orderkey, id * id % 60 AS o_custkey, 'O' AS o_orderstatus, 1.0D AS o_totalprice, "
+                   "TIMESTAMP_NTZ'1994-01-05' AS o_orderdate, '1-URGENT' AS o_orderpriority"),
+        "lineitem": (6_000, "id % 2000 AS l_orderkey, id % 12 AS l_partkey, id % 7 AS l_suppkey, 1 AS l_linenumber, 1.0D AS l_quantity, 1.0D AS l_extendedprice, "
+                     "0.0D AS l_discount, 0.0D AS l_tax, 'R' AS l_returnflag, 'O' AS l_linestatus, TIMESTAMP_NTZ'1994-01-05' AS l_shipdate"),
+    }
+    for name, (n, columns) in tables.items():
+        spark.range(n).createOrReplaceTempView("numbered")
+        spark.sql(f"SELECT {columns} FROM numbered").write.parquet(f"{folder}/{name}.parquet")
+
+
+def test_shares_of_large_tables_are_counted_once(spark, tmp_path, monkeypatch):
+    """The players' shares are read three times; the games behind them are not."""
+    write_tables(spark, tmp_path)
+    whole = rows(queries.share_tests(Inputs(spark, str(tmp_path))))
+    monkeypatch.setattr(queries, "small_on_disk", lambda df: False, raising=False)
+    large = queries.share_tests(Inputs(spark, str(tmp_path)))
+    assert not any("lineitem" in name for name in large.inputFiles())
+    assert rows(large) == whole and len(whole) > 1
