@@ -5,6 +5,9 @@ what the month's new rows add minus what its old rows had added. Only this diffe
 state itself is read bucket by bucket, joined and written as the next version, each bucket by the task that read it. The
 ledger, a commit log, names the state, and for each month the table its rows are in, so that they can be taken back later.
 
+New rows are shuffled once, by ``id`` to parts that lie within the state's buckets, and their months' tables are written in
+these parts: where no old rows go, the difference is worked out part by part, and a first state is written as it lies.
+
 Players without a name are left out, as all later steps do. A month with no rows counts as added. Changes are idempotent:
 adding a month twice with the same rows changes nothing, so a run that stopped is repeated as it was.
 """
@@ -13,15 +16,18 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import ExitStack, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqstats.operators.counts import COUNTS
+from seqstats.session import path_bytes
 from seqstats.sources import commits
 
 BUCKETS = 64
+# Bytes of the first months' files for one bucket; of more, the state has as many buckets as there are parts.
+BUCKET_BYTES = 32 * 1024 * 1024
 KEYS = ["id", "matched_id"]
 ROW = ", ".join(["id STRING", "matched_id STRING", *[f"{c} BIGINT" for c in COUNTS]])
 STATE = f"{ROW}, months BIGINT"
@@ -49,10 +55,26 @@ def _bucketed(spark: SparkSession, path: str, schema: str, buckets: int) -> Data
 
 def _write_bucketed(df: DataFrame, path: str, buckets: int) -> None:
     name = f"ledger_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, "id").format("parquet").option("path", path).saveAsTable(name)
+    # A task has rows of one bucket only, and so one writer: they need not be sorted by bucket first.
+    with _setting(df.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", "2"):
+        df.write.bucketBy(buckets, "id").format("parquet").option("path", path).saveAsTable(name)
     df.sparkSession.sql(f"DROP TABLE {name}")
 
 
+@contextmanager
+def _month_table(put: DataFrame, path: str, parts: int) -> Iterator[DataFrame]:
+    """The sums of a change per month, written to ``path`` with a folder for each, in ``parts`` by ``id``, and read so."""
+    spark, name = put.sparkSession, f"ledger_{uuid.uuid4().hex}"
+    kept = put.where(F.col("id").isNotNull() & F.col("matched_id").isNotNull())
+    summed = kept.repartition(parts, "id").groupBy("month", *KEYS).agg(*[F.sum(c).cast("long").alias(c) for c in COUNTS])
+    writer = summed.write.partitionBy("month").bucketBy(parts, "id").sortBy(*KEYS)
+    try:
+        writer.format("parquet").option("path", path).saveAsTable(name)
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def state(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
     """Sums per player and opening over all months of the ledger, with the number of months; bucketed by ``id``."""
     _, found = commits.read_commit(spark, root, version)
@@ -103,32 +125,33 @@ def _apply(spark: SparkSession, root: str, put: DataFrame | None, named: list[st
     old = [month_rows(spark, root, m, version).withColumn("months", F.lit(1)) for m in named if known.get(m)]
     for month in named:
         known.pop(month, None)
-    new = None
-    if put is not None:
-        kept = put.where(F.col("id").isNotNull() & F.col("matched_id").isNotNull())
-        summed = kept.groupBy("month", *KEYS).agg(*[F.sum(c).cast("long").alias(c) for c in COUNTS])
-        summed.write.partitionBy("month").parquet(f"{root}/{table}")
-        written = {x.removeprefix("month=") for x in commits.names(spark, f"{root}/{table}") if x.startswith("month=")}
-        if stray := written - set(named):
-            raise ValueError(f"rows of months that are not named: {', '.join(sorted(stray))}")
-        known |= {m: table if m in written else None for m in named}
-        if written:
-            new = spark.read.schema(ROW).parquet(*[f"{root}/{table}/month={m}" for m in sorted(written)]).withColumn("months", F.lit(1))
-    buckets = found.get("buckets", buckets)
-    after = found.get("state")
-    if new is not None or old:
-        change = difference(new, old)
-        after = f"state-{uuid.uuid4().hex}"
-        with _setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
-            result = changed(state(spark, root, version), change, buckets) if found.get("state") else change
-            _write_bucketed(result if found.get("state") else result.repartition(buckets, "id"), f"{root}/{after}", buckets)
+    buckets, after, new = found.get("buckets", buckets), found.get("state"), None
+    parts = buckets * -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // buckets)
+    with ExitStack() as tables:
+        if put is not None:
+            rows = tables.enter_context(_month_table(put, f"{root}/{table}", parts))
+            written = {x.removeprefix("month=") for x in commits.names(spark, f"{root}/{table}") if x.startswith("month=")}
+            if stray := written - set(named):
+                raise ValueError(f"rows of months that are not named: {', '.join(sorted(stray))}")
+            known |= {m: table if m in written else None for m in named}
+            if written:
+                new = rows.withColumn("months", F.lit(1))
+            if after is None and path_bytes(spark, f"{root}/{table}") > buckets * BUCKET_BYTES:
+                buckets = parts
+        if new is not None or old:
+            change = difference(new, old)
+            after = f"state-{uuid.uuid4().hex}"
+            with _setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
+                if found.get("state"):
+                    change = changed(state(spark, root, version), change, None if parts == buckets and not old else buckets)
+                _write_bucketed(change, f"{root}/{after}", buckets)
     return commits.commit(spark, root, {"buckets": buckets, "state": after, "months": known}, version)
 
 
 def put_months(spark: SparkSession, root: str, counts: DataFrame, named: list[str], buckets: int = BUCKETS) -> int:
     """Add or replace the ``named`` months by the rows of ``counts`` (with a column ``month``); gives the version.
 
-    ``buckets`` is fixed by the first change: as many tasks read and write the state.
+    ``buckets`` is fixed by the first change, a large one raises it to its parts: as many tasks read and write the state.
     """
     return _apply(spark, root, counts, named, buckets)
 

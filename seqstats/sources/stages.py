@@ -71,7 +71,9 @@ def write_months(df: DataFrame, path: str, dealt: bool = False) -> None:
 
     Rows that lie together by month already, in ``month_parts`` parts, are ``dealt``: they are written where they are.
     """
-    together = df if dealt else df.hint("rebalance", "month")
+    # A task sorts its rows by month anyway; by opening beside it, like rows lie together and take less room.
+    order = [c for c in ("month", "matched_id") if c in df.columns]
+    together = df.sortWithinPartitions(*order) if dealt else df.hint("rebalance", "month")
     together.write.mode("overwrite").partitionBy("month").parquet(path)
 
 

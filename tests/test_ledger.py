@@ -117,3 +117,31 @@ def test_state_of_few_buckets_is_not_shuffled(spark, tmp_path):
     side = plan[plan.index("SortMergeJoin") :]
     scan = side.index("Bucketed: true")
     assert "Exchange" not in side[:scan] and "Exchange" in side[scan:]
+
+
+@pytest.mark.parametrize("size", [0, 1 << 40])
+def test_new_months_are_shuffled_once(spark, tmp_path, monkeypatch, size):
+    """The first state is written as the months' table lies; a large one in as many buckets as there are parts, a small one in those asked for."""
+    root, plans, write = str(tmp_path / "ledger"), [], ledger._write_bucketed
+
+    def noted(df, path, buckets):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        write(df, path, buckets)
+
+    monkeypatch.setattr(ledger, "_write_bucketed", noted)
+    monkeypatch.setattr(ledger, "BUCKET_BYTES", size, raising=False)
+    # Rows that repeat are summed, those without a name or an opening left out.
+    a, b = made(spark, 1, ["2022-07", "2022-08"]), made(spark, 2, ["2022-09"])
+    twice = a.unionByName(a).unionByName(a.limit(3).selectExpr("month", "NULL AS id", "matched_id", *COUNTS))
+    with ledger._setting(spark, "spark.sql.shuffle.partitions", "7"):
+        ledger.put_months(spark, root, twice, ["2022-07", "2022-08"], buckets=2)
+        assert "Exchange" not in plans[0] and "Bucketed: true" in plans[0]
+        assert commits.read_commit(spark, root)[1]["buckets"] == (2 if size else 8)
+        assert held(spark, root) == sums([a, a])
+        ledger.put_months(spark, root, b, ["2022-09"])
+        ledger.put_months(spark, root, a, ["2022-07", "2022-08"])
+    assert plans[1].count("Exchange") == (1 if size else 0)
+    assert held(spark, root) == sums([a, b])
+    assert rows(ledger.month_rows(spark, root, "2022-09"), "id", "matched_id", *COUNTS) == sums([b])
+    ledger.withdraw_months(spark, root, ["2022-09"])
+    assert held(spark, root) == sums([a])
